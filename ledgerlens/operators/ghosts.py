@@ -113,7 +113,7 @@ def _not_in_master(stats: DataFrame, master: DataFrame | None, master_col: str,
         return None
     master_norms = master.select(normalize_name(master_col, rules, null_as=null_name).alias("_norm"))
     unknown = stats.join(master_norms, "_norm", "left_anti").where(non_empty(master))
-    details = F.format_string(f"{noun} '%s' received NGN %s{what}", F.col("_first_name"),
+    details = F.format_string(f"{noun} '%s' received NGN %s{what}", py_str(F.col("_first_name")),
                               fmt_money(F.col("_total")))
     return unknown.select(*_finding(
         F.col("_first_name"), kind, F.col("_first_bank"), F.lit(reason), F.col("_total"),
@@ -191,7 +191,7 @@ def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None =
         single = stats.where((F.col("_cnt") == 1) & (F.col("_total") >= rules.ghost_single_payment_min))
         details = F.format_string(
             "Vendor '%s' received only one payment of NGN %s \u2014 potential ghost vendor",
-            F.col("_first_nonnull_name"), fmt_money(F.col("_total")))
+            py_str(F.col("_first_nonnull_name")), fmt_money(F.col("_total")))
         parts.append(single.select(*_finding(
             F.col("_first_nonnull_name"), VENDOR, F.col("_first_bank"), F.lit(SINGLE_PAYMENT), F.col("_total"),
             tier(F.col("_total"), [(rules.ghost_single_payment_medium, "Medium")], "Low"), details,
@@ -219,7 +219,7 @@ def _created_and_paid(stats: DataFrame, master: DataFrame | None, rules: AuditRu
          .where((F.col("_days") >= 0) & (F.col("_days") <= rules.ghost_onboard_days)))
     details = F.format_string(
         "Vendor '%s' was added to master list on %s and received first payment within %d days",
-        F.col("_mname"), day_text(F.col("_added")), F.col("_days"))
+        py_str(F.col("_mname")), day_text(F.col("_added")), F.col("_days"))
     return j.select(*_finding(F.col("_mname"), VENDOR, F.col("_mbank"), F.lit(CREATED_AND_PAID), F.col("_total"),
                               F.lit("Medium"), details, "GHV-4", 4, F.col("_order")))
 

@@ -109,3 +109,237 @@ for _key, _rule in (("ghv1_not_in_vendor_master", "ghv1"), ("ghv2_shared_vendor_
 register("ghv5_ghost_vendors", _GHV_P + """
 , u AS (SELECT * FROM ghv1 UNION ALL SELECT * FROM ghv2 UNION ALL SELECT * FROM ghv3 UNION ALL SELECT * FROM ghv4)
 """ + _dedup("u", _GHOST_COLS))
+
+_GHE_P = f"""
+, p AS (SELECT CAST(employee_name AS VARCHAR) AS name, {norm('employee_name', "'nan'")} AS norm, gross_salary AS amt,
+               bank_account AS bank, row_id AS rid,
+               (paye_amount IS NULL OR paye_amount = 0) AS no_paye,
+               (pension_amount IS NULL OR pension_amount = 0) AS no_pension FROM payroll)
+, stats AS (SELECT norm, arg_min_null(name, rid) AS first_name, arg_min_null(bank, rid) AS first_bank,
+                   coalesce(sum(amt), 0) AS total,
+                   count(*) FILTER (WHERE no_paye) AS paye_rows,
+                   arg_min_null(name, CASE WHEN no_paye THEN rid END) AS paye_name,
+                   arg_min_null(bank, CASE WHEN no_paye THEN rid END) AS paye_bank,
+                   coalesce(sum(amt) FILTER (WHERE no_paye), 0) AS paye_total,
+                   count(*) FILTER (WHERE no_pension) AS pension_rows,
+                   arg_min_null(name, CASE WHEN no_pension THEN rid END) AS pension_name,
+                   arg_min_null(bank, CASE WHEN no_pension THEN rid END) AS pension_bank,
+                   coalesce(sum(amt) FILTER (WHERE no_pension), 0) AS pension_total
+            FROM p GROUP BY norm)
+, ghe1 AS (SELECT first_name AS name, first_bank AS bank_account, 'Not in employee master list' AS red_flag_reason,
+                  total AS total_paid, CASE WHEN total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
+                  'Employee ''' || coalesce(first_name, 'nan') || ''' received NGN ' || {money('total')} || ' in salary but is not in the HR/employee master list' AS details,
+                  'GHE-1' AS rule_id, 1 AS prio, norm AS ord
+           FROM stats
+           WHERE norm NOT IN (SELECT {norm('employee_name', "'nan'")} FROM employee_master)
+             AND EXISTS (SELECT 1 FROM employee_master))
+, names AS (SELECT bank, name, min(rid) AS first, any_value(norm) AS norm, coalesce(sum(amt), 0) AS sub
+            FROM p WHERE bank IS NOT NULL AND bank <> '' GROUP BY bank, name)
+, per_bank AS (SELECT bank, count(DISTINCT norm) AS n, sum(sub) AS total FROM names GROUP BY bank
+               HAVING count(DISTINCT norm) > 1)
+, first3 AS (SELECT bank, string_agg(name, ' / ' ORDER BY first, name) AS slash,
+                    string_agg(name, ', ' ORDER BY first, name) AS comma
+             FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY first, name) AS k
+                   FROM names WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY bank)
+, ghe2 AS (SELECT coalesce(f.slash, '') AS name, b.bank AS bank_account,
+                  CAST(b.n AS VARCHAR) || ' employees sharing same bank account' AS red_flag_reason,
+                  b.total AS total_paid, CASE WHEN b.total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
+                  'Multiple employees (' || coalesce(f.comma, '') || ') all receive salary in bank account ' || b.bank || '. Total: NGN ' || {money('b.total')} AS details,
+                  'GHE-2' AS rule_id, 2 AS prio, b.bank AS ord
+           FROM per_bank b LEFT JOIN first3 f ON b.bank = f.bank)
+, ghe3 AS (SELECT paye_name AS name, paye_bank AS bank_account, 'No PAYE tax deduction' AS red_flag_reason,
+                  paye_total AS total_paid, 'Medium' AS risk_level,
+                  'Employee ''' || coalesce(paye_name, 'nan') || ''' received NGN ' || {money('paye_total')} || ' salary with no PAYE tax deduction' AS details,
+                  'GHE-3' AS rule_id, 3 AS prio, norm AS ord
+           FROM stats WHERE paye_rows > 0 AND paye_total >= 600000)
+, ghe4 AS (SELECT pension_name AS name, pension_bank AS bank_account, 'No pension contribution' AS red_flag_reason,
+                  pension_total AS total_paid, 'Low' AS risk_level,
+                  'Employee ''' || coalesce(pension_name, 'nan') || ''' received NGN ' || {money('pension_total')} || ' salary with no pension contribution' AS details,
+                  'GHE-4' AS rule_id, 4 AS prio, norm AS ord
+           FROM stats WHERE pension_rows > 0 AND pension_total >= 600000
+             AND (pension_name IS NULL OR pension_name NOT IN (
+                  SELECT name FROM ghe1 WHERE name IS NOT NULL UNION ALL SELECT name FROM ghe2 WHERE name IS NOT NULL
+                  UNION ALL SELECT name FROM ghe3 WHERE name IS NOT NULL)))
+"""
+
+_GHE_COLS = _GHOST_COLS.replace("'Ghost Vendor'", "'Ghost Employee'")
+
+for _key, _rule in (("ghe1_not_in_employee_master", "ghe1"), ("ghe2_shared_employee_bank", "ghe2"),
+                    ("ghe3_no_paye", "ghe3"), ("ghe4_no_pension", "ghe4")):
+    register(_key, _GHE_P + _dedup(_rule, _GHE_COLS))
+
+register("ghe5_ghost_employees", _GHE_P + """
+, u AS (SELECT * FROM ghe1 UNION ALL SELECT * FROM ghe2 UNION ALL SELECT * FROM ghe3 UNION ALL SELECT * FROM ghe4)
+""" + _dedup("u", _GHE_COLS))
+
+# ---------------------------------------------------------------- VAT / WHT
+_WHT_KEYWORDS = (("rent", "0.10"), ("consultancy", "0.10"), ("management", "0.10"), ("contract", "0.05"),
+                 ("interest", "0.10"), ("dividend", "0.10"), ("royalty", "0.10"), ("commission", "0.10"),
+                 ("default", "0.05"))
+_KW_CASE = "CASE " + " ".join(f"WHEN contains(cat, '{k}') THEN '{k}'" for k, _ in _WHT_KEYWORDS) + " ELSE 'default' END"
+_RATE_CASE = "CASE kw " + " ".join(f"WHEN '{k}' THEN {r}" for k, r in _WHT_KEYWORDS) + " ELSE 0.05 END"
+
+
+def _py_text(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'nan')"
+
+
+_REMITTED = f"""
+, remitted AS (SELECT DISTINCT upper({strip(_py_text('tax_type'))}) AS tax_type, {strip(_py_text('period_covered'))} AS period
+               FROM tax_remittance)
+, remitted_ok AS (SELECT * FROM remitted WHERE tax_type <> '' AND period <> '' AND period <> 'nan')
+"""
+
+_VAT_P = _REMITTED + f"""
+, a AS (SELECT row_id, {_py_text('vendor_name')} AS vendor, payment_date AS ts, amount AS amt,
+               lower({_py_text('expense_category')}) AS cat, vat_amount AS vat, wht_amount AS wht,
+               strftime(payment_date, '%Y-%m') AS period, {days_floor('payment_date', ASOF)} AS days
+        FROM ap WHERE payment_date IS NOT NULL AND amount > 0)
+, w AS (SELECT *, {_KW_CASE} AS kw FROM a)
+, w2 AS (SELECT *, round(amt * {_RATE_CASE}, 2) AS exp_wht, round(amt * 0.075, 2) AS exp_vat,
+                CASE WHEN days > 21 THEN (CASE WHEN days <= 30 THEN 25000 ELSE 25000 + (days - 30) * 200 END) ELSE 0 END AS vat_pen
+         FROM w)
+, vat2 AS (SELECT 'VAT Under-deducted' AS issue_type, vendor AS vendor_name, amt AS payment_amount, exp_vat AS expected_tax,
+                  'Not deducted' AS remittance_status, exp_vat AS estimated_liability, period,
+                  CASE WHEN exp_vat >= 500000 THEN 'High' WHEN exp_vat >= 50000 THEN 'Medium' ELSE 'Low' END AS risk_level,
+                  'VAT of ₦' || {money('exp_vat')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor AS details,
+                  'VAT-2' AS rule_id, row_id FROM w2 WHERE amt >= 50000 AND vat = 0)
+, vat3(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'VAT Unremitted', vendor, amt, vat, 'Deducted but not remitted', vat + vat_pen, period,
+                  CASE WHEN vat + vat_pen >= 500000 THEN 'High' ELSE 'Medium' END,
+                  'VAT of ₦' || {money('vat')} || ' was deducted but not remitted to FIRS for period ' || period || '. Estimated penalty: ₦' || {money('vat_pen')},
+                  'VAT-3', row_id FROM w2
+           WHERE amt >= 50000 AND vat > 0
+             AND NOT EXISTS (SELECT 1 FROM remitted_ok r WHERE r.tax_type = 'VAT' AND r.period = w2.period))
+, vat4(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'WHT Under-deducted', vendor, amt, exp_wht, 'Not deducted', exp_wht, period,
+                  CASE WHEN exp_wht >= 50000 THEN 'Medium' ELSE 'Low' END,
+                  'WHT of ₦' || {money('exp_wht')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor || ' (category: ' || kw || ')',
+                  'VAT-4', row_id FROM w2 WHERE exp_wht > 0 AND wht = 0)
+, vat5(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'WHT Unremitted', vendor, amt, wht, 'Deducted but not remitted', wht + 25000, period,
+                  CASE WHEN wht + 25000 >= 500000 THEN 'High' ELSE 'Medium' END,
+                  'WHT of ₦' || {money('wht')} || ' was deducted but not remitted to FIRS for period ' || period || '. Penalty: ₦' || {money('25000')},
+                  'WHT-placeholder', row_id FROM w2
+           WHERE wht > 0 AND NOT EXISTS (SELECT 1 FROM remitted_ok r WHERE r.tax_type = 'WHT' AND r.period = w2.period))
+""".replace("'WHT-placeholder'", "'VAT-5'")
+
+_VAT_COLS = ("issue_type, vendor_name, CAST(payment_amount AS DOUBLE) AS payment_amount, "
+             "CAST(expected_tax AS DOUBLE) AS expected_tax, remittance_status, "
+             "CAST(estimated_liability AS DOUBLE) AS estimated_liability, period, risk_level, details, rule_id, row_id")
+
+register("vat1_remitted_periods", _REMITTED + "SELECT tax_type, period FROM remitted_ok")
+for _key, _rule in (("vat2_vat_under_deducted", "vat2"), ("vat3_vat_unremitted", "vat3"),
+                    ("vat4_wht_under_deducted", "vat4"), ("vat5_wht_unremitted", "vat5")):
+    register(_key, _VAT_P + f"SELECT {_VAT_COLS} FROM {_rule}")
+register("vat6_vat_wht_issues", _VAT_P + f"""
+SELECT {_VAT_COLS} FROM (SELECT * FROM vat2 UNION ALL SELECT * FROM vat3 UNION ALL SELECT * FROM vat4
+                         UNION ALL SELECT * FROM vat5)""")
+
+# ---------------------------------------------------------------- expenses
+_EXP_P = f"""
+, e AS (SELECT row_id AS rid, lower({strip("coalesce(CAST(expense_category AS VARCHAR), 'Uncategorized')")}) AS category,
+               payment_date AS ts, amount AS amt FROM ap)
+, monthly AS (SELECT category, CAST(date_trunc('month', ts) AS DATE) AS month, coalesce(sum(amt), 0) AS monthly_total,
+                     count(amt) AS txn_count, avg(amt) AS txn_mean, stddev_samp(amt) AS txn_std
+              FROM e WHERE ts IS NOT NULL GROUP BY 1, 2)
+, spikes AS (SELECT *, row_number() OVER w AS rn,
+                    sum(monthly_total) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prev
+             FROM monthly WINDOW w AS (PARTITION BY category ORDER BY month))
+, exp3 AS (SELECT category, monthly_total AS transaction_amount, prev / 3 AS baseline_average,
+                  (monthly_total * 3 - prev) / prev * 100 AS deviation_pct, strftime(month, '%Y-%m') AS date,
+                  CASE WHEN monthly_total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
+                  'EXP-3' AS rule_id, 1 AS prio
+           FROM spikes WHERE rn > 3 AND prev > 0 AND monthly_total * 3 > prev * 2)
+, cstats AS (SELECT category, count(*) AS n, avg(amt) AS mean, stddev_samp(amt) AS std FROM e GROUP BY category)
+, exp4(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio) AS (SELECT category, amt, mean, CASE WHEN mean > 0 THEN (amt - mean) / mean * 100 ELSE 0 END,
+                  strftime(ts, '%Y-%m-%d'), CASE WHEN amt >= 1000000 THEN 'High' ELSE 'Medium' END, 'EXP-4', 2
+           FROM e JOIN cstats USING (category)
+           WHERE n >= 5 AND std IS NOT NULL AND std <> 0 AND amt > mean + 3 * std AND ts IS NOT NULL)
+, exp5(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio) AS (SELECT category, amt, mean, 0, coalesce(strftime(ts, '%Y-%m-%d'), 'N/A'), 'Medium', 'EXP-5', 3
+           FROM e JOIN cstats USING (category) WHERE amt >= 100000 AND amt % 100000 = 0)
+"""
+_EXP_COLS = ("category, CAST(transaction_amount AS DOUBLE) AS transaction_amount, "
+             "round(CAST(baseline_average AS DOUBLE), 2) AS baseline_average, "
+             "round(CAST(deviation_pct AS DOUBLE), 2) AS deviation_pct, date, risk_level, rule_id")
+
+
+def _exp_dedup(src: str) -> str:
+    return (f"SELECT {_EXP_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY category, transaction_amount, date "
+            f"ORDER BY prio) AS k FROM {src}) WHERE k = 1")
+
+
+register("exp1_category", _EXP_P + "SELECT rid AS row_id, category FROM e")
+register("exp2_monthly_spend", _EXP_P + """
+SELECT category, strftime(month, '%Y-%m') AS month, CAST(monthly_total AS DOUBLE) AS monthly_total, txn_count,
+       round(CAST(txn_mean AS DOUBLE), 2) AS txn_mean, round(txn_std, 2) AS txn_std FROM monthly""")
+for _key, _rule in (("exp3_monthly_spike", "exp3"), ("exp4_sigma_outlier", "exp4"), ("exp5_round_number", "exp5")):
+    register(_key, _EXP_P + _exp_dedup(_rule))
+register("exp6_overstated_expenses", _EXP_P + _exp_dedup(
+    "(SELECT * FROM exp3 UNION ALL SELECT * FROM exp4 UNION ALL SELECT * FROM exp5)"))
+
+# ---------------------------------------------------------------- filing
+_TXF_P = f"""
+, months AS (SELECT CAST(date_trunc('month', payment_date) AS DATE) AS month FROM ap WHERE payment_date IS NOT NULL
+             UNION SELECT CAST(date_trunc('month', month) AS DATE) FROM payroll WHERE month IS NOT NULL
+             UNION SELECT CAST(date_trunc('month', remittance_date) AS DATE) FROM tax_remittance
+                   WHERE remittance_date IS NOT NULL)
+, types AS (SELECT 'VAT' AS tax_type, 21 AS day WHERE EXISTS (SELECT 1 FROM ap)
+            UNION ALL SELECT 'WHT', 21 WHERE EXISTS (SELECT 1 FROM ap)
+            UNION ALL SELECT 'PAYE', 10 WHERE EXISTS (SELECT 1 FROM payroll))
+, grid AS (SELECT m.month, t.tax_type, strftime(m.month, '%Y-%m') AS period,
+                  CAST(m.month + INTERVAL 1 MONTH + (t.day - 1) * INTERVAL 1 DAY AS DATE) AS due
+           FROM months m, types t)
+, remitted AS (SELECT DISTINCT upper({strip(_py_text('tax_type'))}) AS tax_type, {strip(_py_text('period_covered'))} AS period
+               FROM tax_remittance)
+, open AS (SELECT g.*, {days_floor('CAST(g.due AS TIMESTAMP)', ASOF)} AS d FROM grid g
+           WHERE NOT EXISTS (SELECT 1 FROM remitted r WHERE r.tax_type = g.tax_type AND r.period = g.period
+                             AND r.tax_type <> '' AND r.period NOT IN ('', 'nan')))
+, scored AS (SELECT *, CASE tax_type WHEN 'VAT' THEN (CASE WHEN d <= 30 THEN 25000 ELSE 25000 + (d - 30) * 200 END)
+                                     WHEN 'PAYE' THEN (CASE WHEN d <= 30 THEN 25000 ELSE 25000 + (d - 30) * 2000 END)
+                                     ELSE 25000 END AS pen
+             FROM open WHERE d > -7)
+, filing AS (SELECT tax_type, period, strftime(due, '%Y-%m-%d') AS due_date,
+                    CASE WHEN d > 0 THEN 'Missed' ELSE 'At Risk' END AS status,
+                    CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS BIGINT) AS days_overdue,
+                    CAST(CASE WHEN d > 0 THEN pen ELSE 0 END AS BIGINT) AS estimated_penalty,
+                    CASE WHEN d > 90 THEN 'High' WHEN d > 30 THEN 'Medium' WHEN d > 0 THEN 'Low' ELSE 'Medium' END AS risk_level,
+                    CASE WHEN d > 0 THEN tax_type || ' for ' || period || ' was due on ' || strftime(due, '%Y-%m-%d')
+                                         || ' and is now ' || CAST(d AS VARCHAR) || ' days overdue. Estimated penalty: ₦' || {money('pen')}
+                         ELSE tax_type || ' for ' || period || ' is due on ' || strftime(due, '%Y-%m-%d') || ' — '
+                              || CAST(abs(d) AS VARCHAR) || ' days remaining. File now to avoid penalties.' END AS details
+             FROM scored)
+"""
+register("txf1_observed_months", _TXF_P + "SELECT strftime(month, '%Y-%m') AS month FROM months")
+register("txf2_obligations", _TXF_P + "SELECT period, tax_type, strftime(due, '%Y-%m-%d') AS due_date FROM grid")
+register("txf3_remitted_periods", _TXF_P + "SELECT tax_type, period FROM remitted WHERE tax_type <> '' AND period NOT IN ('', 'nan')")
+register("txf4_missed_filings", _TXF_P + "SELECT * FROM filing WHERE status = 'Missed'")
+register("txf5_at_risk_filings", _TXF_P + "SELECT * FROM filing WHERE status = 'At Risk'")
+register("txf6_tax_filing_risk", _TXF_P + "SELECT * FROM filing")
+
+# ---------------------------------------------------------------- duplicates
+_DUP_P = f"""
+, d AS (SELECT row_id AS rid, vendor_name AS name, {norm('vendor_name')} AS norm, payment_date AS ts, amount AS amt,
+               {strip(_py_text('invoice_number'))} AS inv
+        FROM ap WHERE payment_date IS NOT NULL AND amount IS NOT NULL AND amount <> 0)
+, pairs AS (SELECT a.name AS name_1, a.amt AS amt_1, a.ts AS ts_1, a.inv AS inv_1, a.rid AS rid_1,
+                   b.amt AS amt_2, b.ts AS ts_2, b.inv AS inv_2, b.rid AS rid_2, {days_ceil('a.ts', 'b.ts')} AS days
+            FROM d a JOIN d b ON a.norm = b.norm AND (a.ts < b.ts OR (a.ts = b.ts AND a.rid < b.rid))
+            WHERE b.ts <= a.ts + INTERVAL 30 DAY)
+, classified AS (SELECT *, CASE WHEN inv_1 <> '' AND inv_1 = inv_2 AND inv_1 <> 'nan' THEN 'DUP-1'
+                                WHEN abs(amt_1 - amt_2) / greatest(amt_1, amt_2) < 0.02 AND days <= 7 THEN 'DUP-2'
+                                WHEN abs(amt_1 - amt_2) / greatest(amt_1, amt_2) < 0.02 AND inv_1 = '' AND inv_2 = '' THEN 'DUP-3'
+                           END AS rule_id
+                 FROM pairs WHERE days <= 30)
+, dups AS (SELECT name_1 AS vendor_name, CAST(amt_1 AS DOUBLE) AS amount_1, strftime(ts_1, '%Y-%m-%d') AS date_1,
+                  CAST(amt_2 AS DOUBLE) AS amount_2, strftime(ts_2, '%Y-%m-%d') AS date_2,
+                  CASE WHEN inv_1 <> 'nan' THEN inv_1 WHEN inv_2 <> 'nan' THEN inv_2 ELSE 'N/A' END AS invoice_ref,
+                  CAST(least(amt_1, amt_2) AS DOUBLE) AS flagged_amount,
+                  CASE WHEN least(amt_1, amt_2) >= 1000000 THEN 'High' WHEN least(amt_1, amt_2) >= 100000 THEN 'Medium' ELSE 'Low' END AS risk_level,
+                  CASE rule_id WHEN 'DUP-1' THEN 'Same invoice #' || inv_1 || ' paid twice'
+                               WHEN 'DUP-2' THEN 'Near-identical amounts (₦' || {money('amt_1')} || ' vs ₦' || {money('amt_2')} || ') within ' || CAST(days AS VARCHAR) || ' days'
+                               ELSE 'Identical amounts (₦' || {money('amt_1')} || ') within ' || CAST(days AS VARCHAR) || ' days, no invoice ref' END AS details,
+                  rule_id, rid_1 AS row_id_1, rid_2 AS row_id_2, days AS days_apart
+           FROM classified WHERE rule_id IS NOT NULL)
+"""
+register("dup1_same_invoice", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-1'")
+register("dup2_near_amount_week", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-2'")
+register("dup3_no_invoice_month", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-3'")
+register("dup4_duplicate_payments", _DUP_P + "SELECT * FROM dups")

@@ -50,3 +50,132 @@ QUERIES["ghv2_shared_vendor_bank"] = _ghv(("GHV-2",))
 QUERIES["ghv3_single_large_payment"] = _ghv(("GHV-3",))
 QUERIES["ghv4_created_and_paid"] = _ghv(("GHV-4",))
 QUERIES["ghv5_ghost_vendors"] = _ghv(None)
+
+
+def _ghe(rules: tuple[str, ...] | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = fixture_tables(spark, sf_dir)
+        return boundary(detect_ghost_employees(t.payroll, t.employee_master, include=rules), GHOST_COLS)
+    return run
+
+
+QUERIES["ghe1_not_in_employee_master"] = _ghe(("GHE-1",))
+QUERIES["ghe2_shared_employee_bank"] = _ghe(("GHE-2",))
+QUERIES["ghe3_no_paye"] = _ghe(("GHE-3",))
+QUERIES["ghe4_no_pension"] = _ghe(("GHE-4",))
+QUERIES["ghe5_ghost_employees"] = _ghe(None)
+
+
+# ---------------------------------------------------------------- VAT / WHT
+from ..operators.vat_wht import detect_vat_wht_issues, remitted_periods  # noqa: E402
+
+VAT_COLS = ["issue_type", "vendor_name", "payment_amount", "expected_tax", "remittance_status",
+            "estimated_liability", "period", "risk_level", "details", "rule_id", "row_id"]
+
+
+def _vat(rules: tuple[str, ...] | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = fixture_tables(spark, sf_dir)
+        return boundary(detect_vat_wht_issues(t.ap, t.tax_remittance, asof=ASOF, include=rules), VAT_COLS)
+    return run
+
+
+@query("vat1_remitted_periods")
+def _vat1(spark, sf_dir):
+    return remitted_periods(fixture_tables(spark, sf_dir).tax_remittance)
+
+
+QUERIES["vat2_vat_under_deducted"] = _vat(("VAT-2",))
+QUERIES["vat3_vat_unremitted"] = _vat(("VAT-3",))
+QUERIES["vat4_wht_under_deducted"] = _vat(("VAT-4",))
+QUERIES["vat5_wht_unremitted"] = _vat(("VAT-5",))
+QUERIES["vat6_vat_wht_issues"] = _vat(None)
+
+# ---------------------------------------------------------------- expenses
+from ..functions.dates import month_text  # noqa: E402
+from ..operators.expenses import detect_overstated_expenses, monthly_spend, prepared  # noqa: E402
+
+EXP_COLS = ["category", "transaction_amount", "baseline_average", "deviation_pct", "date", "risk_level", "rule_id"]
+
+
+def _exp_out(df: DataFrame) -> DataFrame:
+    return boundary(df, EXP_COLS).withColumn("baseline_average", F.round("baseline_average", 2)) \
+        .withColumn("deviation_pct", F.round("deviation_pct", 2))
+
+
+def _exp(rules: tuple[str, ...] | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _exp_out(detect_overstated_expenses(fixture_tables(spark, sf_dir).ap, include=rules))
+    return run
+
+
+@query("exp1_category")
+def _exp1(spark, sf_dir):
+    return prepared(fixture_tables(spark, sf_dir).ap).select(F.col("_rid").alias("row_id"), "category")
+
+
+@query("exp2_monthly_spend")
+def _exp2(spark, sf_dir):
+    m = monthly_spend(prepared(fixture_tables(spark, sf_dir).ap))
+    return m.select("category", month_text(F.col("month")).alias("month"),
+                    F.col("monthly_total").cast("double").alias("monthly_total"), "txn_count",
+                    F.round("txn_mean", 2).alias("txn_mean"), F.round("txn_std", 2).alias("txn_std"))
+
+
+QUERIES["exp3_monthly_spike"] = _exp(("EXP-3",))
+QUERIES["exp4_sigma_outlier"] = _exp(("EXP-4",))
+QUERIES["exp5_round_number"] = _exp(("EXP-5",))
+QUERIES["exp6_overstated_expenses"] = _exp(None)
+
+# ---------------------------------------------------------------- filing
+from ..operators.filing import detect_tax_filing_risk, obligations, observed_months  # noqa: E402
+
+
+@query("txf1_observed_months")
+def _txf1(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return observed_months(t.ap, t.payroll, t.tax_remittance).select(month_text(F.col("month")).alias("month"))
+
+
+@query("txf2_obligations")
+def _txf2(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    g = obligations(observed_months(t.ap, t.payroll, t.tax_remittance), t.ap, t.payroll)
+    return g.select(month_text(F.col("month")).alias("period"), "tax_type",
+                    F.date_format("due_date", "yyyy-MM-dd").alias("due_date"))
+
+
+@query("txf3_remitted_periods")
+def _txf3(spark, sf_dir):
+    return remitted_periods(fixture_tables(spark, sf_dir).tax_remittance, require_remittance_date=False)
+
+
+def _txf(status: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = fixture_tables(spark, sf_dir)
+        out = detect_tax_filing_risk(t.tax_remittance, t.payroll, t.ap, asof=ASOF)
+        return out if status is None else out.where(F.col("status") == status)
+    return run
+
+
+QUERIES["txf4_missed_filings"] = _txf("Missed")
+QUERIES["txf5_at_risk_filings"] = _txf("At Risk")
+QUERIES["txf6_tax_filing_risk"] = _txf(None)
+
+# ---------------------------------------------------------------- duplicates
+from ..operators.duplicates import detect_duplicate_payments  # noqa: E402
+
+DUP_COLS = ["vendor_name", "amount_1", "date_1", "amount_2", "date_2", "invoice_ref", "flagged_amount",
+            "risk_level", "details", "rule_id", "row_id_1", "row_id_2", "days_apart"]
+
+
+def _dup(rules: tuple[str, ...] | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return boundary(detect_duplicate_payments(fixture_tables(spark, sf_dir).ap, include=rules), DUP_COLS)
+    return run
+
+
+QUERIES["dup1_same_invoice"] = _dup(("DUP-1",))
+QUERIES["dup2_near_amount_week"] = _dup(("DUP-2",))
+QUERIES["dup3_no_invoice_month"] = _dup(("DUP-3",))
+QUERIES["dup4_duplicate_payments"] = _dup(None)
