@@ -48,46 +48,46 @@ def register(name: str, body: str) -> None:
 
 # ---------------------------------------------------------------- ghosts
 _GHV_P = f"""
-, p AS (SELECT CAST(vendor_name AS VARCHAR) AS name, {norm('vendor_name')} AS norm, amount AS amt,
+, v_p AS (SELECT CAST(vendor_name AS VARCHAR) AS name, {norm('vendor_name')} AS norm, amount AS amt,
                bank_account AS bank, row_id AS rid, payment_date AS ts FROM ap)
-, stats AS (SELECT norm, arg_min_null(name, rid) AS first_name,
+, v_stats AS (SELECT norm, arg_min_null(name, rid) AS first_name,
                    arg_min(name, rid) AS first_nonnull_name,
                    arg_min_null(bank, rid) AS first_bank, coalesce(sum(amt), 0) AS total,
                    count(amt) AS cnt, min(ts) AS first_ts, min(rid) AS first_rid
-            FROM p GROUP BY norm)
-, master AS (SELECT vendor_name AS mname, {norm('vendor_name')} AS norm, CAST(date_added AS TIMESTAMP) AS added,
+            FROM v_p GROUP BY norm)
+, v_master AS (SELECT vendor_name AS mname, {norm('vendor_name')} AS norm, CAST(date_added AS TIMESTAMP) AS added,
                     bank_account AS mbank FROM vendor_master)
 , ghv1 AS (SELECT first_name AS name, first_bank AS bank_account, 'Not in vendor master list' AS red_flag_reason,
                   total AS total_paid, CASE WHEN total >= 500000 THEN 'High' ELSE 'Medium' END AS risk_level,
                   'Vendor ''' || first_name || ''' received NGN ' || {money('total')} || ' but is not in the approved vendor master list' AS details,
                   'GHV-1' AS rule_id, 1 AS prio, norm AS ord
-           FROM stats WHERE norm NOT IN (SELECT norm FROM master) AND EXISTS (SELECT 1 FROM vendor_master))
-, names AS (SELECT bank, name, min(rid) AS first, any_value(norm) AS norm, coalesce(sum(amt), 0) AS sub
-            FROM p WHERE bank IS NOT NULL AND bank <> '' GROUP BY bank, name)
-, per_bank AS (SELECT bank, count(DISTINCT norm) AS n, sum(sub) AS total FROM names GROUP BY bank
+           FROM v_stats WHERE norm NOT IN (SELECT norm FROM v_master) AND EXISTS (SELECT 1 FROM vendor_master))
+, v_names AS (SELECT bank, name, min(rid) AS first, any_value(norm) AS norm, coalesce(sum(amt), 0) AS sub
+            FROM v_p WHERE bank IS NOT NULL AND bank <> '' GROUP BY bank, name)
+, v_per_bank AS (SELECT bank, count(DISTINCT norm) AS n, sum(sub) AS total FROM v_names GROUP BY bank
                HAVING count(DISTINCT norm) > 1)
-, first3 AS (SELECT bank, string_agg(name, ' / ' ORDER BY first, name) AS slash,
+, v_first3 AS (SELECT bank, string_agg(name, ' / ' ORDER BY first, name) AS slash,
                     string_agg(name, ', ' ORDER BY first, name) AS comma
              FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY first, name) AS k
-                   FROM names WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY bank)
+                   FROM v_names WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY bank)
 , ghv2 AS (SELECT coalesce(f.slash, '') AS name, b.bank AS bank_account,
                   CAST(b.n AS VARCHAR) || ' vendors sharing same bank account' AS red_flag_reason,
                   b.total AS total_paid, CASE WHEN b.total >= 500000 THEN 'High' ELSE 'Medium' END AS risk_level,
                   'Multiple vendors (' || coalesce(f.comma, '') || ') all pay to bank account ' || b.bank || '. Total: NGN ' || {money('b.total')} AS details,
                   'GHV-2' AS rule_id, 2 AS prio, b.bank AS ord
-           FROM per_bank b LEFT JOIN first3 f ON b.bank = f.bank)
+           FROM v_per_bank b LEFT JOIN v_first3 f ON b.bank = f.bank)
 , ghv3 AS (SELECT first_nonnull_name AS name, first_bank AS bank_account,
                   'Single large payment (hit-and-run pattern)' AS red_flag_reason, total AS total_paid,
                   CASE WHEN total >= 5000000 THEN 'Medium' ELSE 'Low' END AS risk_level,
                   'Vendor ''' || first_nonnull_name || ''' received only one payment of NGN ' || {money('total')} || ' — potential ghost vendor' AS details,
                   'GHV-3' AS rule_id, 3 AS prio, norm AS ord
-           FROM stats WHERE cnt = 1 AND total >= 1000000)
+           FROM v_stats WHERE cnt = 1 AND total >= 1000000)
 , ghv4 AS (SELECT m.mname AS name, m.mbank AS bank_account, 'Created and paid within same week' AS red_flag_reason,
                   s.total AS total_paid, 'Medium' AS risk_level,
                   'Vendor ''' || m.mname || ''' was added to master list on ' || strftime(m.added, '%Y-%m-%d') ||
                   ' and received first payment within ' || CAST({days_floor('m.added', 's.first_ts')} AS VARCHAR) || ' days' AS details,
                   'GHV-4' AS rule_id, 4 AS prio, m.mname AS ord
-           FROM master m JOIN stats s ON m.norm = s.norm
+           FROM v_master m JOIN v_stats s ON m.norm = s.norm
            WHERE m.added IS NOT NULL AND s.first_ts IS NOT NULL
              AND {days_floor('m.added', 's.first_ts')} BETWEEN 0 AND 7)
 """
@@ -111,11 +111,11 @@ register("ghv5_ghost_vendors", _GHV_P + """
 """ + _dedup("u", _GHOST_COLS))
 
 _GHE_P = f"""
-, p AS (SELECT CAST(employee_name AS VARCHAR) AS name, {norm('employee_name', "'nan'")} AS norm, gross_salary AS amt,
+, e_p AS (SELECT CAST(employee_name AS VARCHAR) AS name, {norm('employee_name', "'nan'")} AS norm, gross_salary AS amt,
                bank_account AS bank, row_id AS rid,
                (paye_amount IS NULL OR paye_amount = 0) AS no_paye,
                (pension_amount IS NULL OR pension_amount = 0) AS no_pension FROM payroll)
-, stats AS (SELECT norm, arg_min_null(name, rid) AS first_name, arg_min_null(bank, rid) AS first_bank,
+, e_stats AS (SELECT norm, arg_min_null(name, rid) AS first_name, arg_min_null(bank, rid) AS first_bank,
                    coalesce(sum(amt), 0) AS total,
                    count(*) FILTER (WHERE no_paye) AS paye_rows,
                    arg_min_null(name, CASE WHEN no_paye THEN rid END) AS paye_name,
@@ -125,38 +125,38 @@ _GHE_P = f"""
                    arg_min_null(name, CASE WHEN no_pension THEN rid END) AS pension_name,
                    arg_min_null(bank, CASE WHEN no_pension THEN rid END) AS pension_bank,
                    coalesce(sum(amt) FILTER (WHERE no_pension), 0) AS pension_total
-            FROM p GROUP BY norm)
+            FROM e_p GROUP BY norm)
 , ghe1 AS (SELECT first_name AS name, first_bank AS bank_account, 'Not in employee master list' AS red_flag_reason,
                   total AS total_paid, CASE WHEN total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
                   'Employee ''' || coalesce(first_name, 'nan') || ''' received NGN ' || {money('total')} || ' in salary but is not in the HR/employee master list' AS details,
                   'GHE-1' AS rule_id, 1 AS prio, norm AS ord
-           FROM stats
+           FROM e_stats
            WHERE norm NOT IN (SELECT {norm('employee_name', "'nan'")} FROM employee_master)
              AND EXISTS (SELECT 1 FROM employee_master))
-, names AS (SELECT bank, name, min(rid) AS first, any_value(norm) AS norm, coalesce(sum(amt), 0) AS sub
-            FROM p WHERE bank IS NOT NULL AND bank <> '' GROUP BY bank, name)
-, per_bank AS (SELECT bank, count(DISTINCT norm) AS n, sum(sub) AS total FROM names GROUP BY bank
+, e_names AS (SELECT bank, name, min(rid) AS first, any_value(norm) AS norm, coalesce(sum(amt), 0) AS sub
+            FROM e_p WHERE bank IS NOT NULL AND bank <> '' GROUP BY bank, name)
+, e_per_bank AS (SELECT bank, count(DISTINCT norm) AS n, sum(sub) AS total FROM e_names GROUP BY bank
                HAVING count(DISTINCT norm) > 1)
-, first3 AS (SELECT bank, string_agg(name, ' / ' ORDER BY first, name) AS slash,
+, e_first3 AS (SELECT bank, string_agg(name, ' / ' ORDER BY first, name) AS slash,
                     string_agg(name, ', ' ORDER BY first, name) AS comma
              FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY first, name) AS k
-                   FROM names WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY bank)
+                   FROM e_names WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY bank)
 , ghe2 AS (SELECT coalesce(f.slash, '') AS name, b.bank AS bank_account,
                   CAST(b.n AS VARCHAR) || ' employees sharing same bank account' AS red_flag_reason,
                   b.total AS total_paid, CASE WHEN b.total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
                   'Multiple employees (' || coalesce(f.comma, '') || ') all receive salary in bank account ' || b.bank || '. Total: NGN ' || {money('b.total')} AS details,
                   'GHE-2' AS rule_id, 2 AS prio, b.bank AS ord
-           FROM per_bank b LEFT JOIN first3 f ON b.bank = f.bank)
+           FROM e_per_bank b LEFT JOIN e_first3 f ON b.bank = f.bank)
 , ghe3 AS (SELECT paye_name AS name, paye_bank AS bank_account, 'No PAYE tax deduction' AS red_flag_reason,
                   paye_total AS total_paid, 'Medium' AS risk_level,
                   'Employee ''' || coalesce(paye_name, 'nan') || ''' received NGN ' || {money('paye_total')} || ' salary with no PAYE tax deduction' AS details,
                   'GHE-3' AS rule_id, 3 AS prio, norm AS ord
-           FROM stats WHERE paye_rows > 0 AND paye_total >= 600000)
+           FROM e_stats WHERE paye_rows > 0 AND paye_total >= 600000)
 , ghe4 AS (SELECT pension_name AS name, pension_bank AS bank_account, 'No pension contribution' AS red_flag_reason,
                   pension_total AS total_paid, 'Low' AS risk_level,
                   'Employee ''' || coalesce(pension_name, 'nan') || ''' received NGN ' || {money('pension_total')} || ' salary with no pension contribution' AS details,
                   'GHE-4' AS rule_id, 4 AS prio, norm AS ord
-           FROM stats WHERE pension_rows > 0 AND pension_total >= 600000
+           FROM e_stats WHERE pension_rows > 0 AND pension_total >= 600000
              AND (pension_name IS NULL OR pension_name NOT IN (
                   SELECT name FROM ghe1 WHERE name IS NOT NULL UNION ALL SELECT name FROM ghe2 WHERE name IS NOT NULL
                   UNION ALL SELECT name FROM ghe3 WHERE name IS NOT NULL)))
@@ -190,7 +190,7 @@ _REMITTED = f"""
 , remitted_ok AS (SELECT * FROM remitted WHERE tax_type <> '' AND period <> '' AND period <> 'nan')
 """
 
-_VAT_P = _REMITTED + f"""
+_VAT_B = f"""
 , a AS (SELECT row_id, {_py_text('vendor_name')} AS vendor, payment_date AS ts, amount AS amt,
                lower({_py_text('expense_category')}) AS cat, vat_amount AS vat, wht_amount AS wht,
                strftime(payment_date, '%Y-%m') AS period, {days_floor('payment_date', ASOF)} AS days
@@ -220,6 +220,7 @@ _VAT_P = _REMITTED + f"""
                   'WHT-placeholder', row_id FROM w2
            WHERE wht > 0 AND NOT EXISTS (SELECT 1 FROM remitted_ok r WHERE r.tax_type = 'WHT' AND r.period = w2.period))
 """.replace("'WHT-placeholder'", "'VAT-5'")
+_VAT_P = _REMITTED + _VAT_B
 
 _VAT_COLS = ("issue_type, vendor_name, CAST(payment_amount AS DOUBLE) AS payment_amount, "
              "CAST(expected_tax AS DOUBLE) AS expected_tax, remittance_status, "
@@ -276,7 +277,7 @@ register("exp6_overstated_expenses", _EXP_P + _exp_dedup(
     "(SELECT * FROM exp3 UNION ALL SELECT * FROM exp4 UNION ALL SELECT * FROM exp5)"))
 
 # ---------------------------------------------------------------- filing
-_TXF_P = f"""
+_TXF_P = _REMITTED + f"""
 , months AS (SELECT CAST(date_trunc('month', payment_date) AS DATE) AS month FROM ap WHERE payment_date IS NOT NULL
              UNION SELECT CAST(date_trunc('month', month) AS DATE) FROM payroll WHERE month IS NOT NULL
              UNION SELECT CAST(date_trunc('month', remittance_date) AS DATE) FROM tax_remittance
@@ -287,11 +288,8 @@ _TXF_P = f"""
 , grid AS (SELECT m.month, t.tax_type, strftime(m.month, '%Y-%m') AS period,
                   CAST(m.month + INTERVAL 1 MONTH + (t.day - 1) * INTERVAL 1 DAY AS DATE) AS due
            FROM months m, types t)
-, remitted AS (SELECT DISTINCT upper({strip(_py_text('tax_type'))}) AS tax_type, {strip(_py_text('period_covered'))} AS period
-               FROM tax_remittance)
 , open AS (SELECT g.*, {days_floor('CAST(g.due AS TIMESTAMP)', ASOF)} AS d FROM grid g
-           WHERE NOT EXISTS (SELECT 1 FROM remitted r WHERE r.tax_type = g.tax_type AND r.period = g.period
-                             AND r.tax_type <> '' AND r.period NOT IN ('', 'nan')))
+           WHERE NOT EXISTS (SELECT 1 FROM remitted_ok r WHERE r.tax_type = g.tax_type AND r.period = g.period))
 , scored AS (SELECT *, CASE tax_type WHEN 'VAT' THEN (CASE WHEN d <= 30 THEN 25000 ELSE 25000 + (d - 30) * 200 END)
                                      WHEN 'PAYE' THEN (CASE WHEN d <= 30 THEN 25000 ELSE 25000 + (d - 30) * 2000 END)
                                      ELSE 25000 END AS pen
@@ -309,7 +307,7 @@ _TXF_P = f"""
 """
 register("txf1_observed_months", _TXF_P + "SELECT strftime(month, '%Y-%m') AS month FROM months")
 register("txf2_obligations", _TXF_P + "SELECT period, tax_type, strftime(due, '%Y-%m-%d') AS due_date FROM grid")
-register("txf3_remitted_periods", _TXF_P + "SELECT tax_type, period FROM remitted WHERE tax_type <> '' AND period NOT IN ('', 'nan')")
+register("txf3_remitted_periods", _TXF_P + "SELECT tax_type, period FROM remitted_ok")
 register("txf4_missed_filings", _TXF_P + "SELECT * FROM filing WHERE status = 'Missed'")
 register("txf5_at_risk_filings", _TXF_P + "SELECT * FROM filing WHERE status = 'At Risk'")
 register("txf6_tax_filing_risk", _TXF_P + "SELECT * FROM filing")
@@ -328,10 +326,10 @@ _DUP_P = f"""
                                 WHEN abs(amt_1 - amt_2) / greatest(amt_1, amt_2) < 0.02 AND inv_1 = '' AND inv_2 = '' THEN 'DUP-3'
                            END AS rule_id
                  FROM pairs WHERE days <= 30)
-, dups AS (SELECT name_1 AS vendor_name, CAST(amt_1 AS DOUBLE) AS amount_1, strftime(ts_1, '%Y-%m-%d') AS date_1,
-                  CAST(amt_2 AS DOUBLE) AS amount_2, strftime(ts_2, '%Y-%m-%d') AS date_2,
+, dups AS (SELECT name_1 AS vendor_name, amt_1 AS amount_1, strftime(ts_1, '%Y-%m-%d') AS date_1,
+                  amt_2 AS amount_2, strftime(ts_2, '%Y-%m-%d') AS date_2,
                   CASE WHEN inv_1 <> 'nan' THEN inv_1 WHEN inv_2 <> 'nan' THEN inv_2 ELSE 'N/A' END AS invoice_ref,
-                  CAST(least(amt_1, amt_2) AS DOUBLE) AS flagged_amount,
+                  least(amt_1, amt_2) AS flagged_amount,
                   CASE WHEN least(amt_1, amt_2) >= 1000000 THEN 'High' WHEN least(amt_1, amt_2) >= 100000 THEN 'Medium' ELSE 'Low' END AS risk_level,
                   CASE rule_id WHEN 'DUP-1' THEN 'Same invoice #' || inv_1 || ' paid twice'
                                WHEN 'DUP-2' THEN 'Near-identical amounts (₦' || {money('amt_1')} || ' vs ₦' || {money('amt_2')} || ') within ' || CAST(days AS VARCHAR) || ' days'
@@ -339,7 +337,167 @@ _DUP_P = f"""
                   rule_id, rid_1 AS row_id_1, rid_2 AS row_id_2, days AS days_apart
            FROM classified WHERE rule_id IS NOT NULL)
 """
-register("dup1_same_invoice", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-1'")
-register("dup2_near_amount_week", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-2'")
-register("dup3_no_invoice_month", _DUP_P + "SELECT * FROM dups WHERE rule_id = 'DUP-3'")
-register("dup4_duplicate_payments", _DUP_P + "SELECT * FROM dups")
+_DUP_COLS = ("vendor_name, CAST(amount_1 AS DOUBLE) AS amount_1, date_1, CAST(amount_2 AS DOUBLE) AS amount_2, "
+             "date_2, invoice_ref, CAST(flagged_amount AS DOUBLE) AS flagged_amount, risk_level, details, rule_id, "
+             "row_id_1, row_id_2, days_apart")
+register("dup1_same_invoice", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-1'")
+register("dup2_near_amount_week", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-2'")
+register("dup3_no_invoice_month", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-3'")
+register("dup4_duplicate_payments", _DUP_P + f"SELECT {_DUP_COLS} FROM dups")
+
+# ---------------------------------------------------------------- summaries and report
+_TXF_B = _TXF_P[len(_REMITTED):]
+_TEXT_SWAPS = (("—", "-"), ("–", "-"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'),
+               ("₦", "NGN"), ("…", "..."), (" ", " "), ("•", "*"), ("→", "->"),
+               ("←", "<-"), ("✓", "OK"), ("✗", "X"), ("✔", "OK"), ("✖", "X"))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def clean_text(expr: str) -> str:
+    x = f"coalesce(CAST({expr} AS VARCHAR), 'None')"
+    for a, b in _TEXT_SWAPS:
+        x = f"replace({x}, {_sql_text(a)}, {_sql_text(b)})"
+    return f"regexp_replace({x}, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')"
+
+
+_FINALS = f"""
+, ghv_final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, red_flag_reason ORDER BY prio, ord) AS k
+                               FROM (SELECT * FROM ghv1 UNION ALL SELECT * FROM ghv2 UNION ALL SELECT * FROM ghv3
+                                     UNION ALL SELECT * FROM ghv4)) WHERE k = 1)
+, ghe_final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, red_flag_reason ORDER BY prio, ord) AS k
+                               FROM (SELECT * FROM ghe1 UNION ALL SELECT * FROM ghe2 UNION ALL SELECT * FROM ghe3
+                                     UNION ALL SELECT * FROM ghe4)) WHERE k = 1)
+, vat_all AS (SELECT * FROM vat2 UNION ALL SELECT * FROM vat3 UNION ALL SELECT * FROM vat4 UNION ALL SELECT * FROM vat5)
+, exp_final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, transaction_amount, date ORDER BY prio) AS k
+                               FROM (SELECT * FROM exp3 UNION ALL SELECT * FROM exp4 UNION ALL SELECT * FROM exp5))
+                WHERE k = 1)
+, ghosts AS (SELECT 0 AS src, name, bank_account, red_flag_reason, total_paid FROM ghv_final
+             UNION ALL SELECT 1, name, bank_account, red_flag_reason, total_paid FROM ghe_final)
+, t_dup AS (SELECT coalesce(vendor_name, 'nan') AS e, flagged_amount AS a FROM dups
+            ORDER BY flagged_amount DESC, row_id_1, row_id_2 LIMIT 1)
+, t_vat AS (SELECT issue_type AS e, estimated_liability AS a FROM vat_all ORDER BY estimated_liability DESC, row_id, rule_id LIMIT 1)
+, t_exp AS (SELECT category AS e, transaction_amount AS a FROM exp_final
+            ORDER BY transaction_amount DESC, category, date LIMIT 1)
+, t_gh AS (SELECT coalesce(name, 'nan') AS e, total_paid AS a FROM ghosts
+           ORDER BY src, total_paid DESC, name NULLS LAST, red_flag_reason, bank_account NULLS LAST LIMIT 1)
+, s_dup AS (SELECT s.n, s.t, CASE WHEN s.n > 0 THEN s.n || ' duplicate payments found. Top: ' || x.e || ' (NGN ' || {money('x.a')} || ')'
+                                  ELSE 'No duplicate payments detected.' END AS detail,
+                   coalesce(x.e, 'N/A') AS top_e, coalesce(x.a, 0) AS top_a
+            FROM (SELECT count(*) AS n, coalesce(sum(flagged_amount), 0) AS t FROM dups) s LEFT JOIN t_dup x ON true)
+, s_vat AS (SELECT s.n, s.t, CASE WHEN s.n > 0 THEN s.n || ' VAT/WHT issues found. Top issue: ' || x.e || ' (NGN ' || {money('x.a')} || ')'
+                                  ELSE 'No VAT/WHT issues detected.' END AS detail,
+                   coalesce(x.e, 'N/A') AS top_e, coalesce(x.a, 0) AS top_a
+            FROM (SELECT count(*) AS n, coalesce(sum(estimated_liability), 0) AS t FROM vat_all) s LEFT JOIN t_vat x ON true)
+, s_exp AS (SELECT s.n, s.t, CASE WHEN s.n > 0 THEN s.n || ' overstated expense categories. Top: ' || x.e || ' (NGN ' || {money('x.a')} || ')'
+                                  ELSE 'No overstated expenses detected.' END AS detail,
+                   coalesce(x.e, 'N/A') AS top_e, coalesce(x.a, 0) AS top_a
+            FROM (SELECT count(*) AS n, coalesce(sum(transaction_amount), 0) AS t FROM exp_final) s LEFT JOIN t_exp x ON true)
+, s_gh AS (SELECT s.n, s.t, CASE WHEN s.n > 0 THEN s.n || ' ghost entities detected. Top: ' || x.e || ' (NGN ' || {money('x.a')} || ')'
+                                 ELSE 'No ghost vendors or employees detected' END AS detail,
+                  coalesce(x.e, 'N/A') AS top_e, coalesce(x.a, 0) AS top_a
+           FROM (SELECT count(*) AS n, coalesce(sum(total_paid), 0) AS t FROM ghosts) s LEFT JOIN t_gh x ON true)
+, s_txf AS (SELECT count(*) AS n, coalesce(sum(estimated_penalty), 0) AS t,
+                   count(*) FILTER (WHERE status = 'Missed') AS missed, count(*) FILTER (WHERE status = 'At Risk') AS at_risk,
+                   coalesce(max(estimated_penalty), 0) AS top_p FROM filing)
+, fam AS (SELECT 0 AS ord, 'Duplicates' AS category, CAST(t AS DECIMAL(38,2)) AS amount, n AS items, detail FROM s_dup
+          UNION ALL SELECT 1, 'VAT/WHT', t, n, detail FROM s_vat
+          UNION ALL SELECT 2, 'Expenses', t, n, detail FROM s_exp
+          UNION ALL SELECT 3, 'Ghost', t, n, detail FROM s_gh
+          UNION ALL SELECT 4, 'Tax Risk', t, n,
+                           CASE WHEN n > 0 THEN n || ' tax filing risks. Missed: ' || missed || ', At risk: ' || at_risk
+                                ELSE 'No tax filing risks detected. All filings are on time.' END FROM s_txf)
+, findings AS (
+    SELECT 'Duplicates' AS category, rule_id AS sub_category, vendor_name AS entity, CAST(flagged_amount AS DECIMAL(38,2)) AS amount,
+           risk_level, date_1 AS finding_date, details, 'DUP|' || row_id_1 || '|' || row_id_2 AS finding_id FROM dups
+    UNION ALL SELECT 'VAT/WHT', issue_type, vendor_name, estimated_liability, risk_level, period, details,
+           'VAT|' || rule_id || '|' || row_id FROM vat_all
+    UNION ALL SELECT 'Expenses', rule_id, category, transaction_amount, risk_level, date, NULL,
+           'EXP|' || category || '|' || date || '|' || CAST(CAST(transaction_amount AS DECIMAL(38,2)) AS VARCHAR) FROM exp_final
+    UNION ALL SELECT 'Ghost', red_flag_reason, name, total_paid, risk_level, NULL, details,
+           'GHV|' || red_flag_reason || '|' || coalesce(name, '') FROM ghv_final
+    UNION ALL SELECT 'Ghost', red_flag_reason, name, total_paid, risk_level, NULL, details,
+           'GHE|' || red_flag_reason || '|' || coalesce(name, '') FROM ghe_final
+    UNION ALL SELECT 'Tax Risk', status, tax_type, estimated_penalty, risk_level, period, details,
+           'TXF|' || tax_type || '|' || period FROM filing)
+"""
+_ALL = _REMITTED + _VAT_B + _TXF_B + _EXP_P + _GHV_P + _GHE_P + _DUP_P + _FINALS
+_SUMMARY_COLS = ("n AS total_flagged, CAST(t AS DOUBLE) AS total_amount, n AS count, top_e AS {top}, "
+                 "CAST(top_a AS DOUBLE) AS top_amount, detail")
+register("dup5_summary", _ALL + "SELECT " + _SUMMARY_COLS.format(top="top_vendor") + " FROM s_dup")
+register("vat7_summary", _ALL + "SELECT " + _SUMMARY_COLS.format(top="top_issue") + " FROM s_vat")
+register("exp7_summary", _ALL + "SELECT " + _SUMMARY_COLS.format(top="top_category") + " FROM s_exp")
+register("gh6_ghost_summary", _ALL + "SELECT " + _SUMMARY_COLS.format(top="top_entity") + " FROM s_gh")
+register("txf7_summary", _ALL + """
+SELECT n AS total_flagged, CAST(t AS BIGINT) AS total_amount, n AS count, missed AS missed_count, at_risk AS at_risk_count,
+       CAST(top_p AS BIGINT) AS top_penalty,
+       CASE WHEN n > 0 THEN n || ' tax filing risks. Missed: ' || missed || ', At risk: ' || at_risk
+            ELSE 'No tax filing risks detected. All filings are on time.' END AS detail FROM s_txf""")
+
+FIXTURE_REVENUE = 1000000000000
+_UNIFIED_COLS = ("category, sub_category, entity, CAST(amount AS DOUBLE) AS amount, risk_level, finding_date, "
+                 "finding_id")
+register("rpt1_full_scan_findings", _ALL + f"SELECT {_UNIFIED_COLS} FROM findings")
+register("rpt2_leakage_by_category", _ALL + f"""
+SELECT ord, category, CAST(amount AS DOUBLE) AS amount, round(CAST(amount AS DOUBLE) / {FIXTURE_REVENUE} * 100, 1) AS pct_of_revenue
+FROM (SELECT ord, category, amount FROM fam UNION ALL SELECT 5, 'Total', sum(amount) FROM fam)""")
+register("rpt3_category_metrics", _ALL + """
+SELECT ord, category, CAST(amount AS DOUBLE) AS amount, items,
+       CASE WHEN amount >= 1000000 THEN 'CRITICAL' WHEN amount >= 100000 THEN 'HIGH' WHEN amount > 0 THEN 'MEDIUM' ELSE 'CLEAN' END AS severity,
+       CASE WHEN amount >= 1000000 THEN 'danger' WHEN amount >= 100000 THEN 'warning' ELSE 'success' END AS card,
+       CASE WHEN amount >= 1000000 THEN format('{:.1f}', CAST(amount AS DOUBLE) / 1000000) || 'M'
+            WHEN amount >= 1000 THEN format('{:.0f}', CAST(amount AS DOUBLE) / 1000) || 'K' ELSE '0' END AS label
+FROM fam""")
+register("rpt4_leakage_breakdown", _ALL + """
+SELECT category, CAST(amount AS DOUBLE) AS amount,
+       round(CAST(amount AS DOUBLE) / CAST(sum(amount) OVER () AS DOUBLE) * 100, 1) AS share_pct,
+       row_number() OVER (ORDER BY amount DESC, ord) AS rank
+FROM fam WHERE amount > 0""")
+register("rpt5_findings_summary", _ALL + """
+SELECT ord, category, CAST(amount AS DOUBLE) AS amount, items AS items_flagged, detail AS details,
+       CAST(CAST(amount * 0.8 AS DECIMAL(38,2)) AS DOUBLE) AS expected_recovery FROM fam""")
+register("rpt7_top_actions", _ALL + """
+, acts AS (
+    SELECT * FROM (SELECT 'Recover duplicate payment to ' || vendor_name || ' - Invoice ' || invoice_ref AS action,
+                          flagged_amount AS amount, 1 AS grp,
+                          row_number() OVER (ORDER BY flagged_amount DESC, row_id_1, row_id_2) AS k FROM dups) WHERE k <= 2
+    UNION ALL SELECT * FROM (SELECT 'Investigate ghost vendor: ' || name || ' - ' || red_flag_reason AS action,
+                          total_paid AS amount, 2 AS grp,
+                          row_number() OVER (ORDER BY total_paid DESC, name NULLS LAST, red_flag_reason, bank_account NULLS LAST) AS k
+                          FROM ghv_final) WHERE k <= 1
+    UNION ALL SELECT * FROM (SELECT 'Remit unremitted ' || issue_type || ' for ' || vendor_name AS action,
+                          estimated_liability AS amount, 3 AS grp,
+                          row_number() OVER (ORDER BY estimated_liability DESC, row_id, rule_id) AS k FROM vat_all) WHERE k <= 1
+    UNION ALL SELECT 'Review all flagged transactions with your finance team', 0, 4, r FROM range(1, 4) t(r))
+SELECT row_number() OVER (ORDER BY grp, k) AS rank, action, CAST(amount AS DOUBLE) AS amount
+FROM acts ORDER BY grp, k LIMIT 3""")
+register("rpt8_recommended_actions", _ALL + """
+SELECT ord, category, priority, 'Review and recover ' || items || ' flagged ' || lower(category) || ' items' AS action,
+       CAST(amount AS DOUBLE) AS amount, CAST(CAST(amount * 0.8 AS DECIMAL(38,2)) AS DOUBLE) AS recovery,
+       CASE priority WHEN 1 THEN 'URGENT' WHEN 2 THEN 'HIGH' ELSE 'MEDIUM' END AS priority_label
+FROM (SELECT *, CASE WHEN amount >= 1000000 THEN 1 WHEN amount >= 100000 THEN 2 ELSE 3 END AS priority FROM fam
+      WHERE amount > 0) ORDER BY priority, ord LIMIT 5""")
+register("rpt9_findings_preview", _ALL + f"""
+SELECT {_UNIFIED_COLS}, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY category, CASE WHEN category = 'Ghost' THEN split_part(finding_id, '|', 1) ELSE '' END
+                               ORDER BY CASE WHEN category = 'Tax Risk' THEN sub_category ELSE '' END, amount DESC, finding_id) AS rank
+  FROM findings) WHERE rank <= 3""")
+register("rpt10_narrative", _ALL + f"""
+, tot AS (SELECT sum(amount) AS total, sum(items) AS items FROM fam)
+, ranked AS (SELECT *, row_number() OVER (ORDER BY amount DESC, ord) AS r FROM fam WHERE amount > 0)
+SELECT 1 AS line, CASE WHEN total > 0 THEN 'This audit of the company for the current period identified total financial leakage of NGN '
+                        || {money('total')} || ' across ' || items || ' flagged items.'
+                  ELSE 'This audit of the company for the current period found no significant financial leakage. All 5 detection engines returned clean results.' END AS text
+FROM tot
+UNION ALL SELECT 2, 'Breakdown by category:' FROM tot WHERE total > 0
+UNION ALL SELECT r + 2, '- ' || category || ': NGN ' || {money('amount')} || ' (' ||
+                 format('{{:,.1f}}', CAST(amount AS DOUBLE) / CAST((SELECT total FROM tot) AS DOUBLE) * 100) || '%)' FROM ranked
+UNION ALL SELECT 100, 'The most significant area of concern is ' || category || ', accounting for NGN ' || {money('amount')}
+                 || '. Immediate investigation and recovery action is recommended, starting with the highest-value findings.'
+          FROM ranked WHERE r = 1
+UNION ALL SELECT 101, 'Expected recovery potential: 80% of identified leakage (NGN ' || {money('CAST(total * 0.8 AS DECIMAL(38,2))')} || ').'
+          FROM tot WHERE total > 0""")
+register("rpt11_clean_text", _ALL + f"""
+SELECT {_UNIFIED_COLS}, {clean_text('details')} AS details FROM findings WHERE category <> 'Expenses'""")

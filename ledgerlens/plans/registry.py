@@ -179,3 +179,98 @@ QUERIES["dup1_same_invoice"] = _dup(("DUP-1",))
 QUERIES["dup2_near_amount_week"] = _dup(("DUP-2",))
 QUERIES["dup3_no_invoice_month"] = _dup(("DUP-3",))
 QUERIES["dup4_duplicate_payments"] = _dup(None)
+
+# ---------------------------------------------------------------- summaries and report
+from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary,  # noqa: E402
+                                   ghost_summary, vat_summary)
+from ..plans import report as rpt  # noqa: E402
+from ..plans.scan import run_scan, unified_findings  # noqa: E402
+
+FIXTURE_REVENUE = 1000000000000
+
+
+def _scan(spark: SparkSession, sf_dir: str):
+    return run_scan(fixture_tables(spark, sf_dir), asof=ASOF, sort=False)
+
+
+@query("dup5_summary")
+def _dup5(spark, sf_dir):
+    return boundary(duplicate_summary(detect_duplicate_payments(fixture_tables(spark, sf_dir).ap, sort=False)))
+
+
+@query("vat7_summary")
+def _vat7(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return boundary(vat_summary(detect_vat_wht_issues(t.ap, t.tax_remittance, asof=ASOF, sort=False)))
+
+
+@query("exp7_summary")
+def _exp7(spark, sf_dir):
+    return boundary(expense_summary(detect_overstated_expenses(fixture_tables(spark, sf_dir).ap, sort=False)))
+
+
+@query("gh6_ghost_summary")
+def _gh6(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return boundary(ghost_summary(detect_ghost_vendors(t.ap, t.vendor_master),
+                                  detect_ghost_employees(t.payroll, t.employee_master)))
+
+
+@query("txf7_summary")
+def _txf7(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return filing_summary(detect_tax_filing_risk(t.tax_remittance, t.payroll, t.ap, asof=ASOF, sort=False))
+
+
+UNIFIED_COLS = ["category", "sub_category", "entity", "amount", "risk_level", "finding_date", "finding_id"]
+
+
+@query("rpt1_full_scan_findings")
+def _rpt1(spark, sf_dir):
+    return boundary(unified_findings(_scan(spark, sf_dir)), UNIFIED_COLS)
+
+
+@query("rpt2_leakage_by_category")
+def _rpt2(spark, sf_dir):
+    return boundary(rpt.leakage_by_category(_scan(spark, sf_dir), revenue=FIXTURE_REVENUE))
+
+
+@query("rpt3_category_metrics")
+def _rpt3(spark, sf_dir):
+    return boundary(rpt.category_metrics(_scan(spark, sf_dir)))
+
+
+@query("rpt4_leakage_breakdown")
+def _rpt4(spark, sf_dir):
+    return boundary(rpt.leakage_breakdown(_scan(spark, sf_dir)))
+
+
+@query("rpt5_findings_summary")
+def _rpt5(spark, sf_dir):
+    return boundary(rpt.findings_summary(_scan(spark, sf_dir)))
+
+
+@query("rpt7_top_actions")
+def _rpt7(spark, sf_dir):
+    return boundary(rpt.top_actions(_scan(spark, sf_dir)))
+
+
+@query("rpt8_recommended_actions")
+def _rpt8(spark, sf_dir):
+    return boundary(rpt.recommended_actions(_scan(spark, sf_dir)))
+
+
+@query("rpt9_findings_preview")
+def _rpt9(spark, sf_dir):
+    return boundary(rpt.findings_preview(_scan(spark, sf_dir)), UNIFIED_COLS + ["rank"])
+
+
+@query("rpt10_narrative")
+def _rpt10(spark, sf_dir):
+    return rpt.narrative(_scan(spark, sf_dir))
+
+
+@query("rpt11_clean_text")
+def _rpt11(spark, sf_dir):
+    out = rpt.clean_findings_text(_scan(spark, sf_dir)).where(F.col("category") != "Expenses")
+    return boundary(out, UNIFIED_COLS + ["details"])
