@@ -501,3 +501,47 @@ UNION ALL SELECT 101, 'Expected recovery potential: 80% of identified leakage (N
           FROM tot WHERE total > 0""")
 register("rpt11_clean_text", _ALL + f"""
 SELECT {_UNIFIED_COLS}, {clean_text('details')} AS details FROM findings WHERE category <> 'Expenses'""")
+
+# ---------------------------------------------------------------- sources, names, tax arithmetic
+register("src6_typed_ap_load", """
+SELECT row_id, strftime(transaction_date, '%Y-%m-%d') AS transaction_date, strftime(payment_date, '%Y-%m-%d') AS payment_date,
+       vendor_name, CAST(amount AS DOUBLE) AS amount, invoice_number, CAST(vat_amount AS DOUBLE) AS vat_amount,
+       CAST(wht_amount AS DOUBLE) AS wht_amount, expense_category, bank_account FROM ap""")
+register("src8_ap_profile", f"""
+SELECT count(*) AS rows,
+       'row_id,transaction_date,payment_date,vendor_name,amount,invoice_number,vat_amount,wht_amount,expense_category,bank_account' AS columns,
+       strftime(min(transaction_date), '%Y-%m-%d') AS date_from, strftime(max(transaction_date), '%Y-%m-%d') AS date_to,
+       CAST(sum(amount) AS DOUBLE) AS total_amount, '₦' || {money('sum(amount)')} AS total_amount_text FROM ap""")
+register("src9_record_counts", """
+, c AS (SELECT 'ap' AS "table", count(*) AS rows FROM ap UNION ALL SELECT 'payroll', count(*) FROM payroll
+        UNION ALL SELECT 'tax_remittance', count(*) FROM tax_remittance
+        UNION ALL SELECT 'vendor_master', count(*) FROM vendor_master
+        UNION ALL SELECT 'employee_master', count(*) FROM employee_master)
+SELECT * FROM c UNION ALL SELECT 'total', sum(rows) FROM c WHERE "table" IN ('ap', 'payroll', 'tax_remittance')""")
+register("nam1_normalized_names", f"""
+SELECT source, vendor_name, {norm('vendor_name')} AS normalized FROM (
+  SELECT DISTINCT 'ap' AS source, vendor_name FROM ap
+  UNION SELECT DISTINCT 'vendor_master', vendor_name FROM vendor_master)""")
+register("tax1_vat_due", "SELECT row_id, CAST(amount AS DOUBLE) AS amount, CAST(round(amount * 0.075, 2) AS DOUBLE) AS vat_due FROM ap")
+register("tax2_wht_due", f"""
+, w AS (SELECT row_id, amount, lower(coalesce(expense_category, 'nan')) AS cat FROM ap)
+, k AS (SELECT *, {_KW_CASE} AS kw FROM w)
+SELECT row_id, CAST(amount AS DOUBLE) AS amount, kw AS wht_category, CAST({_RATE_CASE} AS DOUBLE) AS wht_rate,
+       CAST(round(amount * {_RATE_CASE}, 2) AS DOUBLE) AS wht_due FROM k""")
+_BANDS = ((0, 300000, "0.07"), (300000, 600000, "0.11"), (600000, 1100000, "0.15"), (1100000, 1600000, "0.19"),
+          (1600000, 3200000, "0.21"), (3200000, None, "0.24"))
+_PAYE = " + ".join(
+    f"greatest(0, {'g' if hi is None else f'least(g, {hi})'} - {lo}) * {rate}" for lo, hi, rate in _BANDS)
+register("tax3_paye_annual", f"""
+, a AS (SELECT employee_name, year(month) AS year, sum(gross_salary) AS g FROM payroll GROUP BY 1, 2)
+SELECT employee_name, year, CAST(g AS DOUBLE) AS annual_gross, CAST(round({_PAYE}, 2) AS DOUBLE) AS paye FROM a""")
+register("tax4_late_penalty", _TXF_P + f"""
+, late AS (SELECT period, tax_type, {days_floor('CAST(due AS TIMESTAMP)', ASOF)} AS days_late FROM grid)
+SELECT period, tax_type, days_late,
+       CAST(CASE tax_type WHEN 'VAT' THEN (CASE WHEN days_late <= 30 THEN 25000 ELSE 25000 + (days_late - 30) * 200 END)
+                          WHEN 'PAYE' THEN (CASE WHEN days_late <= 30 THEN 25000 ELSE 25000 + (days_late - 30) * 2000 END)
+                          ELSE 25000 END AS BIGINT) AS penalty
+FROM late WHERE days_late > 0""")
+register("tax5_vat_applicable", "SELECT row_id, CAST(amount AS DOUBLE) AS amount, amount >= 50000 AS vat_applicable FROM ap")
+register("tax6_filing_due_dates", _TXF_P + "SELECT period, tax_type, strftime(due, '%Y-%m-%d') AS due_date FROM grid")
+register("tax7_risk_tiers", _ALL + "SELECT category, risk_level, count(*) AS findings FROM findings GROUP BY 1, 2")

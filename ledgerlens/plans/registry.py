@@ -274,3 +274,107 @@ def _rpt10(spark, sf_dir):
 def _rpt11(spark, sf_dir):
     out = rpt.clean_findings_text(_scan(spark, sf_dir)).where(F.col("category") != "Expenses")
     return boundary(out, UNIFIED_COLS + ["details"])
+
+# ---------------------------------------------------------------- sources
+from ..sources.ingest import data_profile, prepare_table, record_counts  # noqa: E402
+
+
+def raw_ap_export(ap: DataFrame) -> DataFrame:
+    """The AP table as a user's spreadsheet export: free-form headers, every
+    value as text, day-first dates.  Used to drive the ingest path."""
+    return ap.select(
+        F.col("row_id").alias("Row ID"),
+        F.date_format("transaction_date", "dd/MM/yyyy").alias("Date"),
+        F.date_format("payment_date", "yyyy-MM-dd HH:mm:ss").alias("Paid Date"),
+        F.col("vendor_name").alias(" Supplier "),
+        F.col("amount").cast("string").alias("Amount"),
+        F.col("invoice_number").alias("Invoice No"),
+        F.col("vat_amount").cast("string").alias("VAT"),
+        F.col("wht_amount").cast("string").alias("Withholding-Tax"),
+        F.col("expense_category").alias("Category"),
+        F.col("bank_account").alias("Account Number"),
+    )
+
+
+@query("src6_typed_ap_load")
+def _src6(spark, sf_dir):
+    loaded = prepare_table(raw_ap_export(fixture_tables(spark, sf_dir).ap), "ap").table
+    return boundary(loaded.select(
+        "row_id", F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_date"),
+        F.date_format("payment_date", "yyyy-MM-dd").alias("payment_date"), "vendor_name", "amount",
+        "invoice_number", "vat_amount", "wht_amount", "expense_category", "bank_account"))
+
+
+@query("src8_ap_profile")
+def _src8(spark, sf_dir):
+    return boundary(data_profile(fixture_tables(spark, sf_dir).ap))
+
+
+@query("src9_record_counts")
+def _src9(spark, sf_dir):
+    return record_counts(fixture_tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- names and tax arithmetic
+from ..functions.names import normalize_name  # noqa: E402
+from ..functions import tax as tx  # noqa: E402
+
+
+@query("nam1_normalized_names")
+def _nam1(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    names = (t.ap.select(F.lit("ap").alias("source"), "vendor_name")
+             .unionByName(t.vendor_master.select(F.lit("vendor_master").alias("source"), "vendor_name"))
+             .distinct())
+    return names.select("source", "vendor_name", normalize_name("vendor_name").alias("normalized"))
+
+
+@query("tax1_vat_due")
+def _tax1(spark, sf_dir):
+    ap = fixture_tables(spark, sf_dir).ap
+    return boundary(ap.select("row_id", "amount", tx.vat_on(F.col("amount")).alias("vat_due")))
+
+
+@query("tax2_wht_due")
+def _tax2(spark, sf_dir):
+    ap = fixture_tables(spark, sf_dir).ap
+    cat = F.lower(F.coalesce(F.col("expense_category"), F.lit("nan")))
+    kw = tx.wht_category(cat)
+    return boundary(ap.select("row_id", "amount", kw.alias("wht_category"), tx.wht_rate(kw).alias("wht_rate"),
+                              tx.wht_on(F.col("amount"), cat).alias("wht_due")))
+
+
+@query("tax3_paye_annual")
+def _tax3(spark, sf_dir):
+    p = fixture_tables(spark, sf_dir).payroll
+    annual = (p.groupBy("employee_name", F.year("month").alias("year"))
+              .agg(F.sum("gross_salary").alias("annual_gross")))
+    return boundary(annual.withColumn("paye", tx.paye_on(F.col("annual_gross"))))
+
+
+@query("tax4_late_penalty")
+def _tax4(spark, sf_dir):
+    from ..functions.dates import days_floor, lit_ts
+    t = fixture_tables(spark, sf_dir)
+    g = obligations(observed_months(t.ap, t.payroll, t.tax_remittance), t.ap, t.payroll)
+    d = days_floor(F.col("due_date").cast("timestamp_ntz"), lit_ts(ASOF))
+    return (g.select(month_text(F.col("month")).alias("period"), "tax_type", d.alias("days_late"))
+            .where(F.col("days_late") > 0)
+            .withColumn("penalty", tx.late_penalty(F.col("tax_type"), F.col("days_late"))))
+
+
+@query("tax5_vat_applicable")
+def _tax5(spark, sf_dir):
+    ap = fixture_tables(spark, sf_dir).ap
+    return boundary(ap.select("row_id", "amount", tx.should_have_vat(F.col("amount")).alias("vat_applicable")))
+
+
+@query("tax6_filing_due_dates")
+def _tax6(spark, sf_dir):
+    return _txf2(spark, sf_dir)
+
+
+@query("tax7_risk_tiers")
+def _tax7(spark, sf_dir):
+    u = unified_findings(_scan(spark, sf_dir))
+    return u.groupBy("category", "risk_level").agg(F.count(F.lit(1)).alias("findings"))
