@@ -94,41 +94,56 @@ def _amount_bins(df: DataFrame, rules: AuditRules) -> DataFrame:
             .withColumn("akeys", F.when(positive, keys).otherwise(F.array(F.col("abin")))))
 
 
-def _side(df: DataFrame, suffix: str, keys: list[Column]) -> DataFrame:
-    cols = [F.col(c).alias(f"{c}{suffix}") for c in ("rid", "name", "norm", "ts", "amt", "inv")]
-    return df.select(*keys, *cols)
+INVOICE, NEAR = "I", "A"
 
 
-def _pair_residual(rules: AuditRules) -> tuple[Column, Column]:
-    ts1, ts2, r1, r2 = F.col("ts_1"), F.col("ts_2"), F.col("rid_1"), F.col("rid_2")
-    ordered = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
-    days = F.ceil(F.timestamp_diff("MICROSECOND", ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
-    return ordered & (days <= rules.dup_window_days), days
-
+def _key(branch: str, inv: Column, t: Column, a: Column) -> Column:
+    return F.struct(F.lit(branch).alias("b"), inv.alias("i"), t.alias("t"), a.cast("bigint").alias("a"))
 
-def _same_invoice_pairs(b: DataFrame, rules: AuditRules) -> DataFrame:
-    s = b.where(~F.col("inv").isin("", "nan"))
-    left = _side(s, "_1", [F.col("norm").alias("k_norm"), F.col("inv").alias("k_inv"), F.col("tbin").alias("k_t")])
-    right = _side(s, "_2", [F.col("norm").alias("k_norm"), F.col("inv").alias("k_inv"),
-                            F.explode("tkeys").alias("k_t")])
-    ok, days = _pair_residual(rules)
-    j = left.join(right, ["k_norm", "k_inv", "k_t"]).where(ok)
-    return j.withColumn("days", days).withColumn("rule_id", F.lit("DUP-1"))
 
-
-def _near_amount_pairs(b: DataFrame, rules: AuditRules) -> DataFrame:
+def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFrame:
+    """Both rule branches in one join.  Every left row carries its own key per
+    branch; every right row carries its own key plus the neighbouring-bin copies.
+    Branch I keys are (invoice, time bin) and feed DUP-1; branch A keys are
+    (time bin, amount bin) and feed DUP-2/3."""
     s = _amount_bins(b, rules)
-    left = _side(s, "_1", [F.col("norm").alias("k_norm"), F.col("tbin").alias("k_t"), F.col("abin").alias("k_a")])
-    right = (s.withColumn("k_t", F.explode("tkeys")).withColumn("k_a", F.explode("akeys")))
-    right = _side(right, "_2", [F.col("norm").alias("k_norm"), F.col("k_t"), F.col("k_a")])
-    ok, days = _pair_residual(rules)
+    valid_inv = ~F.col("inv").isin("", "nan")
+    none = F.lit(None).cast("struct<b:string,i:string,t:bigint,a:bigint>")
+    left_keys, right_keys = [], []
+    if invoice:
+        left_keys.append(F.when(valid_inv, _key(INVOICE, F.col("inv"), F.col("tbin"), F.lit(0))).otherwise(none))
+        right_keys.append(F.when(valid_inv, F.transform("tkeys", lambda t: _key(INVOICE, F.col("inv"), t, F.lit(0))))
+                          .otherwise(F.array().cast("array<struct<b:string,i:string,t:bigint,a:bigint>>")))
+    if near:
+        left_keys.append(_key(NEAR, F.lit(""), F.col("tbin"), F.col("abin")))
+        right_keys.append(F.flatten(F.transform(
+            "tkeys", lambda t: F.transform("akeys", lambda a: _key(NEAR, F.lit(""), t, a)))))
+    cols = ("rid", "name", "norm", "ts", "amt", "inv")
+    left = s.select(*[F.col(c).alias(f"{c}_1") for c in cols],
+                    F.explode(F.filter(F.array(*left_keys), lambda k: k.isNotNull())).alias("k"))
+    right = s.select(*[F.col(c).alias(f"{c}_2") for c in cols],
+                     F.explode(F.concat(*right_keys) if len(right_keys) > 1 else right_keys[0]).alias("k"))
+    keys = ["kn", "kb", "ki", "kt", "ka"]
+
+    def flat(df: DataFrame, n: int) -> DataFrame:
+        return df.select("*", F.col(f"norm_{n}").alias("kn"), F.col("k.b").alias("kb"), F.col("k.i").alias("ki"),
+                         F.col("k.t").alias("kt"), F.col("k.a").alias("ka")).drop("k")
+    left, right = flat(left, 1), flat(right, 2)
+    ts1, ts2, r1, r2 = F.col("ts_1"), F.col("ts_2"), F.col("rid_1"), F.col("rid_2")
+    ordered = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
+    days = F.ceil(F.timestamp_diff("MICROSECOND", ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
     a1, a2 = F.col("amt_1"), F.col("amt_2")
     tol = F.lit(rules.dup_amount_tolerance)
-    near = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2)))
-            | ((a1 < 0) & (a2 < 0)))
+    close = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2))) | ((a1 < 0) & (a2 < 0)))
     same_invoice = (F.col("inv_1") == F.col("inv_2")) & ~F.col("inv_1").isin("", "nan")
-    j = left.join(right, ["k_norm", "k_t", "k_a"]).where(ok & near & ~same_invoice).withColumn("days", days)
-    rule = (F.when(F.col("days") <= rules.dup_near_days, F.lit("DUP-2"))
+    branch_ok = (F.col("kb") == INVOICE) | (close & ~same_invoice)
+    j = (left.join(right, keys)
+         .where(ordered & branch_ok)
+         .select(F.col("kb").alias("branch"), *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
+         .withColumn("days", days)
+         .where(F.col("days") <= rules.dup_window_days))
+    rule = (F.when(F.col("branch") == INVOICE, F.lit("DUP-1"))
+            .when(F.col("days") <= rules.dup_near_days, F.lit("DUP-2"))
             .when((F.col("inv_1") == "") & (F.col("inv_2") == ""), F.lit("DUP-3")))
     return j.withColumn("rule_id", rule).where(F.col("rule_id").isNotNull())
 
@@ -162,17 +177,9 @@ def detect_duplicate_payments(ap: DataFrame | None, rules: AuditRules = DEFAULT_
     if b is None:
         return empty(ap.sparkSession, DUP_SCHEMA)
     on = (lambda r: include is None or r in include)
-    parts = []
-    if on("DUP-1"):
-        parts.append(_findings(_same_invoice_pairs(b, rules), rules))
-    if on("DUP-2") or on("DUP-3"):
-        near = _findings(_near_amount_pairs(b, rules), rules)
-        if include is not None:
-            near = near.where(F.col("rule_id").isin(list(include)))
-        parts.append(near)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _findings(_pairs(b, rules, invoice=on("DUP-1"), near=on("DUP-2") or on("DUP-3")), rules)
+    if include is not None:
+        out = out.where(F.col("rule_id").isin(list(include)))
     if sort:
         out = out.orderBy(F.col("flagged_amount").desc(), "row_id_1", "row_id_2")
     return out

@@ -69,7 +69,7 @@ def _row(category, amount, baseline, deviation, date, risk, details, rule_id, pr
     return [category.alias("category"), amount.cast(T.DecimalType(38, 2)).alias("transaction_amount"),
             baseline.cast("double").alias("baseline_average"), deviation.cast("double").alias("deviation_pct"),
             date.alias("date"), risk.alias("risk_level"), details.alias("details"), F.lit(rule_id).alias("rule_id"),
-            F.lit(prio).alias("_prio"), order.alias("_order")]
+            F.lit(prio).alias("_prio"), order.cast("string").alias("_order")]
 
 
 def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT_RULES,
@@ -84,11 +84,8 @@ def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT
     parts = []
     if on("EXP-3"):
         parts.append(_spikes(p, rules))
-    stats = category_stats(p)
-    if on("EXP-4"):
-        parts.append(_outliers(p, stats, rules))
-    if on("EXP-5"):
-        parts.append(_round_numbers(p, stats, rules))
+    if on("EXP-4") or on("EXP-5"):
+        parts.append(_payment_rules(p, category_stats(p), rules, on("EXP-4"), on("EXP-5")))
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
@@ -121,31 +118,35 @@ def _spikes(p: DataFrame, rules: AuditRules) -> DataFrame:
                             F.col("month").cast("string")))
 
 
-def _outliers(p: DataFrame, stats: DataFrame, rules: AuditRules) -> DataFrame:
-    """EXP-4: amount above mean + 3 sample std of its category (>= 5 rows, std > 0)."""
-    ok = stats.where((F.col("_n") >= rules.exp_min_rows) & F.col("_std").isNotNull() & (F.col("_std") != 0))
-    j = p.join(ok, "category", "inner")
+def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers: bool, rounds: bool) -> DataFrame:
+    """EXP-4 and EXP-5 in one pass over the payments joined to their category statistics.
+
+    EXP-4: amount above mean + 3 sample std of its category (>= 5 rows, std > 0), dated.
+    EXP-5: non-zero amounts that are a multiple of the round unit and at least one unit.
+    """
+    j = p.join(stats, "category", "inner")
     amt = F.col("_amt").cast("double")
     mean = F.col("_mean").cast("double")
-    hit = j.where((amt > mean + rules.exp_sigma * F.col("_std")) & F.col("_ts").isNotNull())
-    deviation = F.when(mean > 0, (amt - mean) / mean * 100).otherwise(F.lit(0.0))
-    details = F.format_string(
-        "Transaction of NGN %s in '%s' is %s standard deviations above normal",
-        fmt_money(F.col("_amt")), F.col("category"),
-        F.format_string("%.1f", F.abs(amt - mean) / F.col("_std")))
-    return hit.select(*_row(F.col("category"), F.col("_amt"), mean, deviation, day_text(F.col("_ts")),
-                            tier(F.col("_amt"), [(rules.exp_high, "High")], "Medium"), details, "EXP-4", 2,
-                            F.col("_rid")))
-
-
-def _round_numbers(p: DataFrame, stats: DataFrame, rules: AuditRules) -> DataFrame:
-    """EXP-5: non-zero amounts that are a multiple of the round unit and at least one unit."""
-    unit = rules.exp_round_unit
-    hit = p.where((F.col("_amt") >= unit) & (F.col("_amt") % unit == 0))
-    j = hit.join(stats.select("category", "_mean"), "category", "left")
-    details = F.format_string(
-        "Round-number payment of NGN %s in '%s' — common fraud pattern (exact multiple of NGN %s)",
-        fmt_money(F.col("_amt")), F.col("category"), F.format_number(F.lit(unit), 0))
-    return j.select(*_row(F.col("category"), F.col("_amt"), F.coalesce(F.col("_mean").cast("double"), F.lit(0.0)),
-                          F.lit(0.0), F.coalesce(day_text(F.col("_ts")), F.lit("N/A")), F.lit("Medium"), details,
-                          "EXP-5", 3, F.col("_rid")))
+    cands = []
+    if outliers:
+        hit = ((F.col("_n") >= rules.exp_min_rows) & F.col("_std").isNotNull() & (F.col("_std") != 0)
+               & (amt > mean + rules.exp_sigma * F.col("_std")) & F.col("_ts").isNotNull())
+        deviation = F.when(mean > 0, (amt - mean) / mean * 100).otherwise(F.lit(0.0))
+        details = F.format_string(
+            "Transaction of NGN %s in '%s' is %s standard deviations above normal",
+            fmt_money(F.col("_amt")), F.col("category"),
+            F.format_string("%.1f", F.abs(amt - mean) / F.col("_std")))
+        cands.append(F.when(hit, F.struct(*_row(
+            F.col("category"), F.col("_amt"), mean, deviation, day_text(F.col("_ts")),
+            tier(F.col("_amt"), [(rules.exp_high, "High")], "Medium"), details, "EXP-4", 2, F.col("_rid")))))
+    if rounds:
+        unit = rules.exp_round_unit
+        hit = (F.col("_amt") >= unit) & (F.col("_amt") % unit == 0)
+        details = F.format_string(
+            "Round-number payment of NGN %s in '%s' \u2014 common fraud pattern (exact multiple of NGN %s)",
+            fmt_money(F.col("_amt")), F.col("category"), F.format_number(F.lit(unit), 0))
+        cands.append(F.when(hit, F.struct(*_row(
+            F.col("category"), F.col("_amt"), F.coalesce(mean, F.lit(0.0)), F.lit(0.0),
+            F.coalesce(day_text(F.col("_ts")), F.lit("N/A")), F.lit("Medium"), details, "EXP-5", 3,
+            F.col("_rid")))))
+    return j.select(F.inline(F.filter(F.array(*cands), lambda x: x.isNotNull())))

@@ -1,10 +1,19 @@
 """Ghost vendors (GHV-1..5) and ghost employees (GHE-1..5).
 
-Every rule is an aggregate keyed by the normalised name or the bank account,
-so skewed keys are absorbed by map-side partial aggregation; "first" values
-are ``min_by`` on the row-order key.  The first-three name list of a shared
-bank account is a row_number <= 3 filter, which Spark plans as a partial
-window-group limit before the shuffle, so no group is ever collected whole.
+Two passes over the payments table per family:
+
+* per name: aggregate by the raw name first (map-side partial aggregation),
+  normalise only the distinct names, aggregate again by normalised name, then
+  left-join the master rows and project every name-keyed rule (not in master,
+  single large payment, created-and-paid, no PAYE, no pension) from that one
+  row with an ``inline`` over an array of candidate findings;
+* per bank account: aggregate by (bank, raw name), normalise, count distinct
+  normalised names per bank.  The first-three name list is a row_number <= 3
+  filter, which Spark plans as a partial window-group limit before the
+  shuffle, so no group is ever collected whole.
+
+Skewed keys are absorbed by partial aggregation; "first" values are
+``min_by`` on the row-order key.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ from ..functions.dates import day_text, days_floor
 from ..functions.names import normalize_name, py_str
 from ..functions.tax import tier
 from ..functions.text import money as fmt_money
-from .prepare import MONEY, ap_date_column, empty, has, money, non_empty, row_order, timestamp
+from .prepare import MONEY, ap_date_column, empty, has, money, row_order, timestamp
 
 GHOST_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -59,7 +68,7 @@ def _bank_text(df: DataFrame) -> Column:
     return F.col("bank_account").cast("string") if "bank_account" in df.columns else F.lit("N/A")
 
 
-def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules, null_name: str,
+def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules,
              date_col: str | None = None) -> DataFrame:
     extra = []
     for c in ("paye_amount", "pension_amount"):
@@ -69,7 +78,6 @@ def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules, n
         extra.append(timestamp(df, date_col, rules).alias("_ts"))
     return df.select(
         F.col(name_col).cast("string").alias("_name"),
-        normalize_name(name_col, rules, null_as=null_name).alias("_norm"),
         money(df, amount_col).alias("_amt"),
         _bank_text(df).alias("_bank"),
         row_order(df).alias("_rid"),
@@ -77,59 +85,55 @@ def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules, n
     )
 
 
-def _first(col: str, cond: Column | None = None) -> Column:
-    order = F.col("_rid") if cond is None else F.when(cond, F.col("_rid"))
-    return F.min_by(col, order)
-
-
-def _per_name(p: DataFrame, conds: dict[str, Column]) -> DataFrame:
-    """One aggregate per normalised name serving every name-keyed rule: overall
-    first name/bank/total/count/first date, plus the same restricted to each
-    condition in ``conds`` (prefix ``<key>_``)."""
-    aggs = [
-        _first("_name").alias("_first_name"),
-        _first("_name", F.col("_name").isNotNull()).alias("_first_nonnull_name"),
-        _first("_bank").alias("_first_bank"),
-        _total(F.col("_amt")).alias("_total"),
-        F.count("_amt").alias("_cnt"),
-    ]
+def _per_name(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_name: str) -> DataFrame:
+    """Per normalised name: first name/bank, total, count, first date, plus the
+    same restricted to each condition in ``conds`` (prefix ``<key>_``).
+    Level 1 groups by the raw name, so the name normaliser runs once per
+    distinct name rather than once per row."""
+    rid = F.col("_rid")
+    l1 = [F.min(rid).alias("_r"), F.min_by("_bank", rid).alias("_b"), _total(F.col("_amt")).alias("_t"),
+          F.count("_amt").alias("_c")]
     if "_ts" in p.columns:
-        aggs.append(F.min("_ts").alias("_first_ts"))
+        l1.append(F.min("_ts").alias("_ts1"))
     for key, cond in conds.items():
-        aggs += [
-            F.count_if(cond).alias(f"{key}_rows"),
-            _first("_name", cond).alias(f"{key}_name"),
-            _first("_bank", cond).alias(f"{key}_bank"),
-            _total(F.when(cond, F.col("_amt"))).alias(f"{key}_total"),
-        ]
-    return p.groupBy("_norm").agg(*aggs)
-
-
-def _not_in_master(stats: DataFrame, master: DataFrame | None, master_col: str, rules: AuditRules,
-                   null_name: str, kind: str, reason: str, high: int, rule_id: str,
-                   what: str, noun: str) -> DataFrame | None:
-    """GHV-1 / GHE-1: names absent from the master (anti-join after aggregation)."""
-    if not has(master, master_col):
-        return None
-    master_norms = master.select(normalize_name(master_col, rules, null_as=null_name).alias("_norm"))
-    unknown = stats.join(master_norms, "_norm", "left_anti").where(non_empty(master))
-    details = F.format_string(f"{noun} '%s' received NGN %s{what}", py_str(F.col("_first_name")),
-                              fmt_money(F.col("_total")))
-    return unknown.select(*_finding(
-        F.col("_first_name"), kind, F.col("_first_bank"), F.lit(reason), F.col("_total"),
-        tier(F.col("_total"), [(high, "High")], "Medium"), details, rule_id, 1, F.col("_norm")))
+        l1 += [F.count_if(cond).alias(f"{key}_n"), F.min(F.when(cond, rid)).alias(f"{key}_r"),
+               F.min_by("_bank", F.when(cond, rid)).alias(f"{key}_b"),
+               _total(F.when(cond, F.col("_amt"))).alias(f"{key}_t")]
+    names = p.groupBy("_name").agg(*l1).withColumn("_norm", normalize_name("_name", rules, null_as=null_name))
+    l2 = [F.min_by("_name", "_r").alias("_first_name"),
+          F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_r"))).alias("_first_nonnull_name"),
+          F.min_by("_b", "_r").alias("_first_bank"), F.sum("_t").alias("_total"), F.sum("_c").alias("_cnt")]
+    if "_ts" in p.columns:
+        l2.append(F.min("_ts1").alias("_first_ts"))
+    for key in conds:
+        l2 += [F.sum(f"{key}_n").alias(f"{key}_rows"), F.min_by("_name", f"{key}_r").alias(f"{key}_name"),
+               F.min_by(f"{key}_b", f"{key}_r").alias(f"{key}_bank"), F.sum(f"{key}_t").alias(f"{key}_total")]
+    return names.groupBy("_norm").agg(*l2)
+
+
+def _nonempty(df: DataFrame) -> Column:
+    """Scalar subquery: does ``df`` have a row?  (Evaluated once.)"""
+    return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("_any")).scalar()
+
+
+def _struct(name, kind, bank, reason, total, risk, details, rule_id, prio, order) -> Column:
+    return F.struct(*_finding(name, kind, bank, reason, total, risk, details, rule_id, prio, order))
+
+
+def _candidates(j: DataFrame, candidates: list[Column]) -> DataFrame:
+    return j.select(F.inline(F.filter(F.array(*candidates), lambda x: x.isNotNull())))
 
 
 def _shared_bank(p: DataFrame, has_bank: bool, kind: str, noun_plural: str, high: int, rule_id: str,
-                 rules: AuditRules, what: str) -> DataFrame | None:
+                 rules: AuditRules, what: str, null_name: str) -> DataFrame | None:
     """GHV-2 / GHE-2: one bank account used by more than one normalised name."""
     if not has_bank:
         return None
     rows = p.where(F.col("_bank").isNotNull() & (F.col("_bank") != ""))
     # level 1: one row per (bank, raw name) with its first appearance and subtotal
     names = (rows.groupBy("_bank", "_name")
-             .agg(F.min("_rid").alias("_first"), F.first("_norm").alias("_norm"),
-                  _total(F.col("_amt")).alias("_sub")))
+             .agg(F.min("_rid").alias("_first"), _total(F.col("_amt")).alias("_sub"))
+             .withColumn("_norm", normalize_name("_name", rules, null_as=null_name)))
     per_bank = (names.groupBy("_bank")
                 .agg(F.count_distinct("_norm").alias("_n"), F.sum("_sub").alias("_total"))
                 .where(F.col("_n") > 1))
@@ -151,7 +155,7 @@ def _shared_bank(p: DataFrame, has_bank: bool, kind: str, noun_plural: str, high
         tier(F.col("_total"), [(high, "High")], "Medium"), details, rule_id, 2, F.col("_bank")))
 
 
-def _dedupe_sort(parts: list[DataFrame | None], spark) -> DataFrame:
+def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = True) -> DataFrame:
     """GHV-5 / GHE-5: union, keep the first row per (name, reason), sort by total."""
     parts = [p for p in parts if p is not None]
     if not parts:
@@ -164,12 +168,15 @@ def _dedupe_sort(parts: list[DataFrame | None], spark) -> DataFrame:
     kept = (u.groupBy(F.coalesce("name", F.lit("\u0000")).alias("_k1"), "red_flag_reason")
             .agg(F.min_by(F.struct(*cols), F.struct("_prio", "_order")).alias("_r"))
             .select("_r.*"))
-    return kept.orderBy(F.col("total_paid").desc(), F.col("name").asc_nulls_last(),
-                        F.col("red_flag_reason"), F.col("bank_account").asc_nulls_last())
+    if sort:
+        kept = kept.orderBy(F.col("total_paid").desc(), F.col("name").asc_nulls_last(),
+                            F.col("red_flag_reason"), F.col("bank_account").asc_nulls_last())
+    return kept
 
 
 def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None = None,
-                         rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None) -> DataFrame:
+                         rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
+                         sort: bool = True) -> DataFrame:
     """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``)."""
     if ap is None:
         return None
@@ -177,99 +184,134 @@ def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None =
         return empty(ap.sparkSession, GHOST_SCHEMA)
     on = (lambda r: include is None or r in include)
     dcol = ap_date_column(ap)
-    p = _prepare(ap, "vendor_name", "amount", rules, null_name="", date_col=dcol)
-    stats = _per_name(p, {})
+    p = _prepare(ap, "vendor_name", "amount", rules, date_col=dcol)
     parts: list[DataFrame | None] = []
-    if on("GHV-1"):
-        parts.append(_not_in_master(
-            stats, vendor_master, "vendor_name", rules, "", VENDOR, NOT_IN_VENDOR_MASTER, rules.ghost_vendor_high,
-            "GHV-1", " but is not in the approved vendor master list", "Vendor"))
+    if on("GHV-1") or on("GHV-3") or on("GHV-4"):
+        parts.append(_vendor_name_rules(_per_name(p, {}, rules, ""), vendor_master, rules, on, dcol is not None))
     if on("GHV-2"):
         parts.append(_shared_bank(p, "bank_account" in ap.columns, VENDOR, "vendors", rules.ghost_vendor_high,
-                                  "GHV-2", rules, "all pay to bank account"))
+                                  "GHV-2", rules, "all pay to bank account", ""))
+    return _dedupe_sort(parts, ap.sparkSession, sort)
+
+
+def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditRules, on, has_dates: bool):
+    """GHV-1, GHV-3 and GHV-4 from one per-name row joined to its master rows."""
+    use_master = has(master, "vendor_name")
+    if use_master:
+        has_added = "date_added" in master.columns
+        m = master.select(
+            normalize_name("vendor_name", rules).alias("_norm"),
+            F.col("vendor_name").cast("string").alias("_mname"),
+            (timestamp(master, "date_added", rules) if has_added else F.lit(None).cast("timestamp_ntz")).alias("_added"),
+            (F.col("bank_account").cast("string") if "bank_account" in master.columns else F.lit("N/A")).alias("_mbank"),
+            row_order(master).alias("_morder"), F.lit(True).alias("_in_master"))
+        j = stats.join(m, "_norm", "left").withColumn("_master_any", _nonempty(master))
+        nonempty = F.col("_master_any")
+    else:
+        has_added = False
+        j = stats.withColumn("_in_master", F.lit(None).cast("boolean"))
+        nonempty = F.lit(False)
+    total = F.col("_total")
+    cands = []
+    if on("GHV-1") and use_master:
+        details = F.format_string("Vendor '%s' received NGN %s but is not in the approved vendor master list",
+                                  py_str(F.col("_first_name")), fmt_money(total))
+        cands.append(F.when(nonempty & F.col("_in_master").isNull(), _struct(
+            F.col("_first_name"), VENDOR, F.col("_first_bank"), F.lit(NOT_IN_VENDOR_MASTER), total,
+            tier(total, [(rules.ghost_vendor_high, "High")], "Medium"), details, "GHV-1", 1, F.col("_norm"))))
     if on("GHV-3"):
-        single = stats.where((F.col("_cnt") == 1) & (F.col("_total") >= rules.ghost_single_payment_min))
         details = F.format_string(
             "Vendor '%s' received only one payment of NGN %s \u2014 potential ghost vendor",
-            py_str(F.col("_first_nonnull_name")), fmt_money(F.col("_total")))
-        parts.append(single.select(*_finding(
-            F.col("_first_nonnull_name"), VENDOR, F.col("_first_bank"), F.lit(SINGLE_PAYMENT), F.col("_total"),
-            tier(F.col("_total"), [(rules.ghost_single_payment_medium, "Medium")], "Low"), details,
-            "GHV-3", 3, F.col("_norm"))))
-    if on("GHV-4") and dcol is not None:
-        parts.append(_created_and_paid(stats, vendor_master, rules))
-    return _dedupe_sort(parts, ap.sparkSession)
-
-
-def _created_and_paid(stats: DataFrame, master: DataFrame | None, rules: AuditRules) -> DataFrame | None:
-    """GHV-4: first payment 0..7 whole days after the vendor was added to the master;
-    the total is every payment of that vendor."""
-    if not has(master, "date_added", "vendor_name"):
+            py_str(F.col("_first_nonnull_name")), fmt_money(total))
+        # several master rows repeat this candidate; the (name, reason) dedupe keeps one
+        cands.append(F.when((F.col("_cnt") == 1) & (total >= rules.ghost_single_payment_min), _struct(
+            F.col("_first_nonnull_name"), VENDOR, F.col("_first_bank"), F.lit(SINGLE_PAYMENT), total,
+            tier(total, [(rules.ghost_single_payment_medium, "Medium")], "Low"), details, "GHV-3", 3,
+            F.col("_norm"))))
+    if on("GHV-4") and has_added and has_dates:
+        days = days_floor(F.col("_added"), F.col("_first_ts"))
+        details = F.format_string(
+            "Vendor '%s' was added to master list on %s and received first payment within %d days",
+            py_str(F.col("_mname")), day_text(F.col("_added")), days)
+        ok = F.col("_added").isNotNull() & F.col("_first_ts").isNotNull() & days.between(0, rules.ghost_onboard_days)
+        cands.append(F.when(ok, _struct(
+            F.col("_mname"), VENDOR, F.col("_mbank"), F.lit(CREATED_AND_PAID), total, F.lit("Medium"), details,
+            "GHV-4", 4, F.col("_morder"))))
+    if not cands:
         return None
-    m = master.select(
-        F.col("vendor_name").cast("string").alias("_mname"),
-        normalize_name("vendor_name", rules).alias("_norm"),
-        timestamp(master, "date_added", rules).alias("_added"),
-        (F.col("bank_account").cast("string") if "bank_account" in master.columns else F.lit("N/A")).alias("_mbank"),
-        row_order(master).alias("_order"),
-    ).where(F.col("_added").isNotNull())
-    j = (m.join(stats.select("_norm", "_first_ts", "_total"), "_norm", "inner")
-         .where(F.col("_first_ts").isNotNull())
-         .withColumn("_days", days_floor(F.col("_added"), F.col("_first_ts")))
-         .where((F.col("_days") >= 0) & (F.col("_days") <= rules.ghost_onboard_days)))
-    details = F.format_string(
-        "Vendor '%s' was added to master list on %s and received first payment within %d days",
-        py_str(F.col("_mname")), day_text(F.col("_added")), F.col("_days"))
-    return j.select(*_finding(F.col("_mname"), VENDOR, F.col("_mbank"), F.lit(CREATED_AND_PAID), F.col("_total"),
-                              F.lit("Medium"), details, "GHV-4", 4, F.col("_order")))
+    return _candidates(j, cands)
 
 
 def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame | None = None,
-                           rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None) -> DataFrame:
+                           rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
+                           sort: bool = True) -> DataFrame:
     """GHE-1..5.  A NULL employee name is the text 'nan' before normalising."""
     if payroll is None:
         return None
     if "employee_name" not in payroll.columns:
         return empty(payroll.sparkSession, GHOST_SCHEMA)
-    p = _prepare(payroll, "employee_name", "gross_salary", rules, null_name="nan")
+    p = _prepare(payroll, "employee_name", "gross_salary", rules)
     conds = {}
     if "paye_amount" in payroll.columns:
         conds["paye"] = F.col("_paye_amount").isNull() | (F.col("_paye_amount") == 0)
     if "pension_amount" in payroll.columns:
         conds["pension"] = F.col("_pension_amount").isNull() | (F.col("_pension_amount") == 0)
-    stats = _per_name(p, conds)
-    parts: list[DataFrame | None] = [
-        _not_in_master(stats, employee_master, "employee_name", rules, "nan", EMPLOYEE, NOT_IN_EMPLOYEE_MASTER,
-                       rules.ghost_employee_high, "GHE-1",
-                       " in salary but is not in the HR/employee master list", "Employee"),
-        _shared_bank(p, "bank_account" in payroll.columns, EMPLOYEE, "employees",
-                     rules.ghost_employee_high, "GHE-2", rules, "all receive salary in bank account"),
-    ]
+    stats = _per_name(p, conds, rules, "nan")
+    use_master = has(employee_master, "employee_name")
+    if use_master:
+        norms = (employee_master.select(normalize_name("employee_name", rules, null_as="nan").alias("_norm"))
+                 .distinct().withColumn("_in_master", F.lit(True)))
+        j = stats.join(norms, "_norm", "left").withColumn("_master_any", _nonempty(employee_master))
+        nonempty = F.col("_master_any")
+    else:
+        j = stats.withColumn("_in_master", F.lit(None).cast("boolean"))
+        nonempty = F.lit(False)
+    total = F.col("_total")
+    g1_fires = nonempty & F.col("_in_master").isNull() if use_master else F.lit(False)
+    cands = []
+    if use_master:
+        details = F.format_string(
+            "Employee '%s' received NGN %s in salary but is not in the HR/employee master list",
+            py_str(F.col("_first_name")), fmt_money(total))
+        cands.append(F.when(g1_fires, _struct(
+            F.col("_first_name"), EMPLOYEE, F.col("_first_bank"), F.lit(NOT_IN_EMPLOYEE_MASTER), total,
+            tier(total, [(rules.ghost_employee_high, "High")], "Medium"), details, "GHE-1", 1, F.col("_norm"))))
+    g3_fires = F.lit(False)
     if "paye" in conds:
-        parts.append(_no_deduction(stats, "paye", NO_PAYE, "Medium", "GHE-3", 3,
-                                   "salary with no PAYE tax deduction", rules))
+        g3_fires = (F.col("paye_rows") > 0) & (F.col("paye_total") >= rules.ghost_no_deduction_min)
+        cands.append(F.when(g3_fires, _no_deduction("paye", NO_PAYE, "Medium", "GHE-3", 3,
+                                                     "salary with no PAYE tax deduction")))
     if "pension" in conds:
-        pension = _no_deduction(stats, "pension", NO_PENSION, "Low", "GHE-4", 4,
-                                "salary with no pension contribution", rules)
-        earlier = [x for x in parts if x is not None]
-        if earlier:
-            flagged = earlier[0].select("name")
-            for x in earlier[1:]:
-                flagged = flagged.unionByName(x.select("name"))
-            # NULL never equals an earlier finding's name, so a NULL-named row stays
-            pension = pension.join(flagged.where(F.col("name").isNotNull()).distinct(),
-                                   pension["name"] == flagged["name"], "left_anti")
-        parts.append(pension)
+        pname = F.col("pension_name")
+        # a name already flagged by GHE-1/GHE-3 for this employee suppresses the
+        # pension finding (GHE-2 names are checked after the union)
+        same = ((g1_fires & (pname == F.col("_first_name"))) | (g3_fires & (pname == F.col("paye_name"))))
+        fires = (F.col("pension_rows") > 0) & (F.col("pension_total") >= rules.ghost_no_deduction_min) \
+            & ~F.coalesce(same, F.lit(False))
+        cands.append(F.when(fires, _no_deduction("pension", NO_PENSION, "Low", "GHE-4", 4,
+                                                  "salary with no pension contribution")))
+    parts: list[DataFrame | None] = [
+        _candidates(j, cands) if cands else None,
+        _shared_bank(p, "bank_account" in payroll.columns, EMPLOYEE, "employees", rules.ghost_employee_high,
+                     "GHE-2", rules, "all receive salary in bank account", "nan"),
+    ]
+    parts = [x for x in parts if x is not None]
+    if not parts:
+        return empty(payroll.sparkSession, GHOST_SCHEMA)
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # GHE-4 is dropped when any earlier finding carries the same name
+    earlier = F.max(F.when(F.col("rule_id") != "GHE-4", F.lit(1))).over(Window.partitionBy("name"))
+    u = (u.withColumn("_earlier", earlier)
+         .where((F.col("rule_id") != "GHE-4") | F.col("name").isNull() | F.col("_earlier").isNull())
+         .drop("_earlier"))
     if include is not None:
-        parts = [x.where(F.col("rule_id").isin(list(include))) for x in parts if x is not None]
-    return _dedupe_sort(parts, payroll.sparkSession)
+        u = u.where(F.col("rule_id").isin(list(include)))
+    return _dedupe_sort([u], payroll.sparkSession, sort)
 
 
-def _no_deduction(stats: DataFrame, key: str, reason: str, risk: str, rule_id: str, prio: int,
-                  what: str, rules: AuditRules) -> DataFrame:
+def _no_deduction(key: str, reason: str, risk: str, rule_id: str, prio: int, what: str) -> Column:
     """GHE-3 / GHE-4: rows with the deduction NULL or 0; per employee total >= threshold."""
-    g = stats.where((F.col(f"{key}_rows") > 0) & (F.col(f"{key}_total") >= rules.ghost_no_deduction_min))
     details = F.format_string(f"Employee '%s' received NGN %s {what}", py_str(F.col(f"{key}_name")),
                               fmt_money(F.col(f"{key}_total")))
-    return g.select(*_finding(F.col(f"{key}_name"), EMPLOYEE, F.col(f"{key}_bank"), F.lit(reason),
-                              F.col(f"{key}_total"), F.lit(risk), details, rule_id, prio, F.col("_norm")))
+    return _struct(F.col(f"{key}_name"), EMPLOYEE, F.col(f"{key}_bank"), F.lit(reason), F.col(f"{key}_total"),
+                   F.lit(risk), details, rule_id, prio, F.col("_norm"))
