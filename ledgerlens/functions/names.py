@@ -44,7 +44,9 @@ def normalize_name(c: Column | str, rules: AuditRules = DEFAULT_RULES, null_as:
     x = py_strip(F.regexp_replace(x, rf"(?U)[{_WS_CLASS}]+", " "))
     if rules.name_case_insensitive:
         x = F.lower(x)
-    return x
+    # never NULL; saying so lets Catalyst drop the inferred IS NOT NULL filter
+    # it would otherwise push below the projection and evaluate a second time
+    return F.coalesce(x, F.lit(""))
 
 
 def py_str(c: Column) -> Column:

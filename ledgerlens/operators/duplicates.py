@@ -101,8 +101,8 @@ def _key(branch: str, inv: Column, t: Column, a: Column) -> Column:
     return F.struct(F.lit(branch).alias("b"), inv.alias("i"), t.alias("t"), a.cast("bigint").alias("a"))
 
 
-def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFrame:
-    """Both rule branches in one join.  Every left row carries its own key per
+def _join_sides(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> tuple[DataFrame, DataFrame, list]:
+    """Left and right inputs of the banded self-join and its key columns.  Every left row carries its own key per
     branch; every right row carries its own key plus the neighbouring-bin copies.
     Branch I keys are (invoice, time bin) and feed DUP-1; branch A keys are
     (time bin, amount bin) and feed DUP-2/3."""
@@ -118,17 +118,27 @@ def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFr
         left_keys.append(_key(NEAR, F.lit(""), F.col("tbin"), F.col("abin")))
         right_keys.append(F.flatten(F.transform(
             "tkeys", lambda t: F.transform("akeys", lambda a: _key(NEAR, F.lit(""), t, a)))))
-    cols = ("rid", "name", "norm", "ts", "amt", "inv")
-    left = s.select(*[F.col(c).alias(f"{c}_1") for c in cols],
+    # payload: the left side carries the vendor name for the output, the right
+    # side only what the residual needs; the normalised name travels as the key
+    cols = ("rid", "ts", "amt", "inv")
+    left = s.select(F.col("norm").alias("kn"), F.col("name").alias("name_1"),
+                    *[F.col(c).alias(f"{c}_1") for c in cols],
                     F.explode(F.filter(F.array(*left_keys), lambda k: k.isNotNull())).alias("k"))
-    right = s.select(*[F.col(c).alias(f"{c}_2") for c in cols],
+    right = s.select(F.col("norm").alias("kn"), *[F.col(c).alias(f"{c}_2") for c in cols],
                      F.explode(F.concat(*right_keys) if len(right_keys) > 1 else right_keys[0]).alias("k"))
     keys = ["kn", "kb", "ki", "kt", "ka"]
 
-    def flat(df: DataFrame, n: int) -> DataFrame:
-        return df.select("*", F.col(f"norm_{n}").alias("kn"), F.col("k.b").alias("kb"), F.col("k.i").alias("ki"),
-                         F.col("k.t").alias("kt"), F.col("k.a").alias("ka")).drop("k")
-    left, right = flat(left, 1), flat(right, 2)
+    def flat(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("k.b").alias("kb"), F.col("k.i").alias("ki"), F.col("k.t").alias("kt"),
+                         F.col("k.a").alias("ka")).drop("k")
+    left, right = flat(left), flat(right)
+    return left, right, keys
+
+
+def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFrame:
+    """Both rule branches in one join: qualifying pairs, earlier payment first."""
+    left, right, keys = _join_sides(b, rules, invoice, near)
+    cols = ("rid", "ts", "amt", "inv")
     ts1, ts2, r1, r2 = F.col("ts_1"), F.col("ts_2"), F.col("rid_1"), F.col("rid_2")
     ordered = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
     days = F.ceil(F.timestamp_diff("MICROSECOND", ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
@@ -139,7 +149,7 @@ def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFr
     branch_ok = (F.col("kb") == INVOICE) | (close & ~same_invoice)
     j = (left.join(right, keys)
          .where(ordered & branch_ok)
-         .select(F.col("kb").alias("branch"), *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
+         .select(F.col("kb").alias("branch"), "name_1", *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
          .withColumn("days", days)
          .where(F.col("days") <= rules.dup_window_days))
     rule = (F.when(F.col("branch") == INVOICE, F.lit("DUP-1"))

@@ -97,8 +97,9 @@ def balanced(df: DataFrame) -> DataFrame:
     except Exception:  # sessions without RDD access (e.g. Spark Connect)
         return df
     # hash partitioning needs no per-partition sort for retry determinism,
-    # unlike a round-robin repartition
-    return df.repartition(target, *[F.col(c) for c in df.columns]) if splits < target else df
+    # unlike a round-robin repartition; hashing one column keeps column
+    # pruning working below the exchange
+    return df.repartition(target, F.col(df.columns[0])) if splits < target else df
 
 
 def fixture_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
