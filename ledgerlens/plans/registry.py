@@ -378,3 +378,30 @@ def _tax6(spark, sf_dir):
 def _tax7(spark, sf_dir):
     u = unified_findings(_scan(spark, sf_dir))
     return u.groupBy("category", "risk_level").agg(F.count(F.lit(1)).alias("findings"))
+
+
+# ---------------------------------------------------------------- entity resolution (no SQL oracle)
+from ..operators.entity_resolution import group_vendors, score_pairs  # noqa: E402
+
+
+def _paid_vs_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name paid on a bank account against the master's name for that account."""
+    t = fixture_tables(spark, sf_dir)
+    paid = t.ap.select("vendor_name", "bank_account").distinct()
+    master = t.vendor_master.select(F.col("vendor_name").alias("master_name"), "bank_account")
+    return score_pairs(paid.join(master, "bank_account"), "vendor_name", "master_name")
+
+
+@query("nam2_similarity_scores")
+def _nam2(spark, sf_dir):
+    return _paid_vs_master(spark, sf_dir).select("bank_account", "vendor_name", "master_name", "score")
+
+
+@query("nam3_same_vendor")
+def _nam3(spark, sf_dir):
+    return _paid_vs_master(spark, sf_dir).select("bank_account", "vendor_name", "master_name", "same_vendor")
+
+
+@query("nam4_vendor_groups")
+def _nam4(spark, sf_dir):
+    return group_vendors(fixture_tables(spark, sf_dir).ap, "vendor_name", "row_id")
