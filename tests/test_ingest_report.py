@@ -65,3 +65,18 @@ def test_driver_contract(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
     assert set(q) - set(sql) == {"nam2_similarity_scores", "nam3_same_vendor", "nam4_vendor_groups"}
+
+
+def test_export_skips_empty_families(spark):
+    import tempfile
+    from ledgerlens.plans.export import export_findings
+    from ledgerlens.plans.scan import run_scan
+    from ledgerlens.sources.fixtures import fixture_tables
+    t = fixture_tables(spark, "/root/testdata/sf0.001")
+    scan = run_scan(t.with_(payroll=None, employee_master=None), asof="2001-12-18", sort=False)
+    out = tempfile.mkdtemp(prefix="ledgerlens-export-")
+    written = export_findings(scan, out, fmt="csv")
+    assert any(w.endswith("ghost_vendors") for w in written)
+    assert not any(w.endswith("ghost_employees") for w in written)
+    back = spark.read.option("header", True).csv(written[0])
+    assert back.count() > 0
