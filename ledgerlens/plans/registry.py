@@ -190,7 +190,9 @@ FIXTURE_REVENUE = 1000000000000
 
 
 def _scan(spark: SparkSession, sf_dir: str):
-    return run_scan(fixture_tables(spark, sf_dir), asof=ASOF, sort=False)
+    """The full scan reads AP in four families, so AP is materialised once
+    (persisted; recomputed from lineage if an executor is lost)."""
+    return run_scan(fixture_tables(spark, sf_dir), asof=ASOF, sort=False, materialize="persist")
 
 
 @query("dup5_summary")

@@ -33,11 +33,16 @@ def family_totals(scan: ScanResult) -> DataFrame:
 
 def leakage_by_category(scan: ScanResult, revenue=None) -> DataFrame:
     """RPT-2: family totals plus a 'Total' row (the exact sum of the families);
-    ``pct_of_revenue`` only when ``revenue`` > 0."""
+    ``pct_of_revenue`` only when ``revenue`` > 0.  The total comes from a rollup,
+    so the families are computed once."""
     fam = family_totals(scan).select("ord", "category", "amount")
-    total = fam.agg(F.lit(len(FAMILIES)).alias("ord"), F.lit("Total").alias("category"),
-                    F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("amount"))
-    out = fam.unionByName(total)
+    rolled = (fam.rollup("ord", "category")
+              .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("amount"),
+                   F.grouping_id().alias("_g"))
+              .where(F.col("_g").isin(0, 3)))
+    out = rolled.select(F.when(F.col("_g") == 3, F.lit(len(FAMILIES))).otherwise(F.col("ord")).alias("ord"),
+                        F.when(F.col("_g") == 3, F.lit("Total")).otherwise(F.col("category")).alias("category"),
+                        "amount")
     if revenue is not None and Decimal(str(revenue)) > 0:
         pct = F.round(F.col("amount").cast("double") / F.lit(float(revenue)) * 100, 1)
     else:
@@ -155,38 +160,41 @@ def findings_preview(scan: ScanResult, n: int = PREVIEW_ROWS) -> DataFrame:
 
 def narrative(scan: ScanResult, company: str = "the company", period: str = "the current period",
               rules: AuditRules = DEFAULT_RULES) -> DataFrame:
-    """RPT-10: the summary paragraph as numbered lines, built from the totals
-    (at most five family rows, so the unpartitioned windows are tiny)."""
+    """RPT-10: the summary paragraph as numbered lines, built in one pass over
+    the family totals (at most five rows, so the unpartitioned windows are tiny)."""
     everything = Window.partitionBy()
+    by_amount = Window.orderBy(F.col("amount").desc(), "ord")
     f = (family_totals(scan)
          .withColumn("_total", F.sum("amount").over(everything).cast("decimal(38,2)"))
-         .withColumn("_items", F.sum("items").over(everything)))
-    tot = f.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("total"),
-                F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
-    ranked = f.where(F.col("amount") > 0).withColumn(
-        "_r", F.row_number().over(Window.orderBy(F.col("amount").desc(), "ord")))
-    lines = ranked.select(
-        (F.col("_r") + 2).alias("line"),
-        F.format_string("- %s: NGN %s (%s%%)", F.col("category"), money(F.col("amount")),
-                        F.format_number(F.col("amount").cast("double") / F.col("_total").cast("double") * 100, 1))
-        .alias("text"))
-    head = tot.select(F.lit(1).alias("line"), F.when(
-        F.col("total") > 0,
-        F.format_string(f"This audit of {company} for {period} identified total financial leakage of NGN %s "
-                        "across %d flagged items.", money(F.col("total")), F.col("items")))
-        .otherwise(F.lit(f"This audit of {company} for {period} found no significant financial leakage. "
-                         "All 5 detection engines returned clean results.")).alias("text"))
-    intro = tot.where(F.col("total") > 0).select(F.lit(2).alias("line"), F.lit("Breakdown by category:").alias("text"))
-    top = ranked.where(F.col("_r") == 1).select(
-        F.lit(100).alias("line"),
-        F.format_string("The most significant area of concern is %s, accounting for NGN %s. Immediate "
-                        "investigation and recovery action is recommended, starting with the highest-value "
-                        "findings.", F.col("category"), money(F.col("amount"))).alias("text"))
-    recovery = tot.where(F.col("total") > 0).select(
-        F.lit(101).alias("line"),
-        F.format_string("Expected recovery potential: 80%% of identified leakage (NGN %s).",
-                        money((F.col("total") * F.lit(rules.recovery_rate)).cast("decimal(38,2)"))).alias("text"))
-    return head.unionByName(intro).unionByName(lines).unionByName(top).unionByName(recovery)
+         .withColumn("_items", F.sum("items").over(everything))
+         .withColumn("_first", F.col("ord") == F.min("ord").over(everything))
+         .withColumn("_r", F.row_number().over(by_amount)))
+    total, positive, first = F.col("_total"), F.col("amount") > 0, F.col("_first")
+
+    def line(cond, no, text):
+        return F.when(cond, F.struct(F.lit(no).alias("line"), text.alias("text")))
+
+    head = F.when(total > 0, F.format_string(
+        f"This audit of {company} for {period} identified total financial leakage of NGN %s across %d flagged items.",
+        money(total), F.col("_items"))).otherwise(F.lit(
+            f"This audit of {company} for {period} found no significant financial leakage. "
+            "All 5 detection engines returned clean results."))
+    share = F.format_number(F.col("amount").cast("double") / total.cast("double") * 100, 1)
+    lines = [
+        line(first, 1, head),
+        line(first & (total > 0), 2, F.lit("Breakdown by category:")),
+        F.when(positive, F.struct((F.col("_r") + 2).cast("int").alias("line"),
+                                  F.format_string("- %s: NGN %s (%s%%)", F.col("category"), money(F.col("amount")),
+                                                  share).alias("text"))),
+        line(positive & (F.col("_r") == 1), 100, F.format_string(
+            "The most significant area of concern is %s, accounting for NGN %s. Immediate investigation and "
+            "recovery action is recommended, starting with the highest-value findings.",
+            F.col("category"), money(F.col("amount")))),
+        line(first & (total > 0), 101, F.format_string(
+            "Expected recovery potential: 80%% of identified leakage (NGN %s).",
+            money((total * F.lit(rules.recovery_rate)).cast("decimal(38,2)")))),
+    ]
+    return f.select(F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
 
 
 def clean_findings_text(scan: ScanResult) -> DataFrame:
