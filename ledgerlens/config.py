@@ -39,9 +39,9 @@ class AuditRules:
     dup_high: int = fv.DUP_HIGH
     dup_medium: int = fv.DUP_MEDIUM
     # time-bin width of the banded duplicate join, in multiples of the window
-    dup_time_bin_windows: int = 2
+    dup_time_bin_windows: int = 4
     # amount-bin width of the banded duplicate join, in multiples of the tolerance band
-    dup_amount_bin_bands: int = 4
+    dup_amount_bin_bands: int = 8
     # VAT / WHT
     vat_high: int = fv.VAT_HIGH
     vat_medium: int = fv.VAT_MEDIUM

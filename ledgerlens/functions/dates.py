@@ -33,12 +33,22 @@ def coerce_timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES
 
 
 def lit_ts(value) -> Column:
+    """A wall-clock instant; built from text so no time zone is involved."""
     from ..config import as_datetime
-    return F.lit(as_datetime(value)).cast("timestamp_ntz")
+    return F.lit(as_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def micros_of_day(ts: Column) -> Column:
+    seconds = F.date_part(F.lit("SECOND"), ts)          # seconds with the fraction
+    return (F.hour(ts).cast("bigint") * 3_600_000_000 + F.minute(ts).cast("bigint") * 60_000_000
+            + (seconds * 1_000_000).cast("bigint"))
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Elapsed wall-clock microseconds; calendar arithmetic only, so the result
+    does not depend on the session time zone (no daylight-saving hour)."""
+    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
+    return days * DAY_MICROS + micros_of_day(end) - micros_of_day(start)
 
 
 def days_floor(start: Column, end: Column) -> Column:

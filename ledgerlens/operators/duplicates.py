@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, AuditRules
-from ..functions.dates import DAY_MICROS, day_text
+from ..functions.dates import DAY_MICROS, day_text, micros_between
 from ..functions.names import normalize_name, py_str, py_strip
 from ..functions.tax import tier
 from ..functions.text import naira
@@ -54,7 +54,7 @@ _EPOCH = _dt.datetime(1970, 1, 1)
 
 
 def _epoch_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), ts)
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
@@ -126,12 +126,16 @@ def _join_sides(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> t
                     F.explode(F.filter(F.array(*left_keys), lambda k: k.isNotNull())).alias("k"))
     right = s.select(F.col("norm").alias("kn"), *[F.col(c).alias(f"{c}_2") for c in cols],
                      F.explode(F.concat(*right_keys) if len(right_keys) > 1 else right_keys[0]).alias("k"))
-    keys = ["kn", "kb", "ki", "kt", "ka"]
-
-    def flat(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("k.b").alias("kb"), F.col("k.i").alias("ki"), F.col("k.t").alias("kt"),
-                         F.col("k.a").alias("ka")).drop("k")
-    left, right = flat(left), flat(right)
+    # the sort-merge join sorts on a 64-bit hash of the string part of the key
+    # (names often share long prefixes, which defeats the sort's prefix
+    # comparison); exact string equality is checked in the residual
+    keys = ["kh", "kt", "ka"]
+
+    def flat(df: DataFrame, n: int) -> DataFrame:
+        return df.select("*", F.xxhash64("kn", "k.b", "k.i").alias("kh"), F.col("k.t").alias("kt"),
+                         F.col("k.a").alias("ka"), F.col("kn").alias(f"kn_{n}"), F.col("k.b").alias(f"kb_{n}"),
+                         F.col("k.i").alias(f"ki_{n}")).drop("k", "kn")
+    left, right = flat(left, 1), flat(right, 2)
     return left, right, keys
 
 
@@ -141,15 +145,17 @@ def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFr
     cols = ("rid", "ts", "amt", "inv")
     ts1, ts2, r1, r2 = F.col("ts_1"), F.col("ts_2"), F.col("rid_1"), F.col("rid_2")
     ordered = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
-    days = F.ceil(F.timestamp_diff("MICROSECOND", ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
+    days = F.ceil(micros_between(ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
     a1, a2 = F.col("amt_1"), F.col("amt_2")
     tol = F.lit(rules.dup_amount_tolerance)
     close = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2))) | ((a1 < 0) & (a2 < 0)))
     same_invoice = (F.col("inv_1") == F.col("inv_2")) & ~F.col("inv_1").isin("", "nan")
-    branch_ok = (F.col("kb") == INVOICE) | (close & ~same_invoice)
+    same_key = ((F.col("kn_1") == F.col("kn_2")) & (F.col("kb_1") == F.col("kb_2"))
+                & (F.col("ki_1") == F.col("ki_2")))
+    branch_ok = (F.col("kb_1") == INVOICE) | (close & ~same_invoice)
     j = (left.join(right, keys)
-         .where(ordered & branch_ok)
-         .select(F.col("kb").alias("branch"), "name_1", *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
+         .where(same_key & ordered & branch_ok)
+         .select(F.col("kb_1").alias("branch"), "name_1", *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
          .withColumn("days", days)
          .where(F.col("days") <= rules.dup_window_days))
     rule = (F.when(F.col("branch") == INVOICE, F.lit("DUP-1"))
