@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The audited application reads whole uploaded tables and has no streaming,
+watermark, windowed-aggregation or state features, so nothing here is needed
+for parity.  The detectors are plain DataFrame plans and can run inside a
+``foreachBatch`` sink if a caller streams payments in.
+"""
