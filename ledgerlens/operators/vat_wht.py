@@ -85,7 +85,7 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
     zero = F.lit(0).cast(MONEY)
     base = ap.select(
         row_order(ap).alias("_rid"),
-        (py_str(F.col("vendor_name")) if "vendor_name" in ap.columns else F.lit("Unknown")).alias("_vendor"),
+        (F.col("vendor_name").cast("string") if "vendor_name" in ap.columns else F.lit("Unknown")).alias("_vendor"),
         timestamp(ap, dcol, rules).alias("_ts"),
         money(ap, "amount").alias("_amt"),
         (F.lower(py_str(F.col("expense_category"))) if "expense_category" in ap.columns else F.lit("")).alias("_cat"),
@@ -112,7 +112,7 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
         "VAT Under-deducted", "Not deducted", expected_vat, expected_vat,
         tier(expected_vat, [(rules.vat_high, "High"), (rules.vat_medium, "Medium")], "Low"),
         F.format_string("VAT of %s should have been deducted on payment of %s to %s",
-                        naira(expected_vat), naira(amt), F.col("_vendor")), "VAT-2")
+                        naira(expected_vat), naira(amt), py_str(F.col("_vendor"))), "VAT-2")
     vat_unrem = _finding(
         "VAT Unremitted", "Deducted but not remitted", vat, vat_liab,
         tier(vat_liab, [(rules.unremitted_high, "High")], "Medium"),
@@ -130,7 +130,7 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
         "WHT Under-deducted", "Not deducted", expected_wht, expected_wht,
         tier(expected_wht, [(rules.wht_medium, "Medium")], "Low"),
         F.format_string("WHT of %s should have been deducted on payment of %s to %s (category: %s)",
-                        naira(expected_wht), naira(amt), F.col("_vendor"), keyword), "VAT-4")
+                        naira(expected_wht), naira(amt), py_str(F.col("_vendor")), keyword), "VAT-4")
     wht_unrem = _finding(
         "WHT Unremitted", "Deducted but not remitted", wht, wht_liab,
         tier(wht_liab, [(rules.unremitted_high, "High")], "Medium"),

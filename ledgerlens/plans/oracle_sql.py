@@ -191,7 +191,7 @@ _REMITTED = f"""
 """
 
 _VAT_B = f"""
-, a AS (SELECT row_id, {_py_text('vendor_name')} AS vendor, payment_date AS ts, amount AS amt,
+, a AS (SELECT row_id, vendor_name AS vendor, {_py_text('vendor_name')} AS vendor_txt, payment_date AS ts, amount AS amt,
                lower({_py_text('expense_category')}) AS cat, vat_amount AS vat, wht_amount AS wht,
                strftime(payment_date, '%Y-%m') AS period, {days_floor('payment_date', ASOF)} AS days
         FROM ap WHERE payment_date IS NOT NULL AND amount > 0)
@@ -202,7 +202,7 @@ _VAT_B = f"""
 , vat2 AS (SELECT 'VAT Under-deducted' AS issue_type, vendor AS vendor_name, amt AS payment_amount, exp_vat AS expected_tax,
                   'Not deducted' AS remittance_status, exp_vat AS estimated_liability, period,
                   CASE WHEN exp_vat >= 500000 THEN 'High' WHEN exp_vat >= 50000 THEN 'Medium' ELSE 'Low' END AS risk_level,
-                  'VAT of ₦' || {money('exp_vat')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor AS details,
+                  'VAT of ₦' || {money('exp_vat')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor_txt AS details,
                   'VAT-2' AS rule_id, row_id FROM w2 WHERE amt >= 50000 AND vat = 0)
 , vat3(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'VAT Unremitted', vendor, amt, vat, 'Deducted but not remitted', vat + vat_pen, period,
                   CASE WHEN vat + vat_pen >= 500000 THEN 'High' ELSE 'Medium' END,
@@ -212,7 +212,7 @@ _VAT_B = f"""
              AND NOT EXISTS (SELECT 1 FROM remitted_ok r WHERE r.tax_type = 'VAT' AND r.period = w2.period))
 , vat4(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'WHT Under-deducted', vendor, amt, exp_wht, 'Not deducted', exp_wht, period,
                   CASE WHEN exp_wht >= 50000 THEN 'Medium' ELSE 'Low' END,
-                  'WHT of ₦' || {money('exp_wht')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor || ' (category: ' || kw || ')',
+                  'WHT of ₦' || {money('exp_wht')} || ' should have been deducted on payment of ₦' || {money('amt')} || ' to ' || vendor_txt || ' (category: ' || kw || ')',
                   'VAT-4', row_id FROM w2 WHERE exp_wht > 0 AND wht = 0)
 , vat5(issue_type, vendor_name, payment_amount, expected_tax, remittance_status, estimated_liability, period, risk_level, details, rule_id, row_id) AS (SELECT 'WHT Unremitted', vendor, amt, wht, 'Deducted but not remitted', wht + 25000, period,
                   CASE WHEN wht + 25000 >= 500000 THEN 'High' ELSE 'Medium' END,

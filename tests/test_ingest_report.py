@@ -80,3 +80,13 @@ def test_export_skips_empty_families(spark):
     assert not any(w.endswith("ghost_employees") for w in written)
     back = spark.read.option("header", True).csv(written[0])
     assert back.count() > 0
+
+
+def test_ghost_family_always_reported(spark):
+    from ledgerlens.plans import report
+    from ledgerlens.plans.scan import run_scan
+    from ledgerlens.sources.fixtures import fixture_tables
+    t = fixture_tables(spark, "/root/testdata/sf0.001")
+    scan = run_scan(t.with_(vendor_master=None, employee_master=None), asof="2001-12-18", sort=False)
+    leak = {r["category"]: r["amount"] for r in report.leakage_by_category(scan).collect()}
+    assert leak["Ghost"] == 0 and set(leak) == {"Duplicates", "VAT/WHT", "Expenses", "Ghost", "Tax Risk", "Total"}
