@@ -2,8 +2,8 @@
 
 Runs each query to completion with the ``noop`` sink (the full plan executes,
 nothing is collected to the driver) and prints one JSON line.  Before timing,
-the same queries run once over the smallest fixture (BENCH_WARMUP_DIR) so
-that JVM class loading and whole-stage code generation are not billed to the
+the same queries run once over a smaller fixture (BENCH_WARMUP_DIR, sf0.01) so
+that JVM class loading, code generation and JIT compilation are not billed to the
 first measured query; the timed runs read only the target scale factor.
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPEAT (default 1; the best of N runs is reported per query).
@@ -46,7 +46,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, app="ledgerlens-bench", memory="16g",
                           extra={"spark.sql.shuffle.partitions": str(max(8, int(cpus) * 2))})
-    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm):
         for name in names:
             run(spark, name, warm)
