@@ -517,7 +517,7 @@ register("src9_record_counts", """
         UNION ALL SELECT 'tax_remittance', count(*) FROM tax_remittance
         UNION ALL SELECT 'vendor_master', count(*) FROM vendor_master
         UNION ALL SELECT 'employee_master', count(*) FROM employee_master)
-SELECT * FROM c UNION ALL SELECT 'total', sum(rows) FROM c WHERE "table" IN ('ap', 'payroll', 'tax_remittance')""")
+SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(rows) AS BIGINT) FROM c WHERE "table" IN ('ap', 'payroll', 'tax_remittance')""")
 register("nam1_normalized_names", f"""
 SELECT source, vendor_name, {norm('vendor_name')} AS normalized FROM (
   SELECT DISTINCT 'ap' AS source, vendor_name FROM ap

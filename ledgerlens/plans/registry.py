@@ -349,7 +349,7 @@ def _tax2(spark, sf_dir):
 @query("tax3_paye_annual")
 def _tax3(spark, sf_dir):
     p = fixture_tables(spark, sf_dir).payroll
-    annual = (p.groupBy("employee_name", F.year("month").alias("year"))
+    annual = (p.groupBy("employee_name", F.year("month").cast("bigint").alias("year"))
               .agg(F.sum("gross_salary").alias("annual_gross")))
     return boundary(annual.withColumn("paye", tx.paye_on(F.col("annual_gross"))))
 

@@ -80,7 +80,7 @@ def leakage_breakdown(scan: ScanResult) -> DataFrame:
     total = F.sum("amount").over(w_all)
     return f.select("category", "amount",
                     F.round(F.col("amount").cast("double") / total.cast("double") * 100, 1).alias("share_pct"),
-                    F.row_number().over(w_rank).alias("rank"))
+                    F.row_number().over(w_rank).cast("bigint").alias("rank"))
 
 
 def findings_summary(scan: ScanResult, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
@@ -129,7 +129,8 @@ def top_actions(scan: ScanResult, n: int = TOP_ACTIONS) -> DataFrame:
     for p in parts:
         u = p.unionByName(u)
     ranked = u.orderBy("_grp", "_k").limit(n)
-    return ranked.select(F.row_number().over(Window.orderBy("_grp", "_k")).alias("rank"), "action", "amount")
+    return ranked.select(F.row_number().over(Window.orderBy("_grp", "_k")).cast("bigint").alias("rank"),
+                         "action", "amount")
 
 
 def recommended_actions(scan: ScanResult, rules: AuditRules = DEFAULT_RULES,
@@ -154,7 +155,7 @@ def findings_preview(scan: ScanResult, n: int = PREVIEW_ROWS) -> DataFrame:
     first = F.when(F.col("category") == "Tax Risk", F.col("sub_category")).otherwise(F.lit(""))
     w = Window.partitionBy("category", "_part").orderBy(first, F.col("amount").desc(), F.col("finding_id"))
     part = F.when(F.col("category") == "Ghost", F.split("finding_id", r"\|").getItem(0)).otherwise(F.lit(""))
-    return (u.withColumn("_part", part).withColumn("rank", F.row_number().over(w))
+    return (u.withColumn("_part", part).withColumn("rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("rank") <= n).drop("_part"))
 
 
@@ -172,7 +173,7 @@ def narrative(scan: ScanResult, company: str = "the company", period: str = "the
     total, positive, first = F.col("_total"), F.col("amount") > 0, F.col("_first")
 
     def line(cond, no, text):
-        return F.when(cond, F.struct(F.lit(no).alias("line"), text.alias("text")))
+        return F.when(cond, F.struct(F.lit(no).cast("bigint").alias("line"), text.alias("text")))
 
     head = F.when(total > 0, F.format_string(
         f"This audit of {company} for {period} identified total financial leakage of NGN %s across %d flagged items.",
@@ -183,7 +184,7 @@ def narrative(scan: ScanResult, company: str = "the company", period: str = "the
     lines = [
         line(first, 1, head),
         line(first & (total > 0), 2, F.lit("Breakdown by category:")),
-        F.when(positive, F.struct((F.col("_r") + 2).cast("int").alias("line"),
+        F.when(positive, F.struct((F.col("_r") + 2).cast("bigint").alias("line"),
                                   F.format_string("- %s: NGN %s (%s%%)", F.col("category"), money(F.col("amount")),
                                                   share).alias("text"))),
         line(positive & (F.col("_r") == 1), 100, F.format_string(
