@@ -150,11 +150,14 @@ def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFr
     tol = F.lit(rules.dup_amount_tolerance)
     close = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2))) | ((a1 < 0) & (a2 < 0)))
     same_invoice = (F.col("inv_1") == F.col("inv_2")) & ~F.col("inv_1").isin("", "nan")
-    same_key = ((F.col("kn_1") == F.col("kn_2")) & (F.col("kb_1") == F.col("kb_2"))
-                & (F.col("ki_1") == F.col("ki_2")))
     branch_ok = (F.col("kb_1") == INVOICE) | (close & ~same_invoice)
-    j = (left.join(right, keys)
-         .where(same_key & ordered & branch_ok)
+    # one explicit equi-condition, hash first: Catalyst keeps the conjunct order
+    # for the sort keys, so rows compare on the 64-bit prefix before any string
+    on = ([left[k] == right[k] for k in keys]
+          + [F.col("kn_1") == F.col("kn_2"), F.col("kb_1") == F.col("kb_2"), F.col("ki_1") == F.col("ki_2")])
+    j = (left.join(right, on)
+         .drop(right["kh"]).drop(right["kt"]).drop(right["ka"])
+         .where(ordered & branch_ok)
          .select(F.col("kb_1").alias("branch"), "name_1", *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
          .withColumn("days", days)
          .where(F.col("days") <= rules.dup_window_days))
