@@ -19,7 +19,6 @@ pair.  AQE's skew-join handling splits any bin that is still hot.
 
 from __future__ import annotations
 
-import datetime as _dt
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +49,6 @@ DUP_SCHEMA = T.StructType([
 ])
 
 NEGATIVE_BIN = -(1 << 62)
-_EPOCH = _dt.datetime(1970, 1, 1)
 
 
 def _epoch_micros(ts: Column) -> Column:

@@ -60,7 +60,3 @@ def text(df: DataFrame, name: str) -> Column:
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
-
-def non_empty(df: DataFrame) -> Column:
-    """Plan-side test that ``df`` has a row (an EXISTS subquery, evaluated once)."""
-    return df.exists()

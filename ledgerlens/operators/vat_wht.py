@@ -9,8 +9,6 @@ is bounded by the calendar (12 rows a year), which makes the broadcast safe.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
