@@ -15,3 +15,6 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
 }
+
+#: DuckDB statements over the same tables, where SQL can express the operator.
+SQL: dict[str, str] = {}
