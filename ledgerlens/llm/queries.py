@@ -3,17 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import minhash_dedup
+from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, minhash_dedup, mixing, packing, rule_ensemble, secret_scan
 from ledgerlens.llm.common import read
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_quality.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digest(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(read(spark, sf_dir, "conversations"))
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_entropy"))
+
+
 QUERIES = {
-    "op1_minhash_dedup": op1_minhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_mixing, op3_line_quality, op4_packing, op5_grid_join, op6_chat_format, op7_rule_ensemble, op8_language_id,
+        op9_length_histogram, op10_secret_scan)
 }
 
 #: DuckDB statements over the same tables, where SQL can express the operator.

@@ -62,8 +62,8 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def chunks(column: pa.Array) -> Iterator[Texts]:
-    """The texts of an Arrow string column (null: empty) in pieces of about ``CHUNK_BYTES``."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Texts]:
+    """The texts of an Arrow string column (null: empty) in pieces of about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -74,7 +74,7 @@ def chunks(column: pa.Array) -> Iterator[Texts]:
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         to = min(max(to, at + 1), len(column))
         yield Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
         at = to
