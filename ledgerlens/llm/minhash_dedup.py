@@ -8,17 +8,20 @@ band with probability J ** ROWS; with 48 bands of 5 values a pair at J = 0.75
 shares none with probability 2e-6 (at J = 0.8, 1e-8).
 
 Documents that share a band are candidates.  Links are confirmed by counting the
-common shingles of the whole sets.  Candidates are worked off in two steps so
-that no group is expanded into all its pairs:
+common shingles of the whole sets.  Candidates are worked off so that no group is
+expanded into all its pairs:
 
-1. every document is held against the bucket leader that it meets in most of its
-   buckets; confirmed links give components;
-2. only members of one bucket that are still in different components are held
-   against each other, after a test on lengths and on a bit sketch of the
-   signatures that rejects pairs whose similarity is surely too low.
+1. In ``ROUNDS`` rounds every bucket has a leader, another one each time, and every
+   document is held against the ``LEADERS`` of them that it meets in most of its
+   buckets.  Confirmed links give components; a bucket within one component is done.
+2. Members of one bucket that are then still in different components are compared:
+   documents without a link one by one, others with all of a component's documents
+   in hubs of ``HUB_DOCUMENTS``.
 
-A pair in one bucket is then either confirmed, rejected by its full sets, or
-already in one component, so components are those of all links.
+Before sets are compared, pairs are tested on lengths and on a sketch of the
+signatures that rejects those whose similarity is surely too low.  A pair in one
+bucket is then either confirmed, rejected, or already in one component, so
+components are those of all links.
 
 Equal sets are one class from the start; a class is represented by its smallest
 doc_id.  Rows that share a doc_id are one node.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import textarrays as ta
@@ -41,9 +44,12 @@ SIMILARITY_PERCENT = 75
 BANDS = 48
 ROWS = 5
 PERMUTATIONS = BANDS * ROWS // 2
-SKETCH_BITS = 2 * PERMUTATIONS
+#: Leader rounds, and leaders that a document is held against in each.
+ROUNDS, LEADERS = 3, 4
 #: Shingles of one verification group; larger groups are split.
-GROUP_SHINGLES = 400_000
+GROUP_SHINGLES = 100_000
+#: Documents of one component that are compared as one hub in the last step.
+HUB_DOCUMENTS = 64
 #: Set elements that are permuted at once.
 _SLICE = 1 << 15
 
@@ -95,18 +101,36 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return ta.mix(keys).T.copy().view(np.int64)
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """One bit of each signature value, packed into signed 64-bit words (sets x 4)."""
-    flat = signature.reshape(SKETCH_BITS, -1)
-    bits = (ta.mix(flat.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    packed = np.zeros((256, flat.shape[1]), np.uint8)
-    packed[:SKETCH_BITS] = bits
-    return np.packbits(packed, axis=0).T.copy().view(np.int64)
+#: 64-bit words of a sketch, which holds four bits of each signature value.
+SKETCH_WORDS = 2 * PERMUTATIONS // 16
+#: Signature values in which sketches may differ.  At J = 0.75 one differs with
+#: probability 15/64: 56 of 240 on average, standard deviation 6.6; 99 is six and a
+#: half deviations away (probability 1e-10), and the average at J = 0.56.
+SKETCH_MAX = 99
+
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, packed into signed 64-bit words (sets x SKETCH_WORDS)."""
+    flat = signature.reshape(2 * PERMUTATIONS, -1)
+    nibble = ta.mix(flat.astype(np.uint64)) & np.uint64(15)
+    words = nibble.reshape(SKETCH_WORDS, 16, -1)
+    packed = np.zeros((SKETCH_WORDS, words.shape[2]), np.uint64)
+    for k in range(16):
+        packed |= words[:, k] << np.uint64(4 * k)
+    return packed.T.copy().view(np.int64)
+
+
+def similar_enough(x: str, y: str) -> Column:
+    """Can the sets of the aliased rows (n, sketch) reach the similarity?"""
+    differing = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        d = F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(d)
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (n * 100 >= m * SIMILARITY_PERCENT) & (m * 100 >= n * SIMILARITY_PERCENT) & (differing <= SKETCH_MAX)
 
-#: Bits in which sketches may differ.  At J = 0.75 a bit differs with probability
-#: 1/8: 30 of 240 on average, standard deviation 5.1; 66 is seven deviations away.
-SKETCH_MAX = 66
 
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
 
@@ -119,7 +143,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = np.diff(bounds)
             some = n > 0
             packed = np.zeros((len(texts), BANDS), np.int64)
-            sketch = np.zeros((len(texts), 4), np.int64)
+            sketch = np.zeros((len(texts), SKETCH_WORDS), np.int64)
             sums = np.zeros((2, len(texts)), np.uint64)
             if some.any():
                 starts = np.append(bounds[:-1][some], bounds[-1])
@@ -132,7 +156,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     ids.slice(texts.first, len(texts)), pa.array(n.astype(np.int64)),
                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel()), BANDS).cast(pa.list_(pa.int64())),
-                    pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), 4).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
             )
@@ -144,23 +168,23 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, is_hub, doc_id, text) come sorted, a hub's own rows before its candidates."""
-    hub, sets = None, []
+    """Rows (hub, is_candidate, id, text) come sorted, a hub's members before its candidates."""
+    hub, members = None, []
     for batch in batches:
-        ids, own, hubs = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
+        hubs, candidate, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         found_a, found_b = [], []
         for texts in ta.chunks(batch.column(3)):
             values, bounds = ta.shingle_sets(texts, SHINGLE_WORDS)
             for i in range(len(texts)):
                 row = texts.first + i
-                mine = values[bounds[i] : bounds[i + 1]]
+                own = values[bounds[i] : bounds[i + 1]]
                 if hubs[row] != hub:
-                    hub, sets = hubs[row], []
-                if own[row] == 0:
-                    sets.append(mine.copy())
-                elif any(_linked(mine, other) for other in sets):
+                    hub, members = hubs[row], []
+                if not candidate[row]:
+                    members.append((ids[row], own.copy()))
+                elif (link := next((m for m, other in members if _linked(own, other)), None)) is not None:
                     found_a.append(ids[row])
-                    found_b.append(hub)
+                    found_b.append(link)
         yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
 
@@ -172,26 +196,92 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY_PERCENT * (len(x) + len(y) - common)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets are similar enough.
+def confirm(pairs: DataFrame, members: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) of the documents a of ``pairs(a, hub)`` to a member b of the hub, by whole shingle sets.
+
+    ``members(hub, id)``: a few documents each; one link per document and hub is
+    returned.  A hub with many candidates is split into groups of about
+    ``GROUP_SHINGLES`` shingles, each with its own copy of the members' texts;
+    within a task rows stream by, and only the members' sets are kept.
+    """
+    sized = pairs.join(sizes, pairs["a"] == sizes["id"]).select("a", "hub", "n")
+    groups = sized.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("groups"))
+    candidates = sized.join(groups, "hub").select(
+        F.col("a").alias("id"), "hub", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part"), F.lit(1).alias("is_candidate"))
+    part = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")
+    own = members.join(groups, "hub").select("id", "hub", part, F.lit(0).alias("is_candidate"))
+    rows = candidates.unionByName(own).join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id"))
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "is_candidate")
+    return rows.select("hub", "is_candidate", "id", "text").mapInArrow(_confirm_batches, "a long, b long").distinct()
+
+
+def confirm_pairs(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link: every b is a hub of itself."""
+    hubs = pairs.select(F.col("b").alias("hub"), F.col("b").alias("id")).distinct()
+    return confirm(pairs.withColumnRenamed("b", "hub"), hubs, docs, sizes)
+
+
+def _shared_buckets(reps: DataFrame) -> DataFrame:
+    """(band, id) of the buckets with two members or more."""
+    buckets = reps.select("id", F.explode("bands").alias("band")).distinct()
+    many = buckets.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    return materialize(buckets.join(many, "band"))
+
+
+def _placed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(band, id, label): with the component of each member, its own id if it has no link yet."""
+    if label is None:
+        return shared.withColumn("label", F.col("id"))
+    return shared.join(label, shared["id"] == label["node"], "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+
+
+def _leader_pairs(placed: DataFrame, reps: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a: document, b: leader) of this round, not tried before, that can be similar enough.
 
-    Texts travel once to each hub ``b`` that they are held against.  A hub with
-    many candidates is split into groups of about ``GROUP_SHINGLES`` shingles,
-    each with its own copy of the hub's text; within a task rows stream by, and
-    only the hub's set is kept.
+    The leader of a bucket is its member with the smallest hash of id and round.
     """
-    sized = pairs.join(sizes, pairs["a"] == sizes["id"]).select("a", "b", "n")
-    groups = sized.groupBy("b").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("groups"))
-    member = sized.join(groups, "b").select(
-        F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part"),
-        F.lit(1).alias("is_member"))
-    own = groups.select(
-        F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"),
-        F.lit(0).alias("is_member"))
-    rows = member.unionByName(own).join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id"))
-    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "is_member")
-    rows = rows.select("hub", "is_member", "id", "text")
-    return rows.mapInArrow(_confirm_batches, "a long, b long").distinct()
+    leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("leader")
+    leaders = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader).where("low <> high")
+    leaders = leaders.select("band", F.col("leader.id").alias("b"), F.col("leader.label").alias("of"))
+    votes = placed.join(leaders, "band").where("label <> of").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("votes"))
+    if tried is not None:
+        votes = votes.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    x, y = reps.select("id", "n", "sketch").alias("x"), reps.select("id", "n", "sketch").alias("y")
+    near = votes.join(x, votes["a"] == F.col("x.id")).join(y, (votes["b"] == F.col("y.id")) & similar_enough("x", "y"))
+    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    ranked = near.select("a", "b", "votes").withColumn("rank", F.row_number().over(best))
+    return materialize(ranked.where(F.col("rank") <= LEADERS).select("a", "b"))
+
+
+def _remaining(placed: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left to compare: pairs (a, b), pairs (a, hub), and the hubs' members (hub, id).
+
+    First the documents are found that share a bucket with a similar enough partner
+    of another component.  A component's documents are dealt to hubs of about
+    ``HUB_DOCUMENTS``; a document of a smaller component that shares a bucket with
+    any of them is held against the whole hub, so a component of m documents costs
+    m / ``HUB_DOCUMENTS`` rows per document outside and not m.  Documents that are
+    alone in their component are paired one by one.
+    """
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = materialize(placed.join(mixed.select("band"), "band").join(reps.select("id", "n", "sketch"), "id"))
+    x, y = rows.alias("x"), rows.alias("y")
+    similar = (F.col("x.label") != F.col("y.label")) & similar_enough("x", "y")
+    wanted = x.join(y, (F.col("x.band") == F.col("y.band")) & similar, "left_semi").select("id", "label").distinct()
+    wanted = materialize(wanted)
+    size = wanted.groupBy("label").agg(F.count("*").alias("size"))
+    hub = F.xxhash64("label", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / HUB_DOCUMENTS)))
+    rows = materialize(rows.join(wanted.join(size, "label").select("id", "size", hub.alias("hub")), "id"))
+
+    x, hubs = rows.alias("x"), rows.where("size > 1").select("band", "hub", "label", "size").distinct().alias("h")
+    smaller = (F.col("x.size") < F.col("h.size")) | ((F.col("x.size") == F.col("h.size")) & (F.col("x.label") > F.col("h.label")))
+    to_hubs = x.join(hubs, (F.col("x.band") == F.col("h.band")) & (F.col("x.label") != F.col("h.label")) & smaller)
+    to_hubs = to_hubs.select(F.col("x.id").alias("a"), F.col("h.hub").alias("hub")).distinct()
+    alone = rows.where("size = 1")
+    x, y = alone.alias("x"), alone.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & similar)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return pairs, to_hubs, rows.where("size > 1").select("hub", "id").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,32 +306,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = materialize(reps.where("n_shingles > 1").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"))
     sizes = reps.groupBy("id").agg(F.max("n").alias("n"))
 
-    buckets = reps.select("id", F.explode("bands").alias("band")).distinct()
-    leaders = buckets.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members"))
-    shared = materialize(buckets.join(leaders.where("members > 1"), "band").select("band", "id", "leader"))
-    votes = shared.where("id <> leader").groupBy("id", "leader").count()
-    first = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("leader"))).alias("best"))
-    first = first.select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b"))
-    links = materialize(confirm(first, docs, sizes))
-
-    label = connected_components(links)
-    placed = shared.join(label, shared["id"] == label["node"], "left")
-    placed = placed.select("band", "id", F.coalesce("component", "id").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    left = materialize(placed.join(mixed.select("band"), "band").join(reps.select("id", "n", "sketch"), "id"))
-    x, y = left.alias("x"), left.alias("y")
-    differing = sum(
-        (F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(1, 4)),
-        F.bit_count(F.col("x.sketch")[0].bitwiseXOR(F.col("y.sketch")[0])))
-    near = (
-        (F.col("x.label") != F.col("y.label")) & (F.col("x.id") > F.col("y.id"))
-        & (F.col("x.n") * 100 >= F.col("y.n") * SIMILARITY_PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * SIMILARITY_PERCENT)
-        & (differing <= SKETCH_MAX))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = materialize(confirm(materialize(rest), docs, sizes))
-
-    final = connected_components(links.unionByName(more).unionByName(same).distinct())
+    shared = _shared_buckets(reps)
+    links = label = tried = None
+    for turn in range(ROUNDS):
+        placed = _placed(shared, label)
+        pairs = _leader_pairs(placed, reps, tried, turn)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = materialize(confirm_pairs(pairs, docs, sizes))
+        links = more if links is None else links.unionByName(more)
+        label = connected_components(links)
+    pairs, to_hubs, members = _remaining(_placed(shared, label), reps)
+    back = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = materialize(pairs.join(tried.unionByName(back), ["a", "b"], "left_anti"))
+    links = links.unionByName(materialize(confirm_pairs(pairs, docs, sizes)))
+    links = links.unionByName(materialize(confirm(materialize(to_hubs), materialize(members), docs, sizes)))
+
+    final = connected_components(links.unionByName(same).distinct())
     out = signed.select("doc_id", "n_shingles").join(final, signed["doc_id"] == final["node"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
