@@ -9,7 +9,7 @@ detectors that need "now", so results never depend on the wall clock.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from decimal import Decimal
 
 from . import fixed_values as fv
@@ -38,8 +38,6 @@ class AuditRules:
     dup_amount_tolerance: Decimal = fv.DUP_AMOUNT_TOLERANCE
     dup_high: int = fv.DUP_HIGH
     dup_medium: int = fv.DUP_MEDIUM
-    # time-bin width of the banded duplicate join, in multiples of the window
-    dup_time_bin_windows: int = 4
     # amount-bin width of the banded duplicate join, in multiples of the tolerance band
     dup_amount_bin_bands: int = 8
     # VAT / WHT
@@ -71,10 +69,10 @@ class AuditRules:
     severity_critical: int = fv.SEVERITY_CRITICAL
     severity_high: int = fv.SEVERITY_HIGH
     recovery_rate: Decimal = fv.RECOVERY_RATE
-    date_formats: tuple[str, ...] = field(default=(
-        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd",
-        "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM",
-    ))
+    # spellings of dates that are not in ISO order; day before month throughout
+    date_formats: tuple[str, ...] = ("yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy")
+    # (column, format): the one format of a column, e.g. ("payment_date", "M/d/yyyy")
+    column_formats: tuple[tuple[str, str], ...] = ()
 
 
 DEFAULT_RULES = AuditRules()

@@ -1,14 +1 @@
-"""Column functions: names, dates, tax arithmetic, report text, similarity."""
-
-from .dates import coerce_timestamp, days_ceil, days_floor, month_start, month_text
-from .names import normalize_name, py_str, py_strip
-from .tax import (due_date, late_penalty, paye_on, should_have_vat, tier, vat_on, wht_category,
-                  wht_on, wht_rate)
-from .text import clean_text, money, naira
-
-__all__ = [
-    "coerce_timestamp", "days_ceil", "days_floor", "month_start", "month_text",
-    "normalize_name", "py_str", "py_strip",
-    "due_date", "late_penalty", "paye_on", "should_have_vat", "tier", "vat_on", "wht_category",
-    "wht_on", "wht_rate", "clean_text", "money", "naira",
-]
+"""Column functions: names, dates, tax arithmetic, similarity and report text."""

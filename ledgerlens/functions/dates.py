@@ -8,8 +8,6 @@ payments ordered by time.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +15,17 @@ from pyspark.sql import types as T
 from ..config import DEFAULT_RULES, AuditRules
 
 DAY_MICROS = 86_400_000_000
+ISO_DATE = r"^\d{4}-\d{1,2}(-\d{1,2}([T ].*)?)?$"
 
 
 def coerce_timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES) -> Column:
-    """Column ``name`` as TIMESTAMP_NTZ; unparseable text becomes NULL (SRC-7)."""
+    """Column ``name`` as TIMESTAMP_NTZ; unparseable text becomes NULL (SRC-7).
+
+    Text in ISO order is read as it stands, with or without time, fraction and
+    zone (the wall clock counts).  Other spellings are dates, read by
+    ``rules.column_formats[name]`` if the caller gives one format for the column,
+    else by ``rules.date_formats``, which agree on the order of day and month.
+    """
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
@@ -28,8 +33,11 @@ def coerce_timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     text = F.trim(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in rules.date_formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    own = dict(rules.column_formats).get(name)
+    formats = (own,) if own else rules.date_formats
+    parsed = [F.try_to_date(text, fmt).cast("timestamp_ntz") for fmt in formats]
+    iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz"))
+    return F.coalesce(iso, *parsed)
 
 
 def lit_ts(value) -> Column:
@@ -56,11 +64,6 @@ def days_floor(start: Column, end: Column) -> Column:
     return F.floor(micros_between(start, end) / F.lit(float(DAY_MICROS))).cast("bigint")
 
 
-def days_ceil(start: Column, end: Column) -> Column:
-    """Whole days from ``start`` to ``end``, rounded up."""
-    return F.ceil(micros_between(start, end) / F.lit(float(DAY_MICROS))).cast("bigint")
-
-
 def month_start(ts: Column) -> Column:
     """First day of the month as DATE."""
     return F.trunc(F.to_date(ts), "MM")
@@ -73,6 +76,3 @@ def month_text(ts: Column) -> Column:
 def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
-
-def epoch_day(ts: Column) -> Column:
-    return F.datediff(F.to_date(ts), F.lit(_dt.date(1970, 1, 1)))

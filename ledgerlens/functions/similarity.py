@@ -4,8 +4,8 @@
 drop code points 128-255, turn non-word characters into spaces, lower-case,
 strip, sort the tokens; then the indel similarity ``2 * LCS / (len1 + len2)``
 as a 0-100 integer rounded half-to-even.  Equal processed strings score 100,
-an empty one 0.  ``similarity_score`` first normalises both names (NAM-1) and
-scores 0 when either normalised name is empty.
+an empty one 0.  Names are normalised first (NAM-1); an empty normalised
+name scores 0.
 
 The LCS is Hyyro's bit-parallel algorithm on Python integers, one
 addition/subtraction per character of the shorter string.  In Spark the score
@@ -18,13 +18,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT_RULES, AuditRules
-from .names import normalize_name
-
 # Python workers may not have this package on their path (the driver can run
 # from any folder), so functions of this module travel to them by value.
 import sys as _sys  # noqa: E402
@@ -78,23 +74,7 @@ def score_normalized(norm_a: str | None, norm_b: str | None) -> int:
     return token_sort_ratio(norm_a, norm_b)
 
 
-@F.pandas_udf(T.IntegerType())
-def _score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([score_normalized(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
 @F.pandas_udf(T.StringType())
 def process_udf(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else process(x))
 
-
-def similarity_score(a: Column | str, b: Column | str, rules: AuditRules = DEFAULT_RULES) -> Column:
-    """NAM-2 as a column: 0-100 similarity of two raw names."""
-    return _score_udf(normalize_name(a, rules), normalize_name(b, rules))
-
-
-def same_vendor(a: Column | str, b: Column | str, rules: AuditRules = DEFAULT_RULES,
-                threshold: int | None = None) -> Column:
-    """NAM-3: similarity at or above the threshold (85 by default)."""
-    t = rules.name_match_threshold if threshold is None else threshold
-    return similarity_score(a, b, rules) >= t

@@ -17,10 +17,6 @@ def naira(x: Column) -> Column:
     return F.concat(F.lit(CURRENCY_SIGN), money(x))
 
 
-def ngn(x: Column) -> Column:
-    return F.concat(F.lit("NGN "), money(x))
-
-
 def clean_text(c: Column) -> Column:
     """RPT-11: ASCII-safe replacements, then anything outside latin-1 becomes '?'."""
     x = F.coalesce(c.cast("string"), F.lit("None"))

@@ -1,20 +1,22 @@
-"""Duplicate payments (DUP-1..4) as banded self-joins.
+"""Duplicate payments (DUP-1..4) as one banded self-join.
 
 A plain self-join on the vendor key puts every pair of a vendor's payments
 through the residual, which is quadratic for a vendor holding most rows.
-Instead each rule joins on keys that already encode the band:
-
-* DUP-1 (same invoice): key (vendor, invoice, time bin).
-* DUP-2/3 (near amounts): key (vendor, time bin, log-amount bin).  Negative
-  amounts all share one amount bin, because any two negatives pass the
-  rule book's signed ratio test.
-
-Bins are wider than the band (``dup_time_bin_windows`` windows of 31 days,
-``dup_amount_bin_bands`` tolerance bands); only right-side rows lying within
-one band of a bin edge are copied into the neighbouring bin, so the right side
-grows by roughly (1 + 1/m)(1 + 2/k) instead of 6x.  The exact predicates stay
-as the join residual, with the (time, row) order picking one orientation per
-pair.  AQE's skew-join handling splits any bin that is still hot.
+Instead every payment is exploded into keys that already encode the band of each
+rule, and the exploded frame is joined to itself (both sides are one exchange):
+
+* DUP-1 (same invoice): (vendor, invoice, bin of 32 days), rows with an invoice.
+* DUP-2 (near amounts within 7 days): (vendor, bin of 8 days, log-amount bin).
+* DUP-3 (near amounts within 31 days, blank invoices): (vendor, bin of 32 days,
+  log-amount bin), rows with a blank invoice only.
+
+Negative amounts share one amount bin, because any two negatives pass the rule
+book's signed ratio test.  A row has one home key per rule; copies for the bin
+before and for the amount bins next to an edge meet the home keys of the earlier
+payment.  Bins are at least as wide as the rule's band, so each pair meets under
+exactly one key.  The exact predicates stay as the join residual, with the
+(time, row) order picking one orientation per pair.  AQE's skew-join handling
+splits any bin that is still hot.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from ..functions.dates import DAY_MICROS, day_text, micros_between
 from ..functions.names import normalize_name, py_str, py_strip
 from ..functions.tax import tier
 from ..functions.text import naira
-from .prepare import MONEY, ap_date_column, empty, money, row_order, timestamp
+from .prepare import MONEY, ap_date_column, empty, money, row_order, timestamp, with_row_id
 
 DUP_SCHEMA = T.StructType([
     T.StructField("vendor_name", T.StringType()),
@@ -62,107 +64,91 @@ def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
     if dcol is None:
         return None
     inv = py_strip(py_str(F.col("invoice_number"))) if "invoice_number" in ap.columns else F.lit("")
-    window_us = rules.dup_window_days * DAY_MICROS
-    width_us = (rules.dup_window_days + 1) * rules.dup_time_bin_windows * DAY_MICROS
-    base = ap.select(
+    return ap.select(
         row_order(ap).alias("rid"), F.col("vendor_name").cast("string").alias("name"),
         normalize_name("vendor_name", rules).alias("norm"), timestamp(ap, dcol, rules).alias("ts"),
         money(ap, "amount").alias("amt"), inv.alias("inv"),
     ).where(F.col("ts").isNotNull() & F.col("amt").isNotNull() & (F.col("amt") != 0))
-    us = _epoch_micros(F.col("ts"))
-    tbin = F.floor(us / F.lit(width_us)).cast("bigint")
-    return (base.withColumn("tbin", tbin)
-            .withColumn("tkeys", F.when(us - F.col("tbin") * F.lit(width_us) <= F.lit(window_us),
-                                        F.array(F.col("tbin"), F.col("tbin") - 1))
-                        .otherwise(F.array(F.col("tbin")))))
 
 
-def _amount_bins(df: DataFrame, rules: AuditRules) -> DataFrame:
+INVOICE, WEEK, BLANK = "I", "W", "B"
+
+
+def _amount_bins(rules: AuditRules) -> tuple[Column, Column]:
+    """The home bin of an amount, and the bins that a near amount can be at home in."""
     tol = float(rules.dup_amount_tolerance)
     band = -math.log(1.0 - tol) * (1 + 1e-9) + 1e-12   # widened against rounding
     width = band * rules.dup_amount_bin_bands
-    la = F.log(F.col("amt").cast("double"))
-    abin = F.floor(la / F.lit(width)).cast("bigint")
-    pos = la - F.col("abin") * F.lit(width)
-    keys = F.concat(F.array(F.col("abin")),
-                    F.when(pos < band, F.array(F.col("abin") - 1)).otherwise(F.array().cast("array<bigint>")),
-                    F.when(pos > width - band, F.array(F.col("abin") + 1)).otherwise(F.array().cast("array<bigint>")))
     positive = F.col("amt") > 0
-    return (df.withColumn("abin", F.when(positive, abin).otherwise(F.lit(NEGATIVE_BIN)))
-            .withColumn("akeys", F.when(positive, keys).otherwise(F.array(F.col("abin")))))
-
-
-INVOICE, NEAR = "I", "A"
-
-
-def _key(branch: str, inv: Column, t: Column, a: Column) -> Column:
-    return F.struct(F.lit(branch).alias("b"), inv.alias("i"), t.alias("t"), a.cast("bigint").alias("a"))
-
-
-def _join_sides(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> tuple[DataFrame, DataFrame, list]:
-    """Left and right inputs of the banded self-join and its key columns.  Every left row carries its own key per
-    branch; every right row carries its own key plus the neighbouring-bin copies.
-    Branch I keys are (invoice, time bin) and feed DUP-1; branch A keys are
-    (time bin, amount bin) and feed DUP-2/3."""
-    s = _amount_bins(b, rules)
-    valid_inv = ~F.col("inv").isin("", "nan")
-    none = F.lit(None).cast("struct<b:string,i:string,t:bigint,a:bigint>")
-    left_keys, right_keys = [], []
-    if invoice:
-        left_keys.append(F.when(valid_inv, _key(INVOICE, F.col("inv"), F.col("tbin"), F.lit(0))).otherwise(none))
-        right_keys.append(F.when(valid_inv, F.transform("tkeys", lambda t: _key(INVOICE, F.col("inv"), t, F.lit(0))))
-                          .otherwise(F.array().cast("array<struct<b:string,i:string,t:bigint,a:bigint>>")))
-    if near:
-        left_keys.append(_key(NEAR, F.lit(""), F.col("tbin"), F.col("abin")))
-        right_keys.append(F.flatten(F.transform(
-            "tkeys", lambda t: F.transform("akeys", lambda a: _key(NEAR, F.lit(""), t, a)))))
-    # payload: the left side carries the vendor name for the output, the right
-    # side only what the residual needs; the normalised name travels as the key
-    cols = ("rid", "ts", "amt", "inv")
-    left = s.select(F.col("norm").alias("kn"), F.col("name").alias("name_1"),
-                    *[F.col(c).alias(f"{c}_1") for c in cols],
-                    F.explode(F.filter(F.array(*left_keys), lambda k: k.isNotNull())).alias("k"))
-    right = s.select(F.col("norm").alias("kn"), *[F.col(c).alias(f"{c}_2") for c in cols],
-                     F.explode(F.concat(*right_keys) if len(right_keys) > 1 else right_keys[0]).alias("k"))
-    # the sort-merge join sorts on a 64-bit hash of the string part of the key
-    # (names often share long prefixes, which defeats the sort's prefix
-    # comparison); exact string equality is checked in the residual
-    keys = ["kh", "kt", "ka"]
-
-    def flat(df: DataFrame, n: int) -> DataFrame:
-        return df.select("*", F.xxhash64("kn", "k.b", "k.i").alias("kh"), F.col("k.t").alias("kt"),
-                         F.col("k.a").alias("ka"), F.col("kn").alias(f"kn_{n}"), F.col("k.b").alias(f"kb_{n}"),
-                         F.col("k.i").alias(f"ki_{n}")).drop("k", "kn")
-    left, right = flat(left, 1), flat(right, 2)
-    return left, right, keys
-
-
-def _pairs(b: DataFrame, rules: AuditRules, invoice: bool, near: bool) -> DataFrame:
-    """Both rule branches in one join: qualifying pairs, earlier payment first."""
-    left, right, keys = _join_sides(b, rules, invoice, near)
-    cols = ("rid", "ts", "amt", "inv")
-    ts1, ts2, r1, r2 = F.col("ts_1"), F.col("ts_2"), F.col("rid_1"), F.col("rid_2")
-    ordered = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
+    la = F.log(F.when(positive, F.col("amt").cast("double")))
+    home = F.floor(la / F.lit(width)).cast("bigint")
+    at = la - home * F.lit(width)
+    none = F.array().cast("array<bigint>")
+    near = F.concat(F.array(home), F.when(at < band, F.array(home - 1)).otherwise(none),
+                    F.when(at > width - band, F.array(home + 1)).otherwise(none))
+    fixed = F.lit(NEGATIVE_BIN).cast("bigint")
+    return F.when(positive, home).otherwise(fixed), F.when(positive, near).otherwise(F.array(fixed))
+
+
+def _keys(branch: str, inv: Column, days: int, home_amount: Column, near_amounts: Column) -> Column:
+    """Keys of one rule: (hash of vendor, rule and invoice; time bin; amount bin; rule; is it the home key)."""
+    width = F.lit((days + 1) * DAY_MICROS)
+    us = _epoch_micros(F.col("ts"))
+    tbin = F.floor(us / width).cast("bigint")
+    times = F.when(us - tbin * width <= F.lit(days * DAY_MICROS), F.array(tbin, tbin - 1)).otherwise(F.array(tbin))
+    hashed = F.xxhash64("norm", F.lit(branch), inv)
+
+    def key(t: Column, a: Column) -> Column:
+        return F.struct(hashed.alias("h"), t.alias("t"), a.alias("a"), F.lit(branch).alias("b"),
+                        ((t == tbin) & (a == home_amount)).alias("home"))
+    return F.flatten(F.transform(times, lambda t: F.transform(near_amounts, lambda a: key(t, a))))
+
+
+def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    home, near = _amount_bins(rules)
+    no_invoice, blank = F.col("inv").isin("", "nan"), F.col("inv") == ""
+    week = _keys(WEEK, F.lit(""), rules.dup_near_days, home, near)
+    month = _keys(BLANK, F.lit(""), rules.dup_window_days, home, near)
+    invoice = _keys(INVOICE, F.col("inv"), rules.dup_window_days, zero, F.array(zero))
+    none = F.filter(week, lambda _: F.lit(False))
+    keys = []
+    if on("DUP-1"):
+        keys.append(F.when(no_invoice, none).otherwise(invoice))
+    if on("DUP-2"):
+        keys.append(week)
+    if on("DUP-3"):
+        keys.append(F.when(blank, month).otherwise(none))
+    return b.select("rid", "name", "norm", "ts", "amt", "inv", F.explode(F.concat(*keys)).alias("k")).select(
+        "rid", "name", "norm", "ts", "amt", "inv", F.col("k.h").alias("kh"), F.col("k.t").alias("kt"),
+        F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), F.col("k.home").alias("home"))
+
+
+def _pairs(b: DataFrame, rules: AuditRules, on) -> DataFrame:
+    """All rules in one join: qualifying pairs, earlier payment first."""
+    e = _exploded(b, rules, on)
+    x, y = e.alias("x"), e.alias("y")
+    ts1, ts2, r1, r2 = F.col("x.ts"), F.col("y.ts"), F.col("x.rid"), F.col("y.rid")
     days = F.ceil(micros_between(ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
-    a1, a2 = F.col("amt_1"), F.col("amt_2")
+    a1, a2, i1, i2 = F.col("x.amt"), F.col("y.amt"), F.col("x.inv"), F.col("y.inv")
     tol = F.lit(rules.dup_amount_tolerance)
     close = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2))) | ((a1 < 0) & (a2 < 0)))
-    same_invoice = (F.col("inv_1") == F.col("inv_2")) & ~F.col("inv_1").isin("", "nan")
-    branch_ok = (F.col("kb_1") == INVOICE) | (close & ~same_invoice)
-    # one explicit equi-condition, hash first: Catalyst keeps the conjunct order
-    # for the sort keys, so rows compare on the 64-bit prefix before any string
-    on = ([left[k] == right[k] for k in keys]
-          + [F.col("kn_1") == F.col("kn_2"), F.col("kb_1") == F.col("kb_2"), F.col("ki_1") == F.col("ki_2")])
-    j = (left.join(right, on)
-         .drop(right["kh"]).drop(right["kt"]).drop(right["ka"])
-         .where(ordered & branch_ok)
-         .select(F.col("kb_1").alias("branch"), "name_1", *[F.col(f"{c}_{i}") for i in (1, 2) for c in cols])
-         .withColumn("days", days)
-         .where(F.col("days") <= rules.dup_window_days))
-    rule = (F.when(F.col("branch") == INVOICE, F.lit("DUP-1"))
-            .when(F.col("days") <= rules.dup_near_days, F.lit("DUP-2"))
-            .when((F.col("inv_1") == "") & (F.col("inv_2") == ""), F.lit("DUP-3")))
-    return j.withColumn("rule_id", rule).where(F.col("rule_id").isNotNull())
+    same_invoice = (i1 == i2) & ~i1.isin("", "nan")
+    near = close & ~same_invoice
+    holds = (F.when(F.col("x.kb") == INVOICE, same_invoice & (days <= rules.dup_window_days))
+             .when(F.col("x.kb") == WEEK, near & (days <= rules.dup_near_days))
+             .otherwise(near & (days > rules.dup_near_days) & (days <= rules.dup_window_days)))
+    # a condition on both sides at once, so that it is not pushed below one of them and the exchange is shared
+    oriented = F.when((ts1 < ts2) | ((ts1 == ts2) & (r1 < r2)), F.col("x.home")).otherwise(F.lit(False))
+    # the 64-bit hash first: rows of the sort-merge join compare on it before any string
+    same = ((F.col("x.kh") == F.col("y.kh")) & (F.col("x.kt") == F.col("y.kt")) & (F.col("x.ka") == F.col("y.ka"))
+            & (F.col("x.norm") == F.col("y.norm")) & (F.col("x.kb") == F.col("y.kb")))
+    rule = (F.when(F.col("x.kb") == INVOICE, F.lit("DUP-1")).when(F.col("x.kb") == WEEK, F.lit("DUP-2"))
+            .otherwise(F.lit("DUP-3")))
+    return x.join(y, same & oriented & holds).select(
+        F.col("x.name").alias("name_1"), ts1.alias("ts_1"), ts2.alias("ts_2"), r1.alias("rid_1"), r2.alias("rid_2"),
+        a1.alias("amt_1"), a2.alias("amt_2"), i1.alias("inv_1"), i2.alias("inv_2"), days.alias("days"),
+        rule.alias("rule_id"))
 
 
 def _findings(pairs: DataFrame, rules: AuditRules) -> DataFrame:
@@ -181,22 +167,26 @@ def _findings(pairs: DataFrame, rules: AuditRules) -> DataFrame:
         F.when(inv1 != "nan", inv1).when(inv2 != "nan", inv2).otherwise(F.lit("N/A")).alias("invoice_ref"),
         flagged.alias("flagged_amount"),
         tier(flagged, [(rules.dup_high, "High"), (rules.dup_medium, "Medium")], "Low").alias("risk_level"),
-        details.alias("details"), F.col("rule_id"), F.col("rid_1").alias("row_id_1"),
-        F.col("rid_2").alias("row_id_2"), F.col("days").alias("days_apart"))
+        details.alias("details"), F.col("rule_id"), F.col("rid_1").cast("string").alias("row_id_1"),
+        F.col("rid_2").cast("string").alias("row_id_2"), F.col("days").alias("days_apart"))
 
 
 def detect_duplicate_payments(ap: DataFrame | None, rules: AuditRules = DEFAULT_RULES,
-                              include: tuple[str, ...] | None = None, sort: bool = True) -> DataFrame | None:
-    """DUP-1..4: every qualifying pair once, earlier payment first."""
+                              include: tuple[str, ...] | None = None, sort: bool = False) -> DataFrame | None:
+    """DUP-1..4: every qualifying pair once, earlier payment first.
+
+    Rows that are equal in every column are payments of their own: without a
+    ``row_id`` they are numbered first, so k copies give k * (k - 1) / 2 pairs.
+    """
     if ap is None:
         return None
-    b = _prepare(ap, rules)
+    b = _prepare(with_row_id(ap), rules)
     if b is None:
         return empty(ap.sparkSession, DUP_SCHEMA)
     on = (lambda r: include is None or r in include)
-    out = _findings(_pairs(b, rules, invoice=on("DUP-1"), near=on("DUP-2") or on("DUP-3")), rules)
-    if include is not None:
-        out = out.where(F.col("rule_id").isin(list(include)))
+    if not any(on(r) for r in ("DUP-1", "DUP-2", "DUP-3")):
+        return empty(ap.sparkSession, DUP_SCHEMA)
+    out = _findings(_pairs(b, rules, on), rules)
     if sort:
         out = out.orderBy(F.col("flagged_amount").desc(), "row_id_1", "row_id_2")
     return out

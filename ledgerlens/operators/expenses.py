@@ -18,7 +18,7 @@ from ..functions.dates import day_text, month_start, month_text
 from ..functions.names import py_strip
 from ..functions.tax import tier
 from ..functions.text import money as fmt_money
-from .prepare import MONEY, ap_date_column, empty, money, row_order, timestamp
+from .prepare import MONEY, ap_date_column, empty, money, order_text, timestamp
 
 EXP_SCHEMA = T.StructType([
     T.StructField("category", T.StringType()),
@@ -32,6 +32,10 @@ EXP_SCHEMA = T.StructType([
 ])
 
 
+#: Categories whose statistics are sent to every task (about 100 bytes each).
+BROADCAST_CATEGORIES = 50_000
+
+
 def category_column(ap: DataFrame, rules: AuditRules = DEFAULT_RULES):
     """EXP-1: expense_category, else the first fallback column, else a constant;
     NULL becomes 'Uncategorized'; stripped and lower-cased."""
@@ -46,23 +50,55 @@ def prepared(ap: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame | No
     dcol = ap_date_column(ap)
     if dcol is None or "amount" not in ap.columns:
         return None
-    return ap.select(row_order(ap).alias("_rid"), category_column(ap, rules).alias("category"),
+    return ap.select(order_text(ap).alias("_rid"), category_column(ap, rules).alias("category"),
                      timestamp(ap, dcol, rules).alias("_ts"), money(ap, "amount").alias("_amt"))
 
 
 def monthly_spend(p: DataFrame) -> DataFrame:
     """EXP-2: per (category, month) sum, count, mean and sample std; rows without a date dropped."""
-    return (p.where(F.col("_ts").isNotNull())
-            .groupBy("category", month_start(F.col("_ts")).alias("month"))
-            .agg(F.coalesce(F.sum("_amt"), F.lit(0).cast(MONEY)).alias("monthly_total"),
-                 F.count("_amt").alias("txn_count"),
-                 F.avg("_amt").cast("double").alias("txn_mean"),
-                 F.stddev_samp("_amt").alias("txn_std")))
+    return _dated(monthly_moments(p))
+
 
+def monthly_moments(p: DataFrame) -> DataFrame:
+    """Per (category, month, NULL for rows without a date): rows, amounts, their sum and squared deviations.
 
-def category_stats(p: DataFrame) -> DataFrame:
-    return p.groupBy("category").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_amt").alias("_mean"), F.stddev_samp("_amt").alias("_std"))
+    This is the one pass over the payments that all statistics come from.
+    """
+    return (p.groupBy("category", month_start(F.col("_ts")).alias("month"))
+            .agg(F.count(F.lit(1)).alias("_rows"), F.count("_amt").alias("txn_count"), F.sum("_amt").alias("_sum"),
+                 (F.var_pop("_amt") * F.count("_amt")).alias("_m2")))
+
+
+def _dated(moments: DataFrame) -> DataFrame:
+    n = F.col("txn_count")
+    return moments.where(F.col("month").isNotNull()).select(
+        "category", "month", F.coalesce("_sum", F.lit(0).cast(MONEY)).alias("monthly_total"), "txn_count",
+        F.when(n > 0, F.col("_sum").cast("double") / n).alias("txn_mean"),
+        F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("txn_std"))
+
+
+def category_stats(moments: DataFrame) -> DataFrame:
+    """Rows, mean and sample std per category, merged from the months' moments."""
+    n, mean = F.col("txn_count"), F.col("_sum").cast("double") / F.col("txn_count")
+    sums = moments.groupBy("category").agg(
+        F.sum("_rows").alias("_n"), F.sum(n).alias("_k"), F.sum("_sum").alias("_s"), F.sum("_m2").alias("_within"),
+        F.sum(F.when(n > 0, n * mean * mean)).alias("_squares"))
+    k = F.col("_k")
+    total = F.col("_s").cast("double")
+    between = F.greatest(F.lit(0.0), F.col("_squares") - total * total / k)
+    return sums.select("category", "_n", F.when(k > 0, total / k).alias("_mean"),
+                       F.when(k > 1, F.sqrt((F.col("_within") + between) / (k - 1))).alias("_std"))
+
+
+def _with_stats(p: DataFrame, stats: DataFrame) -> DataFrame:
+    """Payments joined to their category's statistics.
+
+    The table of categories is counted; up to ``BROADCAST_CATEGORIES`` rows of it
+    go to every task, so that payments are not shuffled on their few categories.
+    A larger one is joined by a shuffle, whose skewed partitions Spark splits.
+    """
+    small = stats.count() <= BROADCAST_CATEGORIES
+    return p.join(F.broadcast(stats) if small else stats, "category", "inner")
 
 
 def _row(category, amount, baseline, deviation, date, risk, details, rule_id, prio, order):
@@ -73,7 +109,7 @@ def _row(category, amount, baseline, deviation, date, risk, details, rule_id, pr
 
 
 def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT_RULES,
-                               include: tuple[str, ...] | None = None, sort: bool = True) -> DataFrame | None:
+                               include: tuple[str, ...] | None = None, sort: bool = False) -> DataFrame | None:
     """EXP-3..6 over AP; ``include`` limits the rules, dedupe and sort are EXP-6."""
     if ap is None:
         return None
@@ -82,10 +118,11 @@ def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT
         return empty(ap.sparkSession, EXP_SCHEMA)
     on = (lambda r: include is None or r in include)
     parts = []
+    moments = monthly_moments(p).persist()   # one row per category and month
     if on("EXP-3"):
-        parts.append(_spikes(p, rules))
+        parts.append(_spikes(moments, rules))
     if on("EXP-4") or on("EXP-5"):
-        parts.append(_payment_rules(p, category_stats(p), rules, on("EXP-4"), on("EXP-5")))
+        parts.append(_payment_rules(p, category_stats(moments), rules, on("EXP-4"), on("EXP-5")))
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
@@ -98,11 +135,11 @@ def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT
     return kept
 
 
-def _spikes(p: DataFrame, rules: AuditRules) -> DataFrame:
+def _spikes(moments: DataFrame, rules: AuditRules) -> DataFrame:
     """EXP-3: month total above ``factor`` x the mean of the previous three observed months."""
     k = rules.exp_spike_window
     w = Window.partitionBy("category").orderBy("month")
-    m = (monthly_spend(p)
+    m = (_dated(moments)
          .withColumn("_rn", F.row_number().over(w))
          .withColumn("_prev", F.sum("monthly_total").over(w.rowsBetween(-k, -1))))
     total, prev = F.col("monthly_total"), F.col("_prev")
@@ -124,7 +161,9 @@ def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers:
     EXP-4: amount above mean + 3 sample std of its category (>= 5 rows, std > 0), dated.
     EXP-5: non-zero amounts that are a multiple of the round unit and at least one unit.
     """
-    j = p.join(stats, "category", "inner")
+    unit = rules.exp_round_unit
+    is_round = (F.col("_amt") >= unit) & (F.col("_amt") % unit == 0)
+    j = _with_stats(p if outliers else p.where(is_round), stats)
     amt = F.col("_amt").cast("double")
     mean = F.col("_mean").cast("double")
     cands = []
@@ -140,12 +179,10 @@ def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers:
             F.col("category"), F.col("_amt"), mean, deviation, day_text(F.col("_ts")),
             tier(F.col("_amt"), [(rules.exp_high, "High")], "Medium"), details, "EXP-4", 2, F.col("_rid")))))
     if rounds:
-        unit = rules.exp_round_unit
-        hit = (F.col("_amt") >= unit) & (F.col("_amt") % unit == 0)
         details = F.format_string(
             "Round-number payment of NGN %s in '%s' \u2014 common fraud pattern (exact multiple of NGN %s)",
             fmt_money(F.col("_amt")), F.col("category"), F.format_number(F.lit(unit), 0))
-        cands.append(F.when(hit, F.struct(*_row(
+        cands.append(F.when(is_round, F.struct(*_row(
             F.col("category"), F.col("_amt"), F.coalesce(mean, F.lit(0.0)), F.lit(0.0),
             F.coalesce(day_text(F.col("_ts")), F.lit("N/A")), F.lit("Medium"), details, "EXP-5", 3,
             F.col("_rid")))))

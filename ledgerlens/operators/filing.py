@@ -79,7 +79,7 @@ def obligations(months: DataFrame, ap: DataFrame | None, payroll: DataFrame | No
 
 def detect_tax_filing_risk(tax: DataFrame | None = None, payroll: DataFrame | None = None,
                            ap: DataFrame | None = None, *, asof, rules: AuditRules = DEFAULT_RULES,
-                           sort: bool = True) -> DataFrame | None:
+                           sort: bool = False) -> DataFrame | None:
     """TXF-4..6 at evaluation instant ``asof``."""
     spark = next((d.sparkSession for d in (tax, payroll, ap) if d is not None), None)
     if spark is None:

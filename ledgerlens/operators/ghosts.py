@@ -27,7 +27,7 @@ from ..functions.dates import day_text, days_floor
 from ..functions.names import normalize_name, py_str
 from ..functions.tax import tier
 from ..functions.text import money as fmt_money
-from .prepare import MONEY, ap_date_column, empty, has, money, row_order, timestamp
+from .prepare import MONEY, ap_date_column, empty, has, money, order_text, row_order, timestamp
 
 GHOST_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -155,7 +155,7 @@ def _shared_bank(p: DataFrame, has_bank: bool, kind: str, noun_plural: str, high
         tier(F.col("_total"), [(high, "High")], "Medium"), details, rule_id, 2, F.col("_bank")))
 
 
-def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = True) -> DataFrame:
+def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = False) -> DataFrame:
     """GHV-5 / GHE-5: union, keep the first row per (name, reason), sort by total."""
     parts = [p for p in parts if p is not None]
     if not parts:
@@ -176,7 +176,7 @@ def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = True) -> Dat
 
 def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None = None,
                          rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                         sort: bool = True) -> DataFrame:
+                         sort: bool = False) -> DataFrame:
     """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``)."""
     if ap is None:
         return None
@@ -204,7 +204,7 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
             F.col("vendor_name").cast("string").alias("_mname"),
             (timestamp(master, "date_added", rules) if has_added else F.lit(None).cast("timestamp_ntz")).alias("_added"),
             (F.col("bank_account").cast("string") if "bank_account" in master.columns else F.lit("N/A")).alias("_mbank"),
-            row_order(master).alias("_morder"), F.lit(True).alias("_in_master"))
+            order_text(master).alias("_morder"), F.lit(True).alias("_in_master"))
         j = stats.join(m, "_norm", "left").withColumn("_master_any", _nonempty(master))
         nonempty = F.col("_master_any")
     else:
@@ -244,7 +244,7 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
 
 def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame | None = None,
                            rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                           sort: bool = True) -> DataFrame:
+                           sort: bool = False) -> DataFrame:
     """GHE-1..5.  A NULL employee name is the text 'nan' before normalising."""
     if payroll is None:
         return None

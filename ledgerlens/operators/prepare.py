@@ -15,6 +15,8 @@ from ..config import DEFAULT_RULES, AuditRules
 from ..functions.dates import coerce_timestamp
 
 MONEY = T.DecimalType(18, 2)
+# what an amount written as text may hold besides its number
+MONEY_MARKS = "[,\\s\u20a6$\u20ac\u00a3]|NGN"
 
 
 def has(df: DataFrame | None, *cols: str) -> bool:
@@ -37,7 +39,7 @@ def money(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         c = F.when(~F.isnan(c), c)
     elif isinstance(dtype, T.StringType):
-        c = F.trim(F.regexp_replace(c, ",", ""))
+        c = F.regexp_replace(c, MONEY_MARKS, "")
     return c.try_cast(MONEY)
 
 
@@ -46,13 +48,39 @@ def timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES) -> Co
 
 
 def row_order(df: DataFrame) -> Column:
-    """Row-order key.  Tables carry ``row_id``; without one, a hash of the row
-    is used (identical rows are interchangeable)."""
+    """Row-order key: ``row_id`` in its own type (numbers order as numbers).
+
+    A table without one has no row order; a hash of the row stands in, which is
+    enough to pick one of several rows.  Pairs of rows need ``with_row_id``.
+    """
     if "row_id" in df.columns:
-        return F.col("row_id").cast("string")
+        return F.col("row_id")
     return F.format_string("%016x", F.xxhash64(*[F.col(c) for c in df.columns]))
 
 
+def order_text(df: DataFrame) -> Column:
+    """``row_order`` as text that sorts alike, for unions of tables whose ids differ in type."""
+    if "row_id" in df.columns and isinstance(df.schema["row_id"].dataType, T.IntegralType):
+        shifted = F.col("row_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+        return F.lpad(shifted.cast("string"), 20, "0")
+    return row_order(df).cast("string")
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` with a ``row_id`` that is unique on every row.
+
+    A table without one is counted by whole rows, and equal rows are numbered, so
+    each copy of a row has an id of its own.  This shuffles the table once.
+    """
+    if "row_id" in df.columns:
+        return df
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    number = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    row = F.format_string("%016x", F.xxhash64(*[F.col(c) for c in df.columns]))
+    return (counted.withColumn("_copy", number).withColumn("row_id", F.format_string("%s-%d", row, F.col("_copy")))
+            .drop("_copies", "_copy"))
+
+
 def text(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 

@@ -34,7 +34,7 @@ VAT_SCHEMA = T.StructType([
     T.StructField("row_id", T.StringType()),
 ])
 
-PERIOD_PATTERN = r"^[0-9]{4}-[0-9]{2}$"
+PERIOD_PATTERN = r"^(19|20)[0-9]{2}-(0[1-9]|1[0-2])$"   # 2,424 months at most
 
 
 def remitted_periods(tax: DataFrame | None, require_remittance_date: bool = True) -> DataFrame | None:
@@ -71,7 +71,7 @@ def _finding(issue: str, status: str, expected: Column, liability: Column, risk:
 
 def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *, asof,
                           rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                          sort: bool = True) -> DataFrame | None:
+                          sort: bool = False) -> DataFrame | None:
     """VAT-2..6 at evaluation instant ``asof``.  A NULL amount, VAT or WHT value
     raises no finding for that tax."""
     if ap is None:

@@ -247,19 +247,25 @@ _EXP_P = f"""
 , exp3 AS (SELECT category, monthly_total AS transaction_amount, prev / 3 AS baseline_average,
                   (monthly_total * 3 - prev) / prev * 100 AS deviation_pct, strftime(month, '%Y-%m') AS date,
                   CASE WHEN monthly_total >= 1000000 THEN 'High' ELSE 'Medium' END AS risk_level,
-                  'EXP-3' AS rule_id, 1 AS prio
+                  'EXP-3' AS rule_id, 1 AS prio,
+                  'Monthly spend in ''' || category || ''' (NGN ' || {money('monthly_total')} || ') is '
+                  || format('{{:.0f}}', CAST((monthly_total * 3 - prev) / prev * 100 AS DOUBLE)) || '% above the 3-month average (NGN '
+                  || {money('prev / 3')} || ')' AS details
            FROM spikes WHERE rn > 3 AND prev > 0 AND monthly_total * 3 > prev * 2)
 , cstats AS (SELECT category, count(*) AS n, avg(amt) AS mean, stddev_samp(amt) AS std FROM e GROUP BY category)
-, exp4(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio) AS (SELECT category, amt, mean, CASE WHEN mean > 0 THEN (amt - mean) / mean * 100 ELSE 0 END,
-                  strftime(ts, '%Y-%m-%d'), CASE WHEN amt >= 1000000 THEN 'High' ELSE 'Medium' END, 'EXP-4', 2
+, exp4(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio, details) AS (SELECT category, amt, mean, CASE WHEN mean > 0 THEN (amt - mean) / mean * 100 ELSE 0 END,
+                  strftime(ts, '%Y-%m-%d'), CASE WHEN amt >= 1000000 THEN 'High' ELSE 'Medium' END, 'EXP-4', 2,
+                  'Transaction of NGN ' || {money('amt')} || ' in ''' || category || ''' is ' || format('{{:.1f}}', abs(CAST(amt AS DOUBLE) - mean) / std)
+                  || ' standard deviations above normal'
            FROM e JOIN cstats USING (category)
            WHERE n >= 5 AND std IS NOT NULL AND std <> 0 AND amt > mean + 3 * std AND ts IS NOT NULL)
-, exp5(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio) AS (SELECT category, amt, mean, 0, coalesce(strftime(ts, '%Y-%m-%d'), 'N/A'), 'Medium', 'EXP-5', 3
+, exp5(category, transaction_amount, baseline_average, deviation_pct, date, risk_level, rule_id, prio, details) AS (SELECT category, amt, mean, 0, coalesce(strftime(ts, '%Y-%m-%d'), 'N/A'), 'Medium', 'EXP-5', 3,
+                  'Round-number payment of NGN ' || {money('amt')} || ' in ''' || category || ''' — common fraud pattern (exact multiple of NGN 100,000)'
            FROM e JOIN cstats USING (category) WHERE amt >= 100000 AND amt % 100000 = 0)
 """
 _EXP_COLS = ("category, CAST(transaction_amount AS DOUBLE) AS transaction_amount, "
              "round(CAST(baseline_average AS DOUBLE), 2) AS baseline_average, "
-             "round(CAST(deviation_pct AS DOUBLE), 2) AS deviation_pct, date, risk_level, rule_id")
+             "round(CAST(deviation_pct AS DOUBLE), 2) AS deviation_pct, date, risk_level, details, rule_id")
 
 
 def _exp_dedup(src: str) -> str:
@@ -340,6 +346,12 @@ _DUP_P = f"""
 _DUP_COLS = ("vendor_name, CAST(amount_1 AS DOUBLE) AS amount_1, date_1, CAST(amount_2 AS DOUBLE) AS amount_2, "
              "date_2, invoice_ref, CAST(flagged_amount AS DOUBLE) AS flagged_amount, risk_level, details, rule_id, "
              "row_id_1, row_id_2, days_apart")
+_DUP6 = _DUP_P.replace("\n        FROM ap WHERE", """
+        FROM (SELECT ap.* REPLACE (row_id || '#' || c AS row_id)
+              FROM ap JOIN (SELECT unnest([1, 2, 3]) AS c) ON c = 1 OR (CAST(amount * 100 AS BIGINT) % 97 = 0 AND invoice_number IS NOT NULL)) ap
+        WHERE""")
+register("dup6_exact_copies", _DUP6 + "SELECT CAST(least(amount_1, amount_2) AS DOUBLE) AS low_amount, "
+         "CAST(greatest(amount_1, amount_2) AS DOUBLE) AS high_amount, date_1, date_2, rule_id, days_apart FROM dups")
 register("dup1_same_invoice", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-1'")
 register("dup2_near_amount_week", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-2'")
 register("dup3_no_invoice_month", _DUP_P + f"SELECT {_DUP_COLS} FROM dups WHERE rule_id = 'DUP-3'")
@@ -411,17 +423,17 @@ _FINALS = f"""
                                 ELSE 'No tax filing risks detected. All filings are on time.' END FROM s_txf)
 , findings AS (
     SELECT 'Duplicates' AS category, rule_id AS sub_category, vendor_name AS entity, CAST(flagged_amount AS DECIMAL(38,2)) AS amount,
-           risk_level, date_1 AS finding_date, details, 'DUP|' || row_id_1 || '|' || row_id_2 AS finding_id FROM dups
+           risk_level, date_1 AS finding_date, details, 'DUP|' || row_id_1 || '|' || row_id_2 AS finding_id, NULL AS bank_account FROM dups
     UNION ALL SELECT 'VAT/WHT', issue_type, vendor_name, estimated_liability, risk_level, period, details,
-           'VAT|' || rule_id || '|' || row_id FROM vat_all
-    UNION ALL SELECT 'Expenses', rule_id, category, transaction_amount, risk_level, date, NULL,
-           'EXP|' || category || '|' || date || '|' || CAST(CAST(transaction_amount AS DECIMAL(38,2)) AS VARCHAR) FROM exp_final
+           'VAT|' || rule_id || '|' || row_id, NULL FROM vat_all
+    UNION ALL SELECT 'Expenses', rule_id, category, transaction_amount, risk_level, date, details,
+           'EXP|' || category || '|' || date || '|' || CAST(CAST(transaction_amount AS DECIMAL(38,2)) AS VARCHAR), NULL FROM exp_final
     UNION ALL SELECT 'Ghost', red_flag_reason, name, total_paid, risk_level, NULL, details,
-           'GHV|' || red_flag_reason || '|' || coalesce(name, '') FROM ghv_final
+           'GHV|' || red_flag_reason || '|' || coalesce(name, ''), bank_account FROM ghv_final
     UNION ALL SELECT 'Ghost', red_flag_reason, name, total_paid, risk_level, NULL, details,
-           'GHE|' || red_flag_reason || '|' || coalesce(name, '') FROM ghe_final
+           'GHE|' || red_flag_reason || '|' || coalesce(name, ''), bank_account FROM ghe_final
     UNION ALL SELECT 'Tax Risk', status, tax_type, estimated_penalty, risk_level, period, details,
-           'TXF|' || tax_type || '|' || period FROM filing)
+           'TXF|' || tax_type || '|' || period, NULL FROM filing)
 """
 _ALL = _REMITTED + _VAT_B + _TXF_B + _EXP_P + _GHV_P + _GHE_P + _DUP_P + _FINALS
 _SUMMARY_COLS = ("n AS total_flagged, CAST(t AS DOUBLE) AS total_amount, n AS count, top_e AS {top}, "
@@ -437,8 +449,9 @@ SELECT n AS total_flagged, CAST(t AS BIGINT) AS total_amount, n AS count, missed
             ELSE 'No tax filing risks detected. All filings are on time.' END AS detail FROM s_txf""")
 
 FIXTURE_REVENUE = 1000000000000
-_UNIFIED_COLS = ("category, sub_category, entity, CAST(amount AS DOUBLE) AS amount, risk_level, finding_date, "
-                 "finding_id")
+_TEXTLESS_COLS = ("category, sub_category, entity, CAST(amount AS DOUBLE) AS amount, risk_level, finding_date, "
+                  "finding_id")
+_UNIFIED_COLS = _TEXTLESS_COLS + ", details"
 register("rpt1_full_scan_findings", _ALL + f"SELECT {_UNIFIED_COLS} FROM findings")
 register("rpt2_leakage_by_category", _ALL + f"""
 SELECT ord, category, CAST(amount AS DOUBLE) AS amount, round(CAST(amount AS DOUBLE) / {FIXTURE_REVENUE} * 100, 1) AS pct_of_revenue
@@ -480,7 +493,7 @@ SELECT ord, category, priority, 'Review and recover ' || items || ' flagged ' ||
 FROM (SELECT *, CASE WHEN amount >= 1000000 THEN 1 WHEN amount >= 100000 THEN 2 ELSE 3 END AS priority FROM fam
       WHERE amount > 0) ORDER BY priority, ord LIMIT 5""")
 register("rpt9_findings_preview", _ALL + f"""
-SELECT {_UNIFIED_COLS}, rank FROM (
+SELECT {_UNIFIED_COLS}, bank_account, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY category, CASE WHEN category = 'Ghost' THEN split_part(finding_id, '|', 1) ELSE '' END
                                ORDER BY CASE WHEN category = 'Tax Risk' THEN sub_category ELSE '' END, amount DESC, finding_id) AS rank
   FROM findings) WHERE rank <= 3""")
@@ -500,7 +513,7 @@ UNION ALL SELECT 100, 'The most significant area of concern is ' || category ||
 UNION ALL SELECT 101, 'Expected recovery potential: 80% of identified leakage (NGN ' || {money('CAST(total * 0.8 AS DECIMAL(38,2))')} || ').'
           FROM tot WHERE total > 0""")
 register("rpt11_clean_text", _ALL + f"""
-SELECT {_UNIFIED_COLS}, {clean_text('details')} AS details FROM findings WHERE category <> 'Expenses'""")
+SELECT {_TEXTLESS_COLS}, {clean_text('details')} AS details FROM findings""")
 
 # ---------------------------------------------------------------- sources, names, tax arithmetic
 register("src6_typed_ap_load", """

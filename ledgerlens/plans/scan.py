@@ -73,7 +73,7 @@ def _materialize(df: DataFrame | None, how: str) -> DataFrame | None:
 
 
 def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, materialize: str = "none",
-             sort: bool = True) -> ScanResult:
+             sort: bool = False) -> ScanResult:
     ap = _materialize(tables.ap, materialize)
     have_ap = ap is not None
     return ScanResult(
@@ -81,9 +81,9 @@ def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, ma
         vat_wht=detect_vat_wht_issues(ap, tables.tax_remittance, asof=asof, rules=rules, sort=sort)
         if have_ap else None,
         expenses=detect_overstated_expenses(ap, rules, sort=sort) if have_ap else None,
-        ghost_vendors=detect_ghost_vendors(ap, tables.vendor_master, rules)
+        ghost_vendors=detect_ghost_vendors(ap, tables.vendor_master, rules, sort=sort)
         if have_ap and tables.vendor_master is not None else None,
-        ghost_employees=detect_ghost_employees(tables.payroll, tables.employee_master, rules)
+        ghost_employees=detect_ghost_employees(tables.payroll, tables.employee_master, rules, sort=sort)
         if tables.payroll is not None and tables.employee_master is not None else None,
         tax_filing=detect_tax_filing_risk(tables.tax_remittance, tables.payroll, ap, asof=asof, rules=rules,
                                           sort=sort),
@@ -92,17 +92,17 @@ def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, ma
 
 
 FINDING_COLS = ["category", "sub_category", "entity", "amount", "risk_level", "finding_date", "details",
-                "finding_id"]
+                "finding_id", "bank_account"]
 
 
 def unified_findings(scan: ScanResult) -> DataFrame | None:
     """One long table of every finding: (category, sub_category, entity, amount,
-    risk_level, finding_date, details, finding_id)."""
-    def row(df, category, sub, entity, amount, date, fid):
+    risk_level, finding_date, details, finding_id, bank_account); only ghosts have an account."""
+    def row(df, category, sub, entity, amount, date, fid, bank=F.lit(None).cast("string")):
         return df.select(F.lit(category).alias("category"), sub.alias("sub_category"),
                          entity.cast("string").alias("entity"), amount.cast("decimal(38,2)").alias("amount"),
                          F.col("risk_level"), date.alias("finding_date"), F.col("details"),
-                         fid.alias("finding_id"))
+                         fid.alias("finding_id"), bank.alias("bank_account"))
     parts = []
     if scan.duplicates is not None:
         d = scan.duplicates
@@ -121,7 +121,8 @@ def unified_findings(scan: ScanResult) -> DataFrame | None:
         if df is not None:
             parts.append(row(df, "Ghost", F.col("red_flag_reason"), F.col("name"), F.col("total_paid"),
                              F.lit(None).cast("string"),
-                             F.concat_ws("|", F.lit(tag), "red_flag_reason", F.coalesce("name", F.lit("")))))
+                             F.concat_ws("|", F.lit(tag), "red_flag_reason", F.coalesce("name", F.lit(""))),
+                             F.col("bank_account")))
     if scan.tax_filing is not None:
         t = scan.tax_filing
         parts.append(row(t, "Tax Risk", F.col("status"), F.col("tax_type"), F.col("estimated_penalty"),

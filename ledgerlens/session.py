@@ -8,7 +8,6 @@ is unset, which happens in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    os.makedirs(conf_dir, exist_ok=True) if "://" not in conf_dir else None
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -10,7 +10,6 @@ bodies in a ``WITH`` clause.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..tables import AuditTables
 
@@ -79,27 +78,7 @@ VIEWS = {
 
 
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread an under-split input over the session's cores.
-
-    A small file with a single row group scans as one task, and everything up to
-    the first shuffle (adapter joins are broadcast joins) would run on one core.
-    Only when the scan has fewer partitions than the default parallelism is the
-    frame repartitioned; inputs with enough splits (any cluster-sized table) are
-    left as they are, so no shuffle is added at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect)
-        return df
-    # hash partitioning needs no per-partition sort for retry determinism,
-    # unlike a round-robin repartition; hashing one column keeps column
-    # pruning working below the exchange
-    return df.repartition(target, F.col(df.columns[0])) if splits < target else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def fixture_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
@@ -108,19 +87,9 @@ def fixture_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-_MEMO: dict[tuple[int, str], AuditTables] = {}
-
-
 def fixture_tables(spark: SparkSession, sf_dir: str) -> AuditTables:
-    """The five audit tables derived from the parquet tables in ``sf_dir``.
-
-    The frames are lazy plans, so they are memoised per session and folder:
-    later queries skip re-reading parquet footers and re-analysing the views.
-    """
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
-    if key not in _MEMO:
-        _MEMO[key] = AuditTables(**{v: fixture_view(spark, sf_dir, v) for v in VIEWS})
-    return _MEMO[key]
+    """The five audit tables derived from the parquet tables in ``sf_dir``, as lazy plans."""
+    return AuditTables(**{v: fixture_view(spark, sf_dir, v) for v in VIEWS})
 
 
 def oracle_ctes() -> str:
