@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import tokens
+from ledgerlens.llm.common import materialize
 
 #: Lengths of one range of the two-level suffix sums.
 RANGE = 4096
@@ -69,7 +70,7 @@ def with_suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return with_suffix_sums(histogram(encoded_lengths(docs, tokenizer)))
+    return with_suffix_sums(materialize(histogram(encoded_lengths(docs, tokenizer))))
 
 
 def truncated_total(counts: DataFrame, limit: int) -> DataFrame:
