@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encoder.encode(batch.column(0))], pa.int64())], names=["n_tokens"])
+            for _, _, bounds in encoder.encode(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds))], names=["n_tokens"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens long")
 

@@ -64,5 +64,66 @@ QUERIES = {
         op9_length_histogram, op10_secret_scan)
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 100 * c >= 75 * (m.n + k.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.node = n.doc_id"""
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, unnest([i, i + 1, i + 2]) AS pos, array_to_string(w[i:i + 2], ' ') AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS k FROM g) WHERE k > 3 GROUP BY 1),
+raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+ln AS (SELECT doc_id, source, t, line, regexp_extract_all({_LOWER.format('line')}, '{_WORD}') AS lw FROM raw),
+ln2 AS (SELECT *, array_to_string(lw, ' ') AS norm FROM ln WHERE len(lw) > 0),
+dup AS (SELECT doc_id, sum(k - 1) AS n FROM (SELECT doc_id, line, count(*) AS k FROM ln2 GROUP BY 1, 2) GROUP BY 1),
+hosts AS (SELECT source, count(DISTINCT t) AS documents FROM d GROUP BY 1),
+lim AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS holders FROM ln2 GROUP BY 1, 2) JOIN hosts USING (source)
+        WHERE holders > 50 AND holders * 100 > documents * 5),
+lost AS (SELECT doc_id, sum(len(lw)) AS n FROM ln2 JOIN lim USING (source, norm) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND removed_words * 100 <= n_words * 70 AS kept, removed_words FROM f"""
+
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id"""
+
+_OP6 = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, '<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS f FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(f)) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id"""
+
 #: DuckDB statements over the same tables, where SQL can express the operator.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_minhash_dedup": _OP1,
+    "op3_line_quality": _OP3,
+    "op5_grid_join": _OP5,
+    "op6_chat_format": _OP6,
+}
