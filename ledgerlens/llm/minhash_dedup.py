@@ -11,9 +11,9 @@ Documents that share a band are candidates.  Links are confirmed by counting the
 common shingles of the whole sets.  Candidates are worked off so that no group is
 expanded into all its pairs:
 
-1. In ``ROUNDS`` rounds every bucket has a leader, another one each time, and every
-   document is held against the ``LEADERS`` of them that it meets in most of its
-   buckets.  Confirmed links give components; a bucket within one component is done.
+1. Every bucket has a leader, and every document is held against the ``LEADERS`` of
+   them that it meets in most of its buckets.  Confirmed links give components; a
+   bucket within one component is done.
 2. Members of one bucket that are then still in different components are compared:
    documents without a link one by one, others with all of a component's documents
    in hubs of ``HUB_DOCUMENTS``.
@@ -44,12 +44,12 @@ SIMILARITY_PERCENT = 75
 BANDS = 48
 ROWS = 5
 PERMUTATIONS = BANDS * ROWS // 2
-#: Leader rounds, and leaders that a document is held against in each.
-ROUNDS, LEADERS = 3, 4
+#: Leaders that a document is held against.
+LEADERS = 6
 #: Shingles of one verification group; larger groups are split.
 GROUP_SHINGLES = 100_000
 #: Documents of one component that are compared as one hub in the last step.
-HUB_DOCUMENTS = 64
+HUB_DOCUMENTS = 128
 #: Set elements that are permuted at once.
 _SLICE = 1 << 15
 
@@ -196,29 +196,26 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY_PERCENT * (len(x) + len(y) - common)
 
 
-def confirm(pairs: DataFrame, members: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (a, b) of the documents a of ``pairs(a, hub)`` to a member b of the hub, by whole shingle sets.
+def confirm(pairs: DataFrame, members: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of the documents a of ``pairs(a, n, hub)`` to a member b of the hub, by whole shingle sets.
 
-    ``members(hub, id)``: a few documents each; one link per document and hub is
-    returned.  A hub with many candidates is split into groups of about
-    ``GROUP_SHINGLES`` shingles, each with its own copy of the members' texts;
-    within a task rows stream by, and only the members' sets are kept.
+    ``n``: shingles of a.  ``members(hub, id)``: a few documents each; None if every
+    hub is a document.  One link per document and hub is returned.  A hub with many
+    candidates is split into groups of about ``GROUP_SHINGLES`` shingles, each with
+    its own copy of the members' texts; within a task rows stream by, and only the
+    members' sets are kept.
     """
-    sized = pairs.join(sizes, pairs["a"] == sizes["id"]).select("a", "hub", "n")
-    groups = sized.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("groups"))
-    candidates = sized.join(groups, "hub").select(
+    total = F.sum("n").over(Window.partitionBy("hub"))
+    sized = pairs.select("a", "hub", F.ceil(total / GROUP_SHINGLES).cast("int").alias("groups"))
+    candidates = sized.select(
         F.col("a").alias("id"), "hub", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part"), F.lit(1).alias("is_candidate"))
+    hubs = sized.groupBy("hub").agg(F.max("groups").alias("groups"))
+    hubs = hubs.withColumn("id", F.col("hub")) if members is None else hubs.join(members, "hub")
     part = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")
-    own = members.join(groups, "hub").select("id", "hub", part, F.lit(0).alias("is_candidate"))
-    rows = candidates.unionByName(own).join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id"))
+    rows = candidates.unionByName(hubs.select("id", "hub", part, F.lit(0).alias("is_candidate")))
+    rows = rows.join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id"))
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "is_candidate")
-    return rows.select("hub", "is_candidate", "id", "text").mapInArrow(_confirm_batches, "a long, b long").distinct()
-
-
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link: every b is a hub of itself."""
-    hubs = pairs.select(F.col("b").alias("hub"), F.col("b").alias("id")).distinct()
-    return confirm(pairs.withColumnRenamed("b", "hub"), hubs, docs, sizes)
+    return rows.select("hub", "is_candidate", "id", "text").mapInArrow(_confirm_batches, "a long, b long")
 
 
 def _shared_buckets(reps: DataFrame) -> DataFrame:
@@ -228,29 +225,23 @@ def _shared_buckets(reps: DataFrame) -> DataFrame:
     return materialize(buckets.join(many, "band"))
 
 
-def _placed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+def _placed(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(band, id, label): with the component of each member, its own id if it has no link yet."""
-    if label is None:
-        return shared.withColumn("label", F.col("id"))
     return shared.join(label, shared["id"] == label["node"], "left").select("band", "id", F.coalesce("component", "id").alias("label"))
 
 
-def _leader_pairs(placed: DataFrame, reps: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a: document, b: leader) of this round, not tried before, that can be similar enough.
+def _leader_pairs(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a: document, n: its shingles, hub: a leader) that can be similar enough.
 
-    The leader of a bucket is its member with the smallest hash of id and round.
+    The leader of a bucket is its member with the smallest hash.
     """
-    leader = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("leader")
-    leaders = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), leader).where("low <> high")
-    leaders = leaders.select("band", F.col("leader.id").alias("b"), F.col("leader.label").alias("of"))
-    votes = placed.join(leaders, "band").where("label <> of").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("votes"))
-    if tried is not None:
-        votes = votes.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    leaders = shared.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("leader")).select("band", F.col("leader.id").alias("hub"))
+    votes = shared.join(leaders, "band").where("id <> hub").groupBy(F.col("id").alias("a"), "hub").agg(F.count("*").alias("votes"))
     x, y = reps.select("id", "n", "sketch").alias("x"), reps.select("id", "n", "sketch").alias("y")
-    near = votes.join(x, votes["a"] == F.col("x.id")).join(y, (votes["b"] == F.col("y.id")) & similar_enough("x", "y"))
-    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-    ranked = near.select("a", "b", "votes").withColumn("rank", F.row_number().over(best))
-    return materialize(ranked.where(F.col("rank") <= LEADERS).select("a", "b"))
+    near = votes.join(x, votes["a"] == F.col("x.id")).join(y, (votes["hub"] == F.col("y.id")) & similar_enough("x", "y"))
+    best = Window.partitionBy("a").orderBy(F.desc("votes"), "hub")
+    ranked = near.select("a", F.col("x.n").alias("n"), "hub", "votes").withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= LEADERS).select("a", "n", "hub")
 
 
 def _remaining(placed: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,11 +267,11 @@ def _remaining(placed: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame
     x, hubs = rows.alias("x"), rows.where("size > 1").select("band", "hub", "label", "size").distinct().alias("h")
     smaller = (F.col("x.size") < F.col("h.size")) | ((F.col("x.size") == F.col("h.size")) & (F.col("x.label") > F.col("h.label")))
     to_hubs = x.join(hubs, (F.col("x.band") == F.col("h.band")) & (F.col("x.label") != F.col("h.label")) & smaller)
-    to_hubs = to_hubs.select(F.col("x.id").alias("a"), F.col("h.hub").alias("hub")).distinct()
+    to_hubs = to_hubs.select(F.col("x.id").alias("a"), F.col("x.n").alias("n"), F.col("h.hub").alias("hub")).distinct()
     alone = rows.where("size = 1")
     x, y = alone.alias("x"), alone.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & similar)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.n").alias("n"), F.col("y.id").alias("hub")).distinct()
     return pairs, to_hubs, rows.where("size > 1").select("hub", "id").distinct()
 
 
@@ -304,22 +295,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = node.join(classes.select("n_shingles", "h1", "h2", F.col("rep").alias("doc_id")), ["n_shingles", "h1", "h2", "doc_id"])
     reps = materialize(reps.where("n_shingles > 1").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"))
-    sizes = reps.groupBy("id").agg(F.max("n").alias("n"))
-
     shared = _shared_buckets(reps)
-    links = label = tried = None
-    for turn in range(ROUNDS):
-        placed = _placed(shared, label)
-        pairs = _leader_pairs(placed, reps, tried, turn)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = materialize(confirm_pairs(pairs, docs, sizes))
-        links = more if links is None else links.unionByName(more)
-        label = connected_components(links)
+    links = materialize(confirm(_leader_pairs(shared, reps), None, docs))
+    label = connected_components(links)
     pairs, to_hubs, members = _remaining(_placed(shared, label), reps)
-    back = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = materialize(pairs.join(tried.unionByName(back), ["a", "b"], "left_anti"))
-    links = links.unionByName(materialize(confirm_pairs(pairs, docs, sizes)))
-    links = links.unionByName(materialize(confirm(materialize(to_hubs), materialize(members), docs, sizes)))
+    links = links.unionByName(confirm(pairs, None, docs)).unionByName(confirm(to_hubs, members, docs))
 
     final = connected_components(links.unionByName(same).distinct())
     out = signed.select("doc_id", "n_shingles").join(final, signed["doc_id"] == final["node"], "left")
