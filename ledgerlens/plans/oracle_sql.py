@@ -520,6 +520,28 @@ register("src6_typed_ap_load", """
 SELECT row_id, strftime(transaction_date, '%Y-%m-%d') AS transaction_date, strftime(payment_date, '%Y-%m-%d') AS payment_date,
        vendor_name, CAST(amount AS DOUBLE) AS amount, invoice_number, CAST(vat_amount AS DOUBLE) AS vat_amount,
        CAST(wht_amount AS DOUBLE) AS wht_amount, expense_category, bank_account FROM ap""")
+register("src1_csv_round_trip", """
+SELECT row_id, vendor_name || ' "Q", x' || chr(10) || 'y' AS vendor_name, CAST(amount AS DOUBLE) AS amount, invoice_number FROM ap""")
+register("src3_contract_check", """
+SELECT 'ap' AS "table", true AS is_valid, false AS is_valid_cut, 'amount' AS missing, 6 AS optional, count(*) AS rows FROM ap
+UNION ALL SELECT 'payroll', true, false, 'gross_salary', 4, count(*) FROM payroll
+UNION ALL SELECT 'tax_remittance', true, false, 'amount', 1, count(*) FROM tax_remittance
+UNION ALL SELECT 'vendor_master', true, false, 'vendor_name', 3, count(*) FROM vendor_master
+UNION ALL SELECT 'employee_master', true, false, 'employee_name', 1, count(*) FROM employee_master""")
+register("src7_coercion", """
+SELECT row_id, strftime(transaction_date, '%Y-%m-%d') || ' 00:00:00.000' AS transaction_date,
+       strftime(payment_date, '%Y-%m-%d %H:%M:%S') || '.250' AS payment_date,
+       strftime(payment_date, '%Y-%m-%d') || ' 00:00:00.000' AS date_added, strftime(payment_date, '%Y-%m-%d') || ' 00:00:00.000' AS date_joined,
+       CAST(amount AS DOUBLE) AS amount, CAST(vat_amount AS DOUBLE) AS vat_amount,
+       CASE WHEN amount > 1000000 THEN NULL ELSE CAST(wht_amount AS DOUBLE) END AS wht_amount FROM ap""")
+register("src6_typed_payroll_load", """
+SELECT row_id, strftime(month, '%Y-%m-%d') AS month, employee_name, CAST(gross_salary AS DOUBLE) AS gross_salary,
+       CAST(paye_amount AS DOUBLE) AS paye_amount, CAST(pension_amount AS DOUBLE) AS pension_amount, bank_account, department FROM payroll""")
+register("src6_typed_tax_load", """
+SELECT tax_type, strftime(remittance_date, '%Y-%m-%d') AS remittance_date, period_covered, CAST(amount AS DOUBLE) AS amount FROM tax_remittance""")
+register("src6_typed_vendor_master_load", """
+SELECT vendor_name, vendor_id, bank_account, strftime(date_added, '%Y-%m-%d') AS date_added FROM vendor_master""")
+register("src6_typed_employee_master_load", "SELECT employee_name, employee_id FROM employee_master")
 register("src8_ap_profile", f"""
 SELECT count(*) AS rows,
        'row_id,transaction_date,payment_date,vendor_name,amount,invoice_number,vat_amount,wht_amount,expense_category,bank_account' AS columns,

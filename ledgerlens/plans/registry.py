@@ -5,6 +5,7 @@ names and types match its oracle statement (money as DOUBLE)."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -294,7 +295,10 @@ def _rpt11(spark, sf_dir):
     return boundary(rpt.clean_findings_text(_scan(spark, sf_dir)), UNIFIED_COLS)
 
 # ---------------------------------------------------------------- sources
-from ..sources.ingest import data_profile, prepare_table, record_counts  # noqa: E402
+from ..config import DEFAULT_RULES  # noqa: E402
+from ..fixed_values import EXPECTED_COLUMNS  # noqa: E402
+from ..sources.contracts import validate_columns  # noqa: E402
+from ..sources.ingest import CSV_OPTIONS, coerce_types, data_profile, prepare_table, record_counts  # noqa: E402
 
 
 def raw_ap_export(ap: DataFrame) -> DataFrame:
@@ -323,6 +327,66 @@ def _src6(spark, sf_dir):
         "invoice_number", "vat_amount", "wht_amount", "expense_category", "bank_account"))
 
 
+@query("src1_csv_round_trip")
+def _src1(spark, sf_dir):
+    """AP rendered as CSV records with quotes, commas and line breaks in names, and parsed with the reader's options."""
+    ap = fixture_tables(spark, sf_dir).ap
+    name = F.concat(F.col("vendor_name"), F.lit(' "Q", x\ny'))
+    rows = ap.select("row_id", name.alias("vendor_name"), F.col("amount").cast("string").alias("amount"), "invoice_number")
+    options = {**CSV_OPTIONS, "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    record = F.to_csv(F.struct(*rows.columns), options)
+    parsed = rows.select(F.from_csv(record, "row_id string, vendor_name string, amount string, invoice_number string", options).alias("r"))
+    typed = prepare_table(parsed.select("r.*").withColumn("transaction_date", F.lit("2026-01-31")), "ap").table
+    return boundary(typed.select("row_id", "vendor_name", "amount", "invoice_number"))
+
+
+@query("src3_contract_check")
+def _src3(spark, sf_dir):
+    """Each table without its last required column: what the contract misses, beside its rows."""
+    out = None
+    for name, df in fixture_tables(spark, sf_dir).items():
+        cut = EXPECTED_COLUMNS[name]["required"][-1]
+        check = validate_columns([c for c in df.columns if c != cut], name)
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), F.lit(validate_columns(df.columns, name).is_valid).alias("is_valid"),
+            F.lit(check.is_valid).alias("is_valid_cut"), F.lit(",".join(check.missing_required)).alias("missing"),
+            F.lit(len(check.available_optional)).cast("bigint").alias("optional"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("src7_coercion")
+def _src7(spark, sf_dir):
+    """Dates and money in several spellings, one per column, read back from text."""
+    ap = fixture_tables(spark, sf_dir).ap
+    text = ap.select(
+        "row_id", F.date_format("transaction_date", "d MMM yyyy").alias("transaction_date"),
+        F.concat(F.date_format("payment_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250Z")).alias("payment_date"),
+        F.date_format("payment_date", "M/d/yyyy").alias("date_added"), F.date_format("payment_date", "dd-MM-yyyy").alias("date_joined"),
+        F.concat(F.lit("\u20a6"), F.format_number("amount", 2)).alias("amount"), F.concat(F.lit("NGN "), F.col("vat_amount")).alias("vat_amount"),
+        F.when(F.col("amount") > 1000000, F.lit("oops")).otherwise(F.col("wht_amount").cast("string")).alias("wht_amount"))
+    out = coerce_types(text, replace(DEFAULT_RULES, column_formats=(("date_added", "M/d/yyyy"),)))
+    stamp = "yyyy-MM-dd HH:mm:ss.SSS"
+    return boundary(out.select("row_id", *[F.date_format(c, stamp).alias(c) for c in ("transaction_date", "payment_date", "date_added", "date_joined")],
+                               "amount", "vat_amount", "wht_amount"))
+
+
+def _typed(view: str, renames: dict[str, str], dates: list[str]):
+    """A table as text under a user's headers, through the ingest path and back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = getattr(fixture_tables(spark, sf_dir), view)
+        text = df.select(*[F.col(c).cast("string").alias(renames.get(c, f" {c.upper()} ")) for c in df.columns])
+        out = prepare_table(text, view, add_row_id=False).table
+        return boundary(out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if c in dates else F.col(c) for c in df.columns]))
+    return run
+
+
+QUERIES["src6_typed_payroll_load"] = _typed("payroll", {"employee_name": "Staff-Name", "gross_salary": "Gross Salary"}, ["month"])
+QUERIES["src6_typed_tax_load"] = _typed("tax_remittance", {}, ["remittance_date"])
+QUERIES["src6_typed_vendor_master_load"] = _typed("vendor_master", {"vendor_name": "Vendor"}, ["date_added"])
+QUERIES["src6_typed_employee_master_load"] = _typed("employee_master", {}, [])
+
+
 @query("src8_ap_profile")
 def _src8(spark, sf_dir):
     return boundary(data_profile(fixture_tables(spark, sf_dir).ap))

@@ -3,8 +3,10 @@ aliases, validate the contract and project typed columns.
 
 CSV is read with every column as text and typed afterwards with ``try_``
 casts, so a bad value becomes NULL instead of failing the job (plain casts
-raise under ANSI mode).  Without a ``row_id`` column one is added from the
-scan position, which follows file order.
+raise under ANSI mode); ``rejects`` counts such values.  Without a ``row_id``
+column one is added that is unique per row; Spark reads files and splits in no
+fixed order, so it says nothing about order.  A caller whose rows have an order
+gives a ``row_id`` of their own.
 """
 
 from __future__ import annotations
@@ -28,17 +30,24 @@ MONEY_COLUMNS = {"amount", "vat_amount", "wht_amount", "gross_salary", "paye_amo
 VALIDATED = ("ap", "payroll", "tax_remittance")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame | None:
+#: Quotes inside quoted fields are doubled, as spreadsheets and data frames write them.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame | None:
     """SRC-1: ``.csv`` -> header CSV (all text), ``.parquet`` -> Parquet.
-    Unsupported suffixes raise; unreadable paths return None."""
+    Unsupported suffixes raise; unreadable paths return None.
+
+    ``multi_line``: quoted fields may hold line breaks, so that a file is read as
+    a whole by one task.  For large files without such fields, False lets Spark split them.
+    """
     kind = fmt or ("csv" if path.lower().endswith(".csv") else
                    "parquet" if path.lower().endswith(".parquet") else None)
     if kind is None:
         raise ValueError(f"Unsupported file format: {path}. Please upload CSV or Parquet.")
     try:
         if kind == "csv":
-            return (spark.read.option("header", True).option("inferSchema", False)
-                    .option("mode", "PERMISSIVE").csv(path))
+            return spark.read.options(**CSV_OPTIONS, header=True, inferSchema=False, multiLine=multi_line).csv(path)
         return spark.read.parquet(path)
     except AnalysisException:
         return None
@@ -57,11 +66,27 @@ def coerce_types(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     return df.select(*cols)
 
 
+def rejects(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
+    """(column, given, rejected): how many values a date or money column holds, and how many of them
+    ``coerce_types`` can't read.  One pass over the table."""
+    typed = [c for c in df.columns if c in DATE_COLUMNS | MONEY_COLUMNS]
+    if not typed:
+        return df.sparkSession.createDataFrame([], "column string, given bigint, rejected bigint")
+    counts = []
+    for c in typed:
+        given = F.length(F.trim(F.col(c).cast("string"))) > 0
+        read = coerce_timestamp(df, c, rules) if c in DATE_COLUMNS else money(df, c)
+        counts.append(F.struct(F.lit(c).alias("column"), F.count_if(given).alias("given"),
+                               F.count_if(given & read.isNull()).alias("rejected")))
+    return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
+
+
 @dataclass(frozen=True)
 class Loaded:
     table: DataFrame | None
     validation: Validation
     error: str | None = None
+    rejects: DataFrame | None = None
 
 
 def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RULES,
@@ -75,8 +100,8 @@ def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RU
     if table_type in VALIDATED and not check.is_valid:
         return Loaded(None, check, f"missing columns: {', '.join(check.missing_required)}")
     if add_row_id and "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.format_string("%020d", F.monotonically_increasing_id()))
-    return Loaded(coerce_types(df, rules), check)
+        df = df.withColumn("row_id", F.monotonically_increasing_id())
+    return Loaded(coerce_types(df, rules), check, rejects=rejects(df, rules))
 
 
 def load_table(spark: SparkSession, path: str, table_type: str, rules: AuditRules = DEFAULT_RULES,
@@ -88,13 +113,20 @@ def load_table(spark: SparkSession, path: str, table_type: str, rules: AuditRule
     return prepare_table(raw, table_type, rules)
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], rules: AuditRules = DEFAULT_RULES) -> AuditTables:
-    """Load whichever of the five tables have a path; failures leave the table out."""
-    out = {}
-    for table_type in EXPECTED_COLUMNS:
-        if table_type in paths:
-            out[table_type] = load_table(spark, paths[table_type], table_type, rules).table
-    return AuditTables(**out)
+def load_each(spark: SparkSession, paths: dict[str, str], rules: AuditRules = DEFAULT_RULES) -> dict[str, Loaded]:
+    """What became of each of the five tables that has a path: table, validation, error and rejects."""
+    return {t: load_table(spark, paths[t], t, rules) for t in EXPECTED_COLUMNS if t in paths}
+
+
+def load_tables(spark: SparkSession, paths: dict[str, str], rules: AuditRules = DEFAULT_RULES,
+                strict: bool = True) -> AuditTables:
+    """The tables that have a path.  A table that can't be loaded raises ValueError with all errors;
+    with ``strict=False`` it is left out, and ``load_each`` tells why."""
+    loaded = load_each(spark, paths, rules)
+    errors = [f"{t}: {x.error}" for t, x in loaded.items() if x.error]
+    if strict and errors:
+        raise ValueError("; ".join(errors))
+    return AuditTables(**{t: x.table for t, x in loaded.items()})
 
 
 def data_profile(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:

@@ -3,11 +3,14 @@ import math
 import random
 
 from conftest import ap_frame
-from test_names_and_tax import norm_reference
 
 from ledgerlens.operators.duplicates import detect_duplicate_payments
 
 
+# vendor names of these tests without their suffixes
+VENDOR = {"Acme Ltd": "Acme", "ACME LTD": "ACME", "Acme PLC": "Acme", "Hot Vendor Ltd": "Hot Vendor", "Cold Co": "Cold", "Mid PLC": "Mid"}
+
+
 def brute_force(rows):
     """Plain-Python pair loop in the rule book's terms; returns {(rid1, rid2): rule}."""
     groups = {}
@@ -16,7 +19,7 @@ def brute_force(rows):
         if date is None or amount is None or float(amount) == 0:
             continue
         ts = dt.datetime.fromisoformat(date)
-        groups.setdefault(norm_reference(name), []).append((ts, rid, float(amount),
+        groups.setdefault(VENDOR.get(name, name or ""), []).append((ts, rid, float(amount),
                                                              "nan" if inv is None else inv.strip()))
     out = {}
     for g in groups.values():
@@ -89,3 +92,20 @@ def test_banded_join_equals_brute_force(spark):
         inv = rnd.choice(["INV-1", "INV-2", " ", "", None, None])
         rows.append(row(f"r{i:04d}", vendor, base.isoformat(sep=" "), f"{amount:.2f}", inv))
     assert run(spark, rows) == brute_force(rows)
+
+
+def test_equal_rows_pair_up_with_and_without_ids(spark):
+    same = [row("1", "V", "2026-01-01 00:00:00", "1000.00", "A")] * 4
+    df = ap_frame(spark, same).drop("row_id")
+    out = detect_duplicate_payments(df).collect()
+    assert len(out) == 6 and len({(r["row_id_1"], r["row_id_2"]) for r in out}) == 6
+    assert {r["rule_id"] for r in out} == {"DUP-1"}
+    numbered = ap_frame(spark, [row(str(i), *same[0][1:5]) for i in (10, 9, 8)])
+    ids = {(r["row_id_1"], r["row_id_2"]) for r in detect_duplicate_payments(numbered.withColumn("row_id", numbered["row_id"].cast("long"))).collect()}
+    assert ids == {("8", "9"), ("8", "10"), ("9", "10")}
+
+
+def test_tier_edges(spark):
+    rows = [row(f"{k}{i}", f"V{k}", f"2026-01-0{i} 00:00:00", a, "A") for k, a in enumerate(["1000000", "999999.99", "100000", "99999.99"]) for i in (1, 2)]
+    got = {r["vendor_name"]: r["risk_level"] for r in detect_duplicate_payments(ap_frame(spark, rows)).collect()}
+    assert got == {"V0": "High", "V1": "Medium", "V2": "Medium", "V3": "Low"}

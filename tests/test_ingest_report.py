@@ -1,10 +1,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.sources.contracts import auto_map_columns, normalize_name, validate_columns
-from ledgerlens.sources.ingest import data_profile, load_table, read_table
+from ledgerlens.sources.ingest import coerce_types, data_profile, load_table, load_tables, read_table
 
 
 def test_contract_helpers():
@@ -64,7 +65,34 @@ def test_driver_contract(spark):
     assert df.count() >= 0 and df.columns
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) == {"nam2_similarity_scores", "nam3_same_vendor", "nam4_vendor_groups"}
+    own = {k for k in q if k != "pipeline" and not k.startswith("op")}
+    assert own - set(sql) == {"nam2_similarity_scores", "nam3_same_vendor", "nam4_vendor_groups"}
+
+
+def test_csv_quotes_breaks_and_rejects(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-csv-"), "ap.csv")
+    with open(path, "w") as f:
+        f.write('Date,Supplier,Amount,amount \n2026-01-05T10:00:00.000Z,"ACME ""X"", Ltd","\u20a61,250.50",1\n'
+                '5 Jan 2026,"two\nlines",NGN 7,2\n05-01-2026,z,1e,3\n')
+    loaded = load_table(spark, path, "ap")
+    rows = {r["vendor_name"]: (str(r["transaction_date"]), r["amount"]) for r in loaded.table.collect()}
+    assert {k: (d, a and float(a)) for k, (d, a) in rows.items()} == {
+        'ACME "X", Ltd': ("2026-01-05 10:00:00", 1250.5), "two\nlines": ("2026-01-05 00:00:00", 7.0), "z": ("2026-01-05 00:00:00", None)}
+    assert loaded.validation.clashing == ["amount__2"]
+    assert {r["column"]: (r["given"], r["rejected"]) for r in loaded.rejects.collect()} == {"transaction_date": (3, 0), "amount": (3, 1)}
+    with pytest.raises(ValueError, match="payroll: could not read"):
+        load_tables(spark, {"ap": path, "payroll": "/nowhere/pay.csv"})
+    assert load_tables(spark, {"ap": path, "payroll": "/nowhere/pay.csv"}, strict=False).payroll is None
+
+
+def test_wall_clock_does_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2026-03-08 02:30:00",)], "payment_date string")
+        assert coerce_types(df).select(F.col("payment_date").cast("string")).first()[0] == "2026-03-08 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_export_skips_empty_families(spark):
