@@ -580,3 +580,67 @@ FROM late WHERE days_late > 0""")
 register("tax5_vat_applicable", "SELECT row_id, CAST(amount AS DOUBLE) AS amount, amount >= 50000 AS vat_applicable FROM ap")
 register("tax6_filing_due_dates", _TXF_P + "SELECT period, tax_type, strftime(due, '%Y-%m-%d') AS due_date FROM grid")
 register("tax7_risk_tiers", _ALL + "SELECT category, risk_level, count(*) AS findings FROM findings GROUP BY 1, 2")
+
+
+# ---------------------------------------------------------------- name similarity and grouping
+def _tokens_sorted(x: str) -> str:
+    """Code points 128-255 dropped, non-word characters to spaces, lower case, tokens in order."""
+    x = f"regexp_replace({x}, '[\\x{{80}}-\\x{{FF}}]', '', 'g')"
+    x = f"lower(regexp_replace({x}, '[^\\pL\\pN_]', ' ', 'g'))"
+    return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda t: t <> '')), ' ')"
+
+
+# longest common subsequence, one character of a at a time: a row's new value at j is the largest candidate up
+# to j, where a candidate is the diagonal plus one on a match and the value above otherwise
+_LCS = """
+, lcs AS (
+    SELECT DISTINCT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: 0) AS best FROM sides WHERE a <> b AND a <> '' AND b <> ''
+    UNION ALL
+    SELECT a, b, i + 1, list_prepend(0, list_transform(cand, lambda x, j: list_max(cand[1:j])))
+    FROM (SELECT a, b, i, list_transform(range(1, length(b) + 1), lambda j: CASE WHEN a[i + 1] = b[j] THEN best[j] + 1 ELSE best[j + 1] END) AS cand
+          FROM lcs WHERE i < length(a)))
+, scores AS (SELECT a, b, CAST(round_even(100.0 * 2 * best[-1] / (length(a) + length(b)), 0) AS INTEGER) AS score FROM lcs WHERE i = length(a))
+"""
+
+
+def _recursive(body: str) -> str:
+    ctes = oracle_ctes()
+    assert ctes.startswith("WITH ")
+    return "WITH RECURSIVE " + ctes[len("WITH "):] + body
+
+
+_NAM_PAIRS = f"""
+, paid AS (SELECT DISTINCT vendor_name, bank_account FROM ap)
+, both_names AS (SELECT p.bank_account, p.vendor_name, m.vendor_name AS master_name,
+                        {norm('p.vendor_name')} AS na, {norm('m.vendor_name')} AS nb
+                 FROM paid p JOIN vendor_master m ON p.bank_account = m.bank_account)
+, keyed AS (SELECT *, {_tokens_sorted('na')} AS a, {_tokens_sorted('nb')} AS b FROM both_names)
+, sides AS (SELECT a, b FROM keyed)
+""" + _LCS + """
+, scored AS (SELECT bank_account, vendor_name, master_name,
+                    CASE WHEN na = '' OR nb = '' THEN 0 WHEN k.a = k.b THEN 100 ELSE coalesce(s.score, 0) END AS score
+             FROM keyed k LEFT JOIN scores s ON s.a = k.a AND s.b = k.b)
+"""
+SQL["nam2_similarity_scores"] = _recursive(_NAM_PAIRS + "SELECT bank_account, vendor_name, master_name, score FROM scored")
+SQL["nam3_same_vendor"] = _recursive(
+    _NAM_PAIRS + "SELECT bank_account, vendor_name, master_name, score >= 85 AS same_vendor FROM scored")
+
+# names in order of first appearance; each joins the earliest leader that it is similar to, or leads
+SQL["nam4_vendor_groups"] = _recursive(f"""
+, firsts AS (SELECT vendor_name AS name, min(row_id) AS ord, {norm('any_value(vendor_name)')} AS norm FROM ap GROUP BY vendor_name)
+, keyed AS (SELECT *, CASE WHEN norm = '' THEN 'empty ' || name ELSE {_tokens_sorted('norm')} END AS key FROM firsts)
+, classes AS (SELECT key, arg_min(name, ord) AS rep, arg_min(norm, ord) AS rep_norm, min(ord) AS ord FROM keyed GROUP BY key)
+, numbered AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM classes)
+, sides AS (SELECT x.key AS a, y.key AS b FROM numbered x JOIN numbered y ON x.k < y.k)
+""" + _LCS + """
+, alike AS (SELECT y.k, list_sort(list(x.k)) AS earlier FROM scores s JOIN numbered x ON x.key = s.a JOIN numbered y ON y.key = s.b
+            WHERE s.score >= 85 AND x.rep_norm <> '' AND y.rep_norm <> '' GROUP BY y.k)
+, steps AS (SELECT n.k, coalesce(a.earlier, []) AS earlier FROM numbered n LEFT JOIN alike a ON a.k = n.k)
+, led AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS leaders
+    UNION ALL
+    SELECT k, leader, CASE WHEN leader = k THEN list_append(leaders, k) ELSE leaders END
+    FROM (SELECT s.k, coalesce(list_filter(s.earlier, lambda x: list_contains(l.leaders, x))[1], s.k) AS leader, l.leaders
+          FROM led l JOIN steps s ON s.k = l.k + 1))
+SELECT g.rep_norm AS canonical, g.rep AS leader_name, n.name
+FROM keyed n JOIN numbered c ON c.key = n.key JOIN led ON led.k = c.k JOIN numbered g ON g.k = led.leader""")

@@ -65,8 +65,7 @@ def test_driver_contract(spark):
     assert df.count() >= 0 and df.columns
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
-    own = {k for k in q if k != "pipeline" and not k.startswith("op")}
-    assert own - set(sql) == {"nam2_similarity_scores", "nam3_same_vendor", "nam4_vendor_groups"}
+    assert {k for k in q if k != "pipeline" and not k.startswith("op")} <= set(sql)
 
 
 def test_csv_quotes_breaks_and_rejects(spark):
