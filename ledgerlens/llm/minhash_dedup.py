@@ -268,10 +268,12 @@ def _remaining(placed: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame
     smaller = (F.col("x.size") < F.col("h.size")) | ((F.col("x.size") == F.col("h.size")) & (F.col("x.label") > F.col("h.label")))
     to_hubs = x.join(hubs, (F.col("x.band") == F.col("h.band")) & (F.col("x.label") != F.col("h.label")) & smaller)
     to_hubs = to_hubs.select(F.col("x.id").alias("a"), F.col("x.n").alias("n"), F.col("h.hub").alias("hub")).distinct()
-    alone = rows.where("size = 1")
+    alone = rows.where("size = 1").select("band", "id", "label", "n", "sketch")
+    alone = materialize(alone.join(alone.groupBy("id").agg(F.collect_set("band").alias("bands")), "id"))
     x, y = alone.alias("x"), alone.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & similar)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.n").alias("n"), F.col("y.id").alias("hub")).distinct()
+    first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair is made in one bucket only
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & similar & first)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.n").alias("n"), F.col("y.id").alias("hub"))
     return pairs, to_hubs, rows.where("size > 1").select("hub", "id").distinct()
 
 
