@@ -10,7 +10,9 @@ family, not a count.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .report import findings_summary
 from .scan import ScanResult, unified_findings
 
 SHEETS = {
@@ -21,6 +23,7 @@ SHEETS = {
     "ghost_employees": "ghost_employees",
     "tax_filing": "tax_filing_risk",
 }
+SUMMARY_SHEET = "summary"
 
 
 def _write(df: DataFrame, target: str, fmt: str, mode: str) -> None:
@@ -31,9 +34,23 @@ def _write(df: DataFrame, target: str, fmt: str, mode: str) -> None:
         w.format(fmt).save(target)
 
 
+def export_manifest(scan: ScanResult) -> DataFrame | None:
+    """(sheet, rows): the families that an export writes, those with findings."""
+    out = None
+    for attr, sheet in SHEETS.items():
+        df = getattr(scan, attr)
+        if df is not None:
+            row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(sheet).alias("sheet"), "rows")
+            out = row if out is None else out.unionByName(row)
+    return None if out is None else out.where("rows > 0")
+
+
 def export_findings(scan: ScanResult, path: str, fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
-    """Write every non-empty family; returns the family folders written."""
+    """Write the summary table (RPT-5) and every non-empty family; returns the folders written."""
     written = []
+    if scan.summaries():
+        written.append(f"{path.rstrip('/')}/{SUMMARY_SHEET}")
+        _write(findings_summary(scan), written[0], fmt, mode)
     for attr, sheet in SHEETS.items():
         df = getattr(scan, attr)
         if df is None or df.limit(1).isEmpty():

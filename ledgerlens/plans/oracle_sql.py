@@ -471,6 +471,10 @@ FROM fam WHERE amount > 0""")
 register("rpt5_findings_summary", _ALL + """
 SELECT ord, category, CAST(amount AS DOUBLE) AS amount, items AS items_flagged, detail AS details,
        CAST(CAST(amount * 0.8 AS DECIMAL(38,2)) AS DOUBLE) AS expected_recovery FROM fam""")
+register("rpt6_export_manifest", _ALL + """
+SELECT * FROM (SELECT 'duplicate_payments' AS sheet, count(*) AS rows FROM dups UNION ALL SELECT 'vat_wht_issues', count(*) FROM vat_all
+  UNION ALL SELECT 'overstated_expenses', count(*) FROM exp_final UNION ALL SELECT 'ghost_vendors', count(*) FROM ghv_final
+  UNION ALL SELECT 'ghost_employees', count(*) FROM ghe_final UNION ALL SELECT 'tax_filing_risk', count(*) FROM filing) WHERE rows > 0""")
 register("rpt7_top_actions", _ALL + """
 , acts AS (
     SELECT * FROM (SELECT 'Recover duplicate payment to ' || vendor_name || ' - Invoice ' || invoice_ref AS action,

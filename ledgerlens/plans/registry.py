@@ -202,6 +202,7 @@ def _dup6(spark, sf_dir):
 from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary,  # noqa: E402
                                    ghost_summary, vat_summary)
 from ..plans import report as rpt  # noqa: E402
+from ..plans.export import export_manifest  # noqa: E402
 from ..plans.scan import run_scan, unified_findings  # noqa: E402
 
 FIXTURE_REVENUE = 1000000000000
@@ -270,6 +271,11 @@ def _rpt5(spark, sf_dir):
     return boundary(rpt.findings_summary(_scan(spark, sf_dir)))
 
 
+@query("rpt6_export_manifest")
+def _rpt6(spark, sf_dir):
+    return export_manifest(_scan(spark, sf_dir))
+
+
 @query("rpt7_top_actions")
 def _rpt7(spark, sf_dir):
     return boundary(rpt.top_actions(_scan(spark, sf_dir)))
