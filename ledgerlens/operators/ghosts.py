@@ -1,19 +1,18 @@
 """Ghost vendors (GHV-1..5) and ghost employees (GHE-1..5).
 
-Two passes over the payments table per family:
-
-* per name: aggregate by the raw name first (map-side partial aggregation),
-  normalise only the distinct names, aggregate again by normalised name, then
-  left-join the master rows and project every name-keyed rule (not in master,
-  single large payment, created-and-paid, no PAYE, no pension) from that one
-  row with an ``inline`` over an array of candidate findings;
-* per bank account: aggregate by (bank, raw name), normalise, count distinct
-  normalised names per bank.  The first-three name list is a row_number <= 3
-  filter, which Spark plans as a partial window-group limit before the
-  shuffle, so no group is ever collected whole.
-
-Skewed keys are absorbed by partial aggregation; "first" values are
-``min_by`` on the row-order key.
+One pass over the payments per family makes a table by (raw name, bank); all
+rules start from it:
+
+* per name: aggregate again by normalised name, left-join the master rows and
+  project every name-keyed rule (not in master, single large payment,
+  created-and-paid, no PAYE, no pension) from that one row with an ``inline``
+  over an array of candidate findings;
+* per bank account: count distinct normalised names per bank.  The first-three
+  name list is a row_number <= 3 filter, which Spark plans as a partial
+  window-group limit before the shuffle, so no group is ever collected whole.
+
+Skewed keys are absorbed by partial aggregation; "first" values are ``min_by``
+on the row-order key.
 """
 
 from __future__ import annotations
@@ -85,30 +84,31 @@ def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules,
     )
 
 
-def _per_name(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_name: str) -> DataFrame:
-    """Per normalised name: first name/bank, total, count, first date, plus the
-    same restricted to each condition in ``conds`` (prefix ``<key>_``).
-    Level 1 groups by the raw name, so the name normaliser runs once per
-    distinct name rather than once per row."""
+def _name_bank(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_name: str) -> DataFrame:
+    """One row per (raw name, bank): first row, total, count, first date, and the same for the rows of each
+    condition in ``conds`` (prefix ``<key>_``).  All rules of a family start from this table, whose exchange
+    Spark builds once; the name normaliser runs once per row of it."""
     rid = F.col("_rid")
-    l1 = [F.min(rid).alias("_r"), F.min_by("_bank", rid).alias("_b"), _total(F.col("_amt")).alias("_t"),
-          F.count("_amt").alias("_c")]
+    aggs = [F.min(rid).alias("_r"), _total(F.col("_amt")).alias("_t"), F.count("_amt").alias("_c")]
     if "_ts" in p.columns:
-        l1.append(F.min("_ts").alias("_ts1"))
+        aggs.append(F.min("_ts").alias("_ts1"))
     for key, cond in conds.items():
-        l1 += [F.count_if(cond).alias(f"{key}_n"), F.min(F.when(cond, rid)).alias(f"{key}_r"),
-               F.min_by("_bank", F.when(cond, rid)).alias(f"{key}_b"),
-               _total(F.when(cond, F.col("_amt"))).alias(f"{key}_t")]
-    names = p.groupBy("_name").agg(*l1).withColumn("_norm", normalize_name("_name", rules, null_as=null_name))
-    l2 = [F.min_by("_name", "_r").alias("_first_name"),
-          F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_r"))).alias("_first_nonnull_name"),
-          F.min_by("_b", "_r").alias("_first_bank"), F.sum("_t").alias("_total"), F.sum("_c").alias("_cnt")]
-    if "_ts" in p.columns:
-        l2.append(F.min("_ts1").alias("_first_ts"))
+        aggs += [F.count_if(cond).alias(f"{key}_n"), F.min(F.when(cond, rid)).alias(f"{key}_r"),
+                 _total(F.when(cond, F.col("_amt"))).alias(f"{key}_t")]
+    return p.groupBy("_name", "_bank").agg(*aggs).withColumn("_norm", normalize_name("_name", rules, null_as=null_name))
+
+
+def _per_name(names: DataFrame, conds: dict[str, Column]) -> DataFrame:
+    """Per normalised name: first name and bank, total, count, first date, plus the same per condition."""
+    aggs = [F.min_by("_name", "_r").alias("_first_name"),
+            F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_r"))).alias("_first_nonnull_name"),
+            F.min_by("_bank", "_r").alias("_first_bank"), F.sum("_t").alias("_total"), F.sum("_c").alias("_cnt")]
+    if "_ts1" in names.columns:
+        aggs.append(F.min("_ts1").alias("_first_ts"))
     for key in conds:
-        l2 += [F.sum(f"{key}_n").alias(f"{key}_rows"), F.min_by("_name", f"{key}_r").alias(f"{key}_name"),
-               F.min_by(f"{key}_b", f"{key}_r").alias(f"{key}_bank"), F.sum(f"{key}_t").alias(f"{key}_total")]
-    return names.groupBy("_norm").agg(*l2)
+        aggs += [F.sum(f"{key}_n").alias(f"{key}_rows"), F.min_by("_name", f"{key}_r").alias(f"{key}_name"),
+                 F.min_by("_bank", f"{key}_r").alias(f"{key}_bank"), F.sum(f"{key}_t").alias(f"{key}_total")]
+    return names.groupBy("_norm").agg(*aggs)
 
 
 def _nonempty(df: DataFrame) -> Column:
@@ -124,23 +124,22 @@ def _candidates(j: DataFrame, candidates: list[Column]) -> DataFrame:
     return j.select(F.inline(F.filter(F.array(*candidates), lambda x: x.isNotNull())))
 
 
-def _shared_bank(p: DataFrame, has_bank: bool, kind: str, noun_plural: str, high: int, rule_id: str,
-                 rules: AuditRules, what: str, null_name: str) -> DataFrame | None:
-    """GHV-2 / GHE-2: one bank account used by more than one normalised name."""
+def _shared_bank(names: DataFrame, has_bank: bool, kind: str, noun_plural: str, high: int, rule_id: str,
+                 rules: AuditRules, what: str) -> DataFrame | None:
+    """GHV-2 / GHE-2: one bank account used by more than one normalised name.
+
+    Blank accounts and missing names are left out after the aggregate and the
+    window, not before: a filter on a key would be pushed below the table of names
+    and banks, which the other rules share.
+    """
     if not has_bank:
         return None
-    rows = p.where(F.col("_bank").isNotNull() & (F.col("_bank") != ""))
-    # level 1: one row per (bank, raw name) with its first appearance and subtotal
-    names = (rows.groupBy("_bank", "_name")
-             .agg(F.min("_rid").alias("_first"), _total(F.col("_amt")).alias("_sub"))
-             .withColumn("_norm", normalize_name("_name", rules, null_as=null_name)))
     per_bank = (names.groupBy("_bank")
-                .agg(F.count_distinct("_norm").alias("_n"), F.sum("_sub").alias("_total"))
-                .where(F.col("_n") > 1))
-    w = Window.partitionBy("_bank").orderBy("_first", "_name")
-    first_names = (names.where(F.col("_name").isNotNull())
-                   .withColumn("_k", F.row_number().over(w))
-                   .where(F.col("_k") <= rules.ghost_name_list)
+                .agg(F.count_distinct("_norm").alias("_n"), F.sum("_t").alias("_total"), F.max("_bank").alias("_own"))
+                .where((F.col("_n") > 1) & F.col("_own").isNotNull() & (F.col("_own") != "")).drop("_own"))
+    w = Window.partitionBy("_bank").orderBy(F.col("_name").isNull(), "_r", "_name")
+    first_names = (names.select("_bank", "_name", "_r").withColumn("_k", F.row_number().over(w))
+                   .where((F.col("_k") <= rules.ghost_name_list) & F.col("_name").isNotNull())
                    .groupBy("_bank")
                    .agg(F.array_sort(F.collect_list(F.struct("_k", "_name"))).alias("_list")))
     joined = per_bank.join(first_names, "_bank", "left").select(
@@ -184,13 +183,13 @@ def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None =
         return empty(ap.sparkSession, GHOST_SCHEMA)
     on = (lambda r: include is None or r in include)
     dcol = ap_date_column(ap)
-    p = _prepare(ap, "vendor_name", "amount", rules, date_col=dcol)
+    names = _name_bank(_prepare(ap, "vendor_name", "amount", rules, date_col=dcol), {}, rules, "")
     parts: list[DataFrame | None] = []
     if on("GHV-1") or on("GHV-3") or on("GHV-4"):
-        parts.append(_vendor_name_rules(_per_name(p, {}, rules, ""), vendor_master, rules, on, dcol is not None))
+        parts.append(_vendor_name_rules(_per_name(names, {}), vendor_master, rules, on, dcol is not None))
     if on("GHV-2"):
-        parts.append(_shared_bank(p, "bank_account" in ap.columns, VENDOR, "vendors", rules.ghost_vendor_high,
-                                  "GHV-2", rules, "all pay to bank account", ""))
+        parts.append(_shared_bank(names, "bank_account" in ap.columns, VENDOR, "vendors", rules.ghost_vendor_high,
+                                  "GHV-2", rules, "all pay to bank account"))
     return _dedupe_sort(parts, ap.sparkSession, sort)
 
 
@@ -256,7 +255,8 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
         conds["paye"] = F.col("_paye_amount").isNull() | (F.col("_paye_amount") == 0)
     if "pension_amount" in payroll.columns:
         conds["pension"] = F.col("_pension_amount").isNull() | (F.col("_pension_amount") == 0)
-    stats = _per_name(p, conds, rules, "nan")
+    names = _name_bank(p, conds, rules, "nan")
+    stats = _per_name(names, conds)
     use_master = has(employee_master, "employee_name")
     if use_master:
         norms = (employee_master.select(normalize_name("employee_name", rules, null_as="nan").alias("_norm"))
@@ -292,8 +292,8 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
                                                   "salary with no pension contribution")))
     parts: list[DataFrame | None] = [
         _candidates(j, cands) if cands else None,
-        _shared_bank(p, "bank_account" in payroll.columns, EMPLOYEE, "employees", rules.ghost_employee_high,
-                     "GHE-2", rules, "all receive salary in bank account", "nan"),
+        _shared_bank(names, "bank_account" in payroll.columns, EMPLOYEE, "employees", rules.ghost_employee_high,
+                     "GHE-2", rules, "all receive salary in bank account"),
     ]
     parts = [x for x in parts if x is not None]
     if not parts:
