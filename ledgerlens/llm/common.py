@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Are driver and executors one process?"""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the tasks this package, which the driver may have from a folder that they don't see."""
+    """On a local master, give the workers this package, which the driver may have from a folder not on their path.
+
+    A cluster's executors get it the usual way (installed, or as ``--py-files``).
+    """
     context = spark.sparkContext
-    if context.applicationId in _shipped:
+    if context.applicationId in _shipped or not is_local(spark):
         return
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp(prefix="ledgerlens-")) / "ledgerlens.zip"
@@ -51,8 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folder()
     return folder.rstrip("/")
