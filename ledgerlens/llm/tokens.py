@@ -21,9 +21,9 @@ import pyarrow as pa
 from ledgerlens.llm import textarrays as ta
 
 #: Pieces that a worker remembers at once; beyond, it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 #: Bytes of texts encoded together; characters of one string of new pieces.
-TOGETHER_BYTES, JOINED = 1 << 22, 4000
+TOGETHER_BYTES, JOINED = 1 << 20, 4000
 
 # First bytes of UTF-8 characters among which no Unicode white space is, and ASCII without it
 _PLAIN = np.zeros(256, bool)
