@@ -49,7 +49,7 @@ LEADERS = 6
 #: Shingles of one verification group; larger groups are split.
 GROUP_SHINGLES = 100_000
 #: Documents of one component that are compared as one hub in the last step.
-HUB_DOCUMENTS = 128
+HUB_DOCUMENTS = 256
 #: Set elements that are permuted at once.
 _SLICE = 1 << 15
 
