@@ -2,14 +2,20 @@
 
 Patterns (the base) give spans of three kinds: an assignment to a secret-like
 name, an access key id, and a long lower-case hexadecimal run.  On top of them
-every candidate string (a run of ``A-Za-z0-9+/_=-``) of at least ``WINDOW``
-characters is read by a sliding window.  A candidate's character class (digits
-and a-f or A-F: hex; letters and digits: alnum; otherwise base64) sets the
-entropy that a window must reach.  The window's entropy is kept by incremental
-counts: a step changes the counts of the character that leaves and the one that
-enters, and the sum of c * log2(c) with them.  Windows that reach the limit and
-hold digits beside letters are joined to spans of kind ``entropy``; those inside
-a base span, or on the allow list, are dropped.
+every candidate string (a run of ``A-Za-z0-9+/_=-``) of at least ``LEAST``
+characters is read by a sliding window of ``WINDOW`` characters, or of its own
+length if that is less.  A candidate's character class (digits and a-f or A-F:
+hex; letters; letters and digits: alnum; otherwise base64) sets the entropy that
+a window must reach; for shorter windows it shrinks with the largest entropy
+that they can have.  The window's entropy is kept by incremental counts: a step
+changes the counts of the character that leaves and the one that enters, and the
+sum of c * log2(c) with them.
+
+Prose reaches these limits too.  So a window counts if it also holds several
+digits beside letters and is not made of words, or if its characters follow each
+other as they don't in words: ``surprise`` sums what each pair costs beyond the
+usual, in bits.  Such windows are joined to spans of kind ``entropy``; those
+inside a base span, or on the allow list, are dropped.
 
 Null text: as the empty text, without spans.  Null ids, repeated rows and rows
 sharing an id: one result row each.  Other columns are ignored, whatever their
@@ -18,6 +24,7 @@ names.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -29,30 +36,59 @@ from pyspark.sql import functions as F
 
 KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW = 20
+#: Characters of the shortest candidate: below, chance and words can't be told apart.
+LEAST = 8
 #: Least entropy (bits a character) of a window, by class of its candidate.
-LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.6}
-#: Least digits and letters in a window: chance texts of 20 characters hold several of both.
+LIMITS = {"hex": 3.0, "letters": 3.2, "alnum": 3.6, "base64": 3.6}
+#: Least digits and letters in a window that counts whatever its surprise.
 LEAST_DIGITS, LEAST_LETTERS = 3, 3
 MASK = "[SECRET]"
 
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _IS_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _IS_ALNUM = re.compile(r"[A-Za-z0-9]+")
-_DIGIT = re.compile(r"[0-9]")
+#: Letters joined by marks: no secrets for their digits beside letters, but for their surprise.
+_WORDS = re.compile(r"[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,4}")
 
-#: Candidates that are no secrets: identifiers of fixed form, words joined by marks, paths, and plain sequences.
+#: Candidates that are no secrets: identifiers of fixed form, and plain sequences.
 ALLOWED = [
     re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE),  # UUID
-    re.compile(r"[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,4}"),  # words
     re.compile(r"[0-9]+([-_/+=][0-9]+)*"),  # numbers, dates
     re.compile(r"(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9].*"),  # dated names
 ]
 _SEQUENCES = "0123456789abcdefghijklmnopqrstuvwxyz0123456789"
 
-_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before one leaves
+
+#: Bits above which a window's surprise is no word's: the clean words at sf0.1 that were not learned from stay below 11.
+SURPRISE = 14.0
+#: Bits that a pair of characters costs on average in words; a pair in hex costs what two digits do.
+_USUAL, _USUAL_HEX = 3.9, 3.4
+#: Quarter bits (base 36) of each letter (column) after each letter (row): half the documents of sf0.1 and English manuals.
+_PAIRS = (
+    "mkhjlsnqiurglanmtegbhqqtrv hoor9ttsipv6steqvljqjvwumu hwotgvw5fwkktubuvmsgmvwwrw fnrn8sslauwltlbtwjhhksovrw fqjeipppivujmbnoradiqprntr eoqqbhqlcwsktpbsvemdjrswps "
+    "cnrv7unhgwtjsihqwghjjpqwtr anst8trlewsmqldswkkgospwpt kognepntrvvkl7cptmhdvmutwo 4wqwdwwwqwwwwqewwwww9wwwqw lupp3rnwfwwkukqsutftqumwtw etro7tuvcvudtuhsvunnotwwaw "
+    "emts5uvv9wusmsifwtntmvvwsw gniddpbmiupnslhqtnfaoopwst ppllqgpumuqlj7mlucildontuv 9uusf7wplwuhvthkwfokmuvwpw sswswwwswwwssswwwoww1wwwww dnmo7romfvqnmlfpujhgoqpwpt "
+    "jqercsrcgssnoqjlrnh8ivrwpw fqptbtua9wunsphrvgikntqvom hilraqoojwshjbkktghfsrsgwt etvw4uqv8wwwuuiqvwtuvvvwtt duusgtw5dwwntiiwwilrwwsqww dqfobqwqfwwklwfdlirbukwuss "
+    "hlnpcrpiewwileeguheewnkwrq emis8wpqfsqonrjqsnmk8qwwto"
+).split()
+
+
+def _cost(a: str, b: str) -> float:
+    if a.isalpha() and b.isalpha():
+        return int(_PAIRS[ord(a.lower()) - 97][ord(b.lower()) - 97], 36) / 4 + (3.0 if a.islower() and b.isupper() else 0.0)
+    if b.isdigit():
+        return 3.4 if a.isdigit() else 8.5 if a.isalpha() else 6.5
+    if b.isalpha():
+        return 8.5 if a.isdigit() else 4.7
+    return 3.0 if b in "-_/" else 7.0
+
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_COSTS = {a + b: _cost(a, b) for a in _ALPHABET for b in _ALPHABET}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -94,16 +130,65 @@ def window_spans(candidate: str) -> list[tuple[int, int]]:
     return out
 
 
+def surprise(candidate: str) -> list[float]:
+    """Of each window, the bits by which its characters cost more than those of words do."""
+    usual = _USUAL_HEX if _IS_HEX.fullmatch(candidate) and not candidate.isalpha() else _USUAL
+    extra = [0.0]
+    for a, b in zip(candidate, candidate[1:]):
+        extra.append(extra[-1] + _COSTS[a + b] - usual)
+    size = min(WINDOW, len(candidate))
+    return [extra[i + size - 1] - extra[i] for i in range(len(candidate) - size + 1)]
+
+
+def surprising_spans(candidate: str) -> list[tuple[int, int]]:
+    """Unions of the candidate's windows that reach the limit of its class and are no words by their surprise."""
+    bits, size = surprise(candidate), min(WINDOW, len(candidate))
+    if max(bits) <= SURPRISE:
+        return []
+    kind = "letters" if candidate.isalpha() else "hex" if _IS_HEX.fullmatch(candidate) else "alnum" if _IS_ALNUM.fullmatch(candidate) else "base64"
+    limit = LIMITS[kind] * math.log2(size) / math.log2(WINDOW) - 1e-9
+    counts = dict.fromkeys(candidate, 0)
+    total, out = 0.0, []
+    for i, c in enumerate(candidate):
+        total += _LOG[counts[c] + 1] - _LOG[counts[c]]
+        counts[c] += 1
+        if i >= size:
+            gone = candidate[i - size]
+            total += _LOG[counts[gone] - 1] - _LOG[counts[gone]]
+            counts[gone] -= 1
+        start = i - size + 1
+        if start >= 0 and bits[start] > SURPRISE and math.log2(size) - total / size >= limit:
+            out.append((start, i + 1))
+    return _joined(out)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+@functools.lru_cache(1 << 16)
+def secret_spans(candidate: str) -> tuple[tuple[int, int], ...]:
+    """The parts of a candidate that are secret; words come again and again, so verdicts are remembered."""
+    if allowed(candidate):
+        return ()
+    mixed = [] if _WORDS.fullmatch(candidate) else window_spans(candidate)
+    return tuple(_joined(mixed + surprising_spans(candidate)))
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of entropy spans that no base span holds."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if _DIGIT.search(word) and not allowed(word):
-            for a, b in window_spans(word):
-                a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for s, _, e in base):
-                    out.append((a, 3, b))
+        for a, b in secret_spans(m.group()):
+            a, b = a + m.start(), b + m.start()
+            if not any(s <= a and b <= e for s, _, e in base):
+                out.append((a, 3, b))
     return out
 
 

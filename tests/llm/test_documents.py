@@ -381,3 +381,22 @@ def test_language_identification(spark):
     assert got[900]["score"] == 0 and not got[900]["accepted"]
     assert {r["lang_pred"] for r in kneser_ney.identify(frame(spark, [(1, "foo", None, None)])).collect()} == {"und"}
     assert kneser_ney.identify(frame(spark, [])).count() == 0
+
+
+def random_secrets(alphabet, size, count=300, seed=11):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(count)]
+
+
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def test_secrets_without_digits_and_short_ones_are_found():
+    alnum = LOWER + LOWER.upper() + "0123456789"
+    for alphabet, size, least in ((LOWER, 20, 0.97), (LOWER + LOWER.upper(), 12, 0.97), (LOWER + LOWER.upper(), 40, 1), (alnum, 8, 0.85), (alnum, 12, 0.97), (alnum, 20, 0.98), (alnum + "+/", 20, 0.98), (alnum + "+/", 40, 1)):
+        words = random_secrets(alphabet, size)
+        assert sum(bool(secret_scan.entropy_spans(f"see {w} here", [])) for w in words) >= least * len(words), (alphabet, size)
+    assert secret_scan.entropy_spans("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", [])
+    assert secret_scan.entropy_spans("a1" + "x" * 40, []) == []
+    clean = "understanding Geschwindigkeitsbegrenzung the/path/to/documentation getElementById internationalization release-notes-2024 responsabilidades INTERNATIONAL 4095-2233-1"
+    assert secret_scan.entropy_spans(clean, []) == []
