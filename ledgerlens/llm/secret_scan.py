@@ -14,8 +14,9 @@ sum of c * log2(c) with them.
 Prose reaches these limits too.  So a window counts if it also holds several
 digits beside letters and is not made of words, or if its characters follow each
 other as they don't in words: ``surprise`` sums what each pair costs beyond the
-usual, in bits.  Such windows are joined to spans of kind ``entropy``; those
-inside a base span, or on the allow list, are dropped.
+usual, in bits.  A candidate with such a window is a span of kind ``entropy`` as
+a whole, since a secret goes on beside its windows that count; candidates inside
+a base span, or on the allow list, are dropped.
 
 Null text: as the empty text, without spans.  Null ids, repeated rows and rows
 sharing an id: one result row each.  Other columns are ignored, whatever their
@@ -140,15 +141,15 @@ def surprise(candidate: str) -> list[float]:
     return [extra[i + size - 1] - extra[i] for i in range(len(candidate) - size + 1)]
 
 
-def surprising_spans(candidate: str) -> list[tuple[int, int]]:
-    """Unions of the candidate's windows that reach the limit of its class and are no words by their surprise."""
+def surprising(candidate: str) -> bool:
+    """Has the candidate a window that reaches the limit of its class and is no words by its surprise?"""
     bits, size = surprise(candidate), min(WINDOW, len(candidate))
     if max(bits) <= SURPRISE:
-        return []
+        return False
     kind = "letters" if candidate.isalpha() else "hex" if _IS_HEX.fullmatch(candidate) else "alnum" if _IS_ALNUM.fullmatch(candidate) else "base64"
     limit = LIMITS[kind] * math.log2(size) / math.log2(WINDOW) - 1e-9
     counts = dict.fromkeys(candidate, 0)
-    total, out = 0.0, []
+    total = 0.0
     for i, c in enumerate(candidate):
         total += _LOG[counts[c] + 1] - _LOG[counts[c]]
         counts[c] += 1
@@ -158,37 +159,24 @@ def surprising_spans(candidate: str) -> list[tuple[int, int]]:
             counts[gone] -= 1
         start = i - size + 1
         if start >= 0 and bits[start] > SURPRISE and math.log2(size) - total / size >= limit:
-            out.append((start, i + 1))
-    return _joined(out)
-
-
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and out[-1][1] >= a:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+            return True
+    return False
 
 
 @functools.lru_cache(1 << 16)
-def secret_spans(candidate: str) -> tuple[tuple[int, int], ...]:
-    """The parts of a candidate that are secret; words come again and again, so verdicts are remembered."""
+def is_secret(candidate: str) -> bool:
+    """Does any window of the candidate count?  Words come again and again, so verdicts are remembered."""
     if allowed(candidate):
-        return ()
-    mixed = [] if _WORDS.fullmatch(candidate) else window_spans(candidate)
-    return tuple(_joined(mixed + surprising_spans(candidate)))
+        return False
+    return bool(not _WORDS.fullmatch(candidate) and window_spans(candidate) or surprising(candidate))
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of entropy spans that no base span holds."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        for a, b in secret_spans(m.group()):
-            a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for s, _, e in base):
-                out.append((a, 3, b))
+        if is_secret(m.group()) and not any(s <= m.start() and m.end() <= e for s, _, e in base):
+            out.append((m.start(), 3, m.end()))
     return out
 
 

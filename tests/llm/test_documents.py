@@ -400,3 +400,13 @@ def test_secrets_without_digits_and_short_ones_are_found():
     assert secret_scan.entropy_spans("a1" + "x" * 40, []) == []
     clean = "understanding Geschwindigkeitsbegrenzung the/path/to/documentation getElementById internationalization release-notes-2024 responsabilidades INTERNATIONAL 4095-2233-1"
     assert secret_scan.entropy_spans(clean, []) == []
+
+
+def test_secrets_are_masked_whole():
+    alnum = LOWER + LOWER.upper() + "0123456789"
+    for alphabet, size in ((alnum, 40), (alnum + "+/", 64), ("0123456789ABCDEF", 40), (LOWER, 40)):
+        for word in random_secrets(alphabet, size):
+            text = f"see {word} here"
+            spans = secret_scan.entropy_spans(text, secret_scan.base_spans(text))
+            assert spans in ([], [(4, 3, 4 + size)])
+            assert secret_scan.mask(text) in (text, "see [SECRET] here")
