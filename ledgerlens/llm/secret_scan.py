@@ -58,8 +58,9 @@ _WORDS = re.compile(r"[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*[0-9]{0,4}")
 ALLOWED = [
     re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE),  # UUID
     re.compile(r"[0-9]+([-_/+=][0-9]+)*"),  # numbers, dates
-    re.compile(r"(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9].*"),  # dated names
 ]
+#: A date before a name; what follows is scanned by itself.
+_DATE = re.compile(r"(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?=[-_/+=])[-_/+=]*")
 _SEQUENCES = "0123456789abcdefghijklmnopqrstuvwxyz0123456789"
 
 _LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before one leaves
@@ -175,8 +176,10 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     """(start, kind, end) of entropy spans that no base span holds."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        if is_secret(m.group()) and not any(s <= m.start() and m.end() <= e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
+        date = _DATE.match(text, m.start(), m.end())
+        start, end = date.end() if date else m.start(), m.end()
+        if end - start >= LEAST and is_secret(text[start:end]) and not any(s <= start and end <= e for s, _, e in base):
+            out.append((start, 3, end))
     return out
 
 

@@ -410,3 +410,12 @@ def test_secrets_are_masked_whole():
             spans = secret_scan.entropy_spans(text, secret_scan.base_spans(text))
             assert spans in ([], [(4, 3, 4 + size)])
             assert secret_scan.mask(text) in (text, "see [SECRET] here")
+
+
+def test_secrets_after_a_date_are_found():
+    for mark in "-/_":
+        for word in random_secrets(LOWER + LOWER.upper() + "0123456789", 40):
+            assert secret_scan.mask(f"on 2024-05-17{mark}{word} at") == f"on 2024-05-17{mark}[SECRET] at"
+    assert secret_scan.mask(f"2024-05-17T{word}") == "[SECRET]"
+    for clean in ("2024-05-17-release-notes-final9", "2024-05-17/backup-2", "2024-05-17", "2024-05-17T10", "2024-05-17-", "2024-05-17T101500Z", "2024-05-17T10"):
+        assert secret_scan.mask(clean) == clean
