@@ -4,11 +4,13 @@ A text is read as its letters in lower case, every run of other characters as on
 space.  For each language the four-character sequences of all its learning texts
 are counted; lower orders hold continuation counts (in how many contexts a
 sequence occurs).  Probabilities are interpolated from order 4 down to 1 and a
-uniform share.  A model is a set of sorted hash arrays: for each language and
-order the buckets of its sequences with their discounted share, and those of its
-contexts with the weight of the order below.  Buckets are ``HASH_BITS`` wide, so
-a language's model holds at most ``2 * ORDER * 2 ** HASH_BITS`` entries of 12
-bytes however large the corpus is; that bounds what is sent to every task.
+uniform share.  The model is a table: for each language and order its sequences
+with their discounted share, and its contexts with the weight of the order
+below, under the whole 64-bit sequence, so no two sequences share an entry
+however large the corpus is.  A model of up to ``LOCAL_ROWS`` entries is sent to
+every task as sorted arrays.  A larger one stays a table: the distinct sequences
+of the documents are joined to it order by order, and each document's sequences
+to the logarithms that come out.  Both ways give the same results.
 
 The language with the lowest cross-entropy per character is chosen.  Each
 language has a limit, calibrated on its learning texts (mean plus ``SPREAD``
@@ -39,7 +41,8 @@ from ledgerlens.llm import textarrays as ta
 from ledgerlens.llm.common import materialize
 
 ORDER = 4
-HASH_BITS = 20
+#: Entries of a model that tasks hold as arrays (16 bytes each); a larger one is joined.
+LOCAL_ROWS = 2_000_000
 CHUNK_BYTES = 1 << 22
 HELD_OUT = 2
 UNKNOWN = "und"
@@ -87,10 +90,6 @@ def sequences(texts: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
     return key, of_text
 
 
-def bucket(keys: np.ndarray, order: int, context: bool) -> np.ndarray:
-    return (ta.mix(keys + ta.mix(np.array([2 * order + context], np.uint64))) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-
-
 def learns() -> Column:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     return F.coalesce((fold != HELD_OUT) & F.col("lang").isNotNull(), F.lit(False))
@@ -139,24 +138,8 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _bucketed(order: int, context: bool):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket(keys, order, context)), batch.column(2)], names=["lang", "bucket", "value"])
-
-    return add
-
-
-def _folded(rows: DataFrame, order: int, context: bool) -> DataFrame:
-    """Rows (lang, key, value) by hash bucket; sequences that share a bucket share their sum, contexts their largest weight."""
-    out = rows.mapInArrow(_bucketed(order, context), "lang string, bucket int, value double").groupBy("lang", "bucket")
-    out = out.agg((F.max("value") if context else F.least(F.sum("value"), F.lit(1.0))).alias("value"))
-    return out.select("lang", F.lit(order).alias("order"), F.lit(context).alias("context"), "bucket", "value")
-
-
 def model_rows(counted: DataFrame) -> DataFrame:
-    """(lang, order, context, bucket, value) of the interpolated model from ``counts``."""
+    """(lang, order, context, key, value) of the interpolated model from ``counts``."""
     level, out = counted, None
     for order in range(ORDER, 0, -1):
         once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
@@ -164,7 +147,8 @@ def model_rows(counted: DataFrame) -> DataFrame:
         keyed = level.join(discount, "lang").withColumn("before", F.shiftrightunsigned("key", 16))
         contexts = keyed.groupBy("lang", "before").agg(F.sum("n").alias("total"), (F.max("d") * F.count("*") / F.sum("n")).alias("value"))
         shares = keyed.join(contexts.select("lang", "before", "total"), ["lang", "before"]).select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
-        rows = _folded(shares, order, False).unionByName(_folded(contexts.select("lang", F.col("before").alias("key"), "value"), order, True))
+        rows = shares.withColumn("context", F.lit(False)).unionByName(contexts.select("lang", F.col("before").alias("key"), "value", F.lit(True).alias("context")))
+        rows = rows.select("lang", F.lit(order).alias("order"), "context", "key", "value")
         out = rows if out is None else out.unionByName(rows)
         low = (1 << 16 * (order - 1)) - 1
         level = materialize(level.groupBy("lang", F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.count("*").alias("n")))
@@ -172,31 +156,33 @@ def model_rows(counted: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays by language, order and kind."""
+    """Sorted arrays of sequences by language, order and kind."""
 
     def __init__(self, rows: pa.Table):
-        lang = np.array(rows.column("lang").to_pylist(), object)
+        names = rows.column("lang").combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        held = names.dictionary.to_pylist()
+        lang = names.indices.to_numpy(zero_copy_only=False)
         order, context = rows.column("order").to_numpy(), rows.column("context").to_numpy()
-        places, values = rows.column("bucket").to_numpy(), rows.column("value").to_numpy()
-        self.langs: list[str] = sorted(set(lang.tolist()))
+        keys, values = rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("value").to_numpy()
+        self.langs: list[str] = sorted(held)
         self.arrays: dict[tuple[int, int, bool], tuple[np.ndarray, np.ndarray]] = {}
         symbols = set()
         for k, name in enumerate(self.langs):
             for n in range(1, ORDER + 1):
                 for c in (False, True):
-                    mine = np.flatnonzero((lang == name) & (order == n) & (context == c))
-                    mine = mine[np.argsort(places[mine])]
-                    self.arrays[k, n, c] = places[mine].astype(np.int32), values[mine]
+                    mine = np.flatnonzero((lang == held.index(name)) & (order == n) & (context == c))
+                    mine = mine[np.argsort(keys[mine])]
+                    self.arrays[k, n, c] = keys[mine], values[mine]
             symbols.update(self.arrays[k, 1, False][0].tolist())
         self.uniform = 1 / (len(symbols) + 1)
 
-    def _find(self, k: int, order: int, context: bool, keys: np.ndarray, missing: float) -> np.ndarray:
-        places, values = self.arrays[k, order, context]
-        wanted = bucket(keys, order, context)
-        if not len(places):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-        return np.where(places[at] == wanted, values[at], missing)
+    def _find(self, k: int, order: int, context: bool, wanted: np.ndarray, missing: float) -> np.ndarray:
+        keys, values = self.arrays[k, order, context]
+        if not len(keys):
+            return np.full(len(wanted), missing)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], missing)
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each sequence's last symbol (languages x keys)."""
@@ -232,18 +218,84 @@ def _scored(model: Model, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "held_out", "taught", "lang_pred", "score", "entropy"])
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, entropy, accepted) per row of ``docs(doc_id, text, lang, ...)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(Model(model_rows(materialize(counts(docs))).toArrow()))
+def log_table(model: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lang, key, log): for each language of ``model_rows`` the natural logarithm that ``Model`` gives each of ``wanted(key)``.
+
+    Goes up the orders, over the distinct endings of the wanted sequences: an
+    entry is joined by at most as many sequences as there are symbols.
+    """
+    langs = model.select("lang").distinct()
+    below = None
+    for order in range(1, ORDER + 1):
+        mask = (1 << 16 * order) - 1 if order < ORDER else -1
+        asked = wanted.select(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("key")).distinct().crossJoin(F.broadcast(langs))
+        asked = asked.withColumn("before", F.shiftrightunsigned("key", 16)).withColumn("ending", F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long")))
+        here = model.where(F.col("order") == order)
+        shares = here.where("not context").select("lang", "key", F.col("value").alias("share"))
+        weights = here.where("context").select("lang", F.col("key").alias("before"), F.col("value").alias("weight"))
+        at = asked.join(shares, ["lang", "key"], "left").join(F.broadcast(weights) if order == 1 else weights, ["lang", "before"], "left")
+        if below is None:
+            symbols = shares.select("key").distinct().agg(F.count("*").alias("symbols"))
+            at = at.crossJoin(F.broadcast(symbols.select((1 / (F.col("symbols") + 1)).alias("lower"))))
+        else:
+            at = at.join(below.select("lang", F.col("key").alias("ending"), F.col("p").alias("lower")), ["lang", "ending"])
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("lower")
+        below = materialize(at.select("lang", "key", p.alias("p")))
+    return below.select("lang", "key", F.log("p").alias("log"))
+
+
+def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct sequences and how often it holds them."""
+    for batch in batches:
+        for texts in ta.chunks(batch.column(1), CHUNK_BYTES):
+            keys, of_text = sequences(texts)
+            order = np.lexsort((keys, of_text))
+            keys, of_text = keys[order], of_text[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (of_text[1:] != of_text[:-1])
+            first = np.flatnonzero(new)
+            bounds = pa.array(np.searchsorted(of_text[first], np.arange(len(texts) + 1)).astype(np.int32))
+            times = np.diff(np.append(first, len(keys))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).slice(texts.first, len(texts)) for k in (0, 2, 3)), pa.array(np.bincount(of_text, minlength=len(texts)).astype(np.int64)),
+                 pa.ListArray.from_arrays(bounds, pa.array(keys[first].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times))],
+                names=["doc_id", "held_out", "taught", "n", "keys", "times"])
+
+
+_SCORED = "doc_id long, held_out boolean, taught string, lang_pred string, score double, entropy double"
+
+
+def _scored_here(model: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scores by arrays that every task holds."""
+    held = rows.sparkSession.sparkContext.broadcast(Model(model.toArrow()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _scored(model.value, batch)
+            yield from _scored(held.value, batch)
+
+    return rows.mapInArrow(score, _SCORED)
 
-    taught = F.when(learns(), F.col("lang")).alias("taught")
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"), taught)
-    scored = materialize(rows.mapInArrow(score, "doc_id long, held_out boolean, taught string, lang_pred string, score double, entropy double"))
+
+def _scored_by_join(model: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scores by joins with the model's table; nothing of it is gathered."""
+    tally = rows.mapInArrow(_tally_batches, "doc_id long, held_out boolean, taught string, n long, keys array<long>, times array<long>")
+    tally = materialize(tally.withColumn("row", F.monotonically_increasing_id()))
+    each = tally.select("row", "n", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", "n", F.col("e.keys").alias("key"), F.col("e.times").alias("times"))
+    logs = log_table(model, materialize(each.select("key").distinct()))
+    mean = each.join(logs, "key").groupBy("row", "lang").agg((-F.sum(F.col("times") * F.col("log")) / F.max("n")).alias("mean"), F.max("n").alias("n"))
+    best = mean.groupBy("row").agg(F.min(F.struct("mean", "lang")).alias("best"), F.max("n").alias("of"), F.collect_list("mean").alias("means"))
+    weight = F.aggregate("means", F.lit(0.0), lambda total, x: total + F.exp((F.col("best.mean") - x) * F.least(F.col("of"), F.lit(EVIDENCE))))
+    best = best.select("row", F.col("best.lang").alias("lang_pred"), (1 / weight).alias("score"), F.col("best.mean").alias("entropy"))
+    out = tally.select("row", "doc_id", "held_out", "taught").join(best, "row", "left")
+    return out.select("doc_id", "held_out", "taught", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), "entropy")
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, entropy, accepted) per row of ``docs(doc_id, text, lang, ...)``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = materialize(model_rows(materialize(counts(docs))))
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.when(learns(), F.col("lang")).alias("taught"))
+    scored = materialize(_scored_here(model, rows) if model.count() <= LOCAL_ROWS else _scored_by_join(model, rows))
     limits = scored.where("taught = lang_pred").groupBy(F.col("lang_pred").alias("of_lang")).agg(
         (F.avg("entropy") + SPREAD * F.coalesce(F.stddev_pop("entropy"), F.lit(0.0))).alias("most"))
     out = scored.join(limits, scored["lang_pred"] == limits["of_lang"], "left")

@@ -419,3 +419,29 @@ def test_secrets_after_a_date_are_found():
     assert secret_scan.mask(f"2024-05-17T{word}") == "[SECRET]"
     for clean in ("2024-05-17-release-notes-final9", "2024-05-17/backup-2", "2024-05-17", "2024-05-17T10", "2024-05-17-", "2024-05-17T101500Z", "2024-05-17T10"):
         assert secret_scan.mask(clean) == clean
+
+
+def test_kneser_ney_sequences_share_no_entry(spark):
+    """64 alphabets of 24 letters, each text at random: more sequences than a fixed number of buckets takes without collisions."""
+    rng = random.Random(6)
+    texts = ["".join(chr(0x4E00 + 24 * k + rng.randrange(24)) for _ in range(8000)) for k in range(64)]
+    docs = spark.createDataFrame([(i, t, "zz") for i, t in enumerate(texts)], "doc_id long, text string, lang string").where(kneser_ney.learns())
+    used = [texts[r["doc_id"]] for r in docs.select("doc_id").collect()]
+    rows = kneser_ney.model_rows(kneser_ney.counts(docs)).where("order = 4 and not context")
+    assert rows.count() == len({("   " + t)[i : i + 4] for t in used for i in range(len(t))}) == rows.select("key").distinct().count()
+
+
+def test_language_identification_by_joins_is_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    say = {"aa": ["foo", "bar", "baz"], "bb": ["über", "straße", "köln"], "cc": ["日本", "foo", "語"]}
+    rows = [(i, " ".join(rng.choice(say[lang]) for _ in range(20)), lang, "s") for i in range(90) for lang in ["abc"[i % 3] * 2]]
+    rows += [(900 + i, t, None, None) for i, t in enumerate([*ODD, "123 !!", "FOO bar", "Köln", "日本foo x"])] + [(None, "foo bar", "bb", "s"), (3, "foo", "aa", "s")]
+    docs = frame(spark, rows)
+    key = lambda r: (str(r["doc_id"]), r["lang_pred"], r["score"], str(r["entropy"]))
+    here = sorted(kneser_ney.identify(docs).collect(), key=key)
+    monkeypatch.setattr(kneser_ney, "LOCAL_ROWS", 0)
+    joined = sorted(kneser_ney.identify(docs).collect(), key=key)
+    assert len(here) == len(joined) == len(rows)
+    for a, b in zip(here, joined):
+        assert (a["doc_id"], a["held_out"], a["lang_pred"], a["accepted"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["accepted"])
+        assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and (a["entropy"] is None) == (b["entropy"] is None) and math.isclose(a["entropy"] or 0, b["entropy"] or 0, rel_tol=1e-9)
