@@ -445,3 +445,14 @@ def test_language_identification_by_joins_is_the_same(spark, monkeypatch):
     for a, b in zip(here, joined):
         assert (a["doc_id"], a["held_out"], a["lang_pred"], a["accepted"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["accepted"])
         assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and (a["entropy"] is None) == (b["entropy"] is None) and math.isclose(a["entropy"] or 0, b["entropy"] or 0, rel_tol=1e-9)
+
+
+def test_line_quality_production_limits(spark):
+    """The limits as they are: above 50 holders and 5% of the host's documents a line goes; above 70% of its words a document goes."""
+    own = lambda i, n: " ".join(f"x{i}y{j}" for j in range(n))
+    line = "shared " + " ".join(f"b{j}" for j in range(79))
+    rows = [(i, f"{line}\n{own(i, 20 if i % 2 else 60)}", "en", "above") for i in range(51)] + [(1000 + i, f"{line}\n{own(i, 20)}", "en", "below") for i in range(50)]
+    rows += [(2000 + i, f"{line}\n{own(i, 20)}" if i < 51 else own(i, 60), "en", "large") for i in range(1020)]
+    got = {r["doc_id"]: r for r in line_quality.judge(frame(spark, rows)).collect()}
+    assert all(got[i]["removed_words"] == 80 and got[i]["kept"] == (i % 2 == 0) for i in range(51))
+    assert all(got[i]["removed_words"] == 0 and got[i]["kept"] for i in got if i >= 1000)
