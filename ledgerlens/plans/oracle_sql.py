@@ -551,6 +551,18 @@ SELECT count(*) AS rows,
        'row_id,transaction_date,payment_date,vendor_name,amount,invoice_number,vat_amount,wht_amount,expense_category,bank_account' AS columns,
        strftime(min(transaction_date), '%Y-%m-%d') AS date_from, strftime(max(transaction_date), '%Y-%m-%d') AS date_to,
        CAST(sum(amount) AS DOUBLE) AS total_amount, '₦' || {money('sum(amount)')} AS total_amount_text FROM ap""")
+register("src8_profiles", f"""
+, p AS (SELECT 'ap' AS "table", count(*) AS rows,
+               'row_id,transaction_date,payment_date,vendor_name,amount,invoice_number,vat_amount,wht_amount,expense_category,bank_account' AS columns,
+               min(transaction_date) AS lo, max(transaction_date) AS hi, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total FROM ap
+        UNION ALL SELECT 'payroll', count(*), 'row_id,month,employee_name,gross_salary,paye_amount,pension_amount,bank_account,department',
+               NULL, NULL, CAST(coalesce(sum(gross_salary), 0) AS DOUBLE) FROM payroll
+        UNION ALL SELECT 'tax_remittance', count(*), 'tax_type,remittance_date,period_covered,amount',
+               min(remittance_date), max(remittance_date), CAST(coalesce(sum(amount), 0) AS DOUBLE) FROM tax_remittance
+        UNION ALL SELECT 'vendor_master', count(*), 'vendor_name,vendor_id,bank_account,date_added', min(date_added), max(date_added), NULL FROM vendor_master
+        UNION ALL SELECT 'employee_master', count(*), 'employee_name,employee_id', NULL, NULL, NULL FROM employee_master)
+SELECT "table", rows, columns, strftime(lo, '%Y-%m-%d') AS date_from, strftime(hi, '%Y-%m-%d') AS date_to, total AS total_amount,
+       '₦' || {money('total')} AS total_amount_text FROM p""")
 register("src9_record_counts", """
 , c AS (SELECT 'ap' AS "table", count(*) AS rows FROM ap UNION ALL SELECT 'payroll', count(*) FROM payroll
         UNION ALL SELECT 'tax_remittance', count(*) FROM tax_remittance

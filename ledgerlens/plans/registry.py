@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -398,6 +399,13 @@ def _src8(spark, sf_dir):
     return boundary(data_profile(fixture_tables(spark, sf_dir).ap))
 
 
+@query("src8_profiles")
+def _src8_all(spark, sf_dir):
+    """The profile of each of the five tables."""
+    parts = [data_profile(df).select(F.lit(name).alias("table"), "*") for name, df in fixture_tables(spark, sf_dir).items()]
+    return boundary(reduce(DataFrame.unionByName, parts))
+
+
 @query("src9_record_counts")
 def _src9(spark, sf_dir):
     return record_counts(fixture_tables(spark, sf_dir))

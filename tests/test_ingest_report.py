@@ -118,3 +118,13 @@ def test_ghost_family_always_reported(spark):
     scan = run_scan(t.with_(vendor_master=None, employee_master=None), asof="2001-12-18", sort=False)
     leak = {r["category"]: r["amount"] for r in report.leakage_by_category(scan).collect()}
     assert leak["Ghost"] == 0 and set(leak) == {"Duplicates", "VAT/WHT", "Expenses", "Ghost", "Tax Risk", "Total"}
+
+
+def test_profiles_cover_the_five_tables(spark):
+    from ledgerlens.plans.registry import QUERIES
+
+    rows = {r["table"]: r for r in QUERIES["src8_profiles"](spark, "/root/testdata/sf0.001").collect()}
+    counts = {r["table"]: r["rows"] for r in QUERIES["src9_record_counts"](spark, "/root/testdata/sf0.001").collect()}
+    assert {t: r["rows"] for t, r in rows.items()} == {t: n for t, n in counts.items() if t != "total"} and len(rows) == 5
+    assert rows["payroll"]["total_amount"] > 0 and rows["vendor_master"]["total_amount"] is None and rows["employee_master"]["date_from"] is None
+    assert rows["vendor_master"]["date_from"] <= rows["vendor_master"]["date_to"]
