@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, minhash_dedup, mixing, packing, rule_ensemble, secret_scan
+from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, merkle, minhash_dedup, mixing, packing, rule_ensemble, secret_scan
 from ledgerlens.llm.common import read
 
 
@@ -57,11 +57,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_entropy"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_mixing, op3_line_quality, op4_packing, op5_grid_join, op6_chat_format, op7_rule_ensemble, op8_language_id,
-        op9_length_histogram, op10_secret_scan)
+        op9_length_histogram, op10_secret_scan, op13_merkle_manifest)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -120,10 +124,47 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length(f)) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id"""
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + "))"
+#: crc32 of a decimal number, bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {_LEAF.format('text')} AS leaf, {_LEAF.format(_LOWER.format('text'))} AS low,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos FROM documents),
+tree AS (SELECT lang, 0 AS level, pos, leaf AS digest FROM d UNION ALL
+  SELECT lang, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM tree)
+  WHERE n > 1 GROUP BY lang, level, pos // 8),
+top AS (SELECT lang, max(level) AS height FROM tree GROUP BY lang),
+sub AS (SELECT top.lang, height, digest, row_number() OVER (ORDER BY encode(top.lang) NULLS FIRST) - 1 AS place
+        FROM tree JOIN top ON tree.lang IS NOT DISTINCT FROM top.lang AND level = height),
+up AS (SELECT 0 AS level, place AS pos, digest FROM sub UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM up) WHERE n > 1 GROUP BY level, pos // 8),
+root AS (SELECT digest AS root FROM up ORDER BY level DESC LIMIT 1),
+own AS (SELECT d.lang, d.pos, d.leaf, d.low, d.doc_id, d.text, s.height, s.place, s.digest AS subroot FROM d JOIN sub s ON s.lang IS NOT DISTINCT FROM d.lang),
+step AS (
+  SELECT o.lang, o.pos, t.level AS k, t.pos AS p, o.pos >> (3 * t.level) AS mine, t.digest
+  FROM own o JOIN tree t ON t.lang IS NOT DISTINCT FROM o.lang AND t.level < o.height AND t.pos >> 3 = o.pos >> (3 * t.level + 3)
+  UNION ALL
+  SELECT o.lang, o.pos, o.height + u.level, u.pos, o.place >> (3 * u.level), u.digest
+  FROM own o JOIN up u ON u.level < (SELECT max(level) FROM up) AND u.pos >> 3 = o.place >> (3 * u.level + 3)),
+path AS (SELECT lang, pos, k, coalesce(string_agg(digest, '' ORDER BY p) FILTER (WHERE p < mine), '') AS lft,
+                coalesce(string_agg(digest, '' ORDER BY p) FILTER (WHERE p > mine), '') AS rgt FROM step GROUP BY lang, pos, k),
+proof AS (SELECT lang, pos, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS proof_sha256 FROM path GROUP BY lang, pos),
+fold AS (SELECT lang, pos, 0 AS k, CASE WHEN {_CRC32.format('doc_id')} % 3 = 0 AND text IS NOT NULL THEN low ELSE leaf END AS digest FROM own UNION ALL
+  SELECT f.lang, f.pos, f.k + 1, sha256(p.lft || f.digest || p.rgt) FROM fold f JOIN path p ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos AND p.k = f.k),
+folded AS (SELECT lang, pos, arg_max(digest, k) AS folded_root FROM fold GROUP BY lang, pos)
+SELECT o.doc_id, o.leaf, o.subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM own o CROSS JOIN root JOIN folded f ON f.lang IS NOT DISTINCT FROM o.lang AND f.pos = o.pos
+LEFT JOIN proof p ON p.lang IS NOT DISTINCT FROM o.lang AND p.pos = o.pos"""
+
 #: DuckDB statements over the same tables, where SQL can express the operator.
 SQL: dict[str, str] = {
     "op1_minhash_dedup": _OP1,
     "op3_line_quality": _OP3,
     "op5_grid_join": _OP5,
     "op6_chat_format": _OP6,
+    "op13_merkle_manifest": _OP13,
 }
