@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, merkle, minhash_dedup, mixing, packing, rule_ensemble, secret_scan
+from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, merkle, minhash_dedup, mixing, packing, rule_ensemble, secret_scan, token_alignment
 from ledgerlens.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.col("n_entropy"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(read(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_mixing, op3_line_quality, op4_packing, op5_grid_join, op6_chat_format, op7_rule_ensemble, op8_language_id,
-        op9_length_histogram, op10_secret_scan, op13_merkle_manifest)
+        op9_length_histogram, op10_secret_scan, op11_token_alignment, op13_merkle_manifest)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"

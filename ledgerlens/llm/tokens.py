@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,11 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for _ in range(3):  # back to the first byte of the character before
         lead = lead - ((data[lead] & 0xC0) == 0x80) * (lead > 0)
     at = at[_PLAIN[data[lead]]]
-    filled = np.flatnonzero(np.diff(offsets))
     # a space that ends or begins a text is not between two of its characters
-    at = at[~np.isin(at, offsets[:-1]) & ~np.isin(at + 1, offsets[1:])]
-    return np.union1d(at, offsets[:-1][filled])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = at[~edge[at] & ~edge[at + 1]]
+    return np.sort(np.concatenate([at, offsets[:-1][np.diff(offsets) > 0]]))
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -55,6 +57,23 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
 
 
+@dataclass
+class Pieces:
+    """Bounds of the pieces of some texts; ``hashes``: the distinct ones, first met at ``first``; piece i is number ``back[i]`` of them."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    back: np.ndarray
+
+
+def pieces(texts: ta.Texts) -> Pieces:
+    start = piece_starts(texts.data, texts.offsets)
+    end = np.append(start[1:], len(texts.data)) if len(start) else start
+    return Pieces(start, end, *np.unique(ta.hash_spans(texts.data, start, end), return_index=True, return_inverse=True))
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,27 +138,28 @@ class Encoder:
         self._hash, self._at = np.insert(self._hash, where, hashes), np.insert(self._at, where, start)
         self._length = np.insert(self._length, where, lengths)
 
+    def ids_of(self, texts: ta.Texts, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, and bounds of each text's ids."""
+        hashes, start, end = pieces.hashes, pieces.start, pieces.end
+        if len(self._hash) > REMEMBERED:
+            self._forget()
+        where = np.searchsorted(self._hash, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = where < len(self._hash)
+        known[inside] = self._hash[where[inside]] == hashes[inside]
+        if not known.all():
+            raw, new = texts.data.tobytes(), pieces.first[~known]
+            self._learn(hashes[~known], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            where = np.searchsorted(self._hash, hashes)
+        at, length = self._at[where][pieces.back], self._length[where][pieces.back]
+        total = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(length, out=total[1:])
+        return self._pool[ragged(at, length)], total[np.searchsorted(start, texts.offsets)]
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row of the first text, ids of some texts, bounds of each text's ids); a null text is empty."""
         for texts in ta.chunks(column, TOGETHER_BYTES):
-            data = texts.data
-            start = piece_starts(data, texts.offsets)
-            end = np.append(start[1:], len(data)) if len(start) else start
-            hashes, first, back = np.unique(ta.hash_spans(data, start, end), return_index=True, return_inverse=True)
-            if len(self._hash) > REMEMBERED:
-                self._forget()
-            where = np.searchsorted(self._hash, hashes)
-            known = np.zeros(len(hashes), bool)
-            inside = where < len(self._hash)
-            known[inside] = self._hash[where[inside]] == hashes[inside]
-            if not known.all():
-                raw, new = data.tobytes(), first[~known]
-                self._learn(hashes[~known], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
-                where = np.searchsorted(self._hash, hashes)
-            at, length = self._at[where][back], self._length[where][back]
-            total = np.zeros(len(start) + 1, np.int64)
-            np.cumsum(length, out=total[1:])
-            yield texts.first, self._pool[ragged(at, length)], total[np.searchsorted(start, texts.offsets)]
+            yield texts.first, *self.ids_of(texts, pieces(texts))
 
 
 @functools.cache
