@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, merkle, minhash_dedup, mixing, packing, rule_ensemble, secret_scan, token_alignment
+from ledgerlens.llm import chat_format, grid_join, kneser_ney, length_histogram, line_quality, merkle, minhash_dedup, mixing, packing, pii_bootstrap, rule_ensemble, secret_scan, token_alignment
 from ledgerlens.llm.common import read
 
 
@@ -61,6 +61,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned_documents(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_bootstrap.extract(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(read(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_mixing, op3_line_quality, op4_packing, op5_grid_join, op6_chat_format, op7_rule_ensemble, op8_language_id,
-        op9_length_histogram, op10_secret_scan, op11_token_alignment, op13_merkle_manifest)
+        op9_length_histogram, op10_secret_scan, op11_token_alignment, op12_pii_bootstrap, op13_merkle_manifest)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
