@@ -3,7 +3,8 @@
 A plain self-join on the vendor key puts every pair of a vendor's payments
 through the residual, which is quadratic for a vendor holding most rows.
 Instead every payment is exploded into keys that already encode the band of each
-rule, and the exploded frame is joined to itself (both sides are one exchange):
+rule, and the exploded frame is joined to itself.  Both sides use the same columns
+in the same way, so they are one exchange, which the planner builds once:
 
 * DUP-1 (same invoice): (vendor, invoice, bin of 32 days), rows with an invoice.
 * DUP-2 (near amounts within 7 days): (vendor, bin of 8 days, log-amount bin).
@@ -14,9 +15,12 @@ Negative amounts share one amount bin, because any two negatives pass the rule
 book's signed ratio test.  A row has one home key per rule; copies for the bin
 before and for the amount bins next to an edge meet the home keys of the earlier
 payment.  Bins are at least as wide as the rule's band, so each pair meets under
-exactly one key.  The exact predicates stay as the join residual, with the
-(time, row) order picking one orientation per pair.  AQE's skew-join handling
-splits any bin that is still hot.
+exactly one key.  A key is sent as two 64-bit hashes of (vendor, rule, invoice,
+time bin, amount bin) with different seeds, so rows of the sort-merge join compare
+numbers and not texts; that two keys share both has a probability of 2**-128 a
+pair.  The exact predicates stay as the join residual, with the (time, row) order
+picking one orientation per pair.  AQE's skew-join handling splits any bin that
+is still hot.
 """
 
 from __future__ import annotations
@@ -71,7 +75,7 @@ def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
     ).where(F.col("ts").isNotNull() & F.col("amt").isNotNull() & (F.col("amt") != 0))
 
 
-INVOICE, WEEK, BLANK = "I", "W", "B"
+INVOICE, WEEK, BLANK = 1, 2, 3
 
 
 def _amount_bins(rules: AuditRules) -> tuple[Column, Column]:
@@ -90,17 +94,17 @@ def _amount_bins(rules: AuditRules) -> tuple[Column, Column]:
     return F.when(positive, home).otherwise(fixed), F.when(positive, near).otherwise(F.array(fixed))
 
 
-def _keys(branch: str, inv: Column, days: int, home_amount: Column, near_amounts: Column) -> Column:
-    """Keys of one rule: (hash of vendor, rule and invoice; time bin; amount bin; rule; is it the home key)."""
+def _keys(branch: int, inv: Column, days: int, home_amount: Column, near_amounts: Column) -> Column:
+    """Keys of one rule: (two hashes, rule, is it the home key)."""
     width = F.lit((days + 1) * DAY_MICROS)
     us = _epoch_micros(F.col("ts"))
     tbin = F.floor(us / width).cast("bigint")
     times = F.when(us - tbin * width <= F.lit(days * DAY_MICROS), F.array(tbin, tbin - 1)).otherwise(F.array(tbin))
-    hashed = F.xxhash64("norm", F.lit(branch), inv)
+    one, two = F.xxhash64(F.lit(branch), "norm", inv), F.xxhash64(F.lit(-branch), "norm", inv)
 
     def key(t: Column, a: Column) -> Column:
-        return F.struct(hashed.alias("h"), t.alias("t"), a.alias("a"), F.lit(branch).alias("b"),
-                        ((t == tbin) & (a == home_amount)).alias("home"))
+        return F.struct(F.xxhash64(one, t, a).alias("k1"), F.xxhash64(two, a, t).alias("k2"),
+                        F.lit(branch).cast("tinyint").alias("rule"), ((t == tbin) & (a == home_amount)).alias("home"))
     return F.flatten(F.transform(times, lambda t: F.transform(near_amounts, lambda a: key(t, a))))
 
 
@@ -111,7 +115,7 @@ def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
     week = _keys(WEEK, F.lit(""), rules.dup_near_days, home, near)
     month = _keys(BLANK, F.lit(""), rules.dup_window_days, home, near)
     invoice = _keys(INVOICE, F.col("inv"), rules.dup_window_days, zero, F.array(zero))
-    none = F.filter(week, lambda _: F.lit(False))
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint,rule:tinyint,home:boolean>>")
     keys = []
     if on("DUP-1"):
         keys.append(F.when(no_invoice, none).otherwise(invoice))
@@ -119,13 +123,15 @@ def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
         keys.append(week)
     if on("DUP-3"):
         keys.append(F.when(blank, month).otherwise(none))
-    return b.select("rid", "name", "norm", "ts", "amt", "inv", F.explode(F.concat(*keys)).alias("k")).select(
-        "rid", "name", "norm", "ts", "amt", "inv", F.col("k.h").alias("kh"), F.col("k.t").alias("kt"),
-        F.col("k.a").alias("ka"), F.col("k.b").alias("kb"), F.col("k.home").alias("home"))
+    return b.select("rid", "name", "ts", "amt", "inv", F.inline(F.concat(*keys)))
 
 
 def _pairs(b: DataFrame, rules: AuditRules, on) -> DataFrame:
-    """All rules in one join: qualifying pairs, earlier payment first."""
+    """All rules in one join: qualifying pairs, earlier payment first.
+
+    Every column is read from both sides, so that column pruning leaves the sides
+    alike and their exchange is shared.
+    """
     e = _exploded(b, rules, on)
     x, y = e.alias("x"), e.alias("y")
     ts1, ts2, r1, r2 = F.col("x.ts"), F.col("y.ts"), F.col("x.rid"), F.col("y.rid")
@@ -133,20 +139,19 @@ def _pairs(b: DataFrame, rules: AuditRules, on) -> DataFrame:
     a1, a2, i1, i2 = F.col("x.amt"), F.col("y.amt"), F.col("x.inv"), F.col("y.inv")
     tol = F.lit(rules.dup_amount_tolerance)
     close = (((a1 > 0) & (a2 > 0) & (F.abs(a1 - a2) < tol * F.greatest(a1, a2))) | ((a1 < 0) & (a2 < 0)))
-    same_invoice = (i1 == i2) & ~i1.isin("", "nan")
+    same_invoice = (i1 == i2) & ~i1.isin("", "nan") & ~i2.isin("", "nan")
     near = close & ~same_invoice
-    holds = (F.when(F.col("x.kb") == INVOICE, same_invoice & (days <= rules.dup_window_days))
-             .when(F.col("x.kb") == WEEK, near & (days <= rules.dup_near_days))
+    branch = F.greatest(F.col("x.rule"), F.col("y.rule"))   # equal on both sides
+    holds = (F.when(branch == INVOICE, same_invoice & (days <= rules.dup_window_days))
+             .when(branch == WEEK, near & (days <= rules.dup_near_days))
              .otherwise(near & (days > rules.dup_near_days) & (days <= rules.dup_window_days)))
-    # a condition on both sides at once, so that it is not pushed below one of them and the exchange is shared
-    oriented = F.when((ts1 < ts2) | ((ts1 == ts2) & (r1 < r2)), F.col("x.home")).otherwise(F.lit(False))
-    # the 64-bit hash first: rows of the sort-merge join compare on it before any string
-    same = ((F.col("x.kh") == F.col("y.kh")) & (F.col("x.kt") == F.col("y.kt")) & (F.col("x.ka") == F.col("y.ka"))
-            & (F.col("x.norm") == F.col("y.norm")) & (F.col("x.kb") == F.col("y.kb")))
-    rule = (F.when(F.col("x.kb") == INVOICE, F.lit("DUP-1")).when(F.col("x.kb") == WEEK, F.lit("DUP-2"))
-            .otherwise(F.lit("DUP-3")))
+    earlier = (ts1 < ts2) | ((ts1 == ts2) & (r1 < r2))
+    oriented = F.when(earlier, F.col("x.home")).otherwise(F.col("y.home") & earlier)
+    same = (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2"))
+    rule = F.when(branch == INVOICE, F.lit("DUP-1")).when(branch == WEEK, F.lit("DUP-2")).otherwise(F.lit("DUP-3"))
+    name = F.when(earlier, F.col("x.name")).otherwise(F.col("y.name"))
     return x.join(y, same & oriented & holds).select(
-        F.col("x.name").alias("name_1"), ts1.alias("ts_1"), ts2.alias("ts_2"), r1.alias("rid_1"), r2.alias("rid_2"),
+        name.alias("name_1"), ts1.alias("ts_1"), ts2.alias("ts_2"), r1.alias("rid_1"), r2.alias("rid_2"),
         a1.alias("amt_1"), a2.alias("amt_2"), i1.alias("inv_1"), i2.alias("inv_2"), days.alias("days"),
         rule.alias("rule_id"))
 

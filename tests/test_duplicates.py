@@ -109,3 +109,17 @@ def test_tier_edges(spark):
     rows = [row(f"{k}{i}", f"V{k}", f"2026-01-0{i} 00:00:00", a, "A") for k, a in enumerate(["1000000", "999999.99", "100000", "99999.99"]) for i in (1, 2)]
     got = {r["vendor_name"]: r["risk_level"] for r in detect_duplicate_payments(ap_frame(spark, rows)).collect()}
     assert got == {"V0": "High", "V1": "Medium", "V2": "Medium", "V3": "Low"}
+
+
+def test_sides_share_one_exchange(spark, tmp_path):
+    """Read back from files, so that the plan is the one of a real table: AP is prepared and exploded once."""
+    rows = [(f"r{i}", f"Vendor {i % 5} Ltd", f"2026-01-{1 + i % 28:02d}", f"{100 + i % 7}.00", f"INV{i % 11}", "0", "0", "Rent", "B") for i in range(200)]
+    ap_frame(spark, rows).write.parquet(str(tmp_path / "ap"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # 200 rows would be broadcast
+    try:
+        found = detect_duplicate_payments(spark.read.parquet(str(tmp_path / "ap")))
+        assert len(found.collect()) > 0
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
