@@ -18,8 +18,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Python workers may not have this package on their path (the driver can run
 # from any folder), so functions of this module travel to them by value.
@@ -74,7 +74,7 @@ def score_normalized(norm_a: str | None, norm_b: str | None) -> int:
     return token_sort_ratio(norm_a, norm_b)
 
 
-@F.pandas_udf(T.StringType())
-def process_udf(a: pd.Series) -> pd.Series:
-    return a.map(lambda x: None if x is None else process(x))
-
+def processed(c: Column) -> Column:
+    """``process`` of a column, in built-in functions."""
+    word = F.regexp_replace(F.translate(c, "".join(map(chr, range(128, 256))), ""), r"(?U)[^\p{L}\p{N}_]", " ")
+    return F.array_join(F.array_sort(F.filter(F.split(F.lower(word), " "), lambda t: t != "")), " ")
