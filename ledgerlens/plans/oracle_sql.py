@@ -452,7 +452,31 @@ FIXTURE_REVENUE = 1000000000000
 _TEXTLESS_COLS = ("category, sub_category, entity, CAST(amount AS DOUBLE) AS amount, risk_level, finding_date, "
                   "finding_id")
 _UNIFIED_COLS = _TEXTLESS_COLS + ", details"
-register("rpt1_full_scan_findings", _ALL + f"SELECT {_UNIFIED_COLS} FROM findings")
+
+# clusters of duplicate payments; every payment but a cluster's largest is put on its first finding
+_EXPOSURE = """
+, e_edges AS (SELECT row_id_1 AS a, row_id_2 AS b FROM dups UNION SELECT row_id_2, row_id_1 FROM dups)
+, e_reach AS (SELECT a AS node, a AS reached FROM e_edges UNION SELECT r.node, e.b FROM e_reach r JOIN e_edges e ON e.a = r.reached)
+, e_pay AS (SELECT c.cluster, c.node, p.amount, row_number() OVER (PARTITION BY c.cluster ORDER BY p.amount DESC, c.node) AS k
+            FROM (SELECT node, min(reached) AS cluster FROM e_reach GROUP BY node) c JOIN ap p ON p.row_id = c.node)
+, e_put AS (SELECT row_id_1, row_id_2, sum(amount) AS exposure
+            FROM (SELECT p.amount, d.row_id_1, d.row_id_2, row_number() OVER (PARTITION BY p.node ORDER BY d.row_id_1, d.row_id_2) AS n
+                  FROM e_pay p JOIN dups d ON p.node = d.row_id_1 OR p.node = d.row_id_2 WHERE p.k > 1) WHERE n = 1 GROUP BY row_id_1, row_id_2)
+"""
+
+
+def _recursive(body: str) -> str:
+    ctes = oracle_ctes()
+    assert ctes.startswith("WITH ")
+    return "WITH RECURSIVE " + ctes[len("WITH "):] + body
+
+
+SQL["dup7_payment_clusters"] = _recursive(_DUP_P + _EXPOSURE + """
+SELECT cluster, count(*) AS payments, CAST(sum(amount) AS DOUBLE) AS total, CAST(max(amount) AS DOUBLE) AS largest,
+       CAST(sum(amount) - max(amount) AS DOUBLE) AS exposure FROM e_pay GROUP BY cluster""")
+SQL["rpt1_full_scan_findings"] = _recursive(_ALL + _EXPOSURE + f"""
+SELECT {_UNIFIED_COLS}, CAST(coalesce(e.exposure, CASE WHEN category = 'Duplicates' THEN 0 END) AS DOUBLE) AS exposure
+FROM findings f LEFT JOIN e_put e ON f.finding_id = 'DUP|' || e.row_id_1 || '|' || e.row_id_2""")
 register("rpt2_leakage_by_category", _ALL + f"""
 SELECT ord, category, CAST(amount AS DOUBLE) AS amount, round(CAST(amount AS DOUBLE) / {FIXTURE_REVENUE} * 100, 1) AS pct_of_revenue
 FROM (SELECT ord, category, amount FROM fam UNION ALL SELECT 5, 'Total', sum(amount) FROM fam)""")
@@ -619,12 +643,6 @@ _LCS = """
 """
 
 
-def _recursive(body: str) -> str:
-    ctes = oracle_ctes()
-    assert ctes.startswith("WITH ")
-    return "WITH RECURSIVE " + ctes[len("WITH "):] + body
-
-
 _NAM_PAIRS = f"""
 , paid AS (SELECT DISTINCT vendor_name, bank_account FROM ap)
 , both_names AS (SELECT p.bank_account, p.vendor_name, m.vendor_name AS master_name,

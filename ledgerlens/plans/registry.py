@@ -167,6 +167,7 @@ QUERIES["txf6_tax_filing_risk"] = _txf(None)
 
 # ---------------------------------------------------------------- duplicates
 from ..operators.duplicates import detect_duplicate_payments  # noqa: E402
+from ..operators.exposure import cluster_exposure  # noqa: E402
 
 DUP_COLS = ["vendor_name", "amount_1", "date_1", "amount_2", "date_2", "invoice_ref", "flagged_amount",
             "risk_level", "details", "rule_id", "row_id_1", "row_id_2", "days_apart"]
@@ -199,6 +200,13 @@ def _dup6(spark, sf_dir):
         "date_1", "date_2", "rule_id", "days_apart")
     return boundary(out)
 
+
+
+@query("dup7_payment_clusters")
+def _dup7(spark, sf_dir):
+    return boundary(cluster_exposure(detect_duplicate_payments(fixture_tables(spark, sf_dir).ap)))
+
+
 # ---------------------------------------------------------------- summaries and report
 from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary,  # noqa: E402
                                    ghost_summary, vat_summary)
@@ -249,7 +257,7 @@ UNIFIED_COLS = ["category", "sub_category", "entity", "amount", "risk_level", "f
 
 @query("rpt1_full_scan_findings")
 def _rpt1(spark, sf_dir):
-    return boundary(unified_findings(_scan(spark, sf_dir)), UNIFIED_COLS)
+    return boundary(unified_findings(_scan(spark, sf_dir), exposure=True), [*UNIFIED_COLS, "exposure"])
 
 
 @query("rpt2_leakage_by_category")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_RULES, AuditRules
 from ..operators.duplicates import detect_duplicate_payments
 from ..operators.expenses import detect_overstated_expenses
+from ..operators.exposure import with_exposure
 from ..operators.filing import detect_tax_filing_risk
 from ..operators.ghosts import detect_ghost_employees, detect_ghost_vendors
 from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary, ghost_summary,
@@ -95,19 +96,28 @@ FINDING_COLS = ["category", "sub_category", "entity", "amount", "risk_level", "f
                 "finding_id", "bank_account"]
 
 
-def unified_findings(scan: ScanResult) -> DataFrame | None:
+def unified_findings(scan: ScanResult, exposure: bool = False) -> DataFrame | None:
     """One long table of every finding: (category, sub_category, entity, amount,
-    risk_level, finding_date, details, finding_id, bank_account); only ghosts have an account."""
-    def row(df, category, sub, entity, amount, date, fid, bank=F.lit(None).cast("string")):
+    risk_level, finding_date, details, finding_id, bank_account); only ghosts have an account.
+
+    ``exposure=True`` adds a column of that name: the sum over duplicates counts every
+    surplus payment once (``operators.exposure``); NULL for the other families.  This
+    finds the clusters of payments, so jobs run.
+    """
+    none = F.lit(None).cast("decimal(38,2)")
+
+    def row(df, category, sub, entity, amount, date, fid, bank=F.lit(None).cast("string"), exposed=none):
+        more = [exposed.alias("exposure")] if exposure else []
         return df.select(F.lit(category).alias("category"), sub.alias("sub_category"),
                          entity.cast("string").alias("entity"), amount.cast("decimal(38,2)").alias("amount"),
                          F.col("risk_level"), date.alias("finding_date"), F.col("details"),
-                         fid.alias("finding_id"), bank.alias("bank_account"))
+                         fid.alias("finding_id"), bank.alias("bank_account"), *more)
     parts = []
     if scan.duplicates is not None:
-        d = scan.duplicates
+        d = with_exposure(scan.duplicates) if exposure else scan.duplicates
         parts.append(row(d, "Duplicates", F.col("rule_id"), F.col("vendor_name"), F.col("flagged_amount"),
-                         F.col("date_1"), F.concat_ws("|", F.lit("DUP"), "row_id_1", "row_id_2")))
+                         F.col("date_1"), F.concat_ws("|", F.lit("DUP"), "row_id_1", "row_id_2"),
+                         exposed=F.col("exposure") if exposure else none))
     if scan.vat_wht is not None:
         v = scan.vat_wht
         parts.append(row(v, "VAT/WHT", F.col("issue_type"), F.col("vendor_name"), F.col("estimated_liability"),
