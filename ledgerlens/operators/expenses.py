@@ -60,34 +60,56 @@ def monthly_spend(p: DataFrame) -> DataFrame:
 
 
 def monthly_moments(p: DataFrame) -> DataFrame:
-    """Per (category, month, NULL for rows without a date): rows, amounts, their sum and squared deviations.
+    """Per (category, month, NULL for rows without a date): rows, amounts, their sum, the sum of their
+    squares in cents (exact; NULL if it has more than 38 digits) and squared deviations.
 
     This is the one pass over the payments that all statistics come from.
     """
+    cents = (F.col("_amt") * 100).cast("decimal(20,0)")
     return (p.groupBy("category", month_start(F.col("_ts")).alias("month"))
             .agg(F.count(F.lit(1)).alias("_rows"), F.count("_amt").alias("txn_count"), F.sum("_amt").alias("_sum"),
-                 (F.var_pop("_amt") * F.count("_amt")).alias("_m2")))
+                 F.try_sum(cents * cents).alias("_squares"), (F.var_pop("_amt") * F.count("_amt")).alias("_m2")))
+
+
+def _deviations(n, total, squares, otherwise):
+    """Sum of squared deviations of ``n`` amounts from their mean, from their sum and their squares in cents.
+
+    Whole numbers throughout: with m = total div n and r the remainder it is squares - 2 m total + n m^2 - r^2 / n,
+    so large means take no digits from small deviations.  ``otherwise``: for sums beyond 38 digits.
+    """
+    cents = (total * 100).cast("decimal(38,0)")
+    m = F.try_divide(cents, n).cast("decimal(38,0)")
+    rest = cents - F.try_multiply(m, n.cast("decimal(20,0)"))
+    product = F.try_subtract(F.try_multiply(m, n.cast("decimal(20,0)")), F.try_multiply(cents, F.lit(2).cast("decimal(1,0)")))
+    exact = F.try_add(squares, F.try_multiply(m, product)).cast("double") - rest.cast("double") * rest.cast("double") / n
+    return F.coalesce(exact / 10_000, otherwise)
 
 
 def _dated(moments: DataFrame) -> DataFrame:
     n = F.col("txn_count")
+    m2 = _deviations(n, F.col("_sum"), F.col("_squares"), F.col("_m2"))
     return moments.where(F.col("month").isNotNull()).select(
         "category", "month", F.coalesce("_sum", F.lit(0).cast(MONEY)).alias("monthly_total"), "txn_count",
         F.when(n > 0, F.col("_sum").cast("double") / n).alias("txn_mean"),
-        F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("txn_std"))
+        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("txn_std"))
 
 
 def category_stats(moments: DataFrame) -> DataFrame:
-    """Rows, mean and sample std per category, merged from the months' moments."""
-    n, mean = F.col("txn_count"), F.col("_sum").cast("double") / F.col("txn_count")
-    sums = moments.groupBy("category").agg(
-        F.sum("_rows").alias("_n"), F.sum(n).alias("_k"), F.sum("_sum").alias("_s"), F.sum("_m2").alias("_within"),
-        F.sum(F.when(n > 0, n * mean * mean)).alias("_squares"))
+    """Rows, mean and sample std per category, merged from the months' moments.
+
+    Where the squares have too many digits, the months are merged pairwise by Chan's
+    formula: the deviations within months plus n_i (mean_i - mean)^2 between them.
+    """
+    n, whole = F.col("txn_count"), Window.partitionBy("category")
+    own, mean = F.col("_sum").cast("double") / n, F.sum("_sum").over(whole).cast("double") / F.sum("txn_count").over(whole)
+    apart = moments.withColumn("_between", F.when(n > 0, n * (own - mean) * (own - mean)))
+    sums = apart.groupBy("category").agg(
+        F.sum("_rows").alias("_n"), F.sum(n).alias("_k"), F.sum("_sum").alias("_s"), F.sum("_m2").alias("_within"), F.sum("_between").alias("_apart"),
+        F.when(F.count_if(F.col("_squares").isNull() & (n > 0)) == 0, F.try_sum("_squares")).alias("_squares"))
     k = F.col("_k")
-    total = F.col("_s").cast("double")
-    between = F.greatest(F.lit(0.0), F.col("_squares") - total * total / k)
-    return sums.select("category", "_n", F.when(k > 0, total / k).alias("_mean"),
-                       F.when(k > 1, F.sqrt((F.col("_within") + between) / (k - 1))).alias("_std"))
+    m2 = F.greatest(F.lit(0.0), _deviations(k, F.col("_s"), F.col("_squares"), F.col("_within") + F.col("_apart")))
+    return sums.select("category", "_n", F.when(k > 0, F.col("_s").cast("double") / k).alias("_mean"),
+                       F.when(k > 1, F.sqrt(m2 / (k - 1))).alias("_std"))
 
 
 def _with_stats(p: DataFrame, stats: DataFrame) -> DataFrame:

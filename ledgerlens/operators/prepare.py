@@ -61,7 +61,7 @@ def row_order(df: DataFrame) -> Column:
 def order_text(df: DataFrame) -> Column:
     """``row_order`` as text that sorts alike, for unions of tables whose ids differ in type."""
     if "row_id" in df.columns and isinstance(df.schema["row_id"].dataType, T.IntegralType):
-        shifted = F.col("row_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+        shifted = F.col("row_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
         return F.lpad(shifted.cast("string"), 20, "0")
     return row_order(df).cast("string")
 
