@@ -23,6 +23,7 @@ from ..functions.dates import coerce_timestamp
 from ..functions.text import money as fmt_money
 from ..operators.prepare import money
 from ..tables import AuditTables
+from .csv_splits import read_csv_splits
 from .contracts import Validation, apply_mapping, auto_map_columns, normalize_columns, validate_columns
 
 DATE_COLUMNS = {"transaction_date", "payment_date", "month", "remittance_date", "date_added", "date_joined"}
@@ -34,18 +35,21 @@ VALIDATED = ("ap", "payroll", "tax_remittance")
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool | str = True) -> DataFrame | None:
     """SRC-1: ``.csv`` -> header CSV (all text), ``.parquet`` -> Parquet.
     Unsupported suffixes raise; unreadable paths return None.
 
-    ``multi_line``: quoted fields may hold line breaks, so that a file is read as
-    a whole by one task.  For large files without such fields, False lets Spark split them.
+    ``multi_line``: True if quoted fields may hold line breaks; a file is then read as
+    a whole by one task.  ``"splits"`` reads such files by many tasks (``csv_splits``,
+    where quotes inside fields must be doubled).  False: no field holds a line break.
     """
     kind = fmt or ("csv" if path.lower().endswith(".csv") else
                    "parquet" if path.lower().endswith(".parquet") else None)
     if kind is None:
         raise ValueError(f"Unsupported file format: {path}. Please upload CSV or Parquet.")
     try:
+        if kind == "csv" and multi_line == "splits":
+            return read_csv_splits(spark, path, CSV_OPTIONS)
         if kind == "csv":
             return spark.read.options(**CSV_OPTIONS, header=True, inferSchema=False, multiLine=multi_line).csv(path)
         return spark.read.parquet(path)
@@ -105,9 +109,9 @@ def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RU
 
 
 def load_table(spark: SparkSession, path: str, table_type: str, rules: AuditRules = DEFAULT_RULES,
-               fmt: str | None = None) -> Loaded:
+               fmt: str | None = None, multi_line: bool | str = True) -> Loaded:
     """SRC-6: read then prepare."""
-    raw = read_table(spark, path, fmt)
+    raw = read_table(spark, path, fmt, multi_line)
     if raw is None:
         return Loaded(None, validate_columns([], table_type), f"could not read {path}")
     return prepare_table(raw, table_type, rules)
