@@ -73,6 +73,8 @@ class AuditRules:
     date_formats: tuple[str, ...] = ("yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy")
     # (column, format): the one format of a column, e.g. ("payment_date", "M/d/yyyy")
     column_formats: tuple[tuple[str, str], ...] = ()
+    # (column, "point" or "comma"): the decimal mark of a column of text; a point if not named
+    column_marks: tuple[tuple[str, str], ...] = ()
 
 
 DEFAULT_RULES = AuditRules()

@@ -16,7 +16,10 @@ from ..functions.dates import coerce_timestamp
 
 MONEY = T.DecimalType(18, 2)
 # what an amount written as text may hold besides its number
-MONEY_MARKS = "[,\\s\u20a6$\u20ac\u00a3]|NGN"
+MONEY_MARKS = "[\\s\u00a0\u20a6$\u20ac\u00a3]|NGN"
+# a number with a decimal point, or a decimal comma; the other mark only where it groups thousands
+POINT_NUMBER = r"^(?=.*\d)[+-]?(\d*|\d{1,3}(,\d{3})+)(\.\d*)?([eE][+-]?\d+)?$"
+COMMA_NUMBER = r"^(?=.*\d)[+-]?(\d*|\d{1,3}(\.\d{3})+)(,\d*)?$"
 
 
 def has(df: DataFrame | None, *cols: str) -> bool:
@@ -32,14 +35,27 @@ def ap_date_column(df: DataFrame) -> str | None:
     return None
 
 
-def money(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as DECIMAL(18,2); NaN and unparseable text become NULL."""
+def number_text(c: Column) -> Column:
+    """Text without currency signs and white space."""
+    return F.regexp_replace(c, MONEY_MARKS, "")
+
+
+def money(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES) -> Column:
+    """Column ``name`` as DECIMAL(18,2); NaN and text that is no number become NULL.
+
+    Text has a decimal point, or a decimal comma if ``rules.column_marks`` says so
+    of the column; ``12,50`` under a decimal point is no number, and not 1250.
+    """
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         c = F.when(~F.isnan(c), c)
     elif isinstance(dtype, T.StringType):
-        c = F.regexp_replace(c, MONEY_MARKS, "")
+        text = number_text(c)
+        if dict(rules.column_marks).get(name) == "comma":
+            c = F.when(text.rlike(COMMA_NUMBER), F.translate(text, ",.", "."))
+        else:
+            c = F.when(text.rlike(POINT_NUMBER), F.replace(text, F.lit(","), F.lit("")))
     return c.try_cast(MONEY)
 
 

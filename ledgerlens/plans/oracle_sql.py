@@ -556,6 +556,27 @@ UNION ALL SELECT 'payroll', true, false, 'gross_salary', 4, count(*) FROM payrol
 UNION ALL SELECT 'tax_remittance', true, false, 'amount', 1, count(*) FROM tax_remittance
 UNION ALL SELECT 'vendor_master', true, false, 'vendor_name', 3, count(*) FROM vendor_master
 UNION ALL SELECT 'employee_master', true, false, 'employee_name', 1, count(*) FROM employee_master""")
+register("src10_csv_scan", """
+SELECT row_id, vendor_name || ' "Q", x' || chr(10) || 'y' AS vendor_name, CAST(amount AS DOUBLE) AS amount, invoice_number FROM ap""")
+_VAT_TEXT = "(amount * 100) % 100 = 0"
+# a VAT amount with cents has its decimal mark for sure; whole ones too, as both have two decimals
+register("src11_column_formats", f"""
+SELECT 'amount' AS column, 'money' AS kind, 0 AS first_votes, count(*) FILTER (WHERE amount <= 2000000) AS second_votes, 0 AS either, 'comma' AS outcome FROM ap
+UNION ALL SELECT 'vat_amount', 'money', count(*) FILTER (WHERE NOT {_VAT_TEXT}), count(*) FILTER (WHERE {_VAT_TEXT}), 0, 'ambiguous' FROM ap
+UNION ALL SELECT 'wht_amount', 'money', count(wht_amount), 0, 0, 'point' FROM ap
+UNION ALL SELECT 'transaction_date', 'date', 0, count(*) FILTER (WHERE day(transaction_date) > 12), count(*) FILTER (WHERE day(transaction_date) <= 12 AND day(transaction_date) <> month(transaction_date)), 'month first' FROM ap
+UNION ALL SELECT 'payment_date', 'date', count(*) FILTER (WHERE day(payment_date) > 12), 0, count(*) FILTER (WHERE day(payment_date) <= 12 AND day(payment_date) <> month(payment_date)), 'day first' FROM ap""")
+_COMMA_VAT = "replace(replace(replace(format('{:,.2f}', CAST(vat_amount AS DOUBLE)), ',', ';'), '.', ','), ';', '.')"
+_REJECTED = f"""
+, bad AS (SELECT row_id, 'amount' AS column, 'about 2m' AS raw, 'not a number' AS reason FROM ap WHERE amount > 2000000
+  UNION ALL SELECT row_id, 'vat_amount', {_COMMA_VAT}, 'another decimal mark or too large' FROM ap WHERE {_VAT_TEXT}
+  UNION ALL SELECT row_id, 'payment_date', '31/02/2026', 'not a date' FROM ap WHERE day(payment_date) = 29)
+"""
+register("src12_rejected_values", _REJECTED + "SELECT * FROM bad")
+register("src13_accepted_rows", _REJECTED + """
+SELECT row_id, CAST(amount AS DOUBLE) AS amount, CAST(vat_amount AS DOUBLE) AS vat_amount, CAST(wht_amount AS DOUBLE) AS wht_amount,
+       strftime(transaction_date, '%Y-%m-%d') AS transaction_date, strftime(payment_date, '%Y-%m-%d') AS payment_date
+FROM ap WHERE row_id NOT IN (SELECT row_id FROM bad)""")
 register("src7_coercion", """
 SELECT row_id, strftime(transaction_date, '%Y-%m-%d') || ' 00:00:00.000' AS transaction_date,
        strftime(payment_date, '%Y-%m-%d %H:%M:%S') || '.250' AS payment_date,

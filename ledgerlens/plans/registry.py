@@ -4,6 +4,7 @@ names and types match its oracle statement (money as DOUBLE)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -313,7 +314,9 @@ def _rpt11(spark, sf_dir):
 from ..config import DEFAULT_RULES  # noqa: E402
 from ..fixed_values import EXPECTED_COLUMNS  # noqa: E402
 from ..sources.contracts import validate_columns  # noqa: E402
-from ..sources.ingest import CSV_OPTIONS, coerce_types, data_profile, prepare_table, record_counts  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources.ingest import (CSV_OPTIONS, coerce_types, data_profile, load_table, prepare_table,  # noqa: E402
+                              quarantine, record_counts, rejected_values)
 
 
 def raw_ap_export(ap: DataFrame) -> DataFrame:
@@ -370,6 +373,49 @@ def _src3(spark, sf_dir):
     return out
 
 
+@query("src10_csv_scan")
+def _src10(spark, sf_dir):
+    """AP written as CSV files with quotes, commas and line breaks in names, and scanned by splits."""
+    ap = fixture_tables(spark, sf_dir).ap
+    name = F.concat(F.col("vendor_name"), F.lit(' "Q", x\ny'))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    rows = ap.select("row_id", name.alias("Vendor Name"), F.col("amount").cast("string").alias("amount"), "invoice_number")
+    rows.write.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"}, header=True,
+                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    loaded = load_table(spark, path, "vendor_master", fmt="csv", multi_line="splits").table
+    return boundary(loaded.select("row_id", "vendor_name", "amount", "invoice_number"))
+
+
+def spelled_ap(ap: DataFrame) -> DataFrame:
+    """AP as text: amounts with a decimal comma, VAT with one in some rows, dates with the month first, and values that can't be read."""
+    comma = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    cents = F.col("amount") * 100 % 100
+    return ap.select(
+        "row_id", "vendor_name", F.when(F.col("amount") > 2_000_000, F.lit("about 2m")).otherwise(F.concat(comma("amount"), F.lit(" \u20a6"))).alias("amount"),
+        F.when(cents == 0, comma("vat_amount")).otherwise(F.format_number("vat_amount", 2)).alias("vat_amount"),
+        F.format_number("wht_amount", 2).alias("wht_amount"), F.date_format("transaction_date", "MM/dd/yyyy").alias("transaction_date"),
+        F.when(F.day("payment_date") == 29, F.lit("31/02/2026")).otherwise(F.date_format("payment_date", "dd/MM/yyyy")).alias("payment_date"))
+
+
+@query("src11_column_formats")
+def _src11(spark, sf_dir):
+    return prepare_table(spelled_ap(fixture_tables(spark, sf_dir).ap), "ap", infer_formats=True).formats
+
+
+@query("src12_rejected_values")
+def _src12(spark, sf_dir):
+    return rejected_values(prepare_table(spelled_ap(fixture_tables(spark, sf_dir).ap), "ap", infer_formats=True).checked)
+
+
+@query("src13_accepted_rows")
+def _src13(spark, sf_dir):
+    """The rows that a quarantine keeps, read back from the one pass that writes kept and rejected ones."""
+    checked = prepare_table(spelled_ap(fixture_tables(spark, sf_dir).ap), "ap", infer_formats=True).checked
+    kept, _ = quarantine(checked, f"{checkpoint_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex}")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return boundary(kept.select("row_id", "amount", "vat_amount", "wht_amount", day("transaction_date"), day("payment_date")))
+
+
 @query("src7_coercion")
 def _src7(spark, sf_dir):
     """Dates and money in several spellings, one per column, read back from text."""

@@ -13,18 +13,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..config import DEFAULT_RULES, AuditRules
 from ..fixed_values import CURRENCY_SIGN, EXPECTED_COLUMNS
 from ..functions.dates import coerce_timestamp
 from ..functions.text import money as fmt_money
-from ..operators.prepare import money
+from ..operators.prepare import COMMA_NUMBER, POINT_NUMBER, money, number_text
 from ..tables import AuditTables
-from .csv_splits import read_csv_splits
 from .contracts import Validation, apply_mapping, auto_map_columns, normalize_columns, validate_columns
+from .csv_splits import read_csv_splits
+from .formats import column_formats, with_formats
 
 DATE_COLUMNS = {"transaction_date", "payment_date", "month", "remittance_date", "date_added", "date_joined"}
 MONEY_COLUMNS = {"amount", "vat_amount", "wht_amount", "gross_salary", "paye_amount", "pension_amount"}
@@ -59,15 +61,19 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_lin
 
 def coerce_types(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     """SRC-7: contract dates -> TIMESTAMP_NTZ, money -> DECIMAL(18,2), the rest as is."""
+    return df.select(*_typed(df, rules))
+
+
+def _typed(df: DataFrame, rules: AuditRules) -> list[Column]:
     cols = []
     for c in df.columns:
         if c in DATE_COLUMNS:
             cols.append(coerce_timestamp(df, c, rules).alias(c))
         elif c in MONEY_COLUMNS:
-            cols.append(money(df, c).alias(c))
+            cols.append(money(df, c, rules).alias(c))
         else:
             cols.append(F.col(c))
-    return df.select(*cols)
+    return cols
 
 
 def rejects(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
@@ -79,25 +85,71 @@ def rejects(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     counts = []
     for c in typed:
         given = F.length(F.trim(F.col(c).cast("string"))) > 0
-        read = coerce_timestamp(df, c, rules) if c in DATE_COLUMNS else money(df, c)
+        read = coerce_timestamp(df, c, rules) if c in DATE_COLUMNS else money(df, c, rules)
         counts.append(F.struct(F.lit(c).alias("column"), F.count_if(given).alias("given"),
                                F.count_if(given & read.isNull()).alias("rejected")))
     return df.agg(F.array(*counts).alias("_c")).select(F.inline("_c"))
 
 
+REJECTIONS = "_rejections"
+
+
+def checked_types(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
+    """``coerce_types`` with ``_rejections``: (column, raw, reason) of each value that is given but can't be read."""
+    found = []
+    for c in df.columns:
+        if c in DATE_COLUMNS | MONEY_COLUMNS:
+            raw = F.col(c).cast("string")
+            is_date = c in DATE_COLUMNS
+            read = coerce_timestamp(df, c, rules) if is_date else money(df, c, rules)
+            reason = F.lit("not a date") if is_date else F.when(number_text(raw).rlike(POINT_NUMBER) | number_text(raw).rlike(COMMA_NUMBER),
+                                                               F.lit("another decimal mark or too large")).otherwise(F.lit("not a number"))
+            found.append(F.when((F.length(F.trim(raw)) > 0) & read.isNull(), F.struct(F.lit(c).alias("column"), raw.alias("raw"), reason.alias("reason"))))
+    none = F.array().cast("array<struct<column:string,raw:string,reason:string>>")
+    rejections = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none
+    typed = {c: t for c, t in zip(df.columns, _typed(df, rules))}
+    return df.select(*[typed[c].alias(c) for c in df.columns], rejections.alias(REJECTIONS))
+
+
+def quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected values), written under ``path`` in one pass over ``checked_types``.
+
+    A row with a rejection is not accepted; it gives one row (row_id, column, raw,
+    reason) per value that can't be read.  ``row_id`` must name a row.
+    """
+    rejected = F.size(REJECTIONS) > 0
+    checked.withColumn("_rejected", rejected).write.mode("overwrite").partitionBy("_rejected").parquet(path)
+    schema = checked.schema.add("_rejected", "boolean")
+    back = checked.sparkSession.read.schema(schema).parquet(path)
+    return back.where("not _rejected").drop(REJECTIONS, "_rejected"), rejected_values(back.where("_rejected"))
+
+
+def rejected_values(checked: DataFrame) -> DataFrame:
+    """(row_id, column, raw, reason) per rejected value."""
+    return checked.select("row_id", F.explode(REJECTIONS).alias("x")).select("row_id", "x.column", "x.raw", "x.reason")
+
+
 @dataclass(frozen=True)
 class Loaded:
     table: DataFrame | None
     validation: Validation
     error: str | None = None
     rejects: DataFrame | None = None
+    #: the typed table with ``_rejections``; see ``quarantine``
+    checked: DataFrame | None = None
+    #: how the columns of text are spelled, if it was asked for
+    formats: DataFrame | None = None
 
 
 def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RULES,
-                  add_row_id: bool = True) -> Loaded:
+                  add_row_id: bool = True, infer_formats: bool = False) -> Loaded:
     """SRC-6 on a DataFrame: normalise headers, map aliases, validate (masters are
     not validated), coerce types and add ``row_id`` if missing.  Deliberate fix:
-    aliases are mapped before validation, so an aliased required column passes."""
+    aliases are mapped before validation, so an aliased required column passes.
+
+    ``infer_formats`` reads the table once to find the decimal mark and the order of
+    dates of each column of text (``formats``); columns of which the vote is
+    ambiguous are read as ``rules`` say."""
     df = normalize_columns(df)
     df = apply_mapping(df, auto_map_columns(df.columns, table_type))
     check = validate_columns(df.columns, table_type)
@@ -105,16 +157,21 @@ def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RU
         return Loaded(None, check, f"missing columns: {', '.join(check.missing_required)}")
     if add_row_id and "row_id" not in df.columns:
         df = df.withColumn("row_id", F.monotonically_increasing_id())
-    return Loaded(coerce_types(df, rules), check, rejects=rejects(df, rules))
+    formats = None
+    if infer_formats:
+        text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        formats = column_formats(df, [c for c in text if c in MONEY_COLUMNS], [c for c in text if c in DATE_COLUMNS])
+        rules = with_formats(rules, formats)
+    return Loaded(coerce_types(df, rules), check, rejects=rejects(df, rules), checked=checked_types(df, rules), formats=formats)
 
 
 def load_table(spark: SparkSession, path: str, table_type: str, rules: AuditRules = DEFAULT_RULES,
-               fmt: str | None = None, multi_line: bool | str = True) -> Loaded:
+               fmt: str | None = None, multi_line: bool | str = True, infer_formats: bool = False) -> Loaded:
     """SRC-6: read then prepare."""
     raw = read_table(spark, path, fmt, multi_line)
     if raw is None:
         return Loaded(None, validate_columns([], table_type), f"could not read {path}")
-    return prepare_table(raw, table_type, rules)
+    return prepare_table(raw, table_type, rules, infer_formats=infer_formats)
 
 
 def load_each(spark: SparkSession, paths: dict[str, str], rules: AuditRules = DEFAULT_RULES) -> dict[str, Loaded]:
@@ -144,7 +201,7 @@ def data_profile(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
         aggs += [F.min(ts).alias(f"_min{i}"), F.max(ts).alias(f"_max{i}")]
     amount_col = "amount" if "amount" in df.columns else "gross_salary" if "gross_salary" in df.columns else None
     if amount_col:
-        aggs.append(F.coalesce(F.sum(money(df, amount_col)), F.lit(0)).cast("decimal(38,2)").alias("_total"))
+        aggs.append(F.coalesce(F.sum(money(df, amount_col, rules)), F.lit(0)).cast("decimal(38,2)").alias("_total"))
     a = df.agg(*aggs)
     lo = F.coalesce(*[F.col(f"_min{i}") for i in range(len(date_cols))]) if date_cols else F.lit(None)
     hi = F.coalesce(*[F.when(F.col(f"_min{i}").isNotNull(), F.col(f"_max{i}")) for i in range(len(date_cols))]) \
