@@ -23,3 +23,8 @@ def clean_text(c: Column) -> Column:
     for src, dst in TEXT_REPLACEMENTS:
         x = F.replace(x, F.lit(src), F.lit(dst))
     return F.regexp_replace(x, r"[^\x{00}-\x{FF}]", "?")
+
+
+def described(texts: bool, details: Column) -> Column:
+    """A finding's sentence, or NULL where only its amounts are wanted."""
+    return details if texts else F.lit(None).cast("string")

@@ -17,7 +17,8 @@ from ..config import DEFAULT_RULES, AuditRules
 from ..functions.dates import day_text, month_start, month_text
 from ..functions.names import py_strip
 from ..functions.tax import tier
-from ..functions.text import money as fmt_money
+from ..functions.text import described, money as fmt_money
+from ..session import checkpoint_dir
 from .prepare import MONEY, ap_date_column, empty, money, order_text, timestamp
 
 EXP_SCHEMA = T.StructType([
@@ -131,8 +132,12 @@ def _row(category, amount, baseline, deviation, date, risk, details, rule_id, pr
 
 
 def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT_RULES,
-                               include: tuple[str, ...] | None = None, sort: bool = False) -> DataFrame | None:
-    """EXP-3..6 over AP; ``include`` limits the rules, dedupe and sort are EXP-6."""
+                               include: tuple[str, ...] | None = None, sort: bool = False,
+                               texts: bool = True) -> DataFrame | None:
+    """EXP-3..6 over AP; ``include`` limits the rules, dedupe and sort are EXP-6.
+
+    One job runs here: the table of categories and months is computed and written to
+    the checkpoint folder.  ``texts=False``: ``details`` is NULL."""
     if ap is None:
         return None
     p = prepared(ap, rules)
@@ -140,11 +145,12 @@ def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT
         return empty(ap.sparkSession, EXP_SCHEMA)
     on = (lambda r: include is None or r in include)
     parts = []
-    moments = monthly_moments(p).persist()   # one row per category and month
+    checkpoint_dir(ap.sparkSession)
+    moments = monthly_moments(p).checkpoint()   # one row per category and month
     if on("EXP-3"):
-        parts.append(_spikes(moments, rules))
+        parts.append(_spikes(moments, rules, texts))
     if on("EXP-4") or on("EXP-5"):
-        parts.append(_payment_rules(p, category_stats(moments), rules, on("EXP-4"), on("EXP-5")))
+        parts.append(_payment_rules(p, category_stats(moments), rules, on("EXP-4"), on("EXP-5"), texts))
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
@@ -157,7 +163,7 @@ def detect_overstated_expenses(ap: DataFrame | None, rules: AuditRules = DEFAULT
     return kept
 
 
-def _spikes(moments: DataFrame, rules: AuditRules) -> DataFrame:
+def _spikes(moments: DataFrame, rules: AuditRules, texts: bool) -> DataFrame:
     """EXP-3: month total above ``factor`` x the mean of the previous three observed months."""
     k = rules.exp_spike_window
     w = Window.partitionBy("category").orderBy("month")
@@ -173,11 +179,12 @@ def _spikes(moments: DataFrame, rules: AuditRules) -> DataFrame:
         F.col("category"), fmt_money(total), F.format_string("%.0f", deviation.cast("double")),
         fmt_money(rolling.cast("double")))
     return hit.select(*_row(F.col("category"), total, rolling, deviation, month_text(F.col("month")),
-                            tier(total, [(rules.exp_high, "High")], "Medium"), details, "EXP-3", 1,
+                            tier(total, [(rules.exp_high, "High")], "Medium"), described(texts, details), "EXP-3", 1,
                             F.col("month").cast("string")))
 
 
-def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers: bool, rounds: bool) -> DataFrame:
+def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers: bool, rounds: bool,
+                   texts: bool) -> DataFrame:
     """EXP-4 and EXP-5 in one pass over the payments joined to their category statistics.
 
     EXP-4: amount above mean + 3 sample std of its category (>= 5 rows, std > 0), dated.
@@ -199,13 +206,13 @@ def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers:
             F.format_string("%.1f", F.abs(amt - mean) / F.col("_std")))
         cands.append(F.when(hit, F.struct(*_row(
             F.col("category"), F.col("_amt"), mean, deviation, day_text(F.col("_ts")),
-            tier(F.col("_amt"), [(rules.exp_high, "High")], "Medium"), details, "EXP-4", 2, F.col("_rid")))))
+            tier(F.col("_amt"), [(rules.exp_high, "High")], "Medium"), described(texts, details), "EXP-4", 2, F.col("_rid")))))
     if rounds:
         details = F.format_string(
             "Round-number payment of NGN %s in '%s' \u2014 common fraud pattern (exact multiple of NGN %s)",
             fmt_money(F.col("_amt")), F.col("category"), F.format_number(F.lit(unit), 0))
         cands.append(F.when(is_round, F.struct(*_row(
             F.col("category"), F.col("_amt"), F.coalesce(mean, F.lit(0.0)), F.lit(0.0),
-            F.coalesce(day_text(F.col("_ts")), F.lit("N/A")), F.lit("Medium"), details, "EXP-5", 3,
+            F.coalesce(day_text(F.col("_ts")), F.lit("N/A")), F.lit("Medium"), described(texts, details), "EXP-5", 3,
             F.col("_rid")))))
     return j.select(F.inline(F.filter(F.array(*cands), lambda x: x.isNotNull())))

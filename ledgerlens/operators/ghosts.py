@@ -25,7 +25,7 @@ from ..config import DEFAULT_RULES, AuditRules
 from ..functions.dates import day_text, days_floor
 from ..functions.names import normalize_name, py_str
 from ..functions.tax import tier
-from ..functions.text import money as fmt_money
+from ..functions.text import described, money as fmt_money
 from .prepare import MONEY, ap_date_column, empty, has, money, order_text, row_order, timestamp
 
 GHOST_SCHEMA = T.StructType([
@@ -49,11 +49,11 @@ NO_PAYE = "No PAYE tax deduction"
 NO_PENSION = "No pension contribution"
 
 
-def _finding(name, kind, bank, reason, total, risk, details, rule_id, prio, order) -> list[Column]:
+def _finding(name, kind, bank, reason, total, risk, details, rule_id, prio, order, texts) -> list[Column]:
     return [
         name.cast("string").alias("name"), F.lit(kind).alias("type"), bank.cast("string").alias("bank_account"),
         reason.alias("red_flag_reason"), total.cast(T.DecimalType(38, 2)).alias("total_paid"),
-        risk.alias("risk_level"), details.alias("details"), F.lit(rule_id).alias("rule_id"),
+        risk.alias("risk_level"), described(texts, details).alias("details"), F.lit(rule_id).alias("rule_id"),
         F.lit(prio).alias("_prio"), order.alias("_order"),
     ]
 
@@ -116,8 +116,8 @@ def _nonempty(df: DataFrame) -> Column:
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("_any")).scalar()
 
 
-def _struct(name, kind, bank, reason, total, risk, details, rule_id, prio, order) -> Column:
-    return F.struct(*_finding(name, kind, bank, reason, total, risk, details, rule_id, prio, order))
+def _struct(name, kind, bank, reason, total, risk, details, rule_id, prio, order, texts) -> Column:
+    return F.struct(*_finding(name, kind, bank, reason, total, risk, details, rule_id, prio, order, texts))
 
 
 def _candidates(j: DataFrame, candidates: list[Column]) -> DataFrame:
@@ -125,7 +125,7 @@ def _candidates(j: DataFrame, candidates: list[Column]) -> DataFrame:
 
 
 def _shared_bank(names: DataFrame, has_bank: bool, kind: str, noun_plural: str, high: int, rule_id: str,
-                 rules: AuditRules, what: str) -> DataFrame | None:
+                 rules: AuditRules, what: str, texts: bool) -> DataFrame | None:
     """GHV-2 / GHE-2: one bank account used by more than one normalised name.
 
     Blank accounts and missing names are left out after the aggregate and the
@@ -146,12 +146,12 @@ def _shared_bank(names: DataFrame, has_bank: bool, kind: str, noun_plural: str,
         "_bank", "_n", "_total",
         F.coalesce(F.transform("_list", lambda s: s["_name"]), F.array().cast("array<string>")).alias("_names"))
     name = F.array_join("_names", " / ")
-    reason = F.format_string(f"%d {noun_plural} sharing same bank account", F.col("_n"))
+    reason = F.concat(F.col("_n").cast("string"), F.lit(f" {noun_plural} sharing same bank account"))
     details = F.format_string(f"Multiple {noun_plural} (%s) {what} %s. Total: NGN %s",
                               F.array_join("_names", ", "), F.col("_bank"), fmt_money(F.col("_total")))
     return joined.select(*_finding(
         name, kind, F.col("_bank"), reason, F.col("_total"),
-        tier(F.col("_total"), [(high, "High")], "Medium"), details, rule_id, 2, F.col("_bank")))
+        tier(F.col("_total"), [(high, "High")], "Medium"), details, rule_id, 2, F.col("_bank"), texts))
 
 
 def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = False) -> DataFrame:
@@ -175,8 +175,8 @@ def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = False) -> Da
 
 def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None = None,
                          rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                         sort: bool = False) -> DataFrame:
-    """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``)."""
+                         sort: bool = False, texts: bool = True) -> DataFrame:
+    """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``).  ``texts=False``: ``details`` is NULL."""
     if ap is None:
         return None
     if "vendor_name" not in ap.columns:
@@ -186,14 +186,15 @@ def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None =
     names = _name_bank(_prepare(ap, "vendor_name", "amount", rules, date_col=dcol), {}, rules, "")
     parts: list[DataFrame | None] = []
     if on("GHV-1") or on("GHV-3") or on("GHV-4"):
-        parts.append(_vendor_name_rules(_per_name(names, {}), vendor_master, rules, on, dcol is not None))
+        parts.append(_vendor_name_rules(_per_name(names, {}), vendor_master, rules, on, dcol is not None, texts))
     if on("GHV-2"):
         parts.append(_shared_bank(names, "bank_account" in ap.columns, VENDOR, "vendors", rules.ghost_vendor_high,
-                                  "GHV-2", rules, "all pay to bank account"))
+                                  "GHV-2", rules, "all pay to bank account", texts))
     return _dedupe_sort(parts, ap.sparkSession, sort)
 
 
-def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditRules, on, has_dates: bool):
+def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditRules, on, has_dates: bool,
+                       texts: bool):
     """GHV-1, GHV-3 and GHV-4 from one per-name row joined to its master rows."""
     use_master = has(master, "vendor_name")
     if use_master:
@@ -217,7 +218,7 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
                                   py_str(F.col("_first_name")), fmt_money(total))
         cands.append(F.when(nonempty & F.col("_in_master").isNull(), _struct(
             F.col("_first_name"), VENDOR, F.col("_first_bank"), F.lit(NOT_IN_VENDOR_MASTER), total,
-            tier(total, [(rules.ghost_vendor_high, "High")], "Medium"), details, "GHV-1", 1, F.col("_norm"))))
+            tier(total, [(rules.ghost_vendor_high, "High")], "Medium"), details, "GHV-1", 1, F.col("_norm"), texts)))
     if on("GHV-3"):
         details = F.format_string(
             "Vendor '%s' received only one payment of NGN %s \u2014 potential ghost vendor",
@@ -226,7 +227,7 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
         cands.append(F.when((F.col("_cnt") == 1) & (total >= rules.ghost_single_payment_min), _struct(
             F.col("_first_nonnull_name"), VENDOR, F.col("_first_bank"), F.lit(SINGLE_PAYMENT), total,
             tier(total, [(rules.ghost_single_payment_medium, "Medium")], "Low"), details, "GHV-3", 3,
-            F.col("_norm"))))
+            F.col("_norm"), texts)))
     if on("GHV-4") and has_added and has_dates:
         days = days_floor(F.col("_added"), F.col("_first_ts"))
         details = F.format_string(
@@ -235,7 +236,7 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
         ok = F.col("_added").isNotNull() & F.col("_first_ts").isNotNull() & days.between(0, rules.ghost_onboard_days)
         cands.append(F.when(ok, _struct(
             F.col("_mname"), VENDOR, F.col("_mbank"), F.lit(CREATED_AND_PAID), total, F.lit("Medium"), details,
-            "GHV-4", 4, F.col("_morder"))))
+            "GHV-4", 4, F.col("_morder"), texts)))
     if not cands:
         return None
     return _candidates(j, cands)
@@ -243,8 +244,8 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
 
 def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame | None = None,
                            rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                           sort: bool = False) -> DataFrame:
-    """GHE-1..5.  A NULL employee name is the text 'nan' before normalising."""
+                           sort: bool = False, texts: bool = True) -> DataFrame:
+    """GHE-1..5.  A NULL employee name is the text 'nan' before normalising.  ``texts=False``: ``details`` is NULL."""
     if payroll is None:
         return None
     if "employee_name" not in payroll.columns:
@@ -275,12 +276,12 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
             py_str(F.col("_first_name")), fmt_money(total))
         cands.append(F.when(g1_fires, _struct(
             F.col("_first_name"), EMPLOYEE, F.col("_first_bank"), F.lit(NOT_IN_EMPLOYEE_MASTER), total,
-            tier(total, [(rules.ghost_employee_high, "High")], "Medium"), details, "GHE-1", 1, F.col("_norm"))))
+            tier(total, [(rules.ghost_employee_high, "High")], "Medium"), details, "GHE-1", 1, F.col("_norm"), texts)))
     g3_fires = F.lit(False)
     if "paye" in conds:
         g3_fires = (F.col("paye_rows") > 0) & (F.col("paye_total") >= rules.ghost_no_deduction_min)
         cands.append(F.when(g3_fires, _no_deduction("paye", NO_PAYE, "Medium", "GHE-3", 3,
-                                                     "salary with no PAYE tax deduction")))
+                                                     "salary with no PAYE tax deduction", texts)))
     if "pension" in conds:
         pname = F.col("pension_name")
         # a name already flagged by GHE-1/GHE-3 for this employee suppresses the
@@ -289,11 +290,11 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
         fires = (F.col("pension_rows") > 0) & (F.col("pension_total") >= rules.ghost_no_deduction_min) \
             & ~F.coalesce(same, F.lit(False))
         cands.append(F.when(fires, _no_deduction("pension", NO_PENSION, "Low", "GHE-4", 4,
-                                                  "salary with no pension contribution")))
+                                                  "salary with no pension contribution", texts)))
     parts: list[DataFrame | None] = [
         _candidates(j, cands) if cands else None,
         _shared_bank(names, "bank_account" in payroll.columns, EMPLOYEE, "employees", rules.ghost_employee_high,
-                     "GHE-2", rules, "all receive salary in bank account"),
+                     "GHE-2", rules, "all receive salary in bank account", texts),
     ]
     parts = [x for x in parts if x is not None]
     if not parts:
@@ -309,9 +310,10 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
     return _dedupe_sort([u], payroll.sparkSession, sort)
 
 
-def _no_deduction(key: str, reason: str, risk: str, rule_id: str, prio: int, what: str) -> Column:
+def _no_deduction(key: str, reason: str, risk: str, rule_id: str, prio: int, what: str,
+                  texts: bool) -> Column:
     """GHE-3 / GHE-4: rows with the deduction NULL or 0; per employee total >= threshold."""
     details = F.format_string(f"Employee '%s' received NGN %s {what}", py_str(F.col(f"{key}_name")),
                               fmt_money(F.col(f"{key}_total")))
     return _struct(F.col(f"{key}_name"), EMPLOYEE, F.col(f"{key}_bank"), F.lit(reason), F.col(f"{key}_total"),
-                   F.lit(risk), details, rule_id, prio, F.col("_norm"))
+                   F.lit(risk), details, rule_id, prio, F.col("_norm"), texts)

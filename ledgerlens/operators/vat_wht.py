@@ -17,7 +17,7 @@ from ..config import DEFAULT_RULES, AuditRules, as_datetime
 from ..functions.dates import days_floor, lit_ts, month_text
 from ..functions.names import py_str, py_strip
 from ..functions.tax import late_penalty, should_have_vat, tier, vat_on, wht_category, wht_rate
-from ..functions.text import naira
+from ..functions.text import described, naira
 from .prepare import MONEY, ap_date_column, empty, has, money, row_order, timestamp
 
 VAT_SCHEMA = T.StructType([
@@ -71,9 +71,9 @@ def _finding(issue: str, status: str, expected: Column, liability: Column, risk:
 
 def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *, asof,
                           rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
-                          sort: bool = False) -> DataFrame | None:
+                          sort: bool = False, texts: bool = True) -> DataFrame | None:
     """VAT-2..6 at evaluation instant ``asof``.  A NULL amount, VAT or WHT value
-    raises no finding for that tax."""
+    raises no finding for that tax.  ``texts=False``: ``details`` is NULL."""
     if ap is None:
         return None
     dcol = ap_date_column(ap)
@@ -109,13 +109,13 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
     vat_under = _finding(
         "VAT Under-deducted", "Not deducted", expected_vat, expected_vat,
         tier(expected_vat, [(rules.vat_high, "High"), (rules.vat_medium, "Medium")], "Low"),
-        F.format_string("VAT of %s should have been deducted on payment of %s to %s",
-                        naira(expected_vat), naira(amt), py_str(F.col("_vendor"))), "VAT-2")
+        described(texts, F.format_string("VAT of %s should have been deducted on payment of %s to %s",
+                        naira(expected_vat), naira(amt), py_str(F.col("_vendor")))), "VAT-2")
     vat_unrem = _finding(
         "VAT Unremitted", "Deducted but not remitted", vat, vat_liab,
         tier(vat_liab, [(rules.unremitted_high, "High")], "Medium"),
-        F.format_string("VAT of %s was deducted but not remitted to FIRS for period %s. Estimated penalty: %s",
-                        naira(vat), F.col("_period"), naira(vat_penalty)), "VAT-3")
+        described(texts, F.format_string("VAT of %s was deducted but not remitted to FIRS for period %s. Estimated penalty: %s",
+                        naira(vat), F.col("_period"), naira(vat_penalty))), "VAT-3")
     needs_vat = should_have_vat(amt, rules)
     vat_s = F.when(needs_vat & (vat == 0) & F.lit(on("VAT-2")), vat_under) \
              .when(needs_vat & (vat > 0) & ~F.col("_vat_ok") & F.lit(on("VAT-3")), vat_unrem)
@@ -127,13 +127,13 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
     wht_under = _finding(
         "WHT Under-deducted", "Not deducted", expected_wht, expected_wht,
         tier(expected_wht, [(rules.wht_medium, "Medium")], "Low"),
-        F.format_string("WHT of %s should have been deducted on payment of %s to %s (category: %s)",
-                        naira(expected_wht), naira(amt), py_str(F.col("_vendor")), keyword), "VAT-4")
+        described(texts, F.format_string("WHT of %s should have been deducted on payment of %s to %s (category: %s)",
+                        naira(expected_wht), naira(amt), py_str(F.col("_vendor")), keyword)), "VAT-4")
     wht_unrem = _finding(
         "WHT Unremitted", "Deducted but not remitted", wht, wht_liab,
         tier(wht_liab, [(rules.unremitted_high, "High")], "Medium"),
-        F.format_string("WHT of %s was deducted but not remitted to FIRS for period %s. Penalty: %s",
-                        naira(wht), F.col("_period"), naira(wht_penalty)), "VAT-5")
+        described(texts, F.format_string("WHT of %s was deducted but not remitted to FIRS for period %s. Penalty: %s",
+                        naira(wht), F.col("_period"), naira(wht_penalty))), "VAT-5")
     wht_s = F.when((expected_wht > 0) & (wht == 0) & F.lit(on("VAT-4")), wht_under) \
              .when((wht > 0) & ~F.col("_wht_ok") & F.lit(on("VAT-5")), wht_unrem)
 

@@ -39,6 +39,19 @@ class ScanResult:
     ghost_employees: DataFrame | None = None
     tax_filing: DataFrame | None = None
     ap_present: bool = False
+    #: what the scan keeps in storage until ``close``
+    kept: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Give back the storage that ``materialize="persist"`` took; results are computed anew after that."""
+        for df in self.kept:
+            df.unpersist()
+
+    def __enter__(self) -> ScanResult:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def summaries(self) -> dict[str, DataFrame]:
         """Family name -> one-row summary, for the families the scan ran."""
@@ -74,21 +87,24 @@ def _materialize(df: DataFrame | None, how: str) -> DataFrame | None:
 
 
 def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, materialize: str = "none",
-             sort: bool = False) -> ScanResult:
+             sort: bool = False, texts: bool = True) -> ScanResult:
+    """All families.  ``with run_scan(...) as scan`` gives back what ``persist`` keeps.  ``texts=False`` leaves the
+    findings' ``details`` out, for rollups that only add amounts."""
     ap = _materialize(tables.ap, materialize)
     have_ap = ap is not None
     return ScanResult(
         duplicates=detect_duplicate_payments(ap, rules, sort=sort) if have_ap else None,
-        vat_wht=detect_vat_wht_issues(ap, tables.tax_remittance, asof=asof, rules=rules, sort=sort)
+        vat_wht=detect_vat_wht_issues(ap, tables.tax_remittance, asof=asof, rules=rules, sort=sort, texts=texts)
         if have_ap else None,
-        expenses=detect_overstated_expenses(ap, rules, sort=sort) if have_ap else None,
-        ghost_vendors=detect_ghost_vendors(ap, tables.vendor_master, rules, sort=sort)
+        expenses=detect_overstated_expenses(ap, rules, sort=sort, texts=texts) if have_ap else None,
+        ghost_vendors=detect_ghost_vendors(ap, tables.vendor_master, rules, sort=sort, texts=texts)
         if have_ap and tables.vendor_master is not None else None,
-        ghost_employees=detect_ghost_employees(tables.payroll, tables.employee_master, rules, sort=sort)
+        ghost_employees=detect_ghost_employees(tables.payroll, tables.employee_master, rules, sort=sort, texts=texts)
         if tables.payroll is not None and tables.employee_master is not None else None,
         tax_filing=detect_tax_filing_risk(tables.tax_remittance, tables.payroll, ap, asof=asof, rules=rules,
                                           sort=sort),
         ap_present=have_ap,
+        kept=(ap,) if have_ap and materialize == "persist" else (),
     )
 
 

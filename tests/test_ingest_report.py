@@ -2,6 +2,7 @@ import os
 import tempfile
 
 import pytest
+from conftest import ASOF, ap_frame
 from pyspark.sql import functions as F
 
 from ledgerlens.sources.contracts import auto_map_columns, normalize_name, validate_columns
@@ -128,3 +129,32 @@ def test_profiles_cover_the_five_tables(spark):
     assert {t: r["rows"] for t, r in rows.items()} == {t: n for t, n in counts.items() if t != "total"} and len(rows) == 5
     assert rows["payroll"]["total_amount"] > 0 and rows["vendor_master"]["total_amount"] is None and rows["employee_master"]["date_from"] is None
     assert rows["vendor_master"]["date_from"] <= rows["vendor_master"]["date_to"]
+
+
+def test_export_takes_the_place_of_the_old_one_only_when_whole(spark, tmp_path):
+    from pathlib import Path
+
+    from ledgerlens.plans.export import export_findings
+    from ledgerlens.plans.scan import ScanResult
+
+    out = str(tmp_path / "export")
+    dup = spark.createDataFrame([("A", 1)], "vendor_name string, flagged_amount int")
+    assert export_findings(ScanResult(duplicates=dup), out) == [f"{out}/duplicate_payments"]
+    broken = spark.range(1).selectExpr("raise_error('broken') AS vendor_name")
+    with pytest.raises(Exception, match="broken"):
+        export_findings(ScanResult(duplicates=dup, vat_wht=broken), out)
+    assert spark.read.parquet(f"{out}/duplicate_payments").count() == 1   # the old export is as it was
+    two = dup.union(dup)
+    assert export_findings(ScanResult(expenses=two, duplicates=dup.limit(0)), out) == [f"{out}/overstated_expenses"]
+    assert sorted(p.name for p in Path(out).iterdir() if not p.name.startswith((".", "_"))) == ["overstated_expenses"]
+    assert not list(tmp_path.glob("export.old-*"))
+
+
+def test_a_scan_gives_back_what_it_keeps(spark):
+    from ledgerlens.plans.scan import run_scan
+    from ledgerlens.tables import AuditTables
+
+    ap = ap_frame(spark, [("1", "V", "2026-01-02 00:00:00", "100000.00", "I1", "0", "0", "Rent", "B")])
+    with run_scan(AuditTables(ap=ap), asof=ASOF, materialize="persist", texts=False) as scan:
+        assert ap.is_cached and scan.vat_wht.where("details IS NOT NULL").count() == 0 and scan.vat_wht.count() > 0
+    assert not ap.is_cached
