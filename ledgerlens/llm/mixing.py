@@ -89,12 +89,17 @@ def apportioned(rows: DataFrame, group: list[str], name: str, size: str, seats:
     return offers.groupBy(*keys).agg((F.max("__sure") + won).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, taken, rounds, run_start, run_words) per row of ``docs``.
+def _class(doc_id: str, size: str, seed: int) -> Column:
+    """Where a document stands in its shard; rows that share doc_id and size stand together."""
+    return F.struct(F.xxhash64(doc_id, F.lit(seed + 1)).alias("order"), F.col(doc_id).isNotNull().alias("named"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(size).alias("size"))
 
-    taken: words the mix takes, repeats counted, at most three times the size: ``rounds``
-    whole copies and ``run_words`` words from word ``run_start`` on (going round).
-    """
+
+def _shard(doc_id: str, size: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, size, F.lit(seed)), F.col("shards"))
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their place in their shard (begin, end) and the shard's run; and the sources with their number of shards."""
     rows = sized(docs)
     of_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights)
     everything = Window.partitionBy(F.lit(0))
@@ -106,8 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
 
     named = of_source.withColumnRenamed("source", "of_source")
     rows = rows.join(named, rows["source"].eqNullSafe(named["of_source"])).drop("of_source")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("shards")))
-    rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1)))
+    rows = rows.withColumn("shard", _shard("doc_id", "size", seed)).withColumn("class", _class("doc_id", "size", seed))
     per_shard = rows.groupBy("source", "shard", "block", "source_blocks").agg(F.sum("size").cast("double").alias("shard_size"))
     per_shard = apportioned(per_shard, ["source"], "shard", "shard_size", "source_blocks")
     quota = F.least(F.col("quota") * F.col("block"), F.col("shard_size").cast("long") * MOST_REPEATS)
@@ -118,16 +122,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
         F.when(shard_size > 0, F.floor(quota / shard_size)).otherwise(F.lit(0)).alias("rounds"),
         F.when(shard_size > 0, F.pmod(quota, shard_size)).otherwise(F.lit(0)).alias("run"))
     rows = rows.join(per_shard, rows["source"].eqNullSafe(per_shard["of_source"]) & (rows["shard"] == per_shard["of_shard"]))
-    laid = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    laid = Window.partitionBy("source", "shard").orderBy("class", "row").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("size").over(laid), F.lit(0).cast("long"))
     rows = rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size"))
     # the run covers [start, start + run) and, where that passes the end, [0, start + run - shard_size)
     straight = F.greatest(F.lit(0), F.least("end", F.col("start") + F.col("run")) - F.greatest("begin", "start"))
     beyond = F.greatest(F.lit(0), F.least(F.col("end"), F.col("start") + F.col("run") - F.col("shard_size")) - F.col("begin"))
     run_start = F.when(straight > 0, F.greatest(F.col("start") - F.col("begin"), F.lit(0))).otherwise(F.lit(0))
-    return rows.select(
-        "row", "doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + straight + beyond).alias("taken"),
-        F.col("rounds").cast("long").alias("rounds"), run_start.cast("long").alias("run_start"), (straight + beyond).cast("long").alias("run_words"))
+    rows = rows.withColumn("taken", F.col("rounds") * F.col("size") + straight + beyond).withColumn("run_start", run_start.cast("long"))
+    return rows.withColumn("run_words", (straight + beyond).cast("long")).withColumn("rounds", F.col("rounds").cast("long")), of_source.select("source", "shards")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, taken, rounds, run_start, run_words) per row of ``docs``.
+
+    taken: words the mix takes, repeats counted, at most three times the size: ``rounds``
+    whole copies and ``run_words`` words from word ``run_start`` on (going round).
+    """
+    return _placed(docs, weights, seed)[0].select("row", "doc_id", "source", "size", "source_size", "target", "taken", "rounds", "run_start", "run_words")
+
+
+def _cuts(placed: DataFrame) -> DataFrame:
+    """One row per shard of which something is taken: where its run begins and ends.
+
+    first, last: the classes that hold the first word of the run and the first one
+    behind it; wraps: the run goes round the shard's end.  For both classes the
+    number of their rows, and run_start and run_words, which are those of the class
+    if it has one row.
+    """
+    behind = F.pmod(F.col("start") + F.col("run"), F.col("shard_size"))
+    holds = lambda at: (F.col("begin") <= at) & (at < F.col("end"))
+    first, last = F.when(holds(F.col("start")), F.col("class")), F.when(holds(behind), F.col("class"))
+    cuts = placed.where("shard_size > 0").groupBy("source", "shard").agg(
+        F.first("rounds").alias("rounds"), F.first("run").alias("run"), F.max(F.col("start") + F.col("run") >= F.col("shard_size")).alias("wraps"),
+        F.max(first).alias("first"), F.max(last).alias("last"))
+    cuts = materialize(cuts)
+    rows = placed.select(F.col("source").alias("own"), F.col("shard").alias("at"), "class", "run_start", "run_words")
+    rows = rows.join(cuts, F.col("own").eqNullSafe(F.col("source")) & (F.col("at") == F.col("shard")) & F.col("class").isin(F.col("first"), F.col("last")))
+    is_first, is_last = F.col("class") == F.col("first"), F.col("class") == F.col("last")
+    share = lambda name, here: [
+        F.count_if(here).alias(f"{name}_rows"), F.min(F.when(here, F.col("run_start"))).alias(f"{name}_start"), F.min(F.when(here, F.col("run_words"))).alias(f"{name}_words")]
+    return materialize(rows.groupBy("source", "shard", "rounds", "run", "wraps", "first", "last").agg(*share("first", is_first), *share("last", is_last)))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
@@ -135,23 +170,50 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEE
 
     A document stands there once for each whole copy that is taken, and once more
     for the words of a partial one (joined by single spaces; a run that goes
-    round a document's end continues at its beginning).  Rows are matched by
-    doc_id, text size and source, so rows that share those are interchangeable.
+    round a document's end continues at its beginning).
+
+    Texts are not shuffled: a document is taken if its class lies between those
+    that hold the ends of its shard's run, and shares of those two stand in the
+    table of shards.  Only rows that share doc_id, size and source with another one
+    and hold an end are numbered to tell them apart; they are interchangeable.
     """
     names = docs.columns
-    per_row = mix(docs, weights, seed)
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("row")
-    # rows that share doc_id, source and size are told apart by their number
-    per_row = per_row.withColumn("twin", F.row_number().over(same)).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("twin").alias("__twin"), F.col("rounds").alias("__rounds"),
-        F.col("run_start").alias("__start"), F.col("run_words").alias("__words")).where("__size > 0 and (__rounds > 0 or __words > 0)")
-    numbered = docs.withColumn("__own_size", words(F.col("text").cast("string")))
-    mine = Window.partitionBy("doc_id", "source", "__own_size").orderBy(F.xxhash64("text"))
-    numbered = numbered.withColumn("__own_twin", F.row_number().over(mine))
-    at = (
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-        & (F.col("__own_size") == F.col("__size")) & (F.col("__own_twin") == F.col("__twin")))
-    taken = numbered.join(per_row, at)
+    placed, sources = _placed(docs, weights, seed)
+    placed = materialize(placed.select("row", "source", "shard", "class", "begin", "end", "start", "run", "shard_size", "rounds", "run_start", "run_words"))
+    cuts = _cuts(placed)
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source").cast("string")).withColumn("__size", words(F.col("text").cast("string")))
+    rows = rows.where("__size > 0").withColumn("__class", _class("__id", "__size", seed))
+    named = sources.withColumnRenamed("source", "__of_source")
+    rows = rows.join(named, F.col("__source").eqNullSafe(F.col("__of_source"))).withColumn("__shard", _shard("__id", "__size", seed)).drop("shards", "__of_source")
+    table = cuts.select(*(F.col(c).alias(f"__{c}") if c not in ("source", "shard") else F.col(c).alias(f"__of_{c}") for c in cuts.columns))
+    rows = rows.join(table, F.col("__source").eqNullSafe(F.col("__of_source")) & (F.col("__shard") == F.col("__of_shard")))
+    at_first, at_last = F.col("__class") == F.col("__first"), F.col("__class") == F.col("__last")
+    behind, before = F.col("__class") > F.col("__first"), F.col("__class") < F.col("__last")
+    inside = (F.col("__run") > 0) & F.when(F.col("__wraps"), behind | before).otherwise(behind & before)
+    single = rows.where(~(at_first & (F.col("__first_rows") > 1)) & ~(at_last & (F.col("__last_rows") > 1)))
+    single = single.withColumn("__start", F.when(at_first, F.col("__first_start")).when(at_last, F.col("__last_start")).otherwise(F.lit(0)))
+    single = single.withColumn("__words", F.when(at_first, F.col("__first_words")).when(at_last, F.col("__last_words")).when(inside, F.col("__size")).otherwise(F.lit(0)))
+    taken = single.select(*names, "__size", "__rounds", "__start", "__words")
+    if cuts.where("first_rows > 1 or last_rows > 1").limit(1).count():
+        taken = taken.unionByName(_twins(placed, cuts, rows.where((at_first & (F.col("__first_rows") > 1)) | (at_last & (F.col("__last_rows") > 1))), names))
+    return _copies(taken.where("__rounds > 0 or __words > 0"), names)
+
+
+def _twins(placed: DataFrame, cuts: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` of classes with several rows that hold an end of a run, each with the share of one of the class's places."""
+    number = F.row_number().over(Window.partitionBy("__of_source", "__of_shard", "__of_class").orderBy("row"))
+    ends = cuts.select(F.col("source").alias("__of_source"), F.col("shard").alias("__of_shard"), F.explode(F.array("first", "last")).alias("__of_class")).distinct()
+    at = F.col("source").eqNullSafe(F.col("__of_source")) & (F.col("shard") == F.col("__of_shard")) & (F.col("class") == F.col("__of_class"))
+    shares = placed.join(ends, at).select("__of_source", "__of_shard", "__of_class", number.alias("__of_twin"), F.col("run_start").alias("__start"), F.col("run_words").alias("__words"))
+    mine = Window.partitionBy("__source", "__shard", "__class").orderBy(F.xxhash64("text"))
+    rows = rows.drop("__of_source", "__of_shard").withColumn("__twin", F.row_number().over(mine))
+    same = (
+        F.col("__source").eqNullSafe(F.col("__of_source")) & (F.col("__shard") == F.col("__of_shard"))
+        & (F.col("__class") == F.col("__of_class")) & (F.col("__twin") == F.col("__of_twin")))
+    return rows.join(shares, same).select(*names, "__size", "__rounds", "__start", "__words")
+
+
+def _copies(taken: DataFrame, names: list[str]) -> DataFrame:
     whole = F.when(F.col("__words") == F.col("__size"), F.col("__rounds") + 1).otherwise(F.col("__rounds")).cast("int")
     partial = (F.col("__words") > 0) & (F.col("__words") < F.col("__size"))
     copies = taken.withColumn("__copy", F.explode(F.concat(
