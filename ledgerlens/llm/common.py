@@ -78,6 +78,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Least and most bits of a bitmap of keys: 16 MB at most.
+BITMAP_BITS = (1 << 20, 1 << 27)
+_PART = 32_768  # bits of one row of a bitmap, 4 KB
+
+
+def bitmap(keys: DataFrame) -> tuple[int, DataFrame]:
+    """The number of bits, and rows (part, bits) in which bit ``key`` modulo that number is set for each row of ``keys(key)``.
+
+    16 bits a key within ``BITMAP_BITS``, so that the rows have 16 MB at most, whatever the number of keys.
+    """
+    bits, wanted = BITMAP_BITS[0], 16 * keys.count()
+    while bits < min(wanted, BITMAP_BITS[1]):
+        bits *= 2
+    at = keys.select((F.pmod("key", F.lit(bits)) + 1).alias("at"))
+    parts = at.groupBy((F.bitmap_bucket_number("at") - 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    return bits, parts
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``maybe``: true for all rows whose ``key`` is in ``ids(id)`` and for a few others.
+
+    Only a bitmap of the hashed ids is sent to the rows, which are not shuffled.
+    What is true can then be joined exactly.
+    """
+    bits, parts = bitmap(ids.select(F.xxhash64("id").alias("key")))
+    parts = F.broadcast(materialize(parts).withColumnRenamed("part", "__part").withColumnRenamed("bits", "__bits"))
+    out = rows.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(bits)))
+    out = out.join(parts, F.expr(f"__at div {_PART}") == F.col("__part"), "left")
+    byte = F.expr(f"cast(conv(hex(substring(__bits, cast((__at % {_PART}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0
+    return out.withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("__at", "__part", "__bits")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges(a, b)``, as ``(node, component)``.
 

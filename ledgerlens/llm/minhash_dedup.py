@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import textarrays as ta
-from ledgerlens.llm.common import connected_components, materialize
+from ledgerlens.llm.common import connected_components, materialize, maybe_in
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -203,8 +203,9 @@ def confirm(pairs: DataFrame, members: DataFrame | None, docs: DataFrame) -> Dat
     hub is a document.  One link per document and hub is returned.  A hub with many
     candidates is split into groups of about ``GROUP_SHINGLES`` shingles, each with
     its own copy of the members' texts; within a task rows stream by, and only the
-    members' sets are kept.
+    members' sets are kept.  Texts are shuffled of documents that are named only.
     """
+    pairs = materialize(pairs)
     total = F.sum("n").over(Window.partitionBy("hub"))
     sized = pairs.select("a", "hub", F.ceil(total / GROUP_SHINGLES).cast("int").alias("groups"))
     candidates = sized.select(
@@ -213,7 +214,9 @@ def confirm(pairs: DataFrame, members: DataFrame | None, docs: DataFrame) -> Dat
     hubs = hubs.withColumn("id", F.col("hub")) if members is None else hubs.join(members, "hub")
     part = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")
     rows = candidates.unionByName(hubs.select("id", "hub", part, F.lit(0).alias("is_candidate")))
-    rows = rows.join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id"))
+    named = materialize(rows.select("id").distinct())
+    texts = maybe_in(docs.select("doc_id", "text"), "doc_id", named).where("maybe")
+    rows = rows.join(texts, F.col("id") == F.col("doc_id"))
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "is_candidate")
     return rows.select("hub", "is_candidate", "id", "text").mapInArrow(_confirm_batches, "a long, b long")
 
