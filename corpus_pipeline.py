@@ -12,32 +12,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import minhash_dedup, mixing, packing, rule_ensemble, secret_scan
-from ledgerlens.llm.common import materialize, read
+from ledgerlens.llm.common import materialize, maybe_in, read
 from ledgerlens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept(doc_id)``; a null id is matched too."""
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def _flagged(docs: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id is surely not in ``flags(id, flag)``, and the others with their flag, null if there is none.
+
+    Only the others are shuffled; a null id is matched too.
+    """
+    rows = maybe_in(docs.select(*COLUMNS), "doc_id", flags)
+    others = rows.where("maybe").join(flags, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return rows.where("not maybe").select(*COLUMNS), others
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts as good; rows sharing an id go together, and stay if one is good."""
     scored = rule_ensemble.classify(docs, read(spark, sf_dir, "labels"))
-    return _with_ids(docs, materialize(scored.where("predicted = 1").select("doc_id").distinct())).select(*COLUMNS)
+    bad = scored.groupBy(F.col("doc_id").alias("id")).agg(F.max("predicted").alias("flag")).where("flag = 0")
+    clean, others = _flagged(docs, materialize(bad))
+    return clean.unionByName(others.where("flag is null").select(*COLUMNS))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with its smallest id; of rows that share an id and a text, one."""
-    kept = materialize(minhash_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    rows = docs.select(*COLUMNS)
-    once = _with_ids(rows, kept.where("rows = 1"))
+    found = minhash_dedup.near_duplicates(docs).groupBy(F.col("doc_id").alias("id")).agg(F.every("kept").alias("kept"), F.count("*").alias("rows"))
+    flags = materialize(found.where("not kept or rows > 1").select("id", F.when(F.col("kept"), "twins").otherwise("copy").alias("flag")))
+    alone, others = _flagged(docs, flags)
     twin = Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars")
-    more = _with_ids(rows, kept.where("rows > 1")).withColumn("twin", F.row_number().over(twin)).where("twin = 1").drop("twin")
-    return once.unionByName(more)
+    first = others.where("flag = 'twins'").withColumn("twin", F.row_number().over(twin)).where("twin = 1")
+    return alone.unionByName(others.where("flag is null").select(*COLUMNS)).unionByName(first.select(*COLUMNS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
