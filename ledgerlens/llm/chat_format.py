@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -69,19 +69,41 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """A log of finished turns: each row opens a message and streams its text as one delta.
+    """A log that ends in the given turns: each row opens a message and streams its text as three deltas.
 
-    Rows that share conversation and turn are messages of their own, in the order of role and text.
+    A hash of the row's place decides what else happens on the way: of 8 messages one
+    streams a wrong text first and is regenerated, one is opened with a wrong text and
+    edited as a whole, one goes on after an edit, and one has a message before it
+    that is deleted again.  Rows that share conversation and turn are messages of
+    their own, in the order of role and text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     place = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = rows.withColumn("twin", F.row_number().over(place))
-    message = F.struct(F.coalesce("turn", F.lit(0).cast("long")).alias("turn"), F.col("turn").isNotNull().alias("known"), "twin")
-    both = F.array(
-        F.struct(F.lit("open").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("step")), F.struct(F.lit("delta").alias("kind"), F.col("text").alias("text"), F.lit(1).alias("step")))
-    out = rows.select("conv_id", message.alias("message"), "role", F.explode(both).alias("e"))
+    rows = rows.withColumn("twin", F.row_number().over(place)).withColumn("case", F.pmod(F.xxhash64("conv_id", "turn", "twin"), F.lit(8)))
+    n = F.char_length("text")
+    third, rest = F.expr("char_length(text) div 3").cast("int"), F.expr("char_length(text) * 2 div 3").cast("int")
+    parts = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, rest - third), F.substring("text", rest + 1, n)]
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(kind).alias("kind"), own.alias("text"), F.lit(step).alias("step"), F.lit(False).alias("dropped"))
+                         for step, (kind, own) in enumerate(events)))
+
+    none = F.lit("")
+    streamed = [("delta", x) for x in parts]
+    dropped = F.array(*(F.struct(F.lit(kind).alias("kind"), own.alias("text"), F.lit(step).alias("step"), F.lit(True).alias("dropped"))
+                        for step, (kind, own) in enumerate([("open", F.col("text")), ("delta", parts[0]), ("delete", none)])))
+    case = F.col("case")
+    events = (F.when(case == 0, log(("open", none), ("delta", parts[1]), ("regenerate", none), *streamed))
+              .when(case == 1, log(("open", parts[2]), ("delta", parts[0]), ("edit", F.col("text"))))
+              .when(case == 2, log(("open", none), ("edit", parts[0]), *streamed[1:]))
+              .when(case == 3, F.concat(dropped, log(("open", none), *streamed)))
+              .otherwise(log(("open", none), *streamed)))
+    out = rows.select("conv_id", "turn", "role", "twin", F.explode(events).alias("e"))
+    twin = F.when(F.col("e.dropped"), -F.col("twin")).otherwise(F.col("twin"))
+    message = F.struct(F.coalesce("turn", F.lit(0).cast("long")).alias("turn"), F.col("turn").isNotNull().alias("known"), twin.alias("twin"))
+    out = out.select("conv_id", message.alias("message"), "role", "e")
     seq = F.struct("message.known", "message.turn", "message.twin", "e.step")
     return out.select("conv_id", seq.alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 

@@ -199,3 +199,17 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_the_derived_log_holds_every_kind_of_event(spark):
+    turns = spark.createDataFrame([(i % 7, i // 7, ["user", "assistant"][i % 2], f"text {i} é𠀠" * (i % 5)) for i in range(140)] + [(None, None, None, None), (3, 1, "user", "twin"), (3, 1, "user", "twin")],
+                                  "conv_id long, turn long, role string, text string")
+    log = chat_format.events_of_turns(turns)
+    kinds = {r["kind"]: r["n"] for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"open", "delta", "edit", "regenerate", "delete"} and kinds["delta"] > 300 and kinds["delete"] > 5
+    folded = chat_format.fold(log).collect()
+    texts = {}
+    for r in sorted(folded, key=lambda r: tuple(r["order"]["seq"])):
+        texts[r["conv_id"], tuple(r["message"])] = texts.get((r["conv_id"], tuple(r["message"])), "") + r["text"]
+    want = [(r["conv_id"], r["text"] or "") for r in turns.collect()]
+    assert sorted(map(str, ((c, t) for (c, _), t in texts.items()))) == sorted(map(str, want))
