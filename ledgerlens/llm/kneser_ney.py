@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text is read as its letters in lower case, every run of other characters as one
-space.  For each language the four-character sequences of all its learning texts
+A text is read as its letters in lower case with the marks that follow them (vowel
+signs, accents), every run of other characters as one space.  Symbols are UTF-16
+units, so a letter beyond U+FFFF is two symbols that nothing else shares.  For each language the four-character sequences of all its learning texts
 are counted; lower orders hold continuation counts (in how many contexts a
 sequence occurs).  Probabilities are interpolated from order 4 down to 1 and a
 uniform share.  The model is a table: for each language and order its sequences
@@ -53,15 +54,44 @@ _SPACE = 32
 
 
 @functools.cache
-def _letters() -> np.ndarray:
-    """For each code point: the 16-bit symbol of its lower-case letter, or 32 for what is no letter."""
-    table = np.full(0x110000, _SPACE, np.uint16)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: the code point of its lower-case letter, or 32 for what is no letter; and whether it is a mark."""
+    table, mark = np.full(0x110000, _SPACE, np.uint32), np.zeros(0x110000, bool)
     for c in range(0x110000):
         x = chr(c)
-        if unicodedata.category(x)[0] == "L":
+        kind = unicodedata.category(x)
+        if kind[0] == "L":
             low = x.lower()
-            table[c] = ord(low if len(low) == 1 else x) & 0xFFFF
-    return table
+            table[c] = ord(low if len(low) == 1 else x)
+        mark[c] = kind in ("Mn", "Mc")
+    return table, mark
+
+
+def _symbols(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The letter of each code point, a mark itself where it follows a letter, else 32; ``starts``: first points of texts."""
+    table, is_mark = _letters()
+    out = table[points]
+    mark = is_mark[points]
+    if mark.any():
+        at = np.arange(len(points))
+        letter = np.maximum.accumulate(np.where(out != _SPACE, at, -1))
+        other = np.where((out == _SPACE) & ~mark, at, -1)
+        other[starts] = np.maximum(other[starts], starts - 1)
+        out = np.where(mark & (letter > np.maximum.accumulate(other)), points, out)
+    return out
+
+
+def _units(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit units of the symbols, and how many each has."""
+    wide = symbols > 0xFFFF
+    n = 1 + wide.astype(np.int64)
+    if not wide.any():
+        return symbols.astype(np.uint64), n
+    out = np.repeat(symbols, n).astype(np.uint64)
+    last = np.cumsum(n)[wide] - 1
+    above = symbols[wide].astype(np.uint64) - np.uint64(0x10000)
+    out[last - 1], out[last] = np.uint64(0xD800) + (above >> np.uint64(10)), np.uint64(0xDC00) + (above & np.uint64(0x3FF))
+    return out, n
 
 
 def sequences(texts: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -73,18 +103,20 @@ def sequences(texts: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
     begins = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=begins[1:])
     offsets = begins[texts.offsets]
-    symbols = _letters()[points]
+    starts = offsets[:-1][offsets[:-1] < len(points)]
+    symbols = _symbols(points, starts)
     letter = symbols != _SPACE
     before = np.zeros(len(letter), bool)
     before[1:] = letter[:-1]
-    before[offsets[:-1][offsets[:-1] < len(letter)]] = False
+    before[starts] = False
     keep = np.flatnonzero(letter | before)
-    of_text = np.searchsorted(offsets, keep, side="right") - 1
+    units, n = _units(symbols[keep])
+    of_text = np.repeat(np.searchsorted(offsets, keep, side="right") - 1, n)
     first = np.searchsorted(of_text, np.arange(len(texts)))
     pads = np.repeat(first, ORDER - 1)
-    padded = np.insert(symbols[keep], pads, _SPACE).astype(np.uint64)
-    at = np.arange(len(keep)) + (ORDER - 1) * (of_text + 1)
-    key = np.zeros(len(keep), np.uint64)
+    padded = np.insert(units, pads, _SPACE)
+    at = np.arange(len(units)) + (ORDER - 1) * (of_text + 1)
+    key = np.zeros(len(units), np.uint64)
     for back in range(ORDER):
         key |= padded[at - back] << np.uint64(16 * back)
     return key, of_text
@@ -144,7 +176,7 @@ def model_rows(counted: DataFrame) -> DataFrame:
     for order in range(ORDER, 0, -1):
         once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
         discount = level.groupBy("lang").agg(F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.coalesce(F.try_divide(once, once + 2 * twice), F.lit(0.5)))).alias("d"))
-        keyed = level.join(discount, "lang").withColumn("before", F.shiftrightunsigned("key", 16))
+        keyed = level.join(F.broadcast(discount), "lang").withColumn("before", F.shiftrightunsigned("key", 16))  # one row per language
         contexts = keyed.groupBy("lang", "before").agg(F.sum("n").alias("total"), (F.max("d") * F.count("*") / F.sum("n")).alias("value"))
         shares = keyed.join(contexts.select("lang", "before", "total"), ["lang", "before"]).select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
         rows = shares.withColumn("context", F.lit(False)).unionByName(contexts.select("lang", F.col("before").alias("key"), "value", F.lit(True).alias("context")))
