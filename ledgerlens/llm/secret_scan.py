@@ -164,21 +164,34 @@ def surprising(candidate: str) -> bool:
     return False
 
 
-@functools.lru_cache(1 << 16)
-def is_secret(candidate: str) -> bool:
-    """Does any window of the candidate count?  Words come again and again, so verdicts are remembered."""
+#: Characters of the longest candidate whose verdict is remembered.
+REMEMBERED = 64
+
+
+def _judged(candidate: str) -> bool:
     if allowed(candidate):
         return False
     return bool(not _WORDS.fullmatch(candidate) and window_spans(candidate) or surprising(candidate))
 
 
+_remembered = functools.lru_cache(1 << 16)(_judged)
+
+
+def is_secret(candidate: str) -> bool:
+    """Does any window of the candidate count?  Words come again and again, so verdicts on short ones are remembered."""
+    return _remembered(candidate) if len(candidate) <= REMEMBERED else _judged(candidate)
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of entropy spans that no base span holds."""
-    out = []
+    """(start, kind, end) of entropy spans that no base span (sorted) holds."""
+    out, at, reach = [], 0, 0  # reach: the furthest end of the base spans that begin no later than the candidate
     for m in _CANDIDATE.finditer(text):
         date = _DATE.match(text, m.start(), m.end())
         start, end = date.end() if date else m.start(), m.end()
-        if end - start >= LEAST and is_secret(text[start:end]) and not any(s <= start and end <= e for s, _, e in base):
+        while at < len(base) and base[at][0] <= start:
+            reach = max(reach, base[at][2])
+            at += 1
+        if end - start >= LEAST and end > reach and is_secret(text[start:end]):
             out.append((start, 3, end))
     return out
 
