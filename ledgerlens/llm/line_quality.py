@@ -2,10 +2,12 @@
 
 A line is normalised to its words in lower case (A-Z), and hashed.  For each host
 the distinct documents that hold a line are counted, copies of one text once.  A
-line held by more than ``MIN_DOCUMENTS`` and more than ``LIMIT_PERCENT`` of its
-host's distinct documents is removed; a document that loses more than
-``DEPLETED_PERCENT`` of its words is rejected, as is one that fails the base
-rules (too few words, or mostly repeated three-word windows).
+line held by more than ``LIMIT_PERCENT`` of its host's distinct documents is
+removed, whatever the host's size; ``MIN_DOCUMENTS`` only keeps a line and its one
+copy from being a habit of a tiny host.  A document that loses more than
+``DEPLETED_PERCENT`` of its words, or is left with fewer than ``MIN_WORDS``, is
+rejected, as is one that fails the base rules (too few words, or mostly repeated
+three-word windows).
 
 Null text: as the empty text (no words, base rules failed).  Null hosts are one
 host.  Repeated rows, null ids and rows sharing an id are separate documents with
@@ -28,7 +30,7 @@ from ledgerlens.llm.common import materialize
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
-MIN_DOCUMENTS = 50
+MIN_DOCUMENTS = 2
 LIMIT_PERCENT = 5
 DEPLETED_PERCENT = 70
 
@@ -147,7 +149,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     out = measured.drop("lines", "line_words").join(lost, "row", "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    depleted = F.col("removed_words") * 100 > F.col("n_words") * DEPLETED_PERCENT
+    depleted = (F.col("removed_words") * 100 > F.col("n_words") * DEPLETED_PERCENT) | (F.col("n_words") - F.col("removed_words") < MIN_WORDS)
     return out.select("doc_id", "host", "content", *_COUNTS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words", "removed_lines")
 
 

@@ -104,7 +104,7 @@ ln2 AS (SELECT *, array_to_string(lw, ' ') AS norm FROM ln WHERE len(lw) > 0),
 dup AS (SELECT doc_id, sum(k - 1) AS n FROM (SELECT doc_id, line, count(*) AS k FROM ln2 GROUP BY 1, 2) GROUP BY 1),
 hosts AS (SELECT source, count(DISTINCT t) AS documents FROM d GROUP BY 1),
 lim AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS holders FROM ln2 GROUP BY 1, 2) JOIN hosts USING (source)
-        WHERE holders > 50 AND holders * 100 > documents * 5),
+        WHERE holders > 2 AND holders * 100 > documents * 5),
 lost AS (SELECT doc_id, sum(len(lw)) AS n FROM ln2 JOIN lim USING (source, norm) GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -112,7 +112,7 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND removed_words * 100 <= n_words * 70 AS kept, removed_words FROM f"""
+       NOT base_failed AND removed_words * 100 <= n_words * 70 AND n_words - removed_words >= 50 AS kept, removed_words FROM f"""
 
 _OP5 = """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),

@@ -9,9 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import textarrays as ta
 from ledgerlens.llm import kneser_ney, length_histogram, line_quality, minhash_dedup, mixing, packing, rule_ensemble, secret_scan
 from ledgerlens.llm.queries import tokenizer_path
 
@@ -448,11 +450,70 @@ def test_language_identification_by_joins_is_the_same(spark, monkeypatch):
 
 
 def test_line_quality_production_limits(spark):
-    """The limits as they are: above 50 holders and 5% of the host's documents a line goes; above 70% of its words a document goes."""
+    """The limits as they are, alike at every size: above 5% of the host's documents a line goes, and with it documents left with under 50 words."""
     own = lambda i, n: " ".join(f"x{i}y{j}" for j in range(n))
     line = "shared " + " ".join(f"b{j}" for j in range(79))
-    rows = [(i, f"{line}\n{own(i, 20 if i % 2 else 60)}", "en", "above") for i in range(51)] + [(1000 + i, f"{line}\n{own(i, 20)}", "en", "below") for i in range(50)]
-    rows += [(2000 + i, f"{line}\n{own(i, 20)}" if i < 51 else own(i, 60), "en", "large") for i in range(1020)]
-    got = {r["doc_id"]: r for r in line_quality.judge(frame(spark, rows)).collect()}
-    assert all(got[i]["removed_words"] == 80 and got[i]["kept"] == (i % 2 == 0) for i in range(51))
-    assert all(got[i]["removed_words"] == 0 and got[i]["kept"] for i in got if i >= 1000)
+    rows, want = [], {}
+    for k, size in enumerate((40, 400, 1200)):
+        for share, limited in ((10, True), (5, False)):
+            for i in range(size):
+                doc_id, holds = len(rows), i < size * share // 100
+                text = f"{line}\n{own(doc_id, 20 if i % 2 else 60)}" if holds else own(doc_id, 60)
+                rows.append((doc_id, text, "en", f"h{k}-{share}"))
+                want[doc_id] = (80 if holds and limited else 0, not (holds and limited and i % 2))
+    # two holders are no habit, however small the host
+    for i in range(6):
+        want[len(rows)] = (0, True)
+        rows.append((len(rows), f"{line}\n{own(len(rows), 60)}" if i < 2 else own(len(rows), 60), "en", "tiny"))
+    # above 70% of the words: enough are left, but the document is mostly the line
+    for i in range(8):
+        want[len(rows)] = (160 if i < 4 else 0, i >= 4)
+        rows.append((len(rows), f"{line} twice {line[:-4]}\n{own(len(rows), 60)}" if i < 4 else own(len(rows), 90), "en", "mostly"))
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in line_quality.judge(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_letters_beyond_the_first_plane_and_marks():
+    """Symbols of a text are those of its letters and the marks after them, one or two UTF-16 units each."""
+    def symbols(text):
+        (texts,) = ta.chunks(pa.array([text]))
+        keys, _ = kneser_ney.sequences(texts)
+        return [int(k) & 0xFFFF for k in keys]
+
+    assert symbols("\U00020020") == [0xD840, 0xDC20] and symbols("A") == [ord("a")] and symbols("\U00020041") != symbols("A")
+    assert symbols("\U0001E900") == symbols("\U0001E922")  # a capital beyond U+FFFF in lower case
+    assert symbols("हिन्दी") == [ord(c) for c in "हिन्दी"]
+    assert symbols("\u0301") == [] and symbols(" \u0301 1") == [] and symbols("1\u0301a") == [ord("a")]
+
+
+def test_languages_of_letters_beyond_the_first_plane(spark):
+    rng = random.Random(8)
+    say = {"aa": ["\U00020020\U00020021", "\U00020022"], "bb": ["\U00020041", "\U00020042\U00020020"], "hi": ["हिन्दी", "भाषा"], "ne": ["हन्द", "भष"]}
+    rows = [(i, " ".join(rng.choice(say[lang]) for _ in range(12)), lang, "s") for i in range(160) for lang in [sorted(say)[i % 4]]]
+    rows += [(900, "\U00020020", None, None), (901, "\u0301\u0302", None, None), (902, "123", None, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in kneser_ney.identify(frame(spark, rows)).collect()}
+    assert got[900] in ("aa", "bb") and got[901] == got[902] == "und"
+    assert sum(got[i] == lang for i, _, lang, _ in rows[:160]) == 160
+
+
+def test_secrets_of_a_dump_take_linear_time():
+    import time
+
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+    dump = "\n".join(f"token = '{key(40)}' {key(40)} {key(30)}" for _ in range(8_000))
+    start = time.process_time()
+    base = secret_scan.base_spans(dump)
+    spans = secret_scan.entropy_spans(dump, base)
+    assert time.process_time() - start < 10 and len(base) == 8_000
+    some = [(s, e) for s, _, e in spans[:300]]
+    assert not any(a <= s and e <= b for s, e in some for a, _, b in base[:400])
+    held = {(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]{30,}", dump[: base[99][2]]) if any(a <= m.start() and m.end() <= b for a, _, b in base[:100])}
+    assert len(held) == 100 and not held & set((s, e) for s, _, e in spans)
+
+
+def test_verdicts_on_long_candidates_are_not_remembered():
+    secret_scan._remembered.cache_clear()
+    for k in range(50):
+        assert secret_scan.is_secret("aB3" + "x9Zq7" * 30 + str(k)) == secret_scan._judged("aB3" + "x9Zq7" * 30 + str(k))
+    assert secret_scan._remembered.cache_info().currsize == 0
