@@ -22,7 +22,7 @@ Places of a pattern are counted over all words of all texts.  A share is at most
 that of all candidates, so patterns that can't reach the confidence with every
 candidate scored 1 are left out before the rounds, without changing the result.
 Places are counted only for keys in a bitmap of the candidates' patterns, whose
-size is bounded (``BITMAP_BITS``); a full bitmap lets more keys through, which the
+size is bounded (``common.BITMAP_BITS``); a full bitmap lets more keys through, which the
 join then drops.
 
 Null text: as the empty text, without spans.  Null ids, repeated rows and rows
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import textarrays as ta
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import bitmap, materialize
 
 KINDS = ["email", "ip", "card", "phone", "found"]
 #: A candidate's digits (fewer with an @) and its length.
@@ -53,8 +53,8 @@ SUPPORT, PATTERN_CONFIDENCE = 3, 0.6
 #: Score from which an instance is likely and is reported.
 INSTANCE_SCORE = 0.75
 ROUNDS = 4
-#: Least and most bits of the bitmap of pattern keys: 16 MB at most.
-BITMAP_BITS = (1 << 20, 1 << 27)
+#: Pattern keys whose counts a task holds before it sums or sends them.
+HELD_KEYS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -227,40 +227,55 @@ def scanned(docs: DataFrame) -> DataFrame:
     return materialize(out.withColumn("row", F.monotonically_increasing_id()))
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits set at the ``key`` of each row modulo the bitmap's size, which follows the number of rows within ``BITMAP_BITS``."""
-    bits = BITMAP_BITS[0]
-    rows = keys.count()
-    while bits < min(16 * rows, BITMAP_BITS[1]):
-        bits *= 2
-    at = (F.pmod("key", F.lit(bits)) + 1).alias("at")
-    parts = keys.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """The bitmap of ``keys(key)`` as bytes."""
+    bits, parts = bitmap(keys)
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # one row per 32,768 bits
-        first = (r["bucket"] - 1) * 4096
-        out[first : first + 4096] = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(times), len(key)).astype(np.int64)
+
+
+def _counts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
 def pattern_places(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, total): how many places of all texts each pattern of ``keys(key)`` has."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bitmap(keys).tobytes())
+    sent = spark.sparkContext.broadcast(key_bits(keys).tobytes())
+
+    def kept_of(texts: ta.Texts, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        around = Surroundings(texts)
+        start, end = ta.spans(~ta.SPACE[texts.data], texts.offsets)
+        text = np.searchsorted(texts.offsets, start, side="right") - 1
+        found, there, _, _ = around.keys(text, start, end)
+        found = found[there]
+        at = found & np.uint64(8 * len(bits) - 1)
+        found = found[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return np.unique(found, return_counts=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
-        mask = np.uint64(8 * len(bits) - 1)
-        for batch in batches:
-            for texts in ta.chunks(batch.column(0)):
-                around = Surroundings(texts)
-                start, end = ta.spans(~ta.SPACE[texts.data], texts.offsets)
-                text = np.searchsorted(texts.offsets, start, side="right") - 1
-                found, there, _, _ = around.keys(text, start, end)
-                found = found[there]
-                at = found & mask
-                found = found[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                key, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        keys, times, held = [], [], 0  # a task's counts are summed before they leave it
+        for texts in (texts for batch in batches for texts in ta.chunks(batch.column(0))):
+            key, n = kept_of(texts, bits)
+            keys.append(key)
+            times.append(n)
+            held += len(key)
+            if held > HELD_KEYS:
+                key, n = _summed(keys, times)
+                keys, times, held = [key], [n], len(key)
+                if held > HELD_KEYS // 2:
+                    yield _counts(key, n)
+                    keys, times, held = [], [], 0
+        if held:
+            yield _counts(*_summed(keys, times))
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "key long, n long")
     return counted.groupBy("key").agg(F.sum("n").alias("total")).join(keys, "key", "left_semi")
