@@ -49,14 +49,7 @@ VAT_LATE_PENALTY_DAILY = 200
 PAYE_LATE_PENALTY_FIRST_MONTH = 25000
 PAYE_LATE_PENALTY_DAILY = 2000
 WHT_LATE_PENALTY = 25000
-INTEREST_RATE = Decimal("0.15")
 VAT_THRESHOLD = 50000
-VAT_APPLICABLE_CATEGORIES: tuple[str, ...] = (
-    "rent", "consultancy", "management_fee", "contract",
-    "purchase", "supplies", "equipment", "software", "maintenance",
-    "marketing", "advertising", "professional_fee", "cleaning",
-    "security", "catering", "transport", "fuel",
-)
 # PAYE bands: (lower bound, upper bound or None for open, rate).
 PAYE_BANDS: tuple[tuple[int, int | None, Decimal], ...] = (
     (0, 300000, Decimal("0.07")),
@@ -66,9 +59,6 @@ PAYE_BANDS: tuple[tuple[int, int | None, Decimal], ...] = (
     (1600000, 3200000, Decimal("0.21")),
     (3200000, None, Decimal("0.24")),
 )
-PENSION_RATE = Decimal("0.10")
-NHF_RATE = Decimal("0.025")
-MINIMUM_WAGE = 70000
 
 # --- FIXED VALUES: detector thresholds -------------------------------------
 DUP_WINDOW_DAYS = 30
@@ -162,13 +152,6 @@ EXPECTED_COLUMNS: dict[str, dict[str, tuple[str, ...]]] = {
         "optional": ("employee_id", "bank_account", "date_joined", "status"),
     },
 }
-TABLE_LABELS: dict[str, str] = {
-    "ap": "Accounts Payable (AP)",
-    "payroll": "Payroll",
-    "tax_remittance": "Tax Remittances",
-    "vendor_master": "Vendor Master List",
-    "employee_master": "Employee Master List",
-}
 # Target column -> source names tried in order; the first present wins.
 COLUMN_ALIASES: dict[str, tuple[str, ...]] = {
     "vendor_name": ("vendor", "supplier", "payee", "vendor_name", "name", "beneficiary", "supplier_name"),
