@@ -16,9 +16,10 @@ book's signed ratio test.  A row has one home key per rule; copies for the bin
 before and for the amount bins next to an edge meet the home keys of the earlier
 payment.  Bins are at least as wide as the rule's band, so each pair meets under
 exactly one key.  A key is sent as two 64-bit hashes of (vendor, rule, invoice,
-time bin, amount bin) with different seeds, so rows of the sort-merge join compare
+time bin, amount bin) in different orders, so rows of the sort-merge join compare
 numbers and not texts; that two keys share both has a probability of 2**-128 a
-pair.  The exact predicates stay as the join residual, with the (time, row) order
+pair.  Most keys stand in one row alone: keys are counted first, without the rows,
+and only rows of keys that meet are shuffled and sorted.  The exact predicates stay as the join residual, with the (time, row) order
 picking one orientation per pair.  AQE's skew-join handling splits any bin that
 is still hot.
 """
@@ -36,6 +37,7 @@ from ..functions.dates import DAY_MICROS, day_text, micros_between
 from ..functions.names import normalize_name, py_str, py_strip
 from ..functions.tax import tier
 from ..functions.text import naira
+from ..session import checkpoint_dir
 from .prepare import MONEY, ap_date_column, empty, money, row_order, timestamp, with_row_id
 
 DUP_SCHEMA = T.StructType([
@@ -78,8 +80,8 @@ def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
 INVOICE, WEEK, BLANK = 1, 2, 3
 
 
-def _amount_bins(rules: AuditRules) -> tuple[Column, Column]:
-    """The home bin of an amount, and the bins that a near amount can be at home in."""
+def _amount_bins(rules: AuditRules) -> tuple[Column, Column, Column]:
+    """The home bin of an amount, and whether a near amount can be at home in the bin below and above it."""
     tol = float(rules.dup_amount_tolerance)
     band = -math.log(1.0 - tol) * (1 + 1e-9) + 1e-12   # widened against rounding
     width = band * rules.dup_amount_bin_bands
@@ -87,43 +89,75 @@ def _amount_bins(rules: AuditRules) -> tuple[Column, Column]:
     la = F.log(F.when(positive, F.col("amt").cast("double")))
     home = F.floor(la / F.lit(width)).cast("bigint")
     at = la - home * F.lit(width)
-    none = F.array().cast("array<bigint>")
-    near = F.concat(F.array(home), F.when(at < band, F.array(home - 1)).otherwise(none),
-                    F.when(at > width - band, F.array(home + 1)).otherwise(none))
-    fixed = F.lit(NEGATIVE_BIN).cast("bigint")
-    return F.when(positive, home).otherwise(fixed), F.when(positive, near).otherwise(F.array(fixed))
+    return (F.when(positive, home).otherwise(F.lit(NEGATIVE_BIN).cast("bigint")),
+            F.coalesce(at < band, F.lit(False)), F.coalesce(at > width - band, F.lit(False)))
 
 
-def _keys(branch: int, inv: Column, days: int, home_amount: Column, near_amounts: Column) -> Column:
-    """Keys of one rule: (two hashes, rule, is it the home key)."""
+def _places(branch: int, wanted: Column, days: int) -> list[Column]:
+    """Time bins of one rule as (rule, bin, is it the home bin), NULL where a row has none."""
     width = F.lit((days + 1) * DAY_MICROS)
-    us = _epoch_micros(F.col("ts"))
-    tbin = F.floor(us / width).cast("bigint")
-    times = F.when(us - tbin * width <= F.lit(days * DAY_MICROS), F.array(tbin, tbin - 1)).otherwise(F.array(tbin))
-    one, two = F.xxhash64(F.lit(branch), "norm", inv), F.xxhash64(F.lit(-branch), "norm", inv)
+    tbin = F.floor(F.col("us") / width).cast("bigint")
 
-    def key(t: Column, a: Column) -> Column:
-        return F.struct(F.xxhash64(one, t, a).alias("k1"), F.xxhash64(two, a, t).alias("k2"),
-                        F.lit(branch).cast("tinyint").alias("rule"), ((t == tbin) & (a == home_amount)).alias("home"))
-    return F.flatten(F.transform(times, lambda t: F.transform(near_amounts, lambda a: key(t, a))))
+    def place(t: Column, home: bool) -> Column:
+        return F.struct(F.lit(branch).cast("tinyint").alias("rule"), t.alias("t"), F.lit(home).alias("home_t"))
+    return [F.when(wanted, place(tbin, True)),
+            F.when(wanted & (F.col("us") - tbin * width <= F.lit(days * DAY_MICROS)), place(tbin - 1, False))]
 
 
 def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    home, near = _amount_bins(rules)
-    no_invoice, blank = F.col("inv").isin("", "nan"), F.col("inv") == ""
-    week = _keys(WEEK, F.lit(""), rules.dup_near_days, home, near)
-    month = _keys(BLANK, F.lit(""), rules.dup_window_days, home, near)
-    invoice = _keys(INVOICE, F.col("inv"), rules.dup_window_days, zero, F.array(zero))
-    none = F.array().cast("array<struct<k1:bigint,k2:bigint,rule:tinyint,home:boolean>>")
-    keys = []
+    """One row per payment and key: (rid, name, ts, amt, inv, two hashes, rule, is it the home key).
+
+    Bins are columns before rows are multiplied, first by time and then by amount, so each is computed once a row
+    and no key is built by a lambda.
+    """
+    home, low, high = _amount_bins(rules)
+    blank, invoiced = F.col("inv") == "", ~F.col("inv").isin("", "nan")
+    places = []
     if on("DUP-1"):
-        keys.append(F.when(no_invoice, none).otherwise(invoice))
+        places += _places(INVOICE, invoiced, rules.dup_window_days)
     if on("DUP-2"):
-        keys.append(week)
+        places += _places(WEEK, F.lit(True), rules.dup_near_days)
     if on("DUP-3"):
-        keys.append(F.when(blank, month).otherwise(none))
-    return b.select("rid", "name", "ts", "amt", "inv", F.inline(F.concat(*keys)))
+        places += _places(BLANK, blank, rules.dup_window_days)
+    kept = ["rid", "name", "ts", "amt", "inv"]
+    binned = b.select(*kept, "norm", _epoch_micros(F.col("ts")).alias("us"), home.alias("bin"), low.alias("low"), high.alias("high"))
+    timed = binned.select(*kept, "norm", "bin", "low", "high", F.inline(F.array(*places))).where(F.col("rule").isNotNull())
+    by_amount = F.col("rule") != INVOICE
+
+    def amount(a: Column, own: bool) -> Column:
+        return F.struct(a.alias("a"), F.lit(own).alias("home_a"))
+    amounts = F.array(amount(F.when(by_amount, F.col("bin")).otherwise(F.lit(0).cast("bigint")), True),
+                      F.when(by_amount & F.col("low"), amount(F.col("bin") - 1, False)),
+                      F.when(by_amount & F.col("high"), amount(F.col("bin") + 1, False)))
+    keyed = timed.select(*kept, "norm", "rule", "t", "home_t", F.inline(amounts)).where(F.col("a").isNotNull())
+    inv = F.when(by_amount, F.lit("")).otherwise(F.col("inv"))
+    return keyed.select(*kept, F.xxhash64("rule", "norm", inv, "t", "a").alias("k1"), F.xxhash64("a", "t", inv, "norm", -F.col("rule")).alias("k2"),
+                        "rule", (F.col("home_t") & F.col("home_a")).alias("home"))
+
+
+#: Most bits of the bitmap of met keys (16 MB), and bits of one of its rows (4 KB).
+MOST_BITS, _PART = 1 << 27, 32_768
+
+
+def _met(e: DataFrame) -> DataFrame:
+    """The rows of ``e`` whose key other rows share, and a few others: only these can be in a pair, and only they are sent.
+
+    Keys are counted in a job of their own, by their first hash.  A bitmap of those that meet, 16 bits a key within
+    ``MOST_BITS``, goes to the rows; what it lets through beyond them finds no partner in the join.
+    """
+    checkpoint_dir(e.sparkSession)
+    counted = e.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    keys = counted.where((F.col("n") > 1) & F.col("home")).select("k1").checkpoint()
+    bits, wanted = _PART, 16 * keys.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    at = keys.select((F.pmod("k1", F.lit(bits)) + 1).alias("at"))
+    parts = at.groupBy((F.bitmap_bucket_number("at") - 1).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).checkpoint()
+    place = F.pmod("k1", F.lit(bits))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place % _PART, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(k1, {bits}) % 8 as int))")) != 0
+    return e.join(F.broadcast(parts), F.floor(place / _PART).cast("bigint") == F.col("part")).where(is_set).drop("part", "bits")
 
 
 def _pairs(b: DataFrame, rules: AuditRules, on) -> DataFrame:
@@ -132,7 +166,7 @@ def _pairs(b: DataFrame, rules: AuditRules, on) -> DataFrame:
     Every column is read from both sides, so that column pruning leaves the sides
     alike and their exchange is shared.
     """
-    e = _exploded(b, rules, on)
+    e = _met(_exploded(b, rules, on))
     x, y = e.alias("x"), e.alias("y")
     ts1, ts2, r1, r2 = F.col("x.ts"), F.col("y.ts"), F.col("x.rid"), F.col("y.rid")
     days = F.ceil(micros_between(ts1, ts2) / F.lit(float(DAY_MICROS))).cast("bigint")
@@ -182,6 +216,7 @@ def detect_duplicate_payments(ap: DataFrame | None, rules: AuditRules = DEFAULT_
 
     Rows that are equal in every column are payments of their own: without a
     ``row_id`` they are numbered first, so k copies give k * (k - 1) / 2 pairs.
+    The keys that payments share are found at once, by jobs; the pairs are lazy.
     """
     if ap is None:
         return None

@@ -4,6 +4,8 @@ import random
 
 from conftest import ap_frame
 
+from ledgerlens.config import DEFAULT_RULES
+from ledgerlens.operators import duplicates
 from ledgerlens.operators.duplicates import detect_duplicate_payments
 
 
@@ -123,3 +125,12 @@ def test_sides_share_one_exchange(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
+
+
+def test_only_rows_of_keys_that_meet_are_sent(spark):
+    """200 payments of vendors of their own and one pair: the pair's rows, and nothing near all keys."""
+    rows = [row(f"r{i}", f"Vendor {i}", "2026-01-05 00:00:00", "1000.00", f"I{i}") for i in range(200)] + [row("z", "Vendor 7", "2026-01-06 00:00:00", "1000.00", "I7")]
+    keyed = duplicates._exploded(duplicates._prepare(ap_frame(spark, rows), DEFAULT_RULES), DEFAULT_RULES, lambda r: True)
+    sent = duplicates._met(keyed)
+    assert {"r7", "z"} <= {r["rid"] for r in sent.collect()}
+    assert sent.count() < keyed.count() / 10
