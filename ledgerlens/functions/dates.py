@@ -8,6 +8,8 @@ payments ordered by time.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,23 @@ DAY_MICROS = 86_400_000_000
 ISO_DATE = r"^\d{4}-\d{1,2}(-\d{1,2}([T ].*)?)?$"
 
 
+def _shape(fmt: str) -> str | None:
+    """A pattern that all text matches which ``fmt`` can read, or None for formats of other parts than day, month and year.
+
+    Trying a format on text of another shape costs an exception a value.
+    """
+    parts = {"yyyy": r"[+-]?\d{4,}", "MMM": r"[^\d]+", "MM": r"[+-]?\d+", "M": r"[+-]?\d+", "dd": r"[+-]?\d+", "d": r"[+-]?\d+"}
+    tokens = re.findall(r"y+|M+|d+|[^yMd]+", fmt)
+    if not all(t in parts or t in ("/", "-", ".", " ") for t in tokens) or any((a in parts) == (b in parts) for a, b in zip(tokens, tokens[1:])):
+        return None
+    return "^" + "".join(parts.get(t) or re.escape(t) for t in tokens)
+
+
+def _try_date(text: Column, fmt: str) -> Column:
+    shape, read = _shape(fmt), F.try_to_date(text, fmt)
+    return read if shape is None else F.when(text.rlike(shape), read)
+
+
 def coerce_timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES) -> Column:
     """Column ``name`` as TIMESTAMP_NTZ; unparseable text becomes NULL (SRC-7).
 
@@ -35,7 +54,7 @@ def coerce_timestamp(df: DataFrame, name: str, rules: AuditRules = DEFAULT_RULES
     text = F.trim(c.cast("string"))
     own = dict(rules.column_formats).get(name)
     formats = (own,) if own else rules.date_formats
-    parsed = [F.try_to_date(text, fmt).cast("timestamp_ntz") for fmt in formats]
+    parsed = [_try_date(text, fmt).cast("timestamp_ntz") for fmt in formats]
     iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz"))
     return F.coalesce(iso, *parsed)
 

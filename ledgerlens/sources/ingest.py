@@ -96,19 +96,18 @@ REJECTIONS = "_rejections"
 
 def checked_types(df: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     """``coerce_types`` with ``_rejections``: (column, raw, reason) of each value that is given but can't be read."""
+    checked = [c for c in df.columns if c in DATE_COLUMNS | MONEY_COLUMNS]
+    # each value is read once: what is given beside what was read
+    read = df.select(*[t.alias(c) for c, t in zip(df.columns, _typed(df, rules))], *[F.col(c).cast("string").alias(f"_raw_{c}") for c in checked])
     found = []
-    for c in df.columns:
-        if c in DATE_COLUMNS | MONEY_COLUMNS:
-            raw = F.col(c).cast("string")
-            is_date = c in DATE_COLUMNS
-            read = coerce_timestamp(df, c, rules) if is_date else money(df, c, rules)
-            reason = F.lit("not a date") if is_date else F.when(number_text(raw).rlike(POINT_NUMBER) | number_text(raw).rlike(COMMA_NUMBER),
-                                                               F.lit("another decimal mark or too large")).otherwise(F.lit("not a number"))
-            found.append(F.when((F.length(F.trim(raw)) > 0) & read.isNull(), F.struct(F.lit(c).alias("column"), raw.alias("raw"), reason.alias("reason"))))
+    for c in checked:
+        raw = F.col(f"_raw_{c}")
+        reason = F.lit("not a date") if c in DATE_COLUMNS else F.when(number_text(raw).rlike(POINT_NUMBER) | number_text(raw).rlike(COMMA_NUMBER),
+                                                                     F.lit("another decimal mark or too large")).otherwise(F.lit("not a number"))
+        found.append(F.when(F.col(c).isNull() & (F.length(F.trim(raw)) > 0), F.struct(F.lit(c).alias("column"), raw.alias("raw"), reason.alias("reason"))))
     none = F.array().cast("array<struct<column:string,raw:string,reason:string>>")
     rejections = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none
-    typed = {c: t for c, t in zip(df.columns, _typed(df, rules))}
-    return df.select(*[typed[c].alias(c) for c in df.columns], rejections.alias(REJECTIONS))
+    return read.select(*df.columns, rejections.alias(REJECTIONS))
 
 
 def quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -161,6 +160,7 @@ def prepare_table(df: DataFrame, table_type: str, rules: AuditRules = DEFAULT_RU
     if infer_formats:
         text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         formats = column_formats(df, [c for c in text if c in MONEY_COLUMNS], [c for c in text if c in DATE_COLUMNS])
+        formats = df.sparkSession.createDataFrame(formats.collect(), formats.schema)   # one row per column: the table is not read again
         rules = with_formats(rules, formats)
     return Loaded(coerce_types(df, rules), check, rejects=rejects(df, rules), checked=checked_types(df, rules), formats=formats)
 

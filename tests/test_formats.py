@@ -5,7 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.config import AuditRules
+from ledgerlens.config import DEFAULT_RULES, AuditRules
 from ledgerlens.operators.prepare import money
 from ledgerlens.sources.formats import column_formats, with_formats
 from ledgerlens.sources.ingest import checked_types, prepare_table, quarantine
@@ -69,3 +69,22 @@ def test_quarantine_keeps_and_sets_aside_every_row(spark, tmp_path):
                    ("5", "amount", "99999999999999999999", "another decimal mark or too large")}
     assert kept.count() + rejected.select("row_id").distinct().count() == len(rows)
     assert kept.select(F.sum("amount")).first()[0] == D("10.00")
+
+
+def test_formats_are_tried_on_text_of_their_shape_alone(spark):
+    from ledgerlens.functions.dates import _shape, coerce_timestamp
+    assert _shape("MMM d yyyy HH:mm") is None and _shape("yy/M/d") is None and _shape("ddMMyyyy") is None
+    values = ["0031/01/2026", "31/01/2026", "+2026/1/2", "12026/1/2", "1/2/202", "5 Sep 2026", "5-jan-2026", "5  Jan 2026", "2026//1", "31-01-2026", ""]
+    df = spark.createDataFrame([(v,) for v in values], "month string")
+    plain = F.coalesce(*[F.try_to_date(F.trim("month"), f).cast("timestamp_ntz") for f in DEFAULT_RULES.date_formats])
+    assert df.where(~coerce_timestamp(df, "month").eqNullSafe(plain)).count() == 0
+    shapes = [_shape(f) for f in DEFAULT_RULES.date_formats]
+    hit = df.select(*[F.count_if(F.col("month").rlike(s)) for s in shapes]).first()
+    assert all(0 < n < len(values) / 2 for n in hit)
+
+
+def test_the_votes_are_not_counted_again_with_their_result(spark, tmp_path):
+    spark.createDataFrame([("1", "V", "12,50", "31/01/2026")], "row_id string, vendor_name string, amount string, transaction_date string").write.parquet(str(tmp_path / "t"))
+    loaded = prepare_table(spark.read.parquet(str(tmp_path / "t")), "ap", infer_formats=True)
+    assert {r["column"]: r["outcome"] for r in loaded.formats.collect()} == {"amount": "comma", "transaction_date": "day first"}
+    assert "FileScan" not in loaded.formats._jdf.queryExecution().executedPlan().toString()
