@@ -200,8 +200,18 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows whose texts are held as Python strings at once.
+SLICE_ROWS = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         counts, sha, spans = [[], [], [], []], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
@@ -247,7 +257,7 @@ def mask(text: str) -> str:
 
 
 def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         at = batch.schema.get_field_index("text")
         texts = [None if x is None else mask(x) for x in batch.column(at).to_pylist()]
         yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
