@@ -3,7 +3,7 @@
 Families run only when their inputs exist: duplicates, VAT/WHT and expenses
 need AP; ghost vendors need AP and the vendor master; ghost employees need
 payroll and the employee master; tax filing always runs.  Every family is a
-lazy DataFrame; nothing executes until the caller acts.  AP feeds four
+lazy DataFrame; only the keys that duplicates share are found at once.  AP feeds four
 families, so it can be materialised once: ``persist`` (recomputed from
 lineage if an executor is lost) or ``checkpoint`` (written to the session's
 reliable ``spark.checkpoint.dir``, which cuts the lineage).
