@@ -1,7 +1,7 @@
 """Ghost vendors (GHV-1..5) and ghost employees (GHE-1..5).
 
-One pass over the payments per family makes a table by (raw name, bank); all
-rules start from it:
+One pass over the payments per family makes a table by (raw name, bank), which is
+written to the checkpoint folder; all rules start from it:
 
 * per name: aggregate again by normalised name, left-join the master rows and
   project every name-keyed rule (not in master, single large payment,
@@ -26,6 +26,7 @@ from ..functions.dates import day_text, days_floor
 from ..functions.names import normalize_name, py_str
 from ..functions.tax import tier
 from ..functions.text import described, money as fmt_money
+from ..session import written
 from .prepare import MONEY, ap_date_column, empty, has, money, order_text, row_order, timestamp
 
 GHOST_SCHEMA = T.StructType([
@@ -86,8 +87,8 @@ def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules,
 
 def _name_bank(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_name: str) -> DataFrame:
     """One row per (raw name, bank): first row, total, count, first date, and the same for the rows of each
-    condition in ``conds`` (prefix ``<key>_``).  All rules of a family start from this table, whose exchange
-    Spark builds once; the name normaliser runs once per row of it."""
+    condition in ``conds`` (prefix ``<key>_``).  All rules of a family start from this table; the name
+    normaliser runs once per row of it."""
     rid = F.col("_rid")
     aggs = [F.min(rid).alias("_r"), _total(F.col("_amt")).alias("_t"), F.count("_amt").alias("_c")]
     if "_ts" in p.columns:
@@ -176,7 +177,9 @@ def _dedupe_sort(parts: list[DataFrame | None], spark, sort: bool = False) -> Da
 def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None = None,
                          rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
                          sort: bool = False, texts: bool = True) -> DataFrame:
-    """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``).  ``texts=False``: ``details`` is NULL."""
+    """GHV-1..5.  ``include`` limits the rules run (e.g. ``("GHV-1",)``).  ``texts=False``: ``details`` is NULL.
+
+    The table of names and banks is made at once, by a job, where rules by name and by bank read it."""
     if ap is None:
         return None
     if "vendor_name" not in ap.columns:
@@ -185,9 +188,12 @@ def detect_ghost_vendors(ap: DataFrame | None, vendor_master: DataFrame | None =
     dcol = ap_date_column(ap)
     names = _name_bank(_prepare(ap, "vendor_name", "amount", rules, date_col=dcol), {}, rules, "")
     parts: list[DataFrame | None] = []
-    if on("GHV-1") or on("GHV-3") or on("GHV-4"):
+    by_name, by_bank = on("GHV-1") or on("GHV-3") or on("GHV-4"), on("GHV-2") and "bank_account" in ap.columns
+    if by_name and by_bank:
+        names = written(names)   # the rules read other columns each, so their exchanges would differ
+    if by_name:
         parts.append(_vendor_name_rules(_per_name(names, {}), vendor_master, rules, on, dcol is not None, texts))
-    if on("GHV-2"):
+    if by_bank:
         parts.append(_shared_bank(names, "bank_account" in ap.columns, VENDOR, "vendors", rules.ghost_vendor_high,
                                   "GHV-2", rules, "all pay to bank account", texts))
     return _dedupe_sort(parts, ap.sparkSession, sort)
@@ -245,7 +251,9 @@ def _vendor_name_rules(stats: DataFrame, master: DataFrame | None, rules: AuditR
 def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame | None = None,
                            rules: AuditRules = DEFAULT_RULES, include: tuple[str, ...] | None = None,
                            sort: bool = False, texts: bool = True) -> DataFrame:
-    """GHE-1..5.  A NULL employee name is the text 'nan' before normalising.  ``texts=False``: ``details`` is NULL."""
+    """GHE-1..5.  A NULL employee name is the text 'nan' before normalising.  ``texts=False``: ``details`` is NULL.
+
+    The table of names and banks is made at once, by a job."""
     if payroll is None:
         return None
     if "employee_name" not in payroll.columns:
@@ -257,6 +265,8 @@ def detect_ghost_employees(payroll: DataFrame | None, employee_master: DataFrame
     if "pension_amount" in payroll.columns:
         conds["pension"] = F.col("_pension_amount").isNull() | (F.col("_pension_amount") == 0)
     names = _name_bank(p, conds, rules, "nan")
+    if "bank_account" in payroll.columns:
+        names = written(names)
     stats = _per_name(names, conds)
     use_master = has(employee_master, "employee_name")
     if use_master:
