@@ -17,6 +17,9 @@ from ..config import DEFAULT_RULES, AuditRules
 # rule, 29 code points including the four information separators.
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 _WS_CLASS = r"\s\x1c-\x1f"
+_ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+# what neither the character filter nor the whitespace collapse changes
+_PLAIN = r"^[A-Za-z0-9_]+( [A-Za-z0-9_]+)*\z"
 
 
 def py_strip(c: Column) -> Column:
@@ -33,7 +36,8 @@ def normalize_name(c: Column | str, rules: AuditRules = DEFAULT_RULES, null_as:
     ``endswith``/``substring``/``btrim`` instead of a regular expression per
     suffix.  It runs over the few suffixes that the name holds anywhere: what is
     left after a cut is a beginning of the name, so it ends with no other one.
-    Only the character filter and the whitespace collapse are regular expressions.
+    Only the character filter and the whitespace collapse are regular expressions, which
+    ASCII words with single spaces do without.
     """
     col = F.col(c) if isinstance(c, str) else c
     x = py_strip(F.coalesce(col.cast("string"), F.lit(null_as)))
@@ -46,8 +50,10 @@ def normalize_name(c: Column | str, rules: AuditRules = DEFAULT_RULES, null_as:
     # a transform of a one-element array computes its element once, however often the lambda names it
     held = lambda name: F.transform(F.array(F.lower(name)), lambda low: F.filter(suffixes, lambda k: F.contains(low, k)))[0]
     x = F.transform(F.array(x), lambda name: F.aggregate(held(name), name, cut))[0]
-    x = F.regexp_replace(x, rf"(?U)[^\p{{L}}\p{{N}}_{_WS_CLASS}]", "")
-    x = py_strip(F.regexp_replace(x, rf"(?U)[{_WS_CLASS}]+", " "))
+    x = F.translate(x, _ASCII_MARKS, "")
+    cleaned = F.regexp_replace(x, rf"(?U)[^\p{{L}}\p{{N}}_{_WS_CLASS}]", "")
+    cleaned = py_strip(F.regexp_replace(cleaned, rf"(?U)[{_WS_CLASS}]+", " "))
+    x = F.when(x.rlike(_PLAIN), x).otherwise(cleaned)
     if rules.name_case_insensitive:
         x = F.lower(x)
     # never NULL; saying so lets Catalyst drop the inferred IS NOT NULL filter

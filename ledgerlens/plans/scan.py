@@ -3,7 +3,8 @@
 Families run only when their inputs exist: duplicates, VAT/WHT and expenses
 need AP; ghost vendors need AP and the vendor master; ghost employees need
 payroll and the employee master; tax filing always runs.  Every family is a
-lazy DataFrame; only the keys that duplicates share are found at once.  AP feeds four
+lazy DataFrame; the keys that duplicates share, the statistics of categories and the
+tables of names and banks are found at once.  AP feeds four
 families, so it can be materialised once: ``persist`` (recomputed from
 lineage if an executor is lost) or ``checkpoint`` (written to the session's
 reliable ``spark.checkpoint.dir``, which cuts the lineage).
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, AuditRules
-from ..operators.duplicates import detect_duplicate_payments
+from ..functions.names import normalize_name
+from ..operators.duplicates import NORM, detect_duplicate_payments
 from ..operators.expenses import detect_overstated_expenses
 from ..operators.exposure import with_exposure
 from ..operators.filing import detect_tax_filing_risk
 from ..operators.ghosts import detect_ghost_employees, detect_ghost_vendors
+from ..operators.prepare import ap_date_column
 from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary, ghost_summary,
                                    vat_summary)
 from ..operators.vat_wht import detect_vat_wht_issues
@@ -86,14 +89,24 @@ def _materialize(df: DataFrame | None, how: str) -> DataFrame | None:
     raise ValueError(f"unknown materialize mode {how!r}")
 
 
+def _read_columns(ap: DataFrame | None, rules: AuditRules) -> DataFrame | None:
+    """``ap`` to be kept: without the date column that no family reads, and with the names that the duplicates
+    compare, which are read twice.  Rows without ids are known by all their columns, and stay as they are."""
+    if ap is None or "row_id" not in ap.columns:
+        return ap
+    if ap_date_column(ap) == "payment_date":
+        ap = ap.drop("transaction_date")
+    return ap.withColumn(NORM, normalize_name("vendor_name", rules)) if "vendor_name" in ap.columns else ap
+
+
 def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, materialize: str = "none",
              sort: bool = False, texts: bool = True) -> ScanResult:
     """All families.  ``with run_scan(...) as scan`` gives back what ``persist`` keeps.  ``texts=False`` leaves the
     findings' ``details`` out, for rollups that only add amounts."""
-    ap = _materialize(tables.ap, materialize)
+    ap = tables.ap if materialize == "none" else _materialize(_read_columns(tables.ap, rules), materialize)
     have_ap = ap is not None
     return ScanResult(
-        duplicates=detect_duplicate_payments(ap, rules, sort=sort) if have_ap else None,
+        duplicates=detect_duplicate_payments(ap, rules, sort=sort, keep=materialize != "none") if have_ap else None,
         vat_wht=detect_vat_wht_issues(ap, tables.tax_remittance, asof=asof, rules=rules, sort=sort, texts=texts)
         if have_ap else None,
         expenses=detect_overstated_expenses(ap, rules, sort=sort, texts=texts) if have_ap else None,
