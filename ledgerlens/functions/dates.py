@@ -71,11 +71,24 @@ def micros_of_day(ts: Column) -> Column:
             + (seconds * 1_000_000).cast("bigint"))
 
 
+def day_of(ts: Column) -> Column:
+    """The DATE of a TIMESTAMP_NTZ, as its cast gives it, by division of its seconds: the cast makes
+    a calendar object a row.  Seconds are cut towards 1970, so a day may be one too late before it."""
+    day = F.date_from_unix_date(F.floor(F.unix_timestamp(ts) / 86_400).cast("int"))
+    return F.when(day.cast("timestamp_ntz") <= ts, day).otherwise(F.date_sub(day, 1))
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Wall-clock microseconds since 1970; only instants within a day have their parts read."""
+    day = day_of(ts)
+    return (F.unix_date(day).cast("bigint") * DAY_MICROS
+            + F.when(day.cast("timestamp_ntz") == ts, F.lit(0).cast("bigint")).otherwise(micros_of_day(ts)))
+
+
 def micros_between(start: Column, end: Column) -> Column:
     """Elapsed wall-clock microseconds; calendar arithmetic only, so the result
     does not depend on the session time zone (no daylight-saving hour)."""
-    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
-    return days * DAY_MICROS + micros_of_day(end) - micros_of_day(start)
+    return epoch_micros(end) - epoch_micros(start)
 
 
 def days_floor(start: Column, end: Column) -> Column:
@@ -85,7 +98,7 @@ def days_floor(start: Column, end: Column) -> Column:
 
 def month_start(ts: Column) -> Column:
     """First day of the month as DATE."""
-    return F.trunc(F.to_date(ts), "MM")
+    return F.trunc(day_of(ts), "MM")
 
 
 def month_text(ts: Column) -> Column:

@@ -6,7 +6,7 @@ Instead every payment is exploded into keys that already encode the band of each
 rule, and the exploded frame is joined to itself.  Both sides use the same columns
 in the same way, so they are one exchange, which the planner builds once:
 
-* DUP-1 (same invoice): (vendor, invoice, bin of 124 days), rows with an invoice.
+* DUP-1 (same invoice): (vendor, invoice, bin of 248 days), rows with an invoice.
 * DUP-2 (near amounts within 7 days): (vendor, bin of 8 days, log-amount bin).
 * DUP-3 (near amounts within 31 days, blank invoices): (vendor, bin of 31 days,
   log-amount bin), rows with a blank invoice only.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, AuditRules
-from ..functions.dates import DAY_MICROS, day_text, micros_between
-from ..functions.names import normalize_name, py_str, py_strip
+from ..functions.dates import DAY_MICROS, day_text, epoch_micros
+from ..functions.names import normalize_name, py_str, strip_column
 from ..functions.tax import tier
 from ..functions.text import naira
 from ..session import checkpoint_dir, written
@@ -61,22 +61,20 @@ NEGATIVE_BIN = -(1 << 62)
 NORM = "_vendor_norm"
 
 
-def _epoch_micros(ts: Column) -> Column:
-    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
-
-
 def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
     if "vendor_name" not in ap.columns or "amount" not in ap.columns:
         return None
     dcol = ap_date_column(ap)
     if dcol is None:
         return None
-    inv = py_strip(py_str(F.col("invoice_number"))) if "invoice_number" in ap.columns else F.lit("")
-    return ap.select(
+    inv = strip_column(py_str(F.col("invoice_number"))) if "invoice_number" in ap.columns else F.lit("")
+    dated = ap.withColumn("_ts", timestamp(ap, dcol, rules))   # named several times below
+    return dated.select(
         row_order(ap).alias("rid"), F.col("vendor_name").cast("string").alias("name"),
-        (F.col(NORM) if NORM in ap.columns else normalize_name("vendor_name", rules)).alias("norm"), _epoch_micros(timestamp(ap, dcol, rules)).alias("us"),
+        (F.col(NORM) if NORM in ap.columns else normalize_name("vendor_name", rules)).alias("norm"), 
+        epoch_micros(F.col("_ts")).alias("us"), "_ts",
         money(ap, "amount").alias("amt"), inv.alias("inv"),
-    ).where(F.col("us").isNotNull() & F.col("amt").isNotNull() & (F.col("amt") != 0))
+    ).where(F.col("_ts").isNotNull() & F.col("amt").isNotNull() & (F.col("amt") != 0)).drop("_ts")
 
 
 INVOICE, WEEK, BLANK = 1, 2, 3
@@ -100,7 +98,7 @@ def _amount_bins(rules: AuditRules) -> tuple[Column, Column, Column]:
 
 
 #: Widths of a bin of DUP-1, in windows: an invoice is in few rows, and a wide bin spares most of its copies.
-INVOICE_WINDOWS = 4
+INVOICE_WINDOWS = 8
 
 
 def _width(branch: int, days: int) -> int:
@@ -139,8 +137,10 @@ def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
         places += _places(BLANK, blank, rules.dup_window_days, unit)
     kept = ["rid", "name", "us", "amt", "inv"]
     size = F.when(F.col("amt") > 0, F.floor((F.log(F.col("amt").cast("double")) + 8) * SIZES)).otherwise(F.lit(0).cast("bigint"))
-    binned = b.select(*kept, "norm", home.alias("bin"), low.alias("low"), high.alias("high"), size.alias("size"))
-    timed = binned.select(*kept, "norm", "bin", "low", "high", "size", F.inline(F.array(*places))).where(F.col("rule").isNotNull())
+    # vendors as numbers, which are made once a row and not once a key
+    vendor = [F.xxhash64("norm").alias("v1"), F.xxhash64(F.lit(1), "norm").alias("v2")]
+    binned = b.select(*kept, *vendor, home.alias("bin"), low.alias("low"), high.alias("high"), size.alias("size"))
+    timed = binned.select(*kept, "v1", "v2", "bin", "low", "high", "size", F.inline(F.array(*places))).where(F.col("rule").isNotNull())
     by_amount = F.col("rule") != INVOICE
 
     def amount(a: Column, own: bool) -> Column:
@@ -148,21 +148,22 @@ def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
     amounts = F.array(amount(F.when(by_amount, F.col("bin")).otherwise(F.lit(0).cast("bigint")), True),
                       F.when(by_amount & F.col("low"), amount(F.col("bin") - 1, False)),
                       F.when(by_amount & F.col("high"), amount(F.col("bin") + 1, False)))
-    keyed = timed.select(*kept, "norm", "rule", "t", "home_t", "since", "size", F.inline(amounts)).where(F.col("a").isNotNull())
+    keyed = timed.select(*kept, "v1", "v2", "rule", "t", "home_t", "since", "size", F.inline(amounts)).where(F.col("a").isNotNull())
     inv = F.when(by_amount, F.lit("")).otherwise(F.col("inv"))
-    return keyed.select(*kept, F.xxhash64("rule", "norm", inv, "t", "a").alias("k1"), F.xxhash64("a", "t", inv, "norm", -F.col("rule")).alias("k2"),
+    return keyed.select(*kept, F.xxhash64("rule", "v1", inv, "t", "a").alias("k1"), F.xxhash64("a", "t", inv, "v2", -F.col("rule")).alias("k2"),
                         "rule", (F.col("home_t") & F.col("home_a")).alias("home"),
                         (F.col("since") * SPOT + F.when(by_amount, F.col("size")).otherwise(F.lit(0).cast("bigint"))).alias("spot"))
 
 
-#: Steps of an amount's logarithm in a spot, and what one unit of time counts there.
-SIZES, SPOT = 1 << 34, 1 << 40
+#: Steps of an amount's logarithm in a spot, and what one unit of time counts there.  A spot has 31 bits and a counted
+#: key 40, because the keys of all rows are sent: each byte less is one of a dozen.  What they don't tell apart is sent.
+SIZES, SPOT, _KEY = 1 << 11, 1 << 18, 1 << 40
 
 
 def _unit(rules: AuditRules) -> int:
-    """Microseconds of a unit of time in a spot: a minute, or more where the windows are years."""
+    """Microseconds of a unit of time in a spot: an hour, or more where the windows are years."""
     span = max(_width(k, d) + d * DAY_MICROS for k, d in ((INVOICE, rules.dup_window_days), (WEEK, rules.dup_near_days)))
-    return max(60_000_000, span // (1 << 21) + 1)
+    return max(3_600_000_000, span // (1 << 13) + 1)
 
 
 #: Most bits of the bitmap of met keys (64 MB), and bits of one of its rows (4 KB).
@@ -172,15 +173,18 @@ MOST_BITS, _PART = 1 << 29, 32_768
 def _met(e: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     """The rows of ``e`` whose key other rows share, and a few others: only these can be in a pair, and only they are sent.
 
-    Keys are counted in a job of their own, by their first hash.  The lowest and the highest spot of a key in two rows
+    Keys are counted in a job of their own, by 40 bits of their first hash.  The lowest and the highest spot of a key in two rows
     are those of the two, so such a key is left out if they are too far apart, by a unit more than the rule allows.
     A bitmap of the keys that meet, 64 bits a key within ``MOST_BITS``, goes to the rows; what it lets through
     beyond them finds no partner in the join.
     """
     checkpoint_dir(e.sparkSession)
-    counted = e.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"), F.max("rule").alias("rule"),
-                                  F.min("spot").alias("low"), F.max("spot").alias("high"))
-    time = F.shiftright("high", 40) - F.shiftright("low", 40)
+    seen = F.sum(1 + F.col("home").cast("bigint") * F.lit(1 << 32))   # rows, and how many of them are at home
+    spot = F.col("rule") * F.lit(1 << 32) + F.col("spot")
+    counted = e.groupBy(F.pmod("k1", F.lit(_KEY)).alias("k1")).agg(seen.alias("seen"), F.min(spot).alias("low"), F.max(spot).alias("high"))
+    counted = counted.select("k1", F.col("seen").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), (F.col("seen") >= 1 << 32).alias("home"),
+                             F.shiftright("high", 32).alias("rule"), *[F.pmod(c, F.lit(1 << 32)).alias(c) for c in ("low", "high")])
+    time = F.shiftright("high", 18) - F.shiftright("low", 18)
     size = F.abs(F.pmod("high", F.lit(SPOT)) - F.pmod("low", F.lit(SPOT)))
     days = F.when(F.col("rule") == WEEK, rules.dup_near_days).otherwise(rules.dup_window_days)
     apart = (time > F.ceil(days * F.lit(DAY_MICROS / _unit(rules))) + 1) | (size > math.ceil(_band(rules) * SIZES) + 2)

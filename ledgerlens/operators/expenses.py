@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, AuditRules
 from ..functions.dates import day_text, month_start, month_text
-from ..functions.names import py_strip
+from ..functions.names import strip_column
 from ..functions.tax import tier
 from ..functions.text import described, money as fmt_money
 from ..session import checkpoint_dir
@@ -46,7 +46,7 @@ def category_column(ap: DataFrame, rules: AuditRules = DEFAULT_RULES):
     src = "expense_category" if "expense_category" in ap.columns else next(
         (c for c in EXP_CATEGORY_FALLBACKS if c in ap.columns), None)
     raw = F.col(src).cast("string") if src else F.lit(EXP_DEFAULT_CATEGORY)
-    return F.lower(py_strip(F.coalesce(raw, F.lit(EXP_MISSING_CATEGORY))))
+    return F.lower(strip_column(F.coalesce(raw, F.lit(EXP_MISSING_CATEGORY))))
 
 
 def prepared(ap: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame | None:
@@ -185,6 +185,13 @@ def _spikes(moments: DataFrame, rules: AuditRules, texts: bool) -> DataFrame:
                             F.col("month").cast("string")))
 
 
+def _is_multiple(amount: Column, unit: int) -> Column:
+    """Is ``amount`` (``MONEY``) at least ``unit`` and a multiple of it?  By whole numbers: a decimal
+    remainder is computed by big integers of any length."""
+    whole = amount.cast("bigint")
+    return (amount >= unit) & (whole % F.lit(unit).cast("bigint") == 0) & (whole.cast(MONEY) == amount)
+
+
 def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers: bool, rounds: bool,
                    texts: bool) -> DataFrame:
     """EXP-4 and EXP-5 in one pass over the payments joined to their category statistics.
@@ -193,7 +200,7 @@ def _payment_rules(p: DataFrame, stats: DataFrame, rules: AuditRules, outliers:
     EXP-5: non-zero amounts that are a multiple of the round unit and at least one unit.
     """
     unit = rules.exp_round_unit
-    is_round = (F.col("_amt") >= unit) & (F.col("_amt") % unit == 0)
+    is_round = _is_multiple(F.col("_amt"), unit)
     j = _with_stats(p if outliers else p.where(is_round), stats)
     amt = F.col("_amt").cast("double")
     mean = F.col("_mean").cast("double")

@@ -39,17 +39,20 @@ def observed_months(ap: DataFrame | None, payroll: DataFrame | None, tax: DataFr
     """TXF-1: distinct first-of-month DATEs seen in AP dates, payroll months and remittance dates."""
     parts = []
     if ap is not None and ap_date_column(ap) is not None:
-        parts.append(ap.select(month_start(timestamp(ap, ap_date_column(ap), rules)).alias("month")))
+        parts.append(ap.select(timestamp(ap, ap_date_column(ap), rules).alias("_ts")))
     if payroll is not None and "month" in payroll.columns:
-        parts.append(payroll.select(month_start(timestamp(payroll, "month", rules)).alias("month")))
+        parts.append(payroll.select(timestamp(payroll, "month", rules).alias("_ts")))
     if tax is not None and "remittance_date" in tax.columns:
-        parts.append(tax.select(month_start(timestamp(tax, "remittance_date", rules)).alias("month")))
+        parts.append(tax.select(timestamp(tax, "remittance_date", rules).alias("_ts")))
     if not parts:
         return None
-    u = parts[0]
+    u = parts[0].select(month_start(F.col("_ts")).alias("month"))
     for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.where(F.col("month").isNotNull()).distinct()
+        u = u.unionByName(p.select(month_start(F.col("_ts")).alias("month")))
+    # the missing month is left out by another column than the key: a filter on the key would be
+    # pushed to the rows below, where it computes their months once more
+    months = u.groupBy("month").agg(F.max("month").alias("_own"))
+    return months.where(F.col("_own").isNotNull()).select("month")
 
 
 def obligations(months: DataFrame, ap: DataFrame | None, payroll: DataFrame | None,

@@ -88,7 +88,8 @@ def _prepare(df: DataFrame, name_col: str, amount_col: str, rules: AuditRules,
 def _name_bank(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_name: str) -> DataFrame:
     """One row per (raw name, bank): first row, total, count, first date, and the same for the rows of each
     condition in ``conds`` (prefix ``<key>_``).  All rules of a family start from this table; the name
-    normaliser runs once per row of it."""
+    normaliser runs once per row of it.  The first row is text, so groups are made by sorting: a number comes
+    first, which tells rows apart without comparing names."""
     rid = F.col("_rid")
     aggs = [F.min(rid).alias("_r"), _total(F.col("_amt")).alias("_t"), F.count("_amt").alias("_c")]
     if "_ts" in p.columns:
@@ -96,7 +97,8 @@ def _name_bank(p: DataFrame, conds: dict[str, Column], rules: AuditRules, null_n
     for key, cond in conds.items():
         aggs += [F.count_if(cond).alias(f"{key}_n"), F.min(F.when(cond, rid)).alias(f"{key}_r"),
                  _total(F.when(cond, F.col("_amt"))).alias(f"{key}_t")]
-    return p.groupBy("_name", "_bank").agg(*aggs).withColumn("_norm", normalize_name("_name", rules, null_as=null_name))
+    grouped = p.groupBy(F.hash("_name", "_bank").alias("_hash"), "_name", "_bank").agg(*aggs).drop("_hash")
+    return grouped.withColumn("_norm", normalize_name("_name", rules, null_as=null_name))
 
 
 def _per_name(names: DataFrame, conds: dict[str, Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, AuditRules, as_datetime
-from ..functions.dates import days_floor, lit_ts, month_text
+from ..functions.dates import day_of, days_floor, lit_ts, month_text
 from ..functions.names import py_str, py_strip
 from ..functions.tax import late_penalty, should_have_vat, tier, vat_on, wht_category, wht_rate
 from ..functions.text import described, naira
@@ -99,7 +99,7 @@ def detect_vat_wht_issues(ap: DataFrame | None, tax: DataFrame | None = None, *,
     if flags is None:
         base = base.withColumn("_vat_ok", F.lit(False)).withColumn("_wht_ok", F.lit(False))
     else:
-        base = (base.join(flags, _month_number(F.year("_ts"), F.month("_ts")) == flags["_month"], "left").drop("_month")
+        base = (base.join(flags, _month_number(F.year(day_of(F.col("_ts"))), F.month(day_of(F.col("_ts")))) == flags["_month"], "left").drop("_month")
                 .withColumn("_vat_ok", F.coalesce("_vat_ok", F.lit(False)))
                 .withColumn("_wht_ok", F.coalesce("_wht_ok", F.lit(False))))
 

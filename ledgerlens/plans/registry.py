@@ -219,9 +219,9 @@ FIXTURE_REVENUE = 1000000000000
 
 
 def _scan(spark: SparkSession, sf_dir: str, texts: bool = True):
-    """The full scan reads AP in four families, so AP is materialised once
-    (persisted; recomputed from lineage if an executor is lost).  Rollups of amounts do without the findings' texts."""
-    return run_scan(fixture_tables(spark, sf_dir), asof=ASOF, sort=False, materialize="persist", texts=texts)
+    """The full scan reads AP in four families, so AP is written once, as compressed columns: a cache of them takes
+    several times their room.  Rollups of amounts do without the findings' texts."""
+    return run_scan(fixture_tables(spark, sf_dir), asof=ASOF, sort=False, materialize="files", texts=texts)
 
 
 @query("dup5_summary")

@@ -6,8 +6,9 @@ payroll and the employee master; tax filing always runs.  Every family is a
 lazy DataFrame; the keys that duplicates share, the statistics of categories and the
 tables of names and banks are found at once.  AP feeds four
 families, so it can be materialised once: ``persist`` (recomputed from
-lineage if an executor is lost) or ``checkpoint`` (written to the session's
-reliable ``spark.checkpoint.dir``, which cuts the lineage).
+lineage if an executor is lost), ``checkpoint`` (written to the session's
+reliable ``spark.checkpoint.dir``, which cuts the lineage) or ``files`` (the same
+as compressed columns, of which each family reads its own).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..operators.prepare import ap_date_column
 from ..operators.summaries import (duplicate_summary, expense_summary, filing_summary, ghost_summary,
                                    vat_summary)
 from ..operators.vat_wht import detect_vat_wht_issues
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, written
 from ..tables import AuditTables
 
 
@@ -86,6 +87,8 @@ def _materialize(df: DataFrame | None, how: str) -> DataFrame | None:
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
+    if how == "files":
+        return written(df)
     raise ValueError(f"unknown materialize mode {how!r}")
 
 
@@ -105,16 +108,19 @@ def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, ma
     findings' ``details`` out, for rollups that only add amounts."""
     ap = tables.ap if materialize == "none" else _materialize(_read_columns(tables.ap, rules), materialize)
     have_ap = ap is not None
+    tax = tables.tax_remittance   # read by two families, three times: filters on periods would reach what it is made of
+    if materialize == "files":
+        tax = _materialize(tax, materialize)
     return ScanResult(
         duplicates=detect_duplicate_payments(ap, rules, sort=sort, keep=materialize != "none") if have_ap else None,
-        vat_wht=detect_vat_wht_issues(ap, tables.tax_remittance, asof=asof, rules=rules, sort=sort, texts=texts)
+        vat_wht=detect_vat_wht_issues(ap, tax, asof=asof, rules=rules, sort=sort, texts=texts)
         if have_ap else None,
         expenses=detect_overstated_expenses(ap, rules, sort=sort, texts=texts) if have_ap else None,
         ghost_vendors=detect_ghost_vendors(ap, tables.vendor_master, rules, sort=sort, texts=texts)
         if have_ap and tables.vendor_master is not None else None,
         ghost_employees=detect_ghost_employees(tables.payroll, tables.employee_master, rules, sort=sort, texts=texts)
         if tables.payroll is not None and tables.employee_master is not None else None,
-        tax_filing=detect_tax_filing_risk(tables.tax_remittance, tables.payroll, ap, asof=asof, rules=rules,
+        tax_filing=detect_tax_filing_risk(tax, tables.payroll, ap, asof=asof, rules=rules,
                                           sort=sort),
         ap_present=have_ap,
         kept=(ap,) if have_ap and materialize == "persist" else (),

@@ -53,7 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once, into compressed files of the checkpoint folder, and read back column by column."""
+    """``df`` computed once, into compressed files of the checkpoint folder, and read back column by column.
+
+    zstd: the files stay until the session's end, and take a third less than Spark's default leaves."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
