@@ -106,7 +106,9 @@ def run_scan(tables: AuditTables, *, asof, rules: AuditRules = DEFAULT_RULES, ma
              sort: bool = False, texts: bool = True) -> ScanResult:
     """All families.  ``with run_scan(...) as scan`` gives back what ``persist`` keeps.  ``texts=False`` leaves the
     findings' ``details`` out, for rollups that only add amounts."""
-    ap = tables.ap if materialize == "none" else _materialize(_read_columns(tables.ap, rules), materialize)
+    ap = tables.ap
+    if materialize != "none":   # ``persist`` keeps the caller's own table
+        ap = _materialize(ap if materialize == "persist" else _read_columns(ap, rules), materialize)
     have_ap = ap is not None
     tax = tables.tax_remittance   # read by two families, three times: filters on periods would reach what it is made of
     if materialize == "files":
