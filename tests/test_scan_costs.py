@@ -35,6 +35,26 @@ def test_keys_are_sent_in_few_bits(spark):
     assert low >= 0 and high < 1 << 32
 
 
+def test_near_amounts_make_few_keys(spark):
+    """A payment stands in 1.9 keys of near amounts or fewer; one copy for the bin before most payments made it 2.3."""
+    ap = spark.range(4000).selectExpr(
+        "id AS row_id", "concat('V', id % 7) AS vendor_name", "timestamp_ntz'2020-01-01' + make_dt_interval(cast(id % 1000 as int)) AS payment_date",
+        "cast(1000 * exp(pmod(id * 7919, 4000) / 800) AS decimal(18,2)) AS amount")
+    keyed = duplicates._exploded(duplicates._prepare(ap, DEFAULT_RULES), DEFAULT_RULES, lambda r: r == "DUP-2")
+    assert 4000 < keyed.count() < 1.95 * 4000 and keyed.where("home").count() == 4000
+
+
+def test_keys_are_counted_where_they_arrive(spark):
+    rows = [(7, 1, True, 40), (7, 1, False, 90), (7, 1, True, 5), (1 << 40, 2, False, 3), (-1, 3, True, (1 << 31) - 1)]
+    counted = duplicates._counted(spark.createDataFrame(rows, "k1 bigint, rule tinyint, home boolean, spot bigint"))
+    got = {r["k1"]: (r["n"], r["home"], r["rule"], r["low"], r["high"]) for r in counted.collect()}
+    assert got == {7: (3, True, 1, 5, 90), 0: (1, False, 2, 3, 3), (1 << 40) - 1: (1, True, 3, (1 << 31) - 1, (1 << 31) - 1)}
+    plan = counted._jdf.queryExecution().sparkPlan().toString()   # before exchanges are added: only the asked one is there
+    assert plan.index("REPARTITION_BY_COL") > plan.rindex("HashAggregate")
+    whole = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert whole.count("Exchange hashpartitioning") == 1
+
+
 def test_days_and_micros_of_instants(spark):
     values = ["1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "1900-02-03 04:05:06.789", "1582-10-10 12:00:00", "0001-01-01 00:00:00.000001",
               "9999-12-31 23:59:59.999999", "2026-03-29 00:00:00", None]
