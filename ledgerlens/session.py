@@ -55,7 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once, into compressed files of the checkpoint folder, and read back column by column.
 
-    zstd: the files stay until the session's end, and take a third less than Spark's default leaves."""
+    zstd: the files stay until the session's end, and take a third less than Spark's default leaves.  Its first level
+    leaves as much as the usual third one and costs less, and no dictionary is tried on ids, which are all different."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+    df.write.options(**options, **{f"parquet.enable.dictionary#{c}": "false" for c in ("row_id", "rid")}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

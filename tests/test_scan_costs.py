@@ -1,5 +1,6 @@
 """What the scan keeps and sends: AP as files, small keys, and no work on rows that a table's groups stand for."""
 
+import pytest
 from conftest import ASOF, ap_frame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ledgerlens.operators import duplicates
 from ledgerlens.operators.expenses import _is_multiple
 from ledgerlens.operators.filing import observed_months
 from ledgerlens.plans.scan import run_scan
+from ledgerlens.session import written
 from ledgerlens.tables import AuditTables
 
 
@@ -55,6 +57,15 @@ def test_keys_are_counted_where_they_arrive(spark):
     assert whole.count("Exchange hashpartitioning") == 1
 
 
+def test_ids_are_written_without_a_dictionary(spark):
+    parquet = pytest.importorskip("pyarrow.parquet")
+    df = spark.range(1000).selectExpr("concat('row-', id) AS row_id", "concat('V', id % 3) AS vendor_name")
+    kept = written(df)
+    assert sorted(kept.collect()) == sorted(df.collect())
+    group = parquet.ParquetFile(kept.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    assert not group.column(0).has_dictionary_page and group.column(1).has_dictionary_page and group.column(0).compression == "ZSTD"
+
+
 def test_days_and_micros_of_instants(spark):
     values = ["1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "1900-02-03 04:05:06.789", "1582-10-10 12:00:00", "0001-01-01 00:00:00.000001",
               "9999-12-31 23:59:59.999999", "2026-03-29 00:00:00", None]
