@@ -20,7 +20,8 @@ time bin, amount bin) in different orders, so rows of the sort-merge join compar
 numbers and not texts; that two keys share both has a probability of 2**-128 a
 pair.  Most keys stand in one row alone, or in two that are too far apart: keys are
 counted first, without the rows, and only rows of the others are shuffled and sorted.  The exact predicates stay as the join residual, with the (time, row) order
-picking one orientation per pair.  AQE's skew-join handling splits any bin that
+picking one orientation per pair.  A table without row ids is never shuffled whole to number its equal rows: what the
+rules read of it is written with a hash of each row, and copies are numbered among the rows of keys that meet.  AQE's skew-join handling splits any bin that
 is still hot.
 """
 
@@ -37,8 +38,8 @@ from ..functions.dates import DAY_MICROS, day_text, epoch_micros
 from ..functions.names import normalize_name, py_str, strip_column
 from ..functions.tax import tier
 from ..functions.text import naira
-from ..session import checkpoint_dir, written
-from .prepare import MONEY, ap_date_column, empty, money, row_order, timestamp, with_row_id
+from ..session import checkpoint_dir, shuffles_freed, written
+from .prepare import MONEY, ap_date_column, empty, money, null_hash, numbered_copies, row_hash, row_order, timestamp
 
 DUP_SCHEMA = T.StructType([
     T.StructField("vendor_name", T.StringType()),
@@ -59,6 +60,10 @@ DUP_SCHEMA = T.StructType([
 NEGATIVE_BIN = -(1 << 62)
 #: Column of AP that holds the normalised vendor name where a scan has kept it.
 NORM = "_vendor_norm"
+#: Column that a prepared table without row ids has besides: its ``rid`` is then a hash, which copies share.
+NULLS = "nulls"
+#: Jobs that write such a table, so that what a job shuffles to make it (joins) is on disk in parts.
+SLICES = 3
 
 
 def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
@@ -69,8 +74,9 @@ def _prepare(ap: DataFrame, rules: AuditRules) -> DataFrame | None:
         return None
     inv = strip_column(py_str(F.col("invoice_number"))) if "invoice_number" in ap.columns else F.lit("")
     dated = ap.withColumn("_ts", timestamp(ap, dcol, rules))   # named several times below
+    ids = [row_order(ap).alias("rid")] if "row_id" in ap.columns else [row_hash(ap).alias("rid"), null_hash(ap).alias(NULLS)]
     return dated.select(
-        row_order(ap).alias("rid"), F.col("vendor_name").cast("string").alias("name"),
+        *ids, F.col("vendor_name").cast("string").alias("name"),
         (F.col(NORM) if NORM in ap.columns else normalize_name("vendor_name", rules)).alias("norm"), 
         epoch_micros(F.col("_ts")).alias("us"), "_ts",
         money(ap, "amount").alias("amt"), inv.alias("inv"),
@@ -136,7 +142,7 @@ def _exploded(b: DataFrame, rules: AuditRules, on) -> DataFrame:
         places += _places(WEEK, F.lit(True), rules.dup_near_days, unit)
     if on("DUP-3"):
         places += _places(BLANK, blank, rules.dup_window_days, unit)
-    kept = ["rid", "name", "us", "amt", "inv"]
+    kept = [c for c in ("rid", NULLS, "name", "us", "amt", "inv") if c in b.columns]
     size = F.when(F.col("amt") > 0, F.floor((F.log(F.col("amt").cast("double")) + 8) * SIZES)).otherwise(F.lit(0).cast("bigint"))
     # vendors as numbers, which are made once a row and not once a key
     vendor = [F.xxhash64("norm").alias("v1"), F.xxhash64(F.lit(1), "norm").alias("v2")]
@@ -195,21 +201,21 @@ def _met(e: DataFrame, rules: AuditRules = DEFAULT_RULES) -> DataFrame:
     beyond them finds no partner in the join.
     """
     checkpoint_dir(e.sparkSession)
-    counted = _counted(e)
     time = F.shiftright("high", 18) - F.shiftright("low", 18)
     size = F.abs(F.pmod("high", F.lit(SPOT)) - F.pmod("low", F.lit(SPOT)))
     days = F.when(F.col("rule") == WEEK, rules.dup_near_days).otherwise(rules.dup_window_days)
     apart = (time > F.ceil(days * F.lit(DAY_MICROS / _unit(rules))) + 1) | (size > math.ceil(_band(rules) * SIZES) + 2)
-    keys = counted.where((F.col("n") > 1) & F.col("home") & ((F.col("n") > 2) | ~apart)).select("k1").checkpoint()
-    bits, wanted = _PART, 64 * keys.count()
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    at = keys.select((F.pmod("k1", F.lit(bits)) + 1).alias("at"))
-    parts = at.groupBy((F.bitmap_bucket_number("at") - 1).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     # 512 numbers of 64 bits a part, the first byte highest
     number = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
-    parts = parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(_PART // 64 - 1)), number).alias("words")).checkpoint()
+    with shuffles_freed(e.sparkSession):
+        keys = _counted(e).where((F.col("n") > 1) & F.col("home") & ((F.col("n") > 2) | ~apart)).select("k1").checkpoint()
+        bits, wanted = _PART, 64 * keys.count()
+        while bits < min(wanted, MOST_BITS):
+            bits *= 2
+        at = keys.select((F.pmod("k1", F.lit(bits)) + 1).alias("at"))
+        parts = at.groupBy((F.bitmap_bucket_number("at") - 1).alias("part")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        parts = parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(_PART // 64 - 1)), number).alias("words")).checkpoint()
     place = F.pmod("k1", F.lit(bits))
     word = F.get("words", F.shiftright(place.bitwiseAND(F.lit(_PART - 1)), 6).cast("int"))
     shift = F.expr(f"cast(56 - (shiftright(pmod(k1, {bits}), 3) & 7) * 8 + (pmod(k1, {bits}) & 7) as int)")
@@ -226,11 +232,22 @@ def _pairs(b: DataFrame, rules: AuditRules, on, keep: bool = False) -> DataFrame
 
     Every column is read from both sides, so that column pruning leaves the sides
     alike and their exchange is shared.  ``keep``: the rows are written first, for a
-    cached ``b``, whose exchange Spark builds once a side.
+    cached ``b``, whose exchange Spark builds once a side.  Rows without ids are
+    numbered first: all copies of a row have the same keys, and each key numbers them alike.
     """
-    e = _met(_exploded(b, rules, on), rules)
-    if keep:
-        e = written(e)
+    spark = b.sparkSession
+    if NULLS not in b.columns:
+        e = _met(_exploded(b, rules, on), rules)
+        if keep:
+            e = written(e)
+    else:
+        # by the hash of the instant, a condition that reaches the files which most tables are joined from
+        instant = F.pmod(F.xxhash64("us"), F.lit(SLICES))
+        with shuffles_freed(spark):
+            b = written(b, [instant == i for i in range(SLICES)])
+        e = _met(_exploded(b, rules, on), rules)
+        with shuffles_freed(spark):
+            e = written(numbered_copies(e, "rid").drop(NULLS))
     x, y = e.alias("x"), e.alias("y")
     ts1, ts2, r1, r2 = F.col("x.us"), F.col("y.us"), F.col("x.rid"), F.col("y.rid")
     days = F.ceil((ts2 - ts1) / F.lit(float(DAY_MICROS))).cast("bigint")
@@ -280,13 +297,14 @@ def detect_duplicate_payments(ap: DataFrame | None, rules: AuditRules = DEFAULT_
     """DUP-1..4: every qualifying pair once, earlier payment first.
 
     Rows that are equal in every column are payments of their own: without a
-    ``row_id`` they are numbered first, so k copies give k * (k - 1) / 2 pairs.
+    ``row_id`` they are numbered, so k copies give k * (k - 1) / 2 pairs.
     The keys that payments share are found at once, by jobs; the pairs are lazy.
-    ``keep``: the payments that share keys are written to the checkpoint folder.
+    ``keep``: the payments that share keys are written to the checkpoint folder; without
+    a ``row_id`` they always are, and before them what the rules read of ``ap``.
     """
     if ap is None:
         return None
-    b = _prepare(with_row_id(ap), rules)
+    b = _prepare(ap, rules)
     if b is None:
         return empty(ap.sparkSession, DUP_SCHEMA)
     on = (lambda r: include is None or r in include)

@@ -67,11 +67,21 @@ def row_order(df: DataFrame) -> Column:
     """Row-order key: ``row_id`` in its own type (numbers order as numbers).
 
     A table without one has no row order; a hash of the row stands in, which is
-    enough to pick one of several rows.  Pairs of rows need ``with_row_id``.
+    enough to pick one of several rows.  Pairs of rows need ``numbered_copies``.
     """
     if "row_id" in df.columns:
         return F.col("row_id")
-    return F.format_string("%016x", F.xxhash64(*[F.col(c) for c in df.columns]))
+    return F.format_string("%016x", row_hash(df))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A number of a whole row, nulls left out."""
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
+def null_hash(df: DataFrame) -> Column:
+    """A number of which columns of a row are null, which ``row_hash`` does not tell."""
+    return F.xxhash64(*[F.col(c).isNull() for c in df.columns])
 
 
 def order_text(df: DataFrame) -> Column:
@@ -82,19 +92,11 @@ def order_text(df: DataFrame) -> Column:
     return row_order(df).cast("string")
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """``df`` with a ``row_id`` that is unique on every row.
-
-    A table without one is counted by whole rows, and equal rows are numbered, so
-    each copy of a row has an id of its own.  This shuffles the table once.
-    """
-    if "row_id" in df.columns:
-        return df
+def numbered_copies(df: DataFrame, rid: str) -> DataFrame:
+    """``df`` with the hash ``rid`` made an id: equal rows are counted and numbered, so each copy has one of its own."""
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    number = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
-    row = F.format_string("%016x", F.xxhash64(*[F.col(c) for c in df.columns]))
-    return (counted.withColumn("_copy", number).withColumn("row_id", F.format_string("%s-%d", row, F.col("_copy")))
-            .drop("_copies", "_copy"))
+    copied = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return copied.select(*[F.format_string("%016x-%d", rid, "_copy").alias(c) if c == rid else F.col(c) for c in df.columns])
 
 
 def text(df: DataFrame, name: str) -> Column:

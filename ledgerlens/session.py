@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -52,12 +54,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def written(df: DataFrame) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run in here gives back its shuffle files when it ends, and not when the driver happens to
+    collect its garbage.  For jobs whose result is in files of its own."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, slices: Iterable[Column] = ()) -> DataFrame:
     """``df`` computed once, into compressed files of the checkpoint folder, and read back column by column.
 
     zstd: the files stay until the session's end, and take a third less than Spark's default leaves.  Its first level
-    leaves as much as the usual third one and costs less, and no dictionary is tried on ids, which are all different."""
+    leaves as much as the usual third one and costs less, and no dictionary is tried on ids, which are all different.
+    ``slices``: conditions of which each row meets one; a job each, so that ``shuffles_freed`` frees after each."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
-    df.write.options(**options, **{f"parquet.enable.dictionary#{c}": "false" for c in ("row_id", "rid")}).parquet(path)
+    for part in [df.where(c) for c in slices] or [df]:
+        part.write.mode("append").options(**options, **{f"parquet.enable.dictionary#{c}": "false" for c in ("row_id", "rid")}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
